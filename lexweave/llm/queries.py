@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import common, token_counts
+from . import common, token_counts, token_files
 
 
 def vocabulary(name: str) -> str:
@@ -20,8 +21,15 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(common.table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = common.scratch(spark, "token-files")
+    token_files.write_token_files(common.table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), folder)
+    return token_files.read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
+    "op5_token_files": op5_token_files,
 }
 
 #: DuckDB SQL for those that SQL can express; the others are tested against brute force in tests/llm.
