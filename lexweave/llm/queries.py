@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, token_counts, token_files
+from . import common, streaming_viterbi, token_counts, token_files
 
 
 def vocabulary(name: str) -> str:
@@ -27,9 +27,19 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text and whether decoding them gives the text back (U+2581 as the blank that it stands for)."""
+    model = vocabulary("piece_bpe_32k.model")
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce("text", F.lit("")).alias("whole"))
+    coded = streaming_viterbi.encode(docs, model, ("doc_id", "whole"))
+    back = streaming_viterbi.decode(coded, model, ("doc_id", "whole", "n_tokens", "ids"))
+    return back.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), (F.col("text") == F.translate("whole", streaming_viterbi.MARK, " ")).alias("restored"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_token_files": op5_token_files,
+    "op9_streaming_viterbi": op9_streaming_viterbi,
 }
 
 #: DuckDB SQL for those that SQL can express; the others are tested against brute force in tests/llm.
