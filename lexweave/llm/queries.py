@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, streaming_viterbi, token_counts, token_files
+from . import common, outliers, streaming_viterbi, token_counts, token_files
 
 
 def vocabulary(name: str) -> str:
@@ -27,6 +27,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.rejected(common.table(spark, sf_dir, "documents"))
+
+
 def op9_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and whether decoding them gives the text back (U+2581 as the blank that it stands for)."""
     model = vocabulary("piece_bpe_32k.model")
@@ -39,6 +43,7 @@ def op9_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_token_files": op5_token_files,
+    "op6_robust_outliers": op6_robust_outliers,
     "op9_streaming_viterbi": op9_streaming_viterbi,
 }
 
