@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, outliers, streaming_viterbi, token_counts, token_files
+from . import common, outliers, rule_ensemble, streaming_viterbi, token_counts, token_files
 
 
 def vocabulary(name: str) -> str:
@@ -40,11 +40,17 @@ def op9_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), (F.col("text") == F.translate("whole", streaming_viterbi.MARK, " ")).alias("restored"))
 
 
+def op10_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return rule_ensemble.scored(docs, common.table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_token_files": op5_token_files,
     "op6_robust_outliers": op6_robust_outliers,
     "op9_streaming_viterbi": op9_streaming_viterbi,
+    "op10_rule_ensemble": op10_rule_ensemble,
 }
 
 #: DuckDB SQL for those that SQL can express; the others are tested against brute force in tests/llm.
