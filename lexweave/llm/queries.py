@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, outliers, rule_ensemble, streaming_viterbi, token_counts, token_files
+from . import common, outliers, rule_ensemble, streaming_viterbi, token_counts, token_files, warc
 
 
 def vocabulary(name: str) -> str:
@@ -17,6 +17,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = common.scratch(spark, "warc")
+    warc.write(common.table(spark, sf_dir, "pages"), folder, least=0)
+    return warc.read(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(common.table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -46,6 +52,7 @@ def op10_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op4_token_counts": op4_token_counts,
     "op5_token_files": op5_token_files,
     "op6_robust_outliers": op6_robust_outliers,
