@@ -1,51 +1,97 @@
-r"""Byte-level BPE of whole texts through the tokenizers library, one call for each distinct piece.
+r"""Byte-level BPE of whole texts through the tokenizers library, which sees each distinct piece once.
 
 A pre-token of the byte-level pattern is ``'s``-like, `` ?letters``, `` ?digits``, `` ?others`` or white space, so:
   - no pre-token holds a non-space followed by white space, and
   - a blank before a non-space starts a pre-token, however long the white space run that it ends.
 Cuts at such places never change the ids. White space is judged by Python's wider class, which includes the
-pattern's; where the two differ no cut is made. A text with an added token's string, or with U+0001,
-is encoded whole.
+pattern's; where the two differ no cut is made. A text with an added token's string, or with U+0001, is encoded whole.
+New pieces go to the library as one text, a piece after a piece, and are told apart by the tokens that start with a
+blank.
 """
 
 from __future__ import annotations
 
+import os
 import re
-from collections.abc import Callable
 
-#: Distinct pieces that a worker remembers; the memory is emptied when full.
-PIECES_HELD = 600_000
+import numpy as np
+
+#: Distinct pieces that a worker remembers; the memory is emptied when full. Pieces and texts in a call.
+PIECES_HELD, PIECES_A_CALL, TEXTS_A_CALL = 500_000, 4_000, 300
 _BLANK_CUT = re.compile(r" (?=\S)")
-_UNEVEN = re.compile(r" (?=\s)|\s\n|\n\s|\A\s|[ \n]\Z")
+#: White space but for blanks and line ends.
+_RARE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 
 
 class BytePieces:
-    """value_of turns the ids of a piece into what is kept for it."""
-
-    def __init__(self, path: str, value_of: Callable[[list[int]], object], held: int = PIECES_HELD) -> None:
-        import os
+    """Keeps for each piece its number of ids or, with a dtype, their bytes."""
 
+    def __init__(self, path: str, dtype: str | None = None, held: int = PIECES_HELD) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.value_of, self.held, self.known = value_of, held, {}
+        self.dtype, self.held, self.known = dtype, held, {}
+        size = self.library.get_vocab_size()
+        tokens = [self.library.id_to_token(i) or "" for i in range(size)]
+        self.blank = np.array([t.startswith("Ġ") for t in tokens])
+        self.line = np.array([t == "Ċ" for t in tokens])
 
     def pieces(self, text: str) -> list[str] | None:
         """Piece codes of a text: ``\\x01x`` is x, a line end is itself, other x are a blank and x."""
         if "\x01" in text or any(a in text for a in self.added):
             return None
-        if _UNEVEN.search(text):
+        if not text:
+            return []
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n" or _RARE.search(text):
             first, *rest = _BLANK_CUT.split(text)
             return ["\x01" + first, *rest] if first else rest
-        return ("\x01" + text).replace("\n", " \n \x01").split(" ") if text else []
+        return ("\x01" + text).replace("\n", " \n \x01").split(" ")
+
+    def _value(self, ids: list[int]) -> int | bytes:
+        return len(ids) if self.dtype is None else np.array(ids, dtype=self.dtype).tobytes()
 
     def _raw(self, code: str) -> str:
         return code[1:] if code[0] == "\x01" else code if code == "\n" else " " + code
 
+    def _together(self, codes: list[str], text: str, starts: np.ndarray) -> None:
+        """Codes whose pieces make up the text, told apart by the flagged tokens."""
+        ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.int64)
+        at = np.flatnonzero(starts[ids])
+        if len(at) != len(codes):
+            for c in codes:
+                self.known[c] = self._value(self.library.encode(self._raw(c), add_special_tokens=False).ids)
+            return
+        first = at + 1 if starts is self.line else at
+        ends = np.append(at[1:], len(ids))
+        if self.dtype is None:
+            self.known.update(zip(codes, (ends - first).tolist()))
+            return
+        data, width = ids.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize
+        self.known.update(zip(codes, [data[a:b] for a, b in zip((first * width).tolist(), (ends * width).tolist())]))
+
+    def _learn(self, new: list[str]) -> None:
+        plain = [c for c in new if c[0] != "\x01" and c.split() == [c]]
+        fresh = [c for c in new if c[0] == "\x01" and c[1:].split() == [c[1:]]]
+        odd = set(new).difference(plain, fresh)
+        for at in range(0, len(plain), PIECES_A_CALL):
+            part = plain[at : at + PIECES_A_CALL]
+            self._together(part, " " + " ".join(part), self.blank)
+        for at in range(0, len(fresh), PIECES_A_CALL):
+            part = fresh[at : at + PIECES_A_CALL]
+            self._together(part, "".join("\n" + c[1:] for c in part), self.line)
+        for c in odd:
+            self.known[c] = self._value(self.library.encode(self._raw(c), add_special_tokens=False).ids)
+
     def of(self, texts: list[str]) -> list[list]:
         """For each text the values of its pieces, in order."""
+        out: list[list] = []
+        for at in range(0, len(texts), TEXTS_A_CALL):
+            out += self._some(texts[at : at + TEXTS_A_CALL])
+        return out
+
+    def _some(self, texts: list[str]) -> list[list]:
         cut = [self.pieces(t) for t in texts]
         out = [None if codes is None else list(map(self.known.get, codes)) for codes in cut]
         new = {c for codes, values in zip(cut, out) if values and None in values for c, v in zip(codes, values) if v is None}
@@ -53,12 +99,17 @@ class BytePieces:
             if len(self.known) + len(new) > self.held:
                 self.known.clear()
                 new = {c for codes in cut if codes for c in codes}
-            fresh = list(new)
-            for c, e in zip(fresh, self.library.encode_batch_fast([self._raw(c) for c in fresh], add_special_tokens=False)):
-                self.known[c] = self.value_of(e.ids)
+            self._learn(list(new))
         for i, (text, codes, values) in enumerate(zip(texts, cut, out)):
             if codes is None:
-                out[i] = [self.value_of(self.library.encode(text, add_special_tokens=False).ids)]
+                out[i] = [self._value(self.library.encode(text, add_special_tokens=False).ids)]
             elif None in values:
                 out[i] = list(map(self.known.__getitem__, codes))
         return out
+
+    def totals(self, texts: list[str]) -> list[int] | list[bytes]:
+        """For each text the number of its ids, or their bytes."""
+        out: list = []
+        for at in range(0, len(texts), TEXTS_A_CALL):
+            out += [sum(v) if self.dtype is None else b"".join(v) for v in self._some(texts[at : at + TEXTS_A_CALL])]
+        return out

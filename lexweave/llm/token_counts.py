@@ -65,9 +65,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, huge: int =
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         if tokenizer not in _encoders:
-            _encoders[tokenizer] = BytePieces(tokenizer, len)
+            _encoders[tokenizer] = BytePieces(tokenizer)
         encoder, texts = _encoders[tokenizer], common.texts_of(batch)
-        counts = [sum(v) for v in encoder.of(["" if len(t) >= huge else t for t in texts])]
+        counts = encoder.totals(["" if len(t) >= huge else t for t in texts])
         for i, t in enumerate(texts):
             if len(t) >= huge:
                 counts[i] = sum(map(len, resynced(encoder.library, t, chunk, overlap)))

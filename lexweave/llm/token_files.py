@@ -127,8 +127,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
         if (tokenizer, kind) not in _encoders:
-            _encoders[tokenizer, kind] = BytePieces(tokenizer, lambda ids: np.array(ids, dtype=kind).tobytes())
-        coded = [b"".join([*v, end]) for v in _encoders[tokenizer, kind].of(common.texts_of(batch))]
+            _encoders[tokenizer, kind] = BytePieces(tokenizer, kind)
+        coded = [ids + end for ids in _encoders[tokenizer, kind].totals(common.texts_of(batch))]
         shards, names = np.array(batch.column("shard").to_pylist()), batch.column("doc_id").to_pylist()
         out_shard, out_blob = [], []
         for s in np.unique(shards):
@@ -170,7 +170,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     shards = len(bounds) + 1
     done = (
         rows.withColumn("shard", common.shard_of(F.col("doc_id"), bounds))
-        .mapInArrow(common.by_batch(encode, 10_000), "shard int, block binary")
+        .mapInArrow(common.by_batch(encode, 4_000), "shard int, block binary")
         .repartitionById(shards, F.col("shard"))
         .mapInArrow(write, "name string, temporary string, docs bigint, ids bigint")
         .collect()
