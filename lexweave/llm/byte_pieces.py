@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 
 import numpy as np
 
@@ -72,9 +73,21 @@ class BytePieces:
         self.known.update(zip(codes, [data[a:b] for a, b in zip((first * width).tolist(), (ends * width).tolist())]))
 
     def _learn(self, new: list[str]) -> None:
-        plain = [c for c in new if c[0] != "\x01" and c.split() == [c]]
-        fresh = [c for c in new if c[0] == "\x01" and c[1:].split() == [c[1:]]]
-        odd = set(new).difference(plain, fresh)
+        """A letter followed by ASCII marks up to the piece's end: the marks are a pre-token of their own."""
+        wanted, joined = set(), []
+        for c in new:
+            stem = c.rstrip(string.punctuation)
+            if len(stem) < len(c) and stem and stem[-1] < "\u0250" and stem[-1].isalpha():
+                tail = "\x01" + c[len(stem) :]
+                joined.append((c, stem, tail))
+                wanted.add(stem)
+                wanted.add(tail)
+            else:
+                wanted.add(c)
+        wanted = [c for c in wanted if c not in self.known]
+        plain = [c for c in wanted if c[0] != "\x01" and c.split() == [c]]
+        fresh = [c for c in wanted if c[0] == "\x01" and c[1:].split() == [c[1:]]]
+        odd = set(wanted).difference(plain, fresh)
         for at in range(0, len(plain), PIECES_A_CALL):
             part = plain[at : at + PIECES_A_CALL]
             self._together(part, " " + " ".join(part), self.blank)
@@ -83,13 +96,8 @@ class BytePieces:
             self._together(part, "".join("\n" + c[1:] for c in part), self.line)
         for c in odd:
             self.known[c] = self._value(self.library.encode(self._raw(c), add_special_tokens=False).ids)
-
-    def of(self, texts: list[str]) -> list[list]:
-        """For each text the values of its pieces, in order."""
-        out: list[list] = []
-        for at in range(0, len(texts), TEXTS_A_CALL):
-            out += self._some(texts[at : at + TEXTS_A_CALL])
-        return out
+        for c, stem, tail in joined:
+            self.known[c] = self.known[stem] + self.known[tail]
 
     def _some(self, texts: list[str]) -> list[list]:
         cut = [self.pieces(t) for t in texts]
