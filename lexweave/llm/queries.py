@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, outliers, pii, rule_ensemble, streaming_viterbi, token_counts, token_files, warc
+from . import common, outliers, parity_join, pii, rule_ensemble, streaming_viterbi, token_counts, token_files, warc
 
 
 def vocabulary(name: str) -> str:
@@ -51,6 +51,10 @@ def op6_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.rejected(common.table(spark, sf_dir, "documents"))
 
 
+def op8_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.grouped(common.table(spark, sf_dir, "documents"))
+
+
 def op9_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and whether decoding them gives the text back (U+2581 as the blank that it stands for)."""
     model = vocabulary("piece_bpe_32k.model")
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_token_files": op5_token_files,
     "op6_robust_outliers": op6_robust_outliers,
+    "op8_parity_join": op8_parity_join,
     "op9_streaming_viterbi": op9_streaming_viterbi,
     "op10_rule_ensemble": op10_rule_ensemble,
 }
