@@ -5,8 +5,9 @@ is sought: from two starts (all rows; medians with deviations from them) concent
 ``share`` of rows that lie nearest in Mahalanobis distance and estimate anew; the start with the least determinant
 wins and is reweighted once. A text is rejected when its squared distance exceeds the chi-square quantile of ``sure``.
 
-Each step is one pass over the small table of vectors: tasks sum moments by group and by narrow band of distance,
-so no group, however large, meets in one task, and the band edges give the nearest ``share`` exactly to a band.
+Each step counts the rows of each group by narrow band of distance, which gives the edge of the nearest ``share`` to
+a band, and then sums moments within the edge; both are partial sums of tasks over the small table of vectors, so no
+group, however large, meets in one task.
 Groups of fewer than ``least`` rows use their language's estimate, then that of all rows. A floor of variance per
 statistic keeps statistics that are constant in a group from rejecting a text for a single deviation.
 
@@ -17,6 +18,7 @@ count each; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,11 +30,12 @@ from . import common, text_stats
 
 SHARE, SURE, LEAST, STEPS = 0.75, 1 - 1e-7, 200, 6
 #: Bands of squared distance to a doubling.
-BANDS = 24
+BANDS = 16
 #: Statistic and the floor of its standard deviation.
 VECTOR = {"log_words": 0.5, "word_length": 0.6, "log_symbols": 0.4, "dup_lines": 0.12, "repeated": 0.12, "upper": 0.08, "distinct": 0.06, "marks": 0.03}
 P = len(VECTOR)
 _UP = np.triu_indices(P)
+SUMS = [f"m{i}" for i in range(P + len(_UP[0]))]
 RESULT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"]
 
 
@@ -74,33 +77,50 @@ def _squared(x: np.ndarray, mean: np.ndarray, white: np.ndarray) -> np.ndarray:
     return (((x - mean) @ white) ** 2).sum(axis=1)
 
 
-def _moments(rows: DataFrame, models: list[dict[str, tuple]], weighted: float | None = None) -> pd.DataFrame:
-    """Sums of each group, start and band of distance; without models all rows are band 0."""
-    held = rows.sparkSession.sparkContext.broadcast(models)  # groups are bounded: see fit
+def _band(d: np.ndarray) -> np.ndarray:
+    return np.ceil(np.log2(np.maximum(d, 2.0**-20)) * BANDS).astype(np.int64)
+
+
+def _models_of(batch: pa.RecordBatch, models: list[dict]) -> Iterator[tuple[str, int, np.ndarray, np.ndarray]]:
+    """Group, start, vectors and squared distances of the rows of a batch."""
+    x, groups = _vectors(batch), np.array(batch.column("g").to_pylist(), dtype=object)
+    for g in pd.unique(groups):
+        own = x[groups == g]
+        for s, model in enumerate(models):
+            if g in model:
+                yield g, s, own, _squared(own, *model[g])
+
+
+def _bands(rows: DataFrame, models: list[dict]) -> pd.DataFrame:
+    """Rows of each group, start and band of distance."""
+    held = rows.sparkSession.sparkContext.broadcast(models)  # a model for each language and source
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x, groups, out = _vectors(batch), np.array(batch.column("g").to_pylist(), dtype=object), []
-        for g in pd.unique(groups):
-            own = x[groups == g]
-            for s, model in enumerate(held.value or [None]):
-                if model is None:
-                    band = np.zeros(len(own), dtype=np.int64)
-                elif g not in model:
-                    continue
-                else:
-                    d = _squared(own, *model[g])
-                    band = np.ceil(np.log2(np.maximum(d, 2.0**-20)) * BANDS).astype(np.int64) if weighted is None else (d > weighted).astype(np.int64)
-                for b in np.unique(band):
-                    y = own[band == b]
-                    out.append((g, s, int(b), len(y), *y.sum(axis=0), *(y.T @ y)[_UP]))
-        names = ["g", "s", "b", "n", *[f"m{i}" for i in range(P + len(_UP[0]))]]
-        frame = pd.DataFrame(out, columns=names)
-        return pa.RecordBatch.from_pandas(frame.astype({"s": "int32", "b": "int64", "n": "int64"}), preserve_index=False)
-
-    sums = [f"m{i}" for i in range(P + len(_UP[0]))]
-    schema = "g string, s int, b bigint, n bigint, " + ", ".join(f"{c} double" for c in sums)
+        out = [(g, s, int(b), int(n)) for g, s, _, d in _models_of(batch, held.value) for b, n in zip(*np.unique(_band(d), return_counts=True))]
+        return pa.RecordBatch.from_pylist([dict(zip("gsbn", r)) for r in out], schema=pa.schema([("g", pa.string()), ("s", pa.int32()), ("b", pa.int64()), ("n", pa.int64())]))
+
+    parts = rows.select("g", *[f"x{i}" for i in range(P)]).mapInArrow(common.by_batch(kernel, 20_000), "g string, s int, b bigint, n bigint")
+    return parts.groupBy("g", "s", "b").agg(F.sum("n").alias("n")).toPandas()
+
+
+def _moments(rows: DataFrame, models: list[dict] | None, edges: dict[tuple, float] | None = None) -> pd.DataFrame:
+    """Sums over the rows of each group and start whose squared distance is at most the edge; over all without models."""
+    held = rows.sparkSession.sparkContext.broadcast((models, edges))
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        models, edges = held.value
+        if models is None:
+            x, groups = _vectors(batch), np.array(batch.column("g").to_pylist(), dtype=object)
+            found = [(g, 0, x[groups == g]) for g in pd.unique(groups)]
+        else:
+            found = [(g, s, own[d <= edges[g, s]]) for g, s, own, d in _models_of(batch, models) if (g, s) in edges]
+        out = [(g, s, len(y), *y.sum(axis=0), *(y.T @ y)[_UP]) for g, s, y in found]
+        frame = pd.DataFrame(out, columns=["g", "s", "n", *SUMS])
+        return pa.RecordBatch.from_pandas(frame.astype({"g": "string", "s": "int32", "n": "int64"} | dict.fromkeys(SUMS, "float64")), preserve_index=False)
+
+    schema = "g string, s int, n bigint, " + ", ".join(f"{c} double" for c in SUMS)
     parts = rows.select("g", *[f"x{i}" for i in range(P)]).mapInArrow(common.by_batch(kernel, 20_000), schema)
-    return parts.groupBy("g", "s", "b").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in sums]).toPandas()
+    return parts.groupBy("g", "s").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in SUMS]).toPandas()
 
 
 def _estimate(n: float, sums: np.ndarray, scale: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
@@ -119,32 +139,36 @@ def _model(mean: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray, f
 
 def fit(rows: DataFrame, share: float = SHARE, steps: int = STEPS, least: int = LEAST) -> dict[str, tuple]:
     """Mean and whitening of each group of rows (g, x0..); groups under ``least`` rows have none."""
-    first = _moments(rows, [])
-    first = first[first["n"] >= least]
-    sums = [f"m{i}" for i in range(P + len(_UP[0]))]
-    if not len(first):
+
+    def estimated(got: pd.DataFrame, scale: float) -> list[dict]:
+        out: list[dict] = [{}, {}]
+        for r in got[got["n"] > P].itertuples():
+            out[r.s][r.g] = _model(*_estimate(r.n, np.array([getattr(r, c) for c in SUMS]), scale))
+        return out
+
+    first = _moments(rows, None)
+    plain = estimated(first[first["n"] >= least], 1.0)[0]
+    if not plain:
         return {}
-    plain = {r.g: _model(*_estimate(r.n, np.array([getattr(r, c) for c in sums]))) for r in first.itertuples()}
-    mid = rows.groupBy("g").agg(*[F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"x{i}") for i in range(P)])
-    spread = rows.groupBy("g").agg(*[(F.percentile_approx(f"x{i}", 0.75, 1000) - F.percentile_approx(f"x{i}", 0.25, 1000)).alias(f"q{i}") for i in range(P)])
-    robust = {r["g"]: _model(np.array([r[f"x{i}"] for i in range(P)]), np.diag([(r[f"q{i}"] / 1.349) ** 2 for i in range(P)])) for r in mid.join(spread, "g").collect() if r["g"] in plain}
+    quartiles = [F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"x{i}") for i in range(P)]
+    robust = {
+        r["g"]: _model(np.array([r[f"x{i}"][1] for i in range(P)]), np.diag([((r[f"x{i}"][2] - r[f"x{i}"][0]) / 1.349) ** 2 for i in range(P)]))
+        for r in rows.groupBy("g").agg(*quartiles).collect()
+        if r["g"] in plain
+    }
     starts = [plain, robust]
     factor = share / chi2_cdf(chi2_quantile(share, P), P + 2)
     for _ in range(steps):
-        got, new = _moments(rows, [{g: m[:2] for g, m in s.items()} for s in starts]), [{}, {}]
-        for (g, s), part in got.groupby(["g", "s"]):
+        models, edges = [{g: m[:2] for g, m in s.items()} for s in starts], {}
+        for key, part in _bands(rows, models).groupby(["g", "s"]):
             part = part.sort_values("b")
-            until = int(np.searchsorted(part["n"].cumsum().to_numpy(), share * part["n"].sum())) + 1
-            inner = part.iloc[:until]
-            new[s][g] = _model(*_estimate(inner["n"].sum(), inner[sums].sum().to_numpy(), factor))
-        starts = new
+            at = int(np.searchsorted(part["n"].cumsum().to_numpy(), share * part["n"].sum()))
+            edges[key] = 2.0 ** (part["b"].iloc[at] / BANDS) * (1 + 1e-12)
+        starts = estimated(_moments(rows, models, edges), factor)
     best = {g: min((s[g] for s in starts if g in s), key=lambda m: m[2]) for g in plain}
     near = chi2_quantile(0.975, P)
-    got = _moments(rows, [{g: m[:2] for g, m in best.items()}], near)
-    again = 0.975 / chi2_cdf(near, P + 2)
-    for r in got[got["b"] == 0].itertuples():
-        if r.n >= least / 2:
-            best[r.g] = _model(*_estimate(r.n, np.array([getattr(r, c) for c in sums]), again))
+    again = _moments(rows, [{g: m[:2] for g, m in best.items()}], {(g, 0): near for g in best})
+    best |= estimated(again[again["n"] >= least / 2], 0.975 / chi2_cdf(near, P + 2))[0]
     return {g: m[:2] for g, m in best.items()}
 
 
