@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, outliers, parity_join, pii, rule_ensemble, streaming_viterbi, token_counts, token_files, warc
+from . import common, decontamination, outliers, parity_join, pii, rule_ensemble, streaming_viterbi, token_counts, token_files, warc
 
 
 def vocabulary(name: str) -> str:
@@ -51,6 +51,10 @@ def op6_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.rejected(common.table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.hits(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op8_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.grouped(common.table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_token_files": op5_token_files,
     "op6_robust_outliers": op6_robust_outliers,
+    "op7_decontamination": op7_decontamination,
     "op8_parity_join": op8_parity_join,
     "op9_streaming_viterbi": op9_streaming_viterbi,
     "op10_rule_ensemble": op10_rule_ensemble,
