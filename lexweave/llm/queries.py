@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, outliers, parity_join, pii, rule_ensemble, streaming_viterbi, token_counts, token_files, warc
+from . import common, decontamination, outliers, parity_join, pii, rule_ensemble, streaming_viterbi, suffix_tree, token_counts, token_files, warc
 
 
 def vocabulary(name: str) -> str:
@@ -37,6 +37,10 @@ def op2_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(number, pii.BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.scored(common.table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(common.table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -76,6 +80,7 @@ def op10_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_weak_pii": op2_weak_pii,
+    "op3_suffix_tree": op3_suffix_tree,
     "op4_token_counts": op4_token_counts,
     "op5_token_files": op5_token_files,
     "op6_robust_outliers": op6_robust_outliers,
