@@ -14,12 +14,15 @@ from __future__ import annotations
 import os
 import re
 import string
+from itertools import filterfalse
 
 import numpy as np
 
-#: Distinct pieces that a worker remembers; the memory is emptied when full. Pieces and texts in a call.
-PIECES_HELD, PIECES_A_CALL, TEXTS_A_CALL = 500_000, 4_000, 300
+#: Distinct pieces that a worker remembers, in two halves of which the older is dropped when the younger is full.
+#: Pieces and texts in a call.
+PIECES_HELD, PIECES_A_CALL, TEXTS_A_CALL = 900_000, 4_000, 300
 _BLANK_CUT = re.compile(r" (?=\S)")
+_MARKS = frozenset(string.punctuation)
 #: White space but for blanks and line ends.
 _RARE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 
@@ -33,7 +36,7 @@ class BytePieces:
 
         self.library = Tokenizer.from_file(path)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.dtype, self.held, self.known = dtype, held, {}
+        self.dtype, self.held, self.known, self.older = dtype, held, {}, {}
         size = self.library.get_vocab_size()
         tokens = [self.library.id_to_token(i) or "" for i in range(size)]
         self.blank = np.array([t.startswith("Ġ") for t in tokens])
@@ -72,19 +75,20 @@ class BytePieces:
         data, width = ids.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize
         self.known.update(zip(codes, [data[a:b] for a, b in zip((first * width).tolist(), (ends * width).tolist())]))
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: set[str]) -> None:
         """A letter followed by ASCII marks up to the piece's end: the marks are a pre-token of their own."""
         wanted, joined = set(), []
         for c in new:
-            stem = c.rstrip(string.punctuation)
-            if len(stem) < len(c) and stem and stem[-1] < "\u0250" and stem[-1].isalpha():
-                tail = "\x01" + c[len(stem) :]
-                joined.append((c, stem, tail))
-                wanted.add(stem)
-                wanted.add(tail)
-            else:
-                wanted.add(c)
-        wanted = [c for c in wanted if c not in self.known]
+            if c[-1] in _MARKS:
+                stem = c.rstrip(string.punctuation)
+                if stem and stem[-1] < "\u0250" and stem[-1].isalpha():
+                    tail = "\x01" + c[len(stem) :]
+                    joined.append((c, stem, tail))
+                    wanted.add(stem)
+                    wanted.add(tail)
+                    continue
+            wanted.add(c)
+        wanted = list(filterfalse(self.known.__contains__, wanted))
         plain = [c for c in wanted if c[0] != "\x01" and c.split() == [c]]
         fresh = [c for c in wanted if c[0] == "\x01" and c[1:].split() == [c[1:]]]
         odd = set(wanted).difference(plain, fresh)
@@ -101,19 +105,22 @@ class BytePieces:
 
     def _some(self, texts: list[str]) -> list[list]:
         cut = [self.pieces(t) for t in texts]
-        out = [None if codes is None else list(map(self.known.get, codes)) for codes in cut]
-        new = {c for codes, values in zip(cut, out) if values and None in values for c, v in zip(codes, values) if v is None}
+        known = self.known
+        new = set()
+        for codes in cut:
+            if codes:
+                new.update(filterfalse(known.__contains__, codes))
         if new:
-            if len(self.known) + len(new) > self.held:
-                self.known.clear()
+            if len(known) + len(new) > self.held // 2:  # the pieces met since then outlive the next turn
+                self.older, known = known, {}
+                self.known = known
                 new = {c for codes in cut if codes for c in codes}
-            self._learn(list(new))
-        for i, (text, codes, values) in enumerate(zip(texts, cut, out)):
-            if codes is None:
-                out[i] = [self._value(self.library.encode(text, add_special_tokens=False).ids)]
-            elif None in values:
-                out[i] = list(map(self.known.__getitem__, codes))
-        return out
+            back = [c for c in new if c in self.older]
+            for c in back:
+                known[c] = self.older[c]
+            self._learn(new.difference(back) if back else new)
+        get = known.__getitem__
+        return [[self._value(self.library.encode(t, add_special_tokens=False).ids)] if codes is None else list(map(get, codes)) for t, codes in zip(texts, cut)]
 
     def totals(self, texts: list[str]) -> list[int] | list[bytes]:
         """For each text the number of its ids, or their bytes."""
