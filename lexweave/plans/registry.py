@@ -2,9 +2,5 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import evaluation_queries, hangul_queries, relational_queries, retrieval_queries, stream_queries, text_queries  # noqa: F401
+from .base import ORACLE_SQL, QUERIES  # noqa: F401
