@@ -12,11 +12,14 @@ equal (pigeonhole), so sets meet on equal lanes:
     has more than d_k lanes in use, so an equal lane in use exists.
   - Equal sets are one node from the start, however many documents have them.
 
-Keys travel as packed blocks, not as rows. In each group of nodes under a key the first round verifies the least node
-with the others. Groups whose nodes are not in one component then are unresolved: all their pairs across components
-are verified in the second round, after a Hamming filter on 2048-bit parity sketches. Groups of more than HOT nodes
-do not pair up: their unresolved nodes are joined on the prefix of their tokens, rarest first, which are shared by few
-nodes of different components. So no cap drops a link, and no group is paired with itself as a whole.
+Keys travel as packed blocks, not as rows. In each group of nodes under a key the first round takes the least node
+with each of the others. Groups whose nodes are not in one component then are unresolved. Of those with at most HOT
+nodes the second round takes all pairs across components. Pairs whose 2048-bit parity sketches differ in more than
+(|A| + |B|) / 9 bits are dropped, in the second round before they are rows at all; the rest is verified on the sets.
+
+Larger unresolved groups do not pair up. A node with more than d_k lanes in use outside of them meets all that it
+links with in other groups. Two nodes that both have fewer are joined on the prefixes of their tokens, rarest first,
+which few nodes of different components share. So no cap drops a link, and no group is paired with itself as a whole.
 
 Texts without words, null ones too, are linked with nothing. Repeated rows are equal sets. A null doc_id is never
 the least of a component unless all are null. An empty table gives an empty result.
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 from . import common, components, shingles
 
 #: Lanes over those that the pigeonhole needs; nodes of a group that are still paired; rows that may be broadcast.
-SLACK, HOT, BROADCAST_ROWS = 1.3, 64, 2_000_000
+SLACK, HOT, BROADCAST_ROWS = 1.3, 256, 2_000_000
 SKETCH_BITS = 2048
 _K1, _K2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
@@ -62,10 +65,10 @@ def lanes(k: int) -> tuple[int, int]:
     return d, math.ceil(SLACK * (d + 1))
 
 
-def keys_of(tokens: np.ndarray) -> np.ndarray:
-    """Keys of a set in its two joins."""
+def keys_of(tokens: np.ndarray) -> tuple[np.ndarray, int]:
+    """Keys of a set in its two joins, and how many lanes in use each join can spare."""
     n, out = len(tokens), []
-    own = band(n)
+    own, spare = band(n), 1 << 30
     for k in (own, own - 1):
         d, p = lanes(k)
         spread = shingles.mixed(tokens * _K1, k + 1000)
@@ -75,10 +78,11 @@ def keys_of(tokens: np.ndarray) -> np.ndarray:
         starts = np.flatnonzero(np.append(True, sorted_lane[1:] != sorted_lane[:-1]))
         xor = np.bitwise_xor.reduceat(shingles.mixed(tokens[order] * _K2, 7), starts)
         out.append(shingles.mixed(xor ^ (sorted_lane[starts] * _K1), k + 5000))
+        spare = min(spare, len(starts) - d - 1)
         if len(starts) <= d:
             prefix = tokens[: n - -(-80 * n // 100) + 1]
             out.append(shingles.mixed(prefix, k + 9000))
-    return np.concatenate(out)
+    return np.concatenate(out), spare
 
 
 def sketch(tokens: np.ndarray) -> bytes:
@@ -90,24 +94,27 @@ def node_of(tokens: np.ndarray) -> int:
     return struct.unpack("<q", xxhash.xxh3_64_digest(tokens.tobytes()))[0]
 
 
-_POINTS = "kind tinyint, part int, doc_id bigint, node bigint, n bigint, block binary"
-_POINT_FIELDS = pa.schema([("kind", pa.int8()), ("part", pa.int32()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("block", pa.binary())])
+_POINTS = "kind tinyint, part int, doc_id bigint, node bigint, n bigint, spare bigint, block binary"
+_POINT_FIELDS = pa.schema([("kind", pa.int8()), ("part", pa.int32()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("spare", pa.int64()), ("block", pa.binary())])
 
 
 def _sketched(docs: DataFrame, parts: int) -> DataFrame:
-    """kind 0: doc_id, node and set size of a row; kind 1: a block of 48-bit keys with their nodes for one part."""
+    """kind 0: doc_id, node, set size, spare lanes and sketch of a row; kind 1: a part's block of 48-bit keys and nodes."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        names, nodes, sizes, held, seen = batch.column("doc_id").to_pylist(), [], [], [], {}
+        names, nodes, sizes, held, seen, spares, sketches = batch.column("doc_id").to_pylist(), [], [], [], {}, [], []
         for raw in common.bytes_of(batch):
             tokens = shingles.of(raw)
             sizes.append(len(tokens))
             nodes.append(node_of(tokens) if len(tokens) else None)
-            if len(tokens) > 3 and nodes[-1] not in seen:  # smaller sets link only with their like
-                seen[nodes[-1]] = len(seen)
-                held.append(keys_of(tokens))
+            own = seen.get(nodes[-1])
+            if own is None and len(tokens) > 3:  # smaller sets link only with their like
+                seen[nodes[-1]] = own = (len(seen), *keys_of(tokens), sketch(tokens))
+                held.append(own[1])
+            spares.append(own[2] if own else None)
+            sketches.append(own[3] if own else None)
         part_of = [(0 if d is None else d) % parts for d in names]
-        out = [pa.array(np.zeros(len(names), dtype=np.int8)), pa.array(part_of, pa.int32()), pa.array(names, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(len(names), pa.binary())]
+        out = [pa.array(np.zeros(len(names), dtype=np.int8)), pa.array(part_of, pa.int32()), pa.array(names, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(spares, pa.int64()), pa.array(sketches, pa.binary())]
         if held:
             keys = np.concatenate(held)
             of = np.repeat(np.arange(len(held), dtype=np.uint16), [len(h) for h in held])
@@ -122,15 +129,15 @@ def _sketched(docs: DataFrame, parts: int) -> DataFrame:
                 low = keys[a:b]
                 blocks.append(struct.pack("<II", len(used), b - a) + every[used].tobytes() + local.astype("<u2").tobytes() + low.astype("<u4").tobytes() + (low >> np.uint64(32)).astype("<u2").tobytes())
             m = len(blocks)
-            more = [pa.array(np.ones(m, dtype=np.int8)), pa.array(part[starts[:-1]], pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(blocks, pa.binary())]
+            more = [pa.array(np.ones(m, dtype=np.int8)), pa.array(part[starts[:-1]], pa.int32()), *[pa.nulls(m, pa.int64())] * 4, pa.array(blocks, pa.binary())]
             out = [pa.concat_arrays([x, y]) for x, y in zip(out, more)]
         return pa.RecordBatch.from_arrays(out, schema=_POINT_FIELDS)
 
     return docs.select("doc_id", "text").mapInArrow(common.by_batch(kernel, 4000), _POINTS)
 
 
-_MET = "kind tinyint, doc_id bigint, node bigint, n bigint, key bigint, least bigint, size bigint"
-_MET_FIELDS = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("least", pa.int64()), ("size", pa.int64())])
+_MET = "kind tinyint, doc_id bigint, node bigint, n bigint, key bigint, least bigint, size bigint, sketch binary"
+_MET_FIELDS = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("least", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary())])
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +148,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = batch.filter(pa.array(kind == 0))
         if rows.num_rows:
             m = rows.num_rows
-            yield pa.RecordBatch.from_arrays([rows.column("kind"), rows.column("doc_id"), rows.column("node"), rows.column("n"), *[pa.nulls(m, pa.int64())] * 3], schema=_MET_FIELDS)
+            yield pa.RecordBatch.from_arrays([rows.column("kind"), rows.column("doc_id"), rows.column("node"), rows.column("n"), *[pa.nulls(m, pa.int64())] * 2, rows.column("spare"), rows.column("block")], schema=_MET_FIELDS)
         for block in batch.filter(pa.array(kind == 1)).column("block").to_pylist():
             used, count = struct.unpack_from("<II", block)
             at = 8 + 8 * used
@@ -170,12 +177,12 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for a in range(0, len(key), 50_000):
         b = min(a + 50_000, len(key))
         none = pa.nulls(b - a, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(b - a, dtype=np.int8)), none, pa.array(owner[a:b]), none, pa.array(key[a:b]), pa.array(least[a:b]), pa.array(each[a:b].astype(np.int64))], schema=_MET_FIELDS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(b - a, dtype=np.int8)), none, pa.array(owner[a:b]), none, pa.array(key[a:b]), pa.array(least[a:b]), pa.array(each[a:b].astype(np.int64)), pa.nulls(b - a, pa.binary())], schema=_MET_FIELDS)
 
 
 def _sets(docs: DataFrame, picked: DataFrame) -> DataFrame:
-    """node, n, packed tokens (48 bits each) and sketch of the documents picked (node, rep)."""
-    wanted = picked.select(F.col("rep").alias("rep"), "node")
+    """node, n and packed tokens (48 bits each) of the documents picked (node, rep)."""
+    wanted = picked.select("rep", "node")
     if picked.count() <= BROADCAST_ROWS:  # two numbers a row; beyond that both sides are shuffled
         wanted = F.broadcast(wanted)
     own = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("rep")).select("node", "text")
@@ -184,9 +191,9 @@ def _sets(docs: DataFrame, picked: DataFrame) -> DataFrame:
         names, sets = batch.column("node").to_pylist(), [shingles.of(b) for b in common.bytes_of(batch)]
         kept = [i for i, s in enumerate(sets) if len(s) and node_of(s) == names[i]]  # a doc_id may name several texts
         packed = [(sets[i] >> np.uint64(32)).astype("<u4").tobytes() + (sets[i] >> np.uint64(16)).astype("<u2").tobytes() for i in kept]
-        return pa.RecordBatch.from_pydict({"node": pa.array([names[i] for i in kept], pa.int64()), "n": pa.array([len(sets[i]) for i in kept], pa.int64()), "tokens": pa.array(packed, pa.binary()), "sketch": pa.array([sketch(sets[i]) for i in kept], pa.binary())})
+        return pa.RecordBatch.from_pydict({"node": pa.array([names[i] for i in kept], pa.int64()), "n": pa.array([len(sets[i]) for i in kept], pa.int64()), "tokens": pa.array(packed, pa.binary())})
 
-    return own.mapInArrow(common.by_batch(kernel), "node bigint, n bigint, tokens binary, sketch binary").dropDuplicates(["node"])
+    return own.mapInArrow(common.by_batch(kernel), "node bigint, n bigint, tokens binary")
 
 
 def _tokens(packed: bytes) -> np.ndarray:
@@ -211,20 +218,49 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return sized.select("a", "b", "ta", "tb").mapInArrow(common.by_batch(kernel), "a bigint, b bigint")
 
 
-def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs whose parity sketches do not rule a link out: their Hamming distance is at most (|A| + |B|) / 9."""
+def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs whose parity sketches do not rule a link out."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u8").reshape(batch.num_rows, -1) for c in ("sa", "sb"))
         apart = np.bitwise_count(x ^ y).sum(axis=1)
-        size = batch.column("size").to_numpy()
-        return batch.select(["a", "b"]).filter(pa.array(9 * apart <= size))
+        return batch.select(["a", "b"]).filter(pa.array(9 * apart <= batch.column("size").to_numpy()))
 
-    left, right = (sets.select(F.col("node").alias(c), F.col("sketch").alias(f"s{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
+    left, right = (nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"s{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
     sized = pairs.join(left, "a").join(right, "b").where("100 * na >= 80 * nb and 100 * nb >= 80 * na")
     return sized.select("a", "b", "sa", "sb", (F.col("na") + F.col("nb")).alias("size")).mapInArrow(common.by_batch(kernel, 20_000), "a bigint, b bigint")
 
 
+def _near_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Near pairs across components of each group; rows (key, node, comp, n, sketch) come sorted by key, HOT a key."""
+
+    def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
+        node, comp, n = (np.array([r[i] for r in rows], dtype=np.int64) for i in (1, 2, 3))
+        bits = np.frombuffer(b"".join(r[4] for r in rows), dtype="<u8").reshape(len(rows), -1)
+        out = []
+        for i in range(len(rows) - 1):
+            j = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= 80 * np.maximum(n[i + 1 :], n[i])))
+            if len(j):
+                j = j[9 * np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1) <= n[j] + n[i]]
+                out += [(min(int(node[i]), x), max(int(node[i]), x)) for x in node[j].tolist()]
+        return out
+
+    key, held, found = None, [], []
+    for batch in batches:
+        for row in zip(*[batch.column(c).to_pylist() for c in ("key", "node", "comp", "n", "sketch")]):
+            if row[0] != key and held:
+                found += pairs(held)
+                held = []
+            key = row[0]
+            held.append(row)
+        if found:
+            found = list(set(found))
+            yield pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+            found = []
+    if held and (found := list(set(pairs(held)))):
+        yield pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+
+
 def _rare_groups(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     """key and node: the prefixes of the nodes' tokens, rarest among them first."""
 
@@ -255,20 +291,29 @@ def grouped(docs: DataFrame) -> DataFrame:
     met = common.cut(_sketched(docs, parts).repartitionById(parts, F.col("part")).mapInArrow(_met, _MET), "met")
     rows = met.where("kind = 0").select("doc_id", "node", "n")
     groups = met.where("kind = 1").select("key", "node", "least", "size")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    picked = groups.select("node").distinct().join(nodes, "node")
-    sets = common.cut(_sets(docs, common.cut(picked, "picked")), "sets")
-    first = common.cut(_verified(groups.where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), sets), "links")
+    told = met.where("kind = 0 and node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("size").alias("spare"), F.max("sketch").alias("sketch"))
+    nodes = common.cut(told, "nodes")
+
+    def of(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        return nodes.select("node", "rep").join(ends, "node")
+
+    star = groups.where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    near = common.cut(_near(star, nodes), "near")
+    first = common.cut(_verified(near, common.cut(_sets(docs, of(near)), "sets")).distinct(), "links")
     comps = components.components(first)
     placed = groups.join(comps, "node", "left").select("key", "node", "size", F.coalesce("comp", "node").alias("comp"))
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
-    unresolved = common.cut(groups.join(open_keys, "key").select("key", "node", "size"), "unresolved")
-    pairs = _across(unresolved.where(F.col("size") <= HOT).select("key", "node"), comps)
-    hot = unresolved.where(F.col("size") > HOT).select("node").distinct()
-    if hot.limit(1).count():
-        pairs = pairs.union(_across(_rare_groups(sets, common.cut(hot, "hot")), comps)).distinct()
-    more = common.cut(_verified(_near(pairs, sets), sets), "links")
-    if more.limit(1).count():
+    unresolved = common.cut(placed.join(open_keys, "key"), "unresolved")
+    small = unresolved.where(F.col("size") <= HOT).join(nodes.select("node", "n", "sketch"), "node").select("key", "node", "comp", "n", "sketch")
+    pairs = common.cut(small.repartition("key").sortWithinPartitions("key").mapInArrow(_near_within, "a bigint, b bigint").distinct(), "near")
+    crowded = unresolved.where(F.col("size") > HOT).groupBy("node").agg(F.count("*").alias("hot")).join(nodes, "node").where("hot > spare").select("node", "rep")
+    crowded = common.cut(crowded, "crowded")
+    if crowded.limit(1).count():
+        rare = _rare_groups(common.cut(_sets(docs, crowded), "sets"), crowded.select("node"))
+        pairs = common.cut(pairs.union(_near(_across(rare, comps), nodes)).distinct(), "near")
+    if pairs.limit(1).count():
+        more = common.cut(_verified(pairs, common.cut(_sets(docs, of(pairs)), "sets")).distinct(), "links")
         comps = components.components(first.union(more))
     least = nodes.join(comps, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     lowest = least.groupBy("comp").agg(F.min("rep").alias("component_id"))
