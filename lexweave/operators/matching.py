@@ -26,7 +26,8 @@ def literal_matches(docs: DataFrame, patterns: DataFrame, small: int = 100_000)
     parts = patterns.where(F.length("surface") > 0).withColumn("__t", F.split("surface", " "))
     long = parts.where(F.size("__t") >= 4).select("item_id", "surface", F.concat_ws(" ", F.col("__t")[1], F.col("__t")[2]).alias("anchor"))
     tokens = F.split("text", " ")
-    pairs = F.array_distinct(F.zip_with(F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0))), F.slice(tokens, 2, 2147483647), lambda a, b: F.concat_ws(" ", a, b)))
+    held = F.greatest(F.size(tokens) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(tokens, F.lit(1), held), F.slice(tokens, F.lit(2), held), lambda a, b: F.concat_ws(" ", a, b))
     anchored = docs.select("doc_id", F.explode(pairs).alias("anchor")).join(long, "anchor").select("doc_id", "item_id", "surface").distinct()
     found = docs.select("doc_id", "text").join(anchored, "doc_id")
     short = parts.where(F.size("__t") < 4).select("item_id", "surface")

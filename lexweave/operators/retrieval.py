@@ -37,12 +37,22 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float
     return best_first(scored, ["query_id"], order, k).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
 
 
+def gram_rows(df: DataFrame, key: str) -> DataFrame:
+    """key and gram: the distinct alphanumeric bigrams of text (the text itself where it has one character)."""
+    chars = F.split(T.alnum_fold(F.col("text")), "")
+    held = df.select(key, F.filter(chars, lambda x: x != "").alias("c")).withColumn("n", F.size("c"))
+    rest = F.greatest(F.col("n") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("c", F.lit(1), rest), F.slice("c", F.lit(2), rest), lambda a, b: F.concat(a, b))
+    return held.select(key, F.explode(F.when(F.col("n") == 1, F.col("c")).otherwise(pairs)).alias("gram")).distinct()
+
+
 def lexical(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """|q & d| / sqrt(|d|) over distinct alphanumeric bigrams."""
-    d = docs.select("doc_id", T.grams(T.alnum_fold(F.col("text"))).alias("g")).select("doc_id", F.size("g").alias("size"), F.explode("g").alias("gram"))
-    q = queries.select("query_id", F.explode(T.grams(T.alnum_fold(F.col("text")))).alias("gram"))
+    d = gram_rows(docs, "doc_id")
+    d = d.join(d.groupBy("doc_id").agg(F.count("*").alias("size")), "doc_id")
+    q = gram_rows(queries, "query_id")
     scored = d.join(q, "gram").groupBy("query_id", "doc_id", "size").agg(F.count("*").alias("both"))
-    scored = scored.withColumn("score", F.col("both") / F.sqrt(F.greatest("size", F.lit(1))))
+    scored = scored.withColumn("score", F.col("both") / F.sqrt("size"))
     return best_first(scored.select("query_id", "doc_id", "score"), ["query_id"], [F.desc(F.round("score", 9)), F.asc("doc_id")], k)
 
 

@@ -115,7 +115,7 @@ def a23(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count_if(commit).alias("commits"), F.count_if(commit & (F.col("l_tax") < 0.04)).alias("correct"))
 
 
-@query("t05_oracle_votes", "SELECT l_partkey, l_suppkey, votes FROM (SELECT l_partkey, l_suppkey, count(*) AS votes, row_number() OVER (PARTITION BY l_partkey ORDER BY count(*) DESC, l_suppkey) AS r FROM lineitem GROUP BY ALL) x WHERE r = 1")
+@query("t05_oracle_votes", "SELECT l_partkey, l_suppkey, votes FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY votes DESC, l_suppkey) AS r FROM (SELECT l_partkey, l_suppkey, count(*) AS votes FROM lineitem GROUP BY 1, 2) y) x WHERE r = 1")
 def t05(spark: SparkSession, sf_dir: str) -> DataFrame:
     votes = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("votes"))
     return matching.best_first(votes, ["l_partkey"], [F.desc("votes"), F.asc("l_suppkey")])

@@ -46,7 +46,7 @@ def p14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(s,) for s, _ in FINAL], "s string").select("s", H.final_of(F.col("s")).alias("final"))
 
 
-DISTANCES = [("ㅁ", "ㄴ", 0.20), ("ㅂ", "ㅊ", 0.70), ("ㄱ", "ㅋ", 0.35), ("ㅐ", "ㅔ", 0.20), ("가나", "가 나", 0.05)]
+DISTANCES = [("ㅁ", "ㄴ", 0.20), ("ㅂ", "ㅊ", 0.50), ("ㄱ", "ㅋ", 0.35), ("ㅐ", "ㅔ", 0.20), ("가나", "가 나", 0.05)]
 
 
 @query("m09_weighted_distance", "SELECT a, b, d::DOUBLE AS distance FROM " + literal(DISTANCES, "a", "b", "d"))

@@ -22,7 +22,7 @@ def s03(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("s04_compiled_terms", f"""
 SELECT entity_id, (i - 1)::INT AS alias_no, names[i] AS surface, CASE WHEN names[i] = canonical THEN 'canonical' WHEN regexp_matches(names[i], '^[A-Z0-9.&-]{{2,}}$') THEN 'acronym' ELSE 'alias' END AS kind
-FROM (SELECT *, unnest(range(1, len(names) + 1)) AS i FROM (SELECT k AS entity_id, canonical, list_concat([canonical], list_filter(coalesce(surfaces, []), x -> x <> canonical)) AS names FROM {literal(TERMS, 'k', 'canonical', 'surfaces')}) x) y""")
+FROM (SELECT *, unnest(range(1, len(names) + 1)) AS i FROM (SELECT k AS entity_id, canonical, list_concat([canonical], list_filter(coalesce(surfaces, []), lambda x: x <> canonical)) AS names FROM {literal(TERMS, 'k', 'canonical', 'surfaces')}) x) y""")
 def s04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return glossary.compiled_terms(spark.createDataFrame(TERMS, "key string, canonical string, surfaces array<string>"))
 

@@ -24,13 +24,16 @@ def t02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.bm25(table(spark, sf_dir, "documents"), _asked(spark, sf_dir), 5).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-_G = r"list_distinct(CASE WHEN length(f) >= 2 THEN list_transform(range(1, length(f)), i -> substring(f, i::INT, 2)) WHEN length(f) > 0 THEN [f] ELSE [] END)"
+_G = r"list_distinct(CASE WHEN length(f) >= 2 THEN list_transform(range(1, length(f)), lambda i: substring(f, i::INT, 2)) WHEN length(f) > 0 THEN [f] ELSE [] END)"
 
 
-@query("t03_lexical", rf"""
-WITH d AS (SELECT doc_id, {_G} AS g FROM (SELECT doc_id, regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]', '', 'g') AS f FROM documents) x),
-q AS (SELECT item_id, unnest({_G}) AS gram FROM (SELECT item_id, regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]', '', 'g') AS f FROM benchmark) x),
-s AS (SELECT item_id AS query_id, doc_id, count(*) / sqrt(greatest(size, 1)) AS score FROM (SELECT doc_id, len(g) AS size, unnest(g) AS gram FROM d) e JOIN q USING (gram) GROUP BY item_id, doc_id, size)
+_GRAM_ROWS = r"""SELECT DISTINCT {0}, CASE WHEN n = 1 THEN a ELSE a || b END AS gram FROM (SELECT {0}, len(c) AS n, unnest(c) AS a, unnest(list_append(c[2:], NULL)) AS b
+  FROM (SELECT {0}, string_split(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]', '', 'g'), '') AS c FROM {1}) x) y WHERE a <> '' AND (n = 1 OR b IS NOT NULL)"""
+
+
+@query("t03_lexical", f"""
+WITH d AS ({_GRAM_ROWS.format('doc_id', 'documents')}), q AS ({_GRAM_ROWS.format('item_id', 'benchmark')}), z AS (SELECT doc_id, count(*) AS size FROM d GROUP BY 1),
+s AS (SELECT item_id AS query_id, doc_id, count(*) / sqrt(size) AS score FROM d JOIN q USING (gram) JOIN z USING (doc_id) GROUP BY item_id, doc_id, size)
 SELECT query_id, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM s) x WHERE r <= 3""")
 def t03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.lexical(table(spark, sf_dir, "documents"), _asked(spark, sf_dir), 3).select("query_id", "doc_id", F.round("score", 6).alias("score"))
@@ -78,8 +81,8 @@ def m23(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("f18_shingle_containment", r"""
-WITH s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 1)), i -> array_to_string(w[i:i + 4], ' '))) AS g FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents) x WHERE len(w) >= 5) y),
-q AS (SELECT DISTINCT item_id, g FROM (SELECT item_id, unnest(list_transform(range(1, greatest(len(w) - 3, 1)), i -> array_to_string(w[i:i + 4], ' '))) AS g FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark) x WHERE len(w) >= 5) y),
+WITH s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents) x WHERE len(w) >= 5) y),
+q AS (SELECT DISTINCT item_id, g FROM (SELECT item_id, unnest(list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark) x WHERE len(w) >= 5) y),
 n AS (SELECT item_id, count(*) AS n FROM q GROUP BY 1)
 SELECT doc_id, item_id, count(*) AS shared FROM s JOIN q USING (g) JOIN n USING (item_id) GROUP BY doc_id, item_id, n HAVING count(*) >= 0.9 * n""")
 def f18(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,7 +137,7 @@ SELECT doc_id, array_to_string(list_filter([
   CASE WHEN regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]') THEN 'CONTROL_CHAR' END,
   CASE WHEN regexp_matches(text, '(?i)ignore (all|previous)|system prompt|you are now|지시(를|사항을)? 무시') THEN 'INSTRUCTION' END,
   CASE WHEN regexp_matches(text, '(?i)password\s*[=:]|token\s*=|AKIA[0-9A-Z]{16}|api[_-]?key') THEN 'SENSITIVE' END,
-  CASE WHEN length(text) > 2000 THEN 'OVER_LENGTH' END], x -> x IS NOT NULL), ',') AS codes FROM documents""")
+  CASE WHEN length(text) > 2000 THEN 'OVER_LENGTH' END], lambda x: x IS NOT NULL), ',') AS codes FROM documents""")
 def p26(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.lint_codes(F.col("text")), ",").alias("codes"))
 
@@ -177,7 +177,7 @@ def m10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, (F.col("a.len") == F.col("b.len")) & (F.col("a.k") < F.col("b.k"))).where(T.one_edit(F.col("a.s"), F.col("b.s"))).select(F.col("a.s").alias("a"), F.col("b.s").alias("b"))
 
 
-_GRAMS = "list_distinct(CASE WHEN length({0}) >= 2 THEN list_transform(range(1, length({0})), i -> substring({0}, i::INT, 2)) WHEN length({0}) > 0 THEN [{0}] ELSE [] END)"
+_GRAMS = "list_distinct(CASE WHEN length({0}) >= 2 THEN list_transform(range(1, length({0})), lambda i: substring({0}, i::INT, 2)) WHEN length({0}) > 0 THEN [{0}] ELSE [] END)"
 
 
 @query("m12_grams", f"SELECT p_partkey, len({_GRAMS.format('p_name')}) AS n_grams FROM part")
@@ -228,13 +228,13 @@ def m16(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("s23_sentences", r"""
-SELECT doc_id, len(s) AS sentences, list_max(list_transform(s, x -> length(x))) AS longest FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?\n]+[.!?]*\n?|\n') AS s FROM documents) x WHERE len(s) > 0""")
+SELECT doc_id, len(s) AS sentences, list_max(list_transform(s, lambda x: length(x))) AS longest FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?\n]+[.!?]*\n?|\n') AS s FROM documents) x WHERE len(s) > 0""")
 def s23(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(r"[^.!?\n]+[.!?]*\n?|\n"), F.lit(0)).alias("s")).where(F.size("s") > 0)
     return s.select("doc_id", F.size("s").cast("bigint").alias("sentences"), F.array_max(F.transform("s", F.length)).cast("bigint").alias("longest"))
 
 
-@query("m17_paragraphs", r"SELECT doc_id, len(string_split(text, chr(10))) AS lines, len(list_filter(string_split(text, chr(10)), x -> length(trim(x)) > 0)) AS filled FROM documents")
+@query("m17_paragraphs", r"SELECT doc_id, len(string_split(text, chr(10))) AS lines, len(list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) > 0)) AS filled FROM documents")
 def m17(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.split("text", "\n")
     return table(spark, sf_dir, "documents").select("doc_id", F.size(lines).cast("bigint").alias("lines"), F.size(F.filter(lines, lambda x: F.length(F.trim(x)) > 0)).cast("bigint").alias("filled"))
@@ -249,7 +249,7 @@ def m19(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _J17 = """
 SELECT d.doc_id, b.item_id, p::BIGINT AS start, (p + length(b.text))::BIGINT AS "end", d.source, d.text, b.text AS surface FROM documents d JOIN benchmark b ON contains(d.text, b.text),
-LATERAL (SELECT unnest(list_filter(range(0, length(d.text) - length(b.text) + 1), i -> substring(d.text, i::INT + 1, length(b.text)) = b.text)) AS p) q"""
+LATERAL (SELECT unnest(list_filter(range(0, length(d.text) - length(b.text) + 1), lambda i: substring(d.text, i::INT + 1, length(b.text)) = b.text)) AS p) q"""
 
 
 @query("j17_literal_matches", f'SELECT doc_id, item_id, start, "end" FROM ({_J17}) x')
