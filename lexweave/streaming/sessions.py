@@ -6,15 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    """Event time must be a timestamp with a zone; others are read in the session's."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def windowed_counts(events: DataFrame, length: str, late: str, key: Column, slide: str | None = None) -> DataFrame:
     """Counts and sums of event-time windows; rows later than ``late`` may be dropped on a stream."""
-    held = events.withWatermark("ts", late)
+    held = _timed(events).withWatermark("ts", late)
     w = F.window("ts", length, slide) if slide else F.window("ts", length)
     return held.groupBy(w.alias("w"), key.alias("key")).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "key", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str, late: str) -> DataFrame:
-    held = events.withWatermark("ts", late)
+    held = _timed(events).withWatermark("ts", late)
     return held.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
 
 
