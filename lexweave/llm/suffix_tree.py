@@ -217,7 +217,7 @@ def _state(n: np.ndarray, group: np.ndarray, suffix: np.ndarray) -> np.ndarray:
 
 def subtree(c1: np.ndarray, c2: np.ndarray, w: np.ndarray, train: np.ndarray, root: np.ndarray) -> np.ndarray:
     """P of each position in its longest retained suffix; all positions of a last symbol are there."""
-    key = c1.astype(np.uint64) << np.uint64(32) | c2.astype(np.uint64) << np.uint64(16) | w
+    key = c1.astype(np.uint64) << np.uint64(32) | c2.astype(np.uint64) << np.uint64(16) | w.astype(np.uint64)
     order = np.argsort(key, kind="stable")
     key = key[order]
     new = np.append(True, key[1:] != key[:-1])
