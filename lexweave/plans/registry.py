@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import evaluation_queries, hangul_queries, relational_queries, retrieval_queries, stream_queries, text_queries  # noqa: F401
+from . import evaluation_queries, hangul_queries, morphology_queries, relational_queries, retrieval_queries, stream_queries, text_queries  # noqa: F401
 from .base import ORACLE_SQL, QUERIES  # noqa: F401
