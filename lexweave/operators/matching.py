@@ -10,10 +10,21 @@ from ..functions import text as T
 
 
 def occurrences(text: Column, surface: Column) -> Column:
-    """0-based starts of all occurrences, overlapping ones too."""
-    last = F.length(text) - F.length(surface)
-    every = F.filter(F.sequence(F.lit(0), last), lambda i: F.substring(text, i + 1, F.length(surface)) == surface)
-    return F.when((F.length(surface) > 0) & (last >= 0), every).otherwise(F.array().cast("array<int>"))
+    """0-based starts of all occurrences, overlapping ones too.
+
+    A surface that does not begin as it ends cannot overlap itself: one split of the text gives its places. Others are
+    tried at each position.
+    """
+    size, last = F.length(surface), F.length(text) - F.length(surface)
+    none = F.array().cast("array<int>")
+    parts = F.split(text, F.concat(F.lit("\\Q"), surface, F.lit("\\E")))
+    walk = F.aggregate(
+        F.slice(parts, F.lit(1), F.size(parts) - 1), F.struct(F.lit(0).alias("at"), none.alias("found")),
+        lambda s, x: F.struct((s["at"] + F.length(x) + size).alias("at"), F.array_append(s["found"], s["at"] + F.length(x)).alias("found")), lambda s: s["found"],
+    )
+    bordered = F.exists(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), lambda k: (k < size) & (F.left(surface, k) == F.right(surface, k))) | F.contains(surface, F.lit("\\E"))
+    tried = F.filter(F.sequence(F.lit(0), last), lambda i: F.substring(text, i + 1, size) == surface)
+    return F.when((size == 0) | (last < 0), none).when(bordered, tried).otherwise(walk)
 
 
 def literal_matches(docs: DataFrame, patterns: DataFrame, small: int = 100_000) -> DataFrame:
