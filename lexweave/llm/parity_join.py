@@ -86,8 +86,10 @@ def keys_of(tokens: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def sketch(tokens: np.ndarray) -> bytes:
+    """The parity sketch, and after it the sketch folded to a quarter of the bits, which bounds the same difference."""
     bits = np.bincount((shingles.mixed(tokens, 3) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+    whole = np.packbits(bits.astype(np.uint8))
+    return whole.tobytes() + np.bitwise_xor.reduce(whole.reshape(4, -1), axis=0).tobytes()
 
 
 def node_of(tokens: np.ndarray) -> int:
@@ -223,7 +225,7 @@ def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u8").reshape(batch.num_rows, -1) for c in ("sa", "sb"))
-        apart = np.bitwise_count(x ^ y).sum(axis=1)
+        apart = np.bitwise_count(x[:, : SKETCH_BITS // 64] ^ y[:, : SKETCH_BITS // 64]).sum(axis=1)
         return batch.select(["a", "b"]).filter(pa.array(9 * apart <= batch.column("size").to_numpy()))
 
     left, right = (nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"s{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
@@ -232,7 +234,7 @@ def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _near_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Near pairs across components of each group; rows (key, node, comp, n, sketch) come sorted by key, HOT a key."""
+    """Near pairs, by folded sketch, across components of each group; rows (key, node, comp, n, sketch) sorted by key."""
 
     def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
         node, comp, n = (np.array([r[i] for r in rows], dtype=np.int64) for i in (1, 2, 3))
@@ -277,13 +279,6 @@ def _rare_groups(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     return prefix.select(F.explode("head.token").alias("key"), "node")
 
 
-def _across(groups: DataFrame, comps: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of nodes that share a key of groups and lie in different components."""
-    placed = groups.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    x, y = placed.alias("x"), placed.alias("y")
-    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-
-
 def grouped(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id that links reach) of each row of docs."""
     spark = docs.sparkSession
@@ -305,13 +300,19 @@ def grouped(docs: DataFrame) -> DataFrame:
     placed = groups.join(comps, "node", "left").select("key", "node", "size", F.coalesce("comp", "node").alias("comp"))
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
     unresolved = common.cut(placed.join(open_keys, "key"), "unresolved")
-    small = unresolved.where(F.col("size") <= HOT).join(nodes.select("node", "n", "sketch"), "node").select("key", "node", "comp", "n", "sketch")
-    pairs = common.cut(small.repartition("key").sortWithinPartitions("key").mapInArrow(_near_within, "a bigint, b bigint").distinct(), "near")
+    folded = nodes.select("node", "n", F.substring("sketch", SKETCH_BITS // 8 + 1, SKETCH_BITS // 32).alias("sketch"))
+
+    def within(members: DataFrame) -> DataFrame:
+        rows = members.join(folded, "node").select("key", "node", "comp", "n", "sketch")
+        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_near_within, "a bigint, b bigint").distinct()
+
+    pairs = within(unresolved.where(F.col("size") <= HOT).select("key", "node", "comp"))
     crowded = unresolved.where(F.col("size") > HOT).groupBy("node").agg(F.count("*").alias("hot")).join(nodes, "node").where("hot > spare").select("node", "rep")
     crowded = common.cut(crowded, "crowded")
     if crowded.limit(1).count():
         rare = _rare_groups(common.cut(_sets(docs, crowded), "sets"), crowded.select("node"))
-        pairs = common.cut(pairs.union(_near(_across(rare, comps), nodes)).distinct(), "near")
+        pairs = pairs.union(within(rare.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")))).distinct()
+    pairs = common.cut(_near(pairs, nodes), "near")
     if pairs.limit(1).count():
         more = common.cut(_verified(pairs, common.cut(_sets(docs, of(pairs)), "sets")).distinct(), "links")
         comps = components.components(first.union(more))
