@@ -20,7 +20,7 @@ import numpy as np
 
 #: Distinct pieces that a worker remembers, in two halves of which the older is dropped when the younger is full.
 #: Pieces and texts in a call.
-PIECES_HELD, PIECES_A_CALL, TEXTS_A_CALL = 900_000, 4_000, 300
+PIECES_HELD, PIECES_A_CALL, TEXTS_A_CALL = 1_200_000, 4_000, 300
 _BLANK_CUT = re.compile(r" (?=\S)")
 _MARKS = frozenset(string.punctuation)
 #: White space but for blanks and line ends.
