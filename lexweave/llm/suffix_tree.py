@@ -1,19 +1,19 @@
 r"""Language-model scores by a probabilistic suffix tree over words.
 
-Tokens are words ``[^\x20\x09-\x0D]+`` with A-Z lower-cased, then one end. Symbols are the words that occur at least
-OFTEN times in training (the MOST most frequent at most), the end, and RARE classes that the other words fall in by
-their hash; a rare word's probability is its class's times its smoothed share of the class. Contexts are the last none,
-one or two symbols. A context is retained if it passes a divergence test: the leave-one-out log likelihood of its
-training continuations under its own smoothed distribution exceeds that under its suffix's by GAIN nats. Its
-distribution is smoothed with the suffix's, P(w|s) = (c(s, w) + k P(w|suffix)) / (c(s) + k), where k is the one of
-STRENGTHS that leaves one out best. A position is scored by its longest retained suffix; the root is the smoothed
-unigram, so probabilities of the symbols add up to one in each state.
-
-Contexts with the same last symbol form one subtree, and positions go to their subtree's task as packed, sorted
-blocks: it counts, tests, smooths and scores there, and returns sums for documents. Rare words likewise meet by class.
-The counts of all training words are gathered (they grow with the corpus); only the frequent words, MOST at most, and
-the class totals go to the driver and to every task. A symbol that follows a large share of all words makes a large
-subtree, which is one task's work.
+Tokens are words ``[^\x20\x09-\x0D]+`` with A-Z lower-cased, then one end. Symbols are all words that occur at least
+OFTEN times in training, the end, and RARE classes that the other words fall in by their hash; a rare word's probability
+is its class's times its smoothed share of the class. Contexts are the last none, one or two symbols. A context is
+retained if it passes a divergence test: the leave-one-out log likelihood of its training continuations under its own
+smoothed distribution exceeds that under its suffix's by GAIN nats. Its distribution is smoothed with the suffix's,
+P(w|s) = (c(s, w) + k P(w|suffix)) / (c(s) + k), where k is the one of STRENGTHS that leaves one out best. A position is
+scored by its longest retained suffix; the root is the smoothed unigram, so probabilities of the symbols add up to one
+in each state.
+
+Counts of words meet by the hash's class. There the symbols are numbered, in 32 bits, and each block of documents is
+answered the numbers and counts of its own words; only the totals of the classes go to the driver and to every task, so
+words and contexts grow with the corpus. Contexts with the same last symbol form one subtree, and positions go to their
+subtree's task as packed, sorted blocks: it counts, tests, smooths and scores there, and returns sums for documents. A
+symbol that follows a large share of all words makes a large subtree, which is one task's work.
 
 Training rows are those whose crc32(doc_id as text) mod 5 is not HELD_OUT; a null doc_id counts as the empty text.
 Null texts are the end alone. Repeated rows count each. Without training rows all tokens are unknown.
@@ -35,12 +35,15 @@ from pyspark.sql import functions as F
 from . import common
 from .shingles import _words, mixed
 
-OFTEN, MOST, RARE = 16, 60_000, 4096
+OFTEN, RARE = 16, 4096
 GAIN, STRENGTHS, HELD_OUT = 3.0, (4.0, 64.0), 1
 END = 1  # the hash of the end token; BEGIN is a context only
-BEGIN = MOST + RARE + 1
-#: Documents in a block, whose numbers take 12 bits; hashes of a task that are summed before they are sent.
-BLOCK, SUMMED = 4000, 2_000_000
+#: Symbols below BEGIN are rare classes, those from FIRST on are words.
+BEGIN, FIRST = RARE, RARE + 1
+#: Documents in a block, whose numbers take 12 bits.
+BLOCK = 4000
+#: Positions that a task looks at together, unless one subtree has more.
+AT_ONCE = 500_000
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -83,123 +86,160 @@ def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[starts], np.add.reduceat(n, starts) if len(h) else n
 
 
-def _counted(docs: DataFrame, parts: int) -> DataFrame:
-    """Training counts of all tokens: frequent ones as rows, and the totals of each rare class."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-        def sent() -> pa.RecordBatch:
-            part = rare_class(h) % parts
-            order = np.argsort(part, kind="stable")
-            edges = np.searchsorted(part[order], np.arange(parts + 1))
-            some = [p for p in range(parts) if edges[p] < edges[p + 1]]
-            return pa.RecordBatch.from_pydict({"part": pa.array(some, pa.int32()), "block": pa.array([_pack(h[order[edges[p] : edges[p + 1]]], n[order[edges[p] : edges[p + 1]]].astype("<u4")) for p in some], pa.binary())})
-
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                train = [hashes(b) for d, b in zip(batch.column("doc_id").to_pylist(), common.bytes_of(batch)) if not held_out(d)]
-                if train:
-                    u, c = np.unique(np.concatenate(train), return_counts=True)
-                    h, n = _summed(np.concatenate([h, u]), np.concatenate([n, c]))
-                if len(h) > SUMMED:
-                    yield sent()
-                    h, n = h[:0], n[:0]
-        if len(h):
-            yield sent()
+_SENT = "kind tinyint, part int, number bigint, block binary"
+_SENT_FIELDS = pa.schema([("kind", pa.int8()), ("part", pa.int32()), ("number", pa.int64()), ("block", pa.binary())])
 
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [_unpack(b) for batch in batches for b in batch.column("block").to_pylist()]
-        if not held:
-            return
-        h, n = _summed(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]).astype(np.int64))
-        c, often = rare_class(h), n >= OFTEN
-        # all counts by class; what turns out to be frequent is subtracted by the driver
-        which, at = np.unique(c, return_inverse=True)
-        sums, kinds = np.bincount(at, n).astype(np.int64), np.bincount(at)
-        yield pa.RecordBatch.from_pydict({"hash": pa.array(np.append(h[often].view(np.int64), which)), "n": pa.array(np.append(n[often], sums)), "kinds": pa.array(np.append(np.zeros(int(often.sum()), np.int64), kinds))})
-
-    return docs.mapInArrow(count, "part int, block binary").repartitionById(parts, F.col("part")).mapInArrow(total, "hash bigint, n bigint, kinds bigint")
-
-
-class Symbols:
-    """The frequent words with their counts, the rare classes with their totals, and the root."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, sums: np.ndarray, kinds: np.ndarray) -> None:
-        order = np.argsort(words)
-        self.words, self.counts = words[order], counts[order]
-        self.tokens, self.distinct = int(sums.sum()), int(kinds.sum())
-        c = rare_class(self.words)
-        self.rare_sum = sums - np.bincount(c, self.counts, RARE).astype(np.int64)
-        self.rare_kinds = kinds - np.bincount(c, minlength=RARE)
-        self.rare_mass = self.rare_sum + 0.5 * (self.rare_kinds + 1)
-        z = self.tokens + 0.5 * (self.distinct + RARE)
-        self.root = np.full(1 << 16, 1e-300)
-        self.root[: len(self.words)] = (self.counts + 0.5) / z
-        self.root[MOST : MOST + RARE] = self.rare_mass / z
-        self.base = self.tokens + 0.5 * (self.distinct + 1)
 
-    def of(self, h: np.ndarray) -> np.ndarray:
-        """Symbols of token hashes; those of rare words start at MOST."""
-        at = np.minimum(np.searchsorted(self.words, h), max(len(self.words) - 1, 0))
-        known = self.words[at] == h if len(self.words) else np.zeros(len(h), bool)
-        out = at.astype(np.int64)
-        out[~known] = MOST + rare_class(h[~known])
-        return out
+def _sent(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_SENT_FIELDS)], schema=_SENT_FIELDS)
 
 
-_SENT = "kind tinyint, part int, number bigint, block binary"
-_SENT_FIELDS = pa.schema([("kind", pa.int8()), ("part", pa.int32()), ("number", pa.int64()), ("block", pa.binary())])
+def _fit(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
 
+def _halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (x & 0xFFFF).astype("<u2"), (x >> 16).astype("<u2")
 
-def _positions(docs: DataFrame, held, parts: int) -> DataFrame:  # noqa: ANN001
-    """Kind 0: a block's documents; 1: its positions by subtree; 2: its rare words by class."""
+
+def _joined(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(np.uint32) | high.astype(np.uint32) << np.uint32(16)
+
+
+def _coded(docs: DataFrame, parts: int) -> DataFrame:
+    """Kind 0: a block's documents, their tokens as places among its distinct ones; 1: those of a part, with training counts."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        symbols: Symbols = held.value
         names = batch.column("doc_id").to_pylist()
         texts = [hashes(b) for b in common.bytes_of(batch)]
         size = np.array([len(t) for t in texts])
         train = np.array([not held_out(d) for d in names])
-        h, doc = np.concatenate(texts), np.repeat(np.arange(len(texts)), size)
-        w = symbols.of(h)
-        first = np.append(0, np.cumsum(size)[:-1])
-        c1 = np.append(BEGIN, w[:-1])
-        c1[first] = BEGIN
-        c2 = np.append(BEGIN, c1[:-1])
-        c2[first] = BEGIN
-        tag = (doc | train[doc].astype(np.int64) << 15).astype("<u2")
-        rare = w >= MOST
-        base = np.zeros(len(h))
-        base[~rare] = np.log10((symbols.counts[w[~rare]] + 0.5) / symbols.base)
+        h, to = np.unique(np.concatenate(texts), return_inverse=True)
+        part = rare_class(h) % parts
+        order = np.argsort(part, kind="stable")
+        place = np.empty(len(h), np.int64)
+        place[order] = np.arange(len(h))
+        h, to = h[order], place[to]
+        n = np.bincount(to, np.repeat(train, size), len(h)).astype("<u4")
         number = uuid.uuid4().int >> 65
-        table = _pack(np.array([d is None for d in names], dtype="<u1"), np.array([d or 0 for d in names], dtype="<i8"), (~train).astype("<u1"), size.astype("<i8"), np.bincount(doc, base, len(texts)), np.bincount(doc, ~rare, len(texts)).astype("<i8"))
-        out = [(0, number % parts, table)]
-        key = c1 << 32 | c2 << 16 | w
-        part_of = (mixed(np.arange(1 << 16, dtype=np.uint64), 33) % np.uint64(parts)).astype(np.int64)
-        part = part_of[c1]
-        order = np.lexsort((key, part))
+        out = [(0, number % parts, number, _pack(np.array([d is None for d in names], dtype="<u1"), np.array([d or 0 for d in names], dtype="<i8"), train.astype("<u1"), size.astype("<i8"), _fit(to)))]
         edges = np.searchsorted(part[order], np.arange(parts + 1))
-        for p in range(parts):
-            own = order[edges[p] : edges[p + 1]]
-            if len(own):
-                out.append((1, p, _pack(c1[own].astype("<u2"), c2[own].astype("<u2"), w[own].astype("<u2"), tag[own])))
-        if rare.any():
-            h, tag, part = h[rare], tag[rare], (w[rare] - MOST) % parts
-            order = np.lexsort((h, part))
-            edges = np.searchsorted(part[order], np.arange(parts + 1))
-            for p in range(parts):
-                own = order[edges[p] : edges[p + 1]]
-                if len(own):
-                    x = h[own]
-                    new = np.append(True, x[1:] != x[:-1])
-                    out.append((2, p, _pack(x[new], new.astype("<u1"), tag[own])))
-        return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int8()), pa.array([o[1] for o in out], pa.int32()), pa.array([number] * len(out), pa.int64()), pa.array([o[2] for o in out], pa.binary())], schema=_SENT_FIELDS)
+        out += [(1, p, number, _pack(h[edges[p] : edges[p + 1]], n[edges[p] : edges[p + 1]])) for p in range(parts) if edges[p] < edges[p + 1]]
+        return _sent(out)
 
     return docs.mapInArrow(common.by_batch(kernel, BLOCK), _SENT)
 
 
+def _answered(coded: DataFrame, parts: int) -> DataFrame:
+    """Kind 1: symbols and training counts of a block's distinct tokens in a part; 2: totals of the part's rare classes and of all its tokens."""
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(p, number, *_unpack(b)) for batch in batches for p, number, b in zip(*[batch.column(c).to_pylist() for c in ("part", "number", "block")])]
+        if not held:
+            return
+        part = held[0][0]
+        h, n = _summed(np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held]).astype(np.int64))
+        symbol, often = rare_class(h), n >= OFTEN
+        # a rare class holds what was seen in training; other tokens are of a class, but add nothing
+        seen = ~often & (n > 0)
+        which, at = np.unique(symbol[seen], return_inverse=True)
+        yield _sent([(2, part, 0, _pack(which, np.bincount(at, n[seen], len(which)).astype(np.int64), np.bincount(at, minlength=len(which)), np.array([n.sum(), (n > 0).sum()])))])
+        words = np.flatnonzero(often)
+        words = words[np.argsort(-n[words], kind="stable")]
+        symbol[words] = FIRST + np.arange(len(words)) * parts + part
+        if len(words) and symbol[words[-1]] >> 32:
+            raise OverflowError("more words than symbols of 32 bits")
+        for _, number, own, _ in held:
+            at = np.searchsorted(h, own)
+            yield _sent([(1, part, number, _pack(*_halves(symbol[at]), _fit(n[at])))])
+
+    return coded.where("kind = 1").repartitionById(parts, F.col("part")).mapInArrow(total, _SENT)
+
+
+class Totals:
+    """The rare classes with their totals, and the masses of the root."""
+
+    def __init__(self, blocks: list[bytes]) -> None:
+        sums, kinds, both = np.zeros(RARE, np.int64), np.zeros(RARE, np.int64), np.zeros(2, np.int64)
+        for which, s, k, own in map(_unpack, blocks):
+            sums[which] += s
+            kinds[which] += k
+            both += own
+        self.tokens, self.distinct = int(both[0]), int(both[1])
+        self.rare_mass = sums + 0.5 * (kinds + 1)
+        self.z = self.tokens + 0.5 * (self.distinct + RARE)
+        self.base = self.tokens + 0.5 * (self.distinct + 1)
+
+    def root(self, symbols: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """P of symbols with their training counts, which are not read for rare classes."""
+        rare = symbols < RARE
+        return np.where(rare, self.rare_mass[np.where(rare, symbols, 0)], counts + 0.5) / self.z
+
+
+def _positions(coded: DataFrame, answered: DataFrame, held, parts: int) -> DataFrame:  # noqa: ANN001
+    """Kind 0: a block's documents with the sums that need no context; 1: its positions by subtree."""
+
+    def of(number: int, table: bytes, answers: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        totals: Totals = held.value
+        gone, names, train, size, to = _unpack(table)
+        got = [_unpack(b) for _, b in sorted(answers)]
+        symbol = np.concatenate([_joined(*x[:2]) for x in got])
+        n = np.concatenate([x[2].astype(np.int64) for x in got])
+        doc = np.repeat(np.arange(len(size)), size)
+        rare = symbol < RARE
+        own = np.where(rare, np.log10((n + 0.5) / totals.rare_mass[np.where(rare, symbol, 0)]), 0.0)
+        base = np.log10((n + 0.5) / totals.base)
+        sums = [np.bincount(doc, x[to], len(size)) for x in (base, own)]
+        out = [(0, number % parts, number, _pack(gone, names, 1 - train, size, np.bincount(doc, (n > 0)[to], len(size)).astype("<i8"), *sums))]
+        # distinct symbols in the order of their subtrees' parts
+        distinct, first = np.unique(np.append(symbol, np.uint32(BEGIN)), return_index=True)
+        counts = np.append(n, 0)[first]
+        part = (mixed(distinct.astype(np.uint64), 33) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        distinct, counts, part = distinct[order], counts[order], part[order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        begin = place[np.searchsorted(distinct[place], BEGIN)]
+        w = place[np.searchsorted(distinct[place], symbol)][to]
+        starts = np.append(0, np.cumsum(size)[:-1])
+        c1 = np.append(begin, w[:-1])
+        c1[starts] = begin
+        c2 = np.append(begin, c1[:-1])
+        c2[starts] = begin
+        tag = (doc | train[doc].astype(np.int64) << 15).astype("<u2")
+        bits = len(distinct).bit_length()
+        order = np.argsort(c1 << 2 * bits | c2 << bits | w, kind="stable") if 3 * bits < 64 else np.lexsort((w, c2, c1))
+        edges = np.searchsorted(part[c1[order]], np.arange(parts + 1))
+        used, local = np.zeros(len(distinct), bool), np.zeros(len(distinct), np.int64)
+        for p in range(parts):
+            at = order[edges[p] : edges[p + 1]]
+            if len(at):
+                used[:] = False
+                for x in (c1, c2, w):
+                    used[x[at]] = True
+                own = np.flatnonzero(used)
+                own = own[np.argsort(distinct[own])]
+                local[own] = np.arange(len(own))
+                out.append((1, p, number, _pack(*_halves(distinct[own]), _fit(counts[own]), *[_fit(local[x[at]]) for x in (c1, c2, w)], tag[at])))
+        return _sent(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[int, bytes] = {}
+        answers: dict[int, list[tuple[int, bytes]]] = {}
+        for batch in batches:
+            for kind, part, number, block in zip(*[batch.column(c).to_pylist() for c in _SENT_FIELDS.names]):
+                if kind == 0:
+                    tables[number] = block
+                else:
+                    answers.setdefault(number, []).append((part, block))
+        _words.clear()  # this worker hashes no more words
+        for number, table in tables.items():
+            yield of(number, table, answers.pop(number))
+
+    both = coded.where("kind = 0").unionByName(answered.where("kind = 1"))
+    return both.repartition(parts, "number").mapInArrow(run, _SENT)
+
+
 def _state(n: np.ndarray, group: np.ndarray, suffix: np.ndarray) -> np.ndarray:
     """P of continuations with training counts n in contexts ``group`` (0, 1, ..), given those of the suffix."""
     total = np.bincount(group, n)
@@ -216,24 +256,33 @@ def _state(n: np.ndarray, group: np.ndarray, suffix: np.ndarray) -> np.ndarray:
 
 
 def subtree(c1: np.ndarray, c2: np.ndarray, w: np.ndarray, train: np.ndarray, root: np.ndarray) -> np.ndarray:
-    """P of each position in its longest retained suffix; all positions of a last symbol are there."""
-    key = c1.astype(np.uint64) << np.uint64(32) | c2.astype(np.uint64) << np.uint64(16) | w.astype(np.uint64)
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    new = np.append(True, key[1:] != key[:-1])
+    """P of each position in its longest retained suffix; all positions of a last symbol are there. root: P by w."""
+    bits = max(int(x.max(initial=0)) for x in (c1, c2, w)).bit_length()
+    if 3 * bits <= 64:
+        key = c1.astype(np.uint64) << np.uint64(2 * bits)
+        key |= c2.astype(np.uint64) << np.uint64(bits)
+        key |= w.astype(np.uint64)
+        order = np.argsort(key, kind="stable")
+        del key
+    else:
+        order = np.lexsort((w, c2, c1))
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for x in (c1, c2, w):
+        x = x[order]
+        new[1:] |= x[1:] != x[:-1]
     starts = np.flatnonzero(new)
-    n2 = np.add.reduceat(train[order].astype(np.int64), starts)
-    u2 = key[starts]
-    k1 = (u2 >> np.uint64(32) << np.uint64(16)) | (u2 & np.uint64(0xFFFF))
-    u1, to1 = np.unique(k1, return_inverse=True)
+    n2 = np.add.reduceat(train[order].astype(np.int32), starts, dtype=np.int64)
+    d1, d2, dw = (x[order[starts]].astype(np.uint64) for x in (c1, c2, w))
+    u1, to1 = np.unique(d1 << np.uint64(32) | dw, return_inverse=True)
     n1 = np.bincount(to1, n2).astype(np.int64)
-    _, g1 = np.unique(u1 >> np.uint64(16), return_inverse=True)
-    p1 = _state(n1, g1, root[(u1 & np.uint64(0xFFFF)).astype(np.int64)])
-    pair = u2 >> np.uint64(16)
+    _, g1 = np.unique(u1 >> np.uint64(32), return_inverse=True)
+    p1 = _state(n1, g1, root[(u1 & np.uint64(0xFFFFFFFF)).astype(np.int64)])
+    pair = d1 << np.uint64(32) | d2
     g2 = np.cumsum(np.append(False, pair[1:] != pair[:-1]))
     p2 = _state(n2, g2, p1[to1])
     out = np.empty(len(order))
-    out[order] = p2[np.cumsum(new) - 1]
+    out[order] = np.repeat(p2, np.diff(np.append(starts, len(order))))
     return out
 
 
@@ -241,36 +290,41 @@ def _tallied(held):  # noqa: ANN001, ANN202
     """Sums of a part for the documents of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols: Symbols = held.value
-        trees, rares, sums = [], [], {}
+        totals: Totals = held.value
+        trees = []
         for batch in batches:
             for kind, number, block in zip(*[batch.column(c).to_pylist() for c in ("kind", "number", "block")]):
                 if kind == 0:
                     yield pa.RecordBatch.from_arrays([pa.array([0], pa.int8()), pa.array([number], pa.int64()), pa.array([block], pa.binary())], names=["kind", "number", "block"])
                 else:
-                    (trees if kind == 1 else rares).append((number, _unpack(block)))
-
-        def added(found: list, column: int, values: np.ndarray, tags: np.ndarray) -> None:
-            at = 0
-            for (number, columns), m in zip(found, [len(x[1][-1]) for x in found]):
-                own = sums.setdefault(number, np.zeros((3, 1 << 12)))
-                own[column] += np.bincount(tags[at : at + m] & 0xFFF, values[at : at + m], 1 << 12)
-                at += m
-
-        if trees:
-            c1, c2, w, tags = (np.concatenate([x[1][i] for x in trees]) for i in range(4))
-            added(trees, 0, np.log10(subtree(c1, c2, w, tags >> 15, symbols.root)), tags)
-        if rares:
-            tags = np.concatenate([x[1][2] for x in rares])
-            h = np.concatenate([x[1][0][np.cumsum(x[1][1], dtype=np.int64) - 1] for x in rares])
-            u, to = np.unique(h, return_inverse=True)
-            n = np.bincount(to, tags >> 15)
-            added(rares, 0, np.log10((n + 0.5) / symbols.rare_mass[rare_class(u)])[to], tags)
-            added(rares, 1, np.log10((n + 0.5) / symbols.base)[to], tags)
-            added(rares, 2, (n > 0)[to].astype(float), tags)
-        for number, own in sums.items():
-            last = int(np.flatnonzero(own.any(axis=0)).max(initial=0)) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int8()), pa.array([number], pa.int64()), pa.array([_pack(*own[:, :last])], pa.binary())], names=["kind", "number", "block"])
+                    trees.append((number, _unpack(block)))
+        if not trees:
+            return
+        _words.clear()  # this worker hashes no more words
+        symbols, first = np.unique(np.concatenate([_joined(*x[:2]) for _, x in trees]), return_index=True)
+        root = totals.root(symbols, np.concatenate([x[2].astype(np.int64) for _, x in trees])[first])
+        places = [np.searchsorted(symbols, _joined(*x[:2])).astype(np.uint32) for _, x in trees]
+        # subtrees are taken one after another, as many at once as have AT_ONCE positions; a block's are sorted by c1
+        total = np.zeros(len(symbols), np.int64)
+        for at, (_, x) in zip(places, trees):
+            total[at] += np.bincount(x[3], minlength=len(at))
+        begins = np.cumsum(total) - total
+        cuts = np.append(np.flatnonzero(np.diff(begins // AT_ONCE, prepend=-1)), len(symbols))
+        sums: dict[int, np.ndarray] = {number: np.zeros(1 << 12) for number, _ in trees}
+        for low, high in zip(cuts, cuts[1:]):
+            edges = [np.searchsorted(x[3], np.searchsorted(at, (low, high))) for at, (_, x) in zip(places, trees)]
+            own = [(number, at, [c[a:b] for c in x[3:]]) for at, (number, x), (a, b) in zip(places, trees, edges) if a < b]
+            if not own:
+                continue
+            c1, c2, w = (np.concatenate([at[x[i]] for _, at, x in own]) for i in range(3))
+            values, start = subtree(c1, c2, w, np.concatenate([x[3] for *_, x in own]) >> 15, root), 0
+            np.log10(values, out=values)
+            for number, _, x in own:
+                sums[number] += np.bincount(x[3] & 0xFFF, values[start : start + len(x[3])], 1 << 12)
+                start += len(x[3])
+        for number, tally in sums.items():
+            last = int(np.flatnonzero(tally).max(initial=0)) + 1
+            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int8()), pa.array([number], pa.int64()), pa.array([_pack(tally[:last])], pa.binary())], names=["kind", "number", "block"])
 
     return run
 
@@ -282,17 +336,13 @@ def scored(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("doc_id", "text")
-    counted = common.cut(_counted(rows, parts), "counts")
-    classes = counted.where("kinds > 0").groupBy("hash").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).toPandas()  # RARE rows at most
-    often = counted.where("kinds = 0").orderBy(F.desc("n"), "hash").limit(MOST).toPandas()  # MOST rows at most
-    sums, kinds = np.zeros(RARE, np.int64), np.zeros(RARE, np.int64)
-    sums[classes["hash"].to_numpy(np.int64)], kinds[classes["hash"].to_numpy(np.int64)] = classes["n"], classes["kinds"]
-    symbols = Symbols(often["hash"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64), sums, kinds)
-    held = spark.sparkContext.broadcast(symbols)
-    tallied = _positions(rows, held, parts).repartitionById(parts, F.col("part")).mapInArrow(_tallied(held), "kind tinyint, number bigint, block binary")
-
-    tokens = symbols.tokens
+    coded = common.cut(_coded(docs.select("doc_id", "text"), parts), "coded")
+    answered = common.cut(_answered(coded, parts), "symbols")
+    totals = Totals([r["block"] for r in answered.where("kind = 2").select("block").collect()])  # RARE classes at most
+    held = spark.sparkContext.broadcast(totals)
+    tallied = _positions(coded, answered, held, parts).repartitionById(parts, F.col("part")).mapInArrow(_tallied(held), "kind tinyint, number bigint, block binary")
+
+    tokens = totals.tokens
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, sums = {}, {}
@@ -301,15 +351,13 @@ def scored(docs: DataFrame) -> DataFrame:
                 if kind == 0:
                     tables[number] = block
                 else:
-                    own = sums.setdefault(number, np.zeros((3, 1 << 12)))
-                    for i, x in enumerate(_unpack(block)):
-                        own[i, : len(x)] += x
+                    (x,) = _unpack(block)
+                    sums.setdefault(number, np.zeros(1 << 12))[: len(x)] += x
         for number, block in tables.items():
-            gone, names, out, size, base, known = _unpack(block)
-            own = sums.get(number, np.zeros((3, 1 << 12)))[:, : len(names)]
+            gone, names, out, size, known, base, own = _unpack(block)
             yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.array(names, pa.int64(), mask=gone.astype(bool)), "held_out": pa.array(out.astype(bool)), "n_tokens": pa.array(size), "n_known": pa.array(known + own[2].astype(np.int64)),
-                "train_tokens": pa.array(np.full(len(names), tokens)), "base_score": pa.array(base + own[1]), "score": pa.array(own[0]),
+                "doc_id": pa.array(names, pa.int64(), mask=gone.astype(bool)), "held_out": pa.array(out.astype(bool)), "n_tokens": pa.array(size), "n_known": pa.array(known),
+                "train_tokens": pa.array(np.full(len(names), tokens)), "base_score": pa.array(base), "score": pa.array(own + sums[number][: len(names)]),
             })
 
     return tallied.repartition(parts, "number").mapInArrow(gathered, _SCORES)

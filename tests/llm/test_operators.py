@@ -231,6 +231,22 @@ def test_suffix_tree(docs, none):
     assert all(r["score"] < 0 for r in got) and suffix_tree.scored(none).count() == 0
 
 
+def test_suffix_tree_keeps_all_frequent_words(spark):
+    # 60,000 words of 17 occurrences, and 20,000 pairs of words of 16, the second one told by the first
+    words, pairs, rows = [f"w{i}" for i in range(60_000)], [f"x{i} y{i}" for i in range(20_000)], []
+    for turn in range(17):
+        for own in (words, pairs)[: 1 + (turn < 16)]:
+            random.Random(turn).shuffle(own)
+            rows += [" ".join(own[i : i + 500]) for i in range(0, len(own), 500)]
+    ids = [i for i in range(3 * len(rows)) if not suffix_tree.held_out(i)][: len(rows)]
+    held = next(i for i in range(10**6) if suffix_tree.held_out(i))
+    random.Random(99).shuffle(pairs)
+    df = spark.createDataFrame([*zip(ids, rows), (held, " ".join(pairs[:500]))], "doc_id bigint, text string").repartition(4)
+    (score,) = (r["score"] for r in suffix_tree.scored(df).collect() if r["doc_id"] == held)
+    # the first word of a pair is one of 100,000, the second one is nearly sure
+    assert score / 500 > -5.6
+
+
 def test_states_are_distributions():
     root = np.array([0.4, 0.3, 0.2, 0.1])
     c1, c2, w = (np.array(x) for x in zip(*[(a, b, s) for a in (0, 1) for b in (0, 1) for s in range(4) for _ in range(1 + 30 * (s == a))]))
