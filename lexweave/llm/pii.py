@@ -49,8 +49,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_SECRET = re.compile(r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|(?i:(?<![a-z0-9])(?:pass(?:word|wd)?|pwd|token|secret|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3})[\"']?([A-Za-z0-9+/_.~-]{8,128})[\"']?")
-_TRIGGERS = ("AKIA", "ASIA", "ass", "wd", "oken", "ecret", "key", "Key", "KEY", "TOKEN", "SECRET", "ASS")
+#: Words before a secret, by what each of their matches holds when case is folded.
+_BEFORE = {"pass": "pass(?:word|wd)?", "pwd": "pwd", "token": "token", "secret": "secret", "key": "(?:api|access)[_-]?key"}
+_SECRET = re.compile(r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|(?i:(?<![a-z0-9])(?:" + "|".join(_BEFORE.values()) + r")\s{0,3}[=:]\s{0,3})[\"']?([A-Za-z0-9+/_.~-]{8,}+)[\"']?")
 _IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _CONTACT = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}(?:(?:\x20?[\[(]dot[\])]\x20?|\.)[A-Za-z0-9-]{1,63}){1,5}")
@@ -101,7 +102,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def further_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Loose candidates that do not overlap base spans or one another."""
     found: list[tuple[str, int, int]] = []
-    if any(t in text for t in _TRIGGERS):
+    folded = text.casefold()
+    if "AKIA" in text or "ASIA" in text or any(t in folded for t in _BEFORE):
         for m in _SECRET.finditer(text):
             found.append(("secret", m.start(1) if m.group(1) else m.start(), m.end(1) if m.group(1) else m.end()))
     if _DIGIT.search(text):

@@ -218,6 +218,15 @@ def test_pii(spark, docs, none):
     assert pii.detect(none).count() == 0 and pii.detect(docs).count() == len(ROWS)
 
 
+def test_secrets_are_whole_and_found_in_any_case():
+    long = "".join("aB3x"[i % 4] for i in range(240))
+    assert pii.further_spans(f'token="{long}" end', []) == [("secret", 7, 247)]
+    for word in ("PWD", "Pwd", "pwd", "pAsSwd", "Token", "SeCret", "api-kEY", "ACCEſSKEY", "apiKey", "PAſS"):
+        t = f"DB {word}=Xy7kQ93bLm2"
+        assert pii.further_spans(t, []) == [("secret", m.start(1), m.end(1)) for m in pii._SECRET.finditer(t)], t
+    assert pii.further_spans("DB PWD=Xy7kQ93bLm2", []) == [("secret", 7, 18)]
+
+
 # ------------------------------------------------------------ language model, near duplicates, benchmark
 
 
