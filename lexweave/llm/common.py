@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,21 +18,27 @@ SAMPLE_KEYS = 20_000
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one is made only where none is set, as in tests."""
+    """The folder of ``spark.checkpoint.dir``; one is made only where none is set, and only where all tasks are local.
+
+    A path without a scheme stays as it is: Hadoop's default file system resolves it, on the driver and in tasks alike.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        root = "file://" + tempfile.mkdtemp(prefix="lexweave-")
-        spark.sparkContext.setCheckpointDir(root)
+    if root:
         return root
-    return root if "://" in root or root.startswith("file:") else "file://" + os.path.abspath(root)
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = "file://" + tempfile.mkdtemp(prefix="lexweave-")
+    spark.sparkContext.setCheckpointDir(root)
+    return root
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name below the shared root; the name is unique, so runs never meet."""
-    return f"{shared_root(spark)}/lexweave/{name}-{uuid.uuid4().hex}"
+    """A new folder name below the shared root, qualified by its file system; it is unique, so runs never meet."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/lexweave/{name}-{uuid.uuid4().hex}")
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -40,29 +46,46 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lexweave_path = path
+    return out
 
 
-def drop(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes tables that cut() wrote and nothing reads any more."""
-    jvm = spark._jvm
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that cut() wrote and nothing reads any more; others are left alone."""
     for df in tables:
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if path := getattr(df, "_lexweave_path", None):
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
             where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            where.getFileSystem(conf).delete(where, True)
+
+
+def parts_of(docs: DataFrame, column: str, target: int) -> int:
+    """How many parts of about ``target`` bytes the column makes, 8 at least."""
+    total = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return max(8, -(-total // target))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a batch that a kernel gets at once, where a row alone has not more.
+BATCH_BYTES = 8 << 20
+
+
 def by_batch(kernel: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int = 1000) -> Callable:
-    """Wraps a kernel over at most ``rows`` rows of an Arrow batch for mapInArrow."""
+    """Wraps a kernel over at most ``rows`` rows and, but for single rows, BATCH_BYTES of an Arrow batch for mapInArrow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                yield kernel(batch.slice(at, rows))
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, rows)
+                while part.num_rows > 1 and part.nbytes > BATCH_BYTES:
+                    part = part.slice(0, max(1, part.num_rows // 2))
+                at += part.num_rows
+                yield kernel(part)
 
     return run
 

@@ -8,23 +8,23 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node and comp, its least reachable node, of each node in links (a, b).
 
-    Each round takes the least label among a node and its neighbours, then the label of that label; the number of
-    rounds is about logarithmic in a component's width. Every table of a round is cut into the shared folder.
+    Each round takes the least label among a node and its neighbours, then the label of that label, and rounds go on
+    until no label changes: about as many as the logarithm of a component's width. Every table of a round is cut into
+    the shared folder and deleted once the next one stands; minima are taken before rows are shuffled, and Spark splits
+    the joins of nodes with very many links.
     """
-    spark = links.sparkSession
     edges = common.cut(links.select("a", "b").union(links.select("b", "a")).where("a != b").distinct(), "edges")
     labels = common.cut(edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("comp")), "labels")
-    for _ in range(rounds):
+    while True:
         near = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("near"))
         step = labels.join(near, labels["node"] == near["a"]).select("node", F.least("comp", "near").alias("next"), F.col("comp").alias("old"))
         jump = labels.select(F.col("node").alias("at"), F.col("comp").alias("far"))
         moved = common.cut(step.join(jump, step["next"] == jump["at"]).select("node", F.least("next", "far").alias("comp"), "old"), "labels")
-        changed = moved.where("comp != old").limit(1).count()
-        common.drop(spark, labels)
-        labels = moved.select("node", "comp")
-        if not changed:
-            return labels
-    raise RuntimeError("components did not settle")
+        common.drop(labels)
+        if moved.where("comp != old").limit(1).count() == 0:
+            common.drop(edges)
+            return moved
+        labels = moved

@@ -12,14 +12,16 @@ equal (pigeonhole), so sets meet on equal lanes:
     has more than d_k lanes in use, so an equal lane in use exists.
   - Equal sets are one node from the start, however many documents have them.
 
-Keys travel as packed blocks, not as rows. In each group of nodes under a key the first round takes the least node
-with each of the others. Groups whose nodes are not in one component then are unresolved. Of those with at most HOT
-nodes the second round takes all pairs across components. Pairs whose 2048-bit parity sketches differ in more than
-(|A| + |B|) / 9 bits are dropped, in the second round before they are rows at all; the rest is verified on the sets.
+Keys travel as packed blocks, not as rows. Groups of nodes under a key are kept once for each distinct set of nodes, in
+chunks of BLOCK nodes. A chunk is joined in place: nodes carry a parity sketch of about 1.5 to 3 bits a token, whose
+Hamming distance bounds the symmetric difference, and pairs that it doesn't rule out are taken as a spanning forest, so
+a chunk yields fewer pairs than it has nodes, whatever its size. Pairs are verified on the sets. A pair that fails is
+remembered by its nodes, and chunks that hold such nodes of different components go round again without it, until no
+chunk has a pair to offer: then every link has both ends in one component.
 
-Larger unresolved groups do not pair up. A node with more than d_k lanes in use outside of them meets all that it
-links with in other groups. Two nodes that both have fewer are joined on the prefixes of their tokens, rarest first,
-which few nodes of different components share. So no cap drops a link, and no group is paired with itself as a whole.
+Groups of more than one chunk: a node with fewer keys in such groups than it has lanes to spare (beyond d_k) meets all
+that it links with in smaller groups. The others are compared across chunks too: those outside of their group's
+largest component visit each chunk. So no cap drops a link.
 
 Texts without words, null ones too, are linked with nothing. Repeated rows are equal sets. A null doc_id is never
 the least of a component unless all are null. An empty table gives an empty result.
@@ -34,14 +36,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, components, shingles
 
-#: Lanes over those that the pigeonhole needs; nodes of a group that are still paired; rows that may be broadcast.
-SLACK, HOT, BROADCAST_ROWS = 1.3, 256, 2_000_000
-SKETCH_BITS = 2048
+#: Lanes over those that the pigeonhole needs; nodes in a chunk of a group; rows that may be broadcast (24 bytes each).
+SLACK, BLOCK, BROADCAST_ROWS = 1.3, 1024, 500_000
+#: Bytes of text behind a part of the keys.
+PART_BYTES = 16 << 20
 _K1, _K2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -85,38 +88,55 @@ def keys_of(tokens: np.ndarray) -> tuple[np.ndarray, int]:
     return np.concatenate(out), spare
 
 
+def width(n: int) -> int:
+    """Bits of the parity sketch of a set of n tokens: a power of two of at least 1.5 n."""
+    return max(64, 1 << (3 * n // 2 - 1).bit_length())
+
+
 def sketch(tokens: np.ndarray) -> bytes:
-    """The parity sketch, and after it the sketch folded to a quarter of the bits, which bounds the same difference."""
-    bits = np.bincount((shingles.mixed(tokens, 3) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    whole = np.packbits(bits.astype(np.uint8))
-    return whole.tobytes() + np.bitwise_xor.reduce(whole.reshape(4, -1), axis=0).tobytes()
+    """A bit for each residue of the tokens' hashes, flipped by each token; folding halves together gives fewer bits."""
+    bits = np.bincount((shingles.mixed(tokens, 3) & np.uint64(width(len(tokens)) - 1)).astype(np.int64), minlength=width(len(tokens)))
+    return np.packbits((bits & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, all folded to the least width among them."""
+    least = min(map(len, sketches)) // 8
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(s, "<u8").reshape(-1, least), axis=0) for s in sketches])
 
 
 def node_of(tokens: np.ndarray) -> int:
     return struct.unpack("<q", xxhash.xxh3_64_digest(tokens.tobytes()))[0]
 
 
-_POINTS = "kind tinyint, part int, doc_id bigint, node bigint, n bigint, spare bigint, block binary"
-_POINT_FIELDS = pa.schema([("kind", pa.int8()), ("part", pa.int32()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("spare", pa.int64()), ("block", pa.binary())])
+def _hashed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a hash of the text, which tell a row from all but its own repetitions."""
+    return docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+
+
+_POINT_FIELDS = pa.schema([("kind", pa.int8()), ("part", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("spare", pa.int64()), ("block", pa.binary())])
+_POINTS = "kind tinyint, part int, doc_id bigint, th bigint, node bigint, n bigint, spare bigint, block binary"
 
 
 def _sketched(docs: DataFrame, parts: int) -> DataFrame:
-    """kind 0: doc_id, node, set size, spare lanes and sketch of a row; kind 1: a part's block of 48-bit keys and nodes."""
+    """kind 0: a row with its node, set size, spare lanes and sketch; kind 1: a part's block of 48-bit keys and nodes."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        names, nodes, sizes, held, seen, spares, sketches = batch.column("doc_id").to_pylist(), [], [], [], {}, [], []
+        hashes, nodes, sizes, held, seen, spares, sketches = batch.column("th"), [], [], [], {}, [], []
         for raw in common.bytes_of(batch):
             tokens = shingles.of(raw)
             sizes.append(len(tokens))
             nodes.append(node_of(tokens) if len(tokens) else None)
-            own = seen.get(nodes[-1])
-            if own is None and len(tokens) > 3:  # smaller sets link only with their like
-                seen[nodes[-1]] = own = (len(seen), *keys_of(tokens), sketch(tokens))
-                held.append(own[1])
-            spares.append(own[2] if own else None)
-            sketches.append(own[3] if own else None)
-        part_of = [(0 if d is None else d) % parts for d in names]
-        out = [pa.array(np.zeros(len(names), dtype=np.int8)), pa.array(part_of, pa.int32()), pa.array(names, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(spares, pa.int64()), pa.array(sketches, pa.binary())]
+            spare = drawn = None
+            if len(tokens) > 3 and nodes[-1] not in seen:  # smaller sets link only with their like
+                seen[nodes[-1]] = len(seen)
+                keys, spare = keys_of(tokens)
+                held.append(keys)
+                drawn = sketch(tokens)
+            spares.append(spare)
+            sketches.append(drawn)
+        part_of = pa.array(np.array(hashes.to_numpy()) % parts, pa.int32())
+        out = [pa.array(np.zeros(len(nodes), dtype=np.int8)), part_of, batch.column("doc_id"), hashes, pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(spares, pa.int64()), pa.array(sketches, pa.binary())]
         if held:
             keys = np.concatenate(held)
             of = np.repeat(np.arange(len(held), dtype=np.uint16), [len(h) for h in held])
@@ -131,26 +151,25 @@ def _sketched(docs: DataFrame, parts: int) -> DataFrame:
                 low = keys[a:b]
                 blocks.append(struct.pack("<II", len(used), b - a) + every[used].tobytes() + local.astype("<u2").tobytes() + low.astype("<u4").tobytes() + (low >> np.uint64(32)).astype("<u2").tobytes())
             m = len(blocks)
-            more = [pa.array(np.ones(m, dtype=np.int8)), pa.array(part[starts[:-1]], pa.int32()), *[pa.nulls(m, pa.int64())] * 4, pa.array(blocks, pa.binary())]
+            more = [pa.array(np.ones(m, dtype=np.int8)), pa.array(part[starts[:-1]], pa.int32()), *[pa.nulls(m, pa.int64())] * 5, pa.array(blocks, pa.binary())]
             out = [pa.concat_arrays([x, y]) for x, y in zip(out, more)]
         return pa.RecordBatch.from_arrays(out, schema=_POINT_FIELDS)
 
-    return docs.select("doc_id", "text").mapInArrow(common.by_batch(kernel, 4000), _POINTS)
+    return _hashed(docs).mapInArrow(common.by_batch(kernel, 4000), _POINTS)
 
 
-_MET = "kind tinyint, doc_id bigint, node bigint, n bigint, key bigint, least bigint, size bigint, sketch binary"
-_MET_FIELDS = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("least", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary())])
+_MET_FIELDS = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("th", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("spare", pa.int64()), ("sketch", pa.binary()), ("gid", pa.int64()), ("chunk", pa.int64()), ("size", pa.int64()), ("keys", pa.int64()), ("members", pa.list_(pa.int64()))])
+_MET = "kind tinyint, doc_id bigint, th bigint, node bigint, n bigint, spare bigint, sketch binary, gid bigint, chunk bigint, size bigint, keys bigint, members array<bigint>"
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Passes rows on and turns the blocks of a part into memberships of groups with two nodes and more."""
+    """Passes rows on and turns the blocks of a part into its distinct groups of two nodes and more, in chunks."""
     keys, owners, nodes, base = [], [], [], 0
     for batch in batches:
         kind = batch.column("kind").to_numpy(zero_copy_only=False)
         rows = batch.filter(pa.array(kind == 0))
-        if rows.num_rows:
-            m = rows.num_rows
-            yield pa.RecordBatch.from_arrays([rows.column("kind"), rows.column("doc_id"), rows.column("node"), rows.column("n"), *[pa.nulls(m, pa.int64())] * 2, rows.column("spare"), rows.column("block")], schema=_MET_FIELDS)
+        if m := rows.num_rows:
+            yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in ("kind", "doc_id", "th", "node", "n", "spare", "block")], *[pa.nulls(m, pa.int64())] * 4, pa.nulls(m, pa.list_(pa.int64()))], schema=_MET_FIELDS)
         for block in batch.filter(pa.array(kind == 1)).column("block").to_pylist():
             used, count = struct.unpack_from("<II", block)
             at = 8 + 8 * used
@@ -169,33 +188,41 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, owner = key[met], node[owner[met]]
     order = np.lexsort((owner, key))
     key, owner = key[order], owner[order]
-    new = np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])) if len(key) else np.zeros(0, bool)
+    if not len(key):
+        return
+    new = np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]))
     key, owner = key[new], owner[new]
-    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     size = np.diff(np.append(starts, len(key)))
-    key, least, each = key.astype(np.int64), np.repeat(owner[starts], size), np.repeat(size, size)
-    kept = each > 1
-    key, owner, least, each = key[kept], owner[kept], least[kept], each[kept]
-    for a in range(0, len(key), 50_000):
-        b = min(a + 50_000, len(key))
-        none = pa.nulls(b - a, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(b - a, dtype=np.int8)), none, pa.array(owner[a:b]), none, pa.array(key[a:b]), pa.array(least[a:b]), pa.array(each[a:b].astype(np.int64)), pa.nulls(b - a, pa.binary())], schema=_MET_FIELDS)
+    gid = np.add.reduceat(shingles.mixed(owner.view(np.uint64), 31), starts) + size.astype(np.uint64)
+    kept = np.flatnonzero(size > 1)
+    gid, first, often = np.unique(gid[kept], return_index=True, return_counts=True)
+    starts, size, gid = starts[kept][first], size[kept][first], gid.view(np.int64)
+    for a in range(0, len(gid), 2000):
+        out: tuple[list, ...] = ([], [], [], [], [])
+        for g, s, n, k in zip(gid[a : a + 2000].tolist(), starts[a : a + 2000].tolist(), size[a : a + 2000].tolist(), often[a : a + 2000].tolist()):
+            for c in range(0, n, BLOCK):
+                for column, x in zip(out, (g, c // BLOCK, n, k, owner[s + c : s + min(n, c + BLOCK)])):
+                    column.append(x)
+        m = len(out[0])
+        offsets = np.cumsum([0, *map(len, out[4])]).astype(np.int32)
+        members = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out[4])))
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, dtype=np.int8)), *[pa.nulls(m, pa.int64())] * 5, pa.nulls(m, pa.binary()), *[pa.array(x, pa.int64()) for x in out[:4]], members], schema=_MET_FIELDS)
 
 
 def _sets(docs: DataFrame, picked: DataFrame) -> DataFrame:
-    """node, n and packed tokens (48 bits each) of the documents picked (node, rep)."""
-    wanted = picked.select("rep", "node")
-    if picked.count() <= BROADCAST_ROWS:  # two numbers a row; beyond that both sides are shuffled
+    """node, n and packed tokens (48 bits each) of the nodes picked (node, rep)."""
+    wanted = picked.select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th"))
+    if picked.count() <= BROADCAST_ROWS:  # beyond that both sides are shuffled
         wanted = F.broadcast(wanted)
-    own = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("rep")).select("node", "text")
+    own = _hashed(docs).join(wanted, (F.col("th") == F.col("rep_th")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("node", "text")
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        names, sets = batch.column("node").to_pylist(), [shingles.of(b) for b in common.bytes_of(batch)]
-        kept = [i for i, s in enumerate(sets) if len(s) and node_of(s) == names[i]]  # a doc_id may name several texts
-        packed = [(sets[i] >> np.uint64(32)).astype("<u4").tobytes() + (sets[i] >> np.uint64(16)).astype("<u2").tobytes() for i in kept]
-        return pa.RecordBatch.from_pydict({"node": pa.array([names[i] for i in kept], pa.int64()), "n": pa.array([len(sets[i]) for i in kept], pa.int64()), "tokens": pa.array(packed, pa.binary())})
+        sets = [shingles.of(b) for b in common.bytes_of(batch)]
+        packed = [(s >> np.uint64(32)).astype("<u4").tobytes() + (s >> np.uint64(16)).astype("<u2").tobytes() for s in sets]
+        return pa.RecordBatch.from_pydict({"node": batch.column("node"), "n": pa.array([len(s) for s in sets], pa.int64()), "tokens": pa.array(packed, pa.binary())})
 
-    return own.mapInArrow(common.by_batch(kernel), "node bigint, n bigint, tokens binary")
+    return own.mapInArrow(common.by_batch(kernel), "node bigint, n bigint, tokens binary").dropDuplicates(["node"])  # a row may be repeated
 
 
 def _tokens(packed: bytes) -> np.ndarray:
@@ -204,119 +231,174 @@ def _tokens(packed: bytes) -> np.ndarray:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those pairs (a, b) that link."""
+    """a, b and linked of each pair."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for a, b, x, y in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb")]):
+        for x, y in zip(*[batch.column(c).to_pylist() for c in ("ta", "tb")]):
             p, q = _tokens(x), _tokens(y)
-            both = len(p) + len(q) - len(np.union1d(p, q))
-            if links(len(p), len(q), both):
-                out.append((a, b))
-        return pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
-
-    left, right = (sets.select(F.col("node").alias(c), F.col("tokens").alias(f"t{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
-    sized = pairs.join(left, "a").join(right, "b").where("100 * na >= 80 * nb and 100 * nb >= 80 * na")
-    return sized.select("a", "b", "ta", "tb").mapInArrow(common.by_batch(kernel), "a bigint, b bigint")
-
+            out.append(links(len(p), len(q), len(p) + len(q) - len(np.union1d(p, q))))
+        return pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "linked": pa.array(out, pa.bool_())})
+
+    left, right = (sets.select(F.col("node").alias(c), F.col("tokens").alias(f"t{c}")) for c in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(common.by_batch(kernel), "a bigint, b bigint, linked boolean")
+
+
+def forest(node: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: np.ndarray, failed: list) -> list[tuple[int, int]]:
+    """Pairs (i, j) that join what sketches allow to link: fewer than there are components to begin with.
+
+    failed: for each node the nodes that it is known not to link with, or None.
+    """
+    out = []
+    _, root = np.unique(comp, return_inverse=True)
+    for i in range(len(node) - 1):
+        j = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+        if not len(j):
+            continue
+        j = j[100 * np.minimum(n[j], n[i]) >= 80 * np.maximum(n[j], n[i])]
+        apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1)
+        near = 9 * apart <= n[j] + n[i]
+        j, apart = j[near], apart[near]
+        if failed[i] is not None and len(j):
+            open_ = ~np.isin(node[j], failed[i])
+            j, apart = j[open_], apart[open_]
+        if len(j):
+            order = np.lexsort((j, apart))
+            found, at = np.unique(root[j[order]], return_index=True)
+            out += [(i, int(x)) for x in j[order[at]]]
+            root[np.isin(root, found)] = root[i]
+    return out
 
-def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs whose parity sketches do not rule a link out."""
-
-    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u8").reshape(batch.num_rows, -1) for c in ("sa", "sb"))
-        apart = np.bitwise_count(x[:, : SKETCH_BITS // 64] ^ y[:, : SKETCH_BITS // 64]).sum(axis=1)
-        return batch.select(["a", "b"]).filter(pa.array(9 * apart <= batch.column("size").to_numpy()))
 
-    left, right = (nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"s{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
-    sized = pairs.join(left, "a").join(right, "b").where("100 * na >= 80 * nb and 100 * nb >= 80 * na")
-    return sized.select("a", "b", "sa", "sb", (F.col("na") + F.col("nb")).alias("size")).mapInArrow(common.by_batch(kernel, 20_000), "a bigint, b bigint")
+def _near_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Forests of the chunks; rows (gid, chunk, node, comp, n, sketch, failed) sorted by gid, chunk and node."""
 
+    def pairs(columns: list[list]) -> list[tuple[int, int]]:
+        node, comp, n = (np.array(columns[i], dtype=np.int64) for i in (2, 3, 4))
+        failed = [None if f is None else np.array(f, dtype=np.int64) for f in columns[6]]
+        return [(min(a, b), max(a, b)) for a, b in ((int(node[i]), int(node[j])) for i, j in forest(node, comp, n, folded(columns[5]), failed))]
 
-def _near_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Near pairs, by folded sketch, across components of each group; rows (key, node, comp, n, sketch) sorted by key."""
+    told: set[tuple[int, int]] = set()
+    held: list[list] = []
 
-    def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
-        node, comp, n = (np.array([r[i] for r in rows], dtype=np.int64) for i in (1, 2, 3))
-        bits = np.frombuffer(b"".join(r[4] for r in rows), dtype="<u8").reshape(len(rows), -1)
-        out = []
-        for i in range(len(rows) - 1):
-            j = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= 80 * np.maximum(n[i + 1 :], n[i])))
-            if len(j):
-                j = j[9 * np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1) <= n[j] + n[i]]
-                out += [(min(int(node[i]), x), max(int(node[i]), x)) for x in node[j].tolist()]
-        return out
+    def answer(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        fresh = [p for p in dict.fromkeys(found) if p not in told]
+        if len(told) > 1_000_000:
+            told.clear()
+        told.update(fresh)
+        return pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in fresh], pa.int64()), "b": pa.array([p[1] for p in fresh], pa.int64())})
 
-    key, held, found = None, [], []
     for batch in batches:
-        for row in zip(*[batch.column(c).to_pylist() for c in ("key", "node", "comp", "n", "sketch")]):
-            if row[0] != key and held:
-                found += pairs(held)
-                held = []
-            key = row[0]
-            held.append(row)
-        if found:
-            found = list(set(found))
-            yield pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
-            found = []
-    if held and (found := list(set(pairs(held)))):
-        yield pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
-
-
-def _rare_groups(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """key and node: the prefixes of the nodes' tokens, rarest among them first."""
-
-    def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets_of = [_tokens(t).astype(np.int64) for t in batch.column("tokens").to_pylist()]
-        names = np.repeat(batch.column("node").to_numpy(), [len(s) for s in sets_of])
-        return pa.RecordBatch.from_pydict({"node": pa.array(names), "token": pa.array(np.concatenate(sets_of) if sets_of else np.zeros(0, np.int64))})
-
-    tokens = sets.join(nodes, "node").select("node", "tokens").mapInArrow(common.by_batch(spread, 200), "node bigint, token bigint")
-    often = tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
-    # tokens of one node only never meet; they stand first in its prefix, so only their number counts
-    ranked = tokens.join(often, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("ranked"))
-    prefix = ranked.join(sets.select("node", "n"), "node").select("node", F.expr("slice(ranked, 1, cast(greatest(0, n - ceil(0.8 * n) + 1 - (n - size(ranked))) as int))").alias("head"))
-    return prefix.select(F.explode("head.token").alias("key"), "node")
+        columns = [batch.column(c).to_pylist() for c in ("gid", "chunk", "node", "comp", "n", "sketch", "failed")]
+        key = np.array([columns[0], columns[1]], dtype=np.int64)
+        cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+        found = []
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            part = [c[a:b] for c in columns]
+            if held and (held[0][0], held[1][0]) == (part[0][0], part[1][0]):
+                held = [x + y for x, y in zip(held, part)]
+            else:
+                if held:
+                    found += pairs(held)
+                held = part
+        yield answer(found)
+    if held:
+        yield answer(pairs(held))
+
+
+def _candidates(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) from members (gid, chunk, node, comp, failed)."""
+    rows = members.join(nodes.select("node", "n", "sketch"), "node").select("gid", "chunk", "node", "comp", "n", "sketch", "failed")
+    return rows.repartition("gid", "chunk").sortWithinPartitions("gid", "chunk", "node").mapInArrow(_near_within, "a bigint, b bigint").distinct()
+
+
+def _again(members: DataFrame, comps: DataFrame, missed: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Members of the chunks that have to go round again.
+
+    missed: node and failed (its pairs that did not link) of all rounds, and whether one is new. hot: the nodes that
+    groups of several chunks have to compare across chunks.
+    """
+    placed = members.join(comps.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(missed, "node", "left")
+    split = [F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.coalesce("new", F.lit(False))).alias("wanted")]
+    small = placed.where(F.col("size") <= BLOCK)
+    open_small = small.groupBy("gid").agg(*split).where("low != high and wanted").select("gid")
+    out = small.join(open_small, "gid").select("gid", "chunk", "node", "comp", "failed")
+    if hot is None:
+        return out
+    large = placed.where(F.col("size") > BLOCK).join(hot, "node", "left_semi")
+    open_large = large.groupBy("gid").agg(*split).where("low != high").select("gid")
+    most = large.groupBy("gid", "comp").agg(F.count("*").alias("many")).groupBy("gid").agg(F.max_by("comp", F.struct("many", "comp")).alias("main"))
+    large = large.join(open_large, "gid").join(most, "gid")
+    everywhere: Column = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("size") - 1) / BLOCK).cast("bigint"))
+    visits = large.withColumn("chunk", F.explode(F.when(F.col("comp") == F.col("main"), F.array("chunk")).otherwise(everywhere)))
+    return out.unionByName(visits.select("gid", "chunk", "node", "comp", "failed"))
+
+
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, th, node and n of each row, and node and least (known, doc_id and th of the first row) of its component."""
+    parts = common.parts_of(docs, "text", PART_BYTES)
+    met = common.cut(_sketched(docs, parts).repartitionById(parts, F.col("part")).mapInArrow(_met, _MET), "met")
+    rows = met.where("kind = 0").select("doc_id", "th", "node", "n")
+    row = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "th")
+    nodes = common.cut(met.where("kind = 0 and node is not null").groupBy("node").agg(F.min(row).alias("rep"), F.max("n").alias("n"), F.max("spare").alias("spare"), F.max("sketch").alias("sketch")), "nodes")
+    groups = met.where("kind = 1").groupBy("gid", "chunk").agg(F.first("size").alias("size"), F.sum("keys").alias("keys"), F.first("members").alias("members"))
+    members = common.cut(groups.select("gid", "chunk", "size", "keys", F.explode("members").alias("node")), "members")
+    large = members.where(F.col("size") > BLOCK)
+    hot = None
+    if large.limit(1).count():
+        hot = common.cut(large.groupBy("node").agg(F.sum("keys").alias("hot")).join(nodes.select("node", "spare"), "node").where("hot > spare").select("node"), "hot")
+
+    none = F.lit(None).cast("array<bigint>")
+    pairs = common.cut(_candidates(members.select("gid", "chunk", "node", F.col("node").alias("comp"), none.alias("failed")), nodes), "pairs")
+    checked, comps, first = [], None, True
+    while first or pairs.limit(1).count():
+        first = False
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        sets = common.cut(_sets(docs, nodes.select("node", "rep").join(ends, "node")), "sets")
+        checked.append(common.cut(_verified(pairs, sets), "checked"))
+        common.drop(sets, pairs, *[] if comps is None else [comps])
+        every = checked[0]
+        for more in checked[1:]:
+            every = every.union(more)
+        comps = components.components(every.where("linked"))
+        told = every.where("not linked").withColumn("new", F.lit(False)).union(checked[-1].where("not linked").withColumn("new", F.lit(True)))
+        both = told.select(F.col("a").alias("node"), F.col("b").alias("other"), "new").union(told.select("b", "a", "new"))
+        missed = both.groupBy("node").agg(F.collect_set("other").alias("failed"), F.max("new").alias("new"))
+        pairs = common.cut(_candidates(_again(members, comps, missed, hot), nodes), "pairs")
+    placed = nodes.select("node", "rep").join(comps.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    lowest = placed.groupBy("comp").agg(F.min("rep").alias("least"))
+    rows = common.cut(rows, "rows")
+    of_node = common.cut(placed.join(lowest, "comp").select("node", "least"), "components")
+    common.drop(pairs, comps, members, nodes, met, *checked, *[] if hot is None else [hot])
+    return rows, of_node
 
 
 def grouped(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id that links reach) of each row of docs."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = common.cut(_sketched(docs, parts).repartitionById(parts, F.col("part")).mapInArrow(_met, _MET), "met")
-    rows = met.where("kind = 0").select("doc_id", "node", "n")
-    groups = met.where("kind = 1").select("key", "node", "least", "size")
-    told = met.where("kind = 0 and node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("size").alias("spare"), F.max("sketch").alias("sketch"))
-    nodes = common.cut(told, "nodes")
-
-    def of(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        return nodes.select("node", "rep").join(ends, "node")
-
-    star = groups.where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    near = common.cut(_near(star, nodes), "near")
-    first = common.cut(_verified(near, common.cut(_sets(docs, of(near)), "sets")).distinct(), "links")
-    comps = components.components(first)
-    placed = groups.join(comps, "node", "left").select("key", "node", "size", F.coalesce("comp", "node").alias("comp"))
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
-    unresolved = common.cut(placed.join(open_keys, "key"), "unresolved")
-    folded = nodes.select("node", "n", F.substring("sketch", SKETCH_BITS // 8 + 1, SKETCH_BITS // 32).alias("sketch"))
-
-    def within(members: DataFrame) -> DataFrame:
-        rows = members.join(folded, "node").select("key", "node", "comp", "n", "sketch")
-        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_near_within, "a bigint, b bigint").distinct()
-
-    pairs = within(unresolved.where(F.col("size") <= HOT).select("key", "node", "comp"))
-    crowded = unresolved.where(F.col("size") > HOT).groupBy("node").agg(F.count("*").alias("hot")).join(nodes, "node").where("hot > spare").select("node", "rep")
-    crowded = common.cut(crowded, "crowded")
-    if crowded.limit(1).count():
-        rare = _rare_groups(common.cut(_sets(docs, crowded), "sets"), crowded.select("node"))
-        pairs = pairs.union(within(rare.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")))).distinct()
-    pairs = common.cut(_near(pairs, nodes), "near")
-    if pairs.limit(1).count():
-        more = common.cut(_verified(pairs, common.cut(_sets(docs, of(pairs)), "sets")).distinct(), "links")
-        comps = components.components(first.union(more))
-    least = nodes.join(comps, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
-    lowest = least.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    of_node = least.join(lowest, "comp").select("node", "component_id")
-    return rows.join(of_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    rows, of_node = _grouped(docs)
+    out = rows.join(of_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"))
+    kept = common.cut(out, "grouped")
+    common.drop(rows, of_node)
+    return kept
+
+
+def firsts(docs: DataFrame) -> DataFrame:
+    """Rows of docs without near duplicates: of each group the row of the least doc_id (known ones first) and then of the
+    least text hash; of rows that repeat it that whose other columns have the least hash. Rows without words all stay.
+    """
+    rows, of_node = _grouped(docs)
+    own = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "th")
+    placed = rows.where("node is not null").join(of_node, "node")
+    repeated = placed.where(own == F.col("least")).groupBy("doc_id", "th").agg(F.count("*").alias("__times")).where("__times > 1")
+    dropped = common.cut(placed.where(own != F.col("least")).select("doc_id", "th", F.lit(0).alias("__times")).distinct().unionByName(repeated.withColumn("__times", F.col("__times").cast("int"))), "dropped")
+    common.drop(rows, of_node)
+    names = dropped.select(F.col("doc_id").alias("__doc_id"), F.col("th").alias("__th"), "__times")
+    if dropped.count() <= BROADCAST_ROWS:
+        names = F.broadcast(names)
+    told = docs.withColumn("__of", F.xxhash64(F.coalesce("text", F.lit(""))))
+    told = told.join(names, (told["__of"] == names["__th"]) & told["doc_id"].eqNullSafe(names["__doc_id"]), "left").where("coalesce(__times, 1) > 0")
+    if dropped.where("__times > 0").limit(1).count():
+        once = Window.partitionBy("doc_id", "__th").orderBy(F.xxhash64(*docs.columns))
+        twice = told.where("__times > 1").withColumn("__turn", F.row_number().over(once)).where("__turn = 1").drop("__turn")
+        told = told.where("__times is null").unionByName(twice)
+    return told.select(*docs.columns)

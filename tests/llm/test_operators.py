@@ -277,7 +277,9 @@ def test_parity_join_equals_brute_force(spark, docs, none):
             near.append(" ".join(own))
     passage = " ".join(f"shared{i}" for i in range(40))
     near += [passage + " " + " ".join(f"q{k}r{i}" for i in range(rnd.randint(5, 60))) for k in range(60)]
-    rows = [(i, t) for i, t in enumerate([*TEXTS, *near])] + [(None, near[0]), (3, "one")]
+    # near copies under no doc_id, and two texts under one
+    changed = " ".join(near[-1].split()[:-1] + ["other"])
+    rows = [(i, t) for i, t in enumerate([*TEXTS, *near])] + [(None, near[0]), (3, "one"), (None, changed), (None, changed), (5, changed + " tail")]
     sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := (t or "").encode().lower().split()) else frozenset() for _, t in rows]
     up = list(range(len(rows)))
 
@@ -297,19 +299,40 @@ def test_parity_join_equals_brute_force(spark, docs, none):
     want = sorted(repr((d, len(s), least.get(find(i)))) for i, ((d, _), s) in enumerate(zip(rows, sets)))
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert by_row(parity_join.grouped(df.repartition(3)), "doc_id", "n_shingles", "component_id") == want
-    hot, parity_join.HOT = parity_join.HOT, 3  # the way of crowded groups
+    block, parity_join.BLOCK = parity_join.BLOCK, 3  # groups of several chunks
     try:
         assert by_row(parity_join.grouped(df), "doc_id", "n_shingles", "component_id") == want
     finally:
-        parity_join.HOT = hot
+        parity_join.BLOCK = block
     assert parity_join.grouped(none).count() == 0
 
 
 def test_sketch_distance_is_a_lower_bound():
     for _ in range(300):
-        a, b = ({rnd.randrange(60) for _ in range(rnd.randint(1, 40))} for _ in range(2))
-        x, y = (np.frombuffer(parity_join.sketch(shingles.mixed(np.array(sorted(s), dtype=np.uint64))), "<u8") for s in (a, b))
-        assert np.bitwise_count(x[:32] ^ y[:32]).sum() <= len(a ^ b) and np.bitwise_count(x[32:] ^ y[32:]).sum() <= len(a ^ b)
+        a, b = ({rnd.randrange(90) for _ in range(rnd.randint(1, 80))} for _ in range(2))
+        x, y = parity_join.folded([parity_join.sketch(shingles.mixed(np.array(sorted(s), dtype=np.uint64))) for s in (a, b)])
+        assert np.bitwise_count(x ^ y).sum() <= len(a ^ b)
+
+
+def test_forest_joins_all_that_sketches_allow():
+    for turn in range(40):
+        base = [rnd.randrange(10**9) for _ in range(60)]
+        sets = [sorted({x if rnd.random() > 0.08 else rnd.randrange(10**9) for x in base}) for _ in range(20)]
+        bits = parity_join.folded([parity_join.sketch(shingles.mixed(np.array(x, dtype=np.uint64))) for x in sets])
+        n, node = np.array(list(map(len, sets))), np.arange(20)
+        near = {(i, j) for i in range(20) for j in range(i) if 9 * np.bitwise_count(bits[i] ^ bits[j]).sum() <= n[i] + n[j] and parity_join.links(int(min(n[i], n[j])), int(max(n[i], n[j])), int(min(n[i], n[j])))}
+        gone = {p for p in near if rnd.random() < 0.3}
+        failed = [np.array([b if a == i else a for a, b in gone if i in (a, b)]) for i in range(20)]
+        comp = node // 2 if turn % 2 else node
+
+        def classes(pairs):
+            up = comp.copy()
+            for a, b in pairs:
+                up[up == up[a]] = up[b]
+            return [int(np.flatnonzero(up == x)[0]) for x in up]
+
+        found = parity_join.forest(node, comp, n, bits, failed)
+        assert classes(found) == classes(near - gone) and len(found) < len(set(comp))
 
 
 def test_decontamination(spark, none):
