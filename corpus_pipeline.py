@@ -24,11 +24,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each group that near-duplicate links connect."""
-    groups = parity_join.grouped(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    out = _semi(docs, kept)
-    return out.dropDuplicates(["doc_id"]) if groups.count() != groups.select("doc_id").distinct().count() else out
+    """Keeps one row of each group that near-duplicate links connect, of the least doc_id; rows without words all stay."""
+    return parity_join.firsts(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
