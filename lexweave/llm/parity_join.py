@@ -16,8 +16,8 @@ Keys travel as packed blocks, not as rows. Groups of nodes under a key are kept
 chunks of BLOCK nodes. A chunk is joined in place: nodes carry a parity sketch of about 1.5 to 3 bits a token, whose
 Hamming distance bounds the symmetric difference, and pairs that it doesn't rule out are taken as a spanning forest, so
 a chunk yields fewer pairs than it has nodes, whatever its size. Pairs are verified on the sets. A pair that fails is
-remembered by its nodes, and chunks that hold such nodes of different components go round again without it, until no
-chunk has a pair to offer: then every link has both ends in one component.
+remembered by its nodes, and chunks that hold both of them go round again without it, until no chunk has a pair to
+offer: then every link has both ends in one component.
 
 Groups of more than one chunk: a node with fewer keys in such groups than it has lanes to spare (beyond d_k) meets all
 that it links with in smaller groups. The others are compared across chunks too: those outside of their group's
@@ -312,21 +312,27 @@ def _candidates(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.repartition("gid", "chunk").sortWithinPartitions("gid", "chunk", "node").mapInArrow(_near_within, "a bigint, b bigint").distinct()
 
 
-def _again(members: DataFrame, comps: DataFrame, missed: DataFrame, hot: DataFrame | None) -> DataFrame:
+def _again(members: DataFrame, comps: DataFrame, failed: DataFrame, last: DataFrame, hot: DataFrame | None) -> DataFrame:
     """Members of the chunks that have to go round again.
 
-    missed: node and failed (its pairs that did not link) of all rounds, and whether one is new. hot: the nodes that
-    groups of several chunks have to compare across chunks.
+    failed: all pairs (a, b) that did not link; last: those of the last round, of which a forest may have made use. hot:
+    the nodes that groups of several chunks have to compare across chunks.
     """
-    placed = members.join(comps.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(missed, "node", "left")
-    split = [F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.coalesce("new", F.lit(False))).alias("wanted")]
-    small = placed.where(F.col("size") <= BLOCK)
-    open_small = small.groupBy("gid").agg(*split).where("low != high and wanted").select("gid")
-    out = small.join(open_small, "gid").select("gid", "chunk", "node", "comp", "failed")
+    both = failed.select(F.col("a").alias("node"), F.col("b").alias("other")).union(failed.select("b", "a"))
+    missed = both.groupBy("node").agg(F.collect_list("other").alias("failed"))
+
+    def placed(some: DataFrame) -> DataFrame:
+        told = some.join(comps.select("node", "comp"), "node", "left").join(missed, "node", "left")
+        return told.withColumn("comp", F.coalesce("comp", "node"))
+
+    small = members.where(F.col("size") <= BLOCK).select("gid", "chunk", "node")
+    one = small.join(last, small["node"] == last["a"]).select(F.col("gid").alias("of"), "b")
+    held = small.join(one, (small["gid"] == one["of"]) & (small["node"] == one["b"]), "left_semi").select(F.col("gid").alias("of")).distinct()
+    out = placed(small.join(held, small["gid"] == held["of"], "left_semi")).select("gid", "chunk", "node", "comp", "failed")
     if hot is None:
         return out
-    large = placed.where(F.col("size") > BLOCK).join(hot, "node", "left_semi")
-    open_large = large.groupBy("gid").agg(*split).where("low != high").select("gid")
+    large = placed(members.where(F.col("size") > BLOCK).join(hot, "node", "left_semi"))
+    open_large = large.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("gid")
     most = large.groupBy("gid", "comp").agg(F.count("*").alias("many")).groupBy("gid").agg(F.max_by("comp", F.struct("many", "comp")).alias("main"))
     large = large.join(open_large, "gid").join(most, "gid")
     everywhere: Column = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("size") - 1) / BLOCK).cast("bigint"))
@@ -361,10 +367,8 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         for more in checked[1:]:
             every = every.union(more)
         comps = components.components(every.where("linked"))
-        told = every.where("not linked").withColumn("new", F.lit(False)).union(checked[-1].where("not linked").withColumn("new", F.lit(True)))
-        both = told.select(F.col("a").alias("node"), F.col("b").alias("other"), "new").union(told.select("b", "a", "new"))
-        missed = both.groupBy("node").agg(F.collect_set("other").alias("failed"), F.max("new").alias("new"))
-        pairs = common.cut(_candidates(_again(members, comps, missed, hot), nodes), "pairs")
+        failed, last = (x.where("not linked").select("a", "b") for x in (every, checked[-1]))
+        pairs = common.cut(_candidates(_again(members, comps, failed, last, hot), nodes), "pairs")
     placed = nodes.select("node", "rep").join(comps.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     lowest = placed.groupBy("comp").agg(F.min("rep").alias("least"))
     rows = common.cut(rows, "rows")
