@@ -65,11 +65,8 @@ def op8_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and whether decoding them gives the text back (U+2581 as the blank that it stands for)."""
-    model = vocabulary("piece_bpe_32k.model")
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce("text", F.lit("")).alias("whole"))
-    coded = streaming_viterbi.encode(docs, model, ("doc_id", "whole"))
-    back = streaming_viterbi.decode(coded, model, ("doc_id", "whole", "n_tokens", "ids"))
-    return back.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), (F.col("text") == F.translate("whole", streaming_viterbi.MARK, " ")).alias("restored"))
+    coded = streaming_viterbi.encode(common.table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), restored=True)
+    return coded.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "restored")
 
 
 def op10_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
