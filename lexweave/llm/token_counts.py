@@ -1,77 +1,98 @@
-"""Token counts with overlap resynchronisation for huge documents.
+"""Token counts with overlap resynchronisation.
 
-Texts under ``huge`` characters go through byte_pieces, which asks the library for each distinct piece once.
-A huge text is encoded in chunks that overlap, with offsets. Two neighbours are spliced at a common token
-boundary in the overlap that is proven stable: a blank before a non-space, at which every encoding of a chunk
-around it has a boundary. Where the overlap has no such place it is widened, at most to the end of the text;
-so the ids are the library's for any text, and memory is bounded by a chunk wherever words are bounded.
+Every text of more than a chunk is encoded in chunks that overlap, with offsets; shorter ones are one chunk. Two
+neighbours are spliced at a common token boundary in the overlap that is proven stable: a blank before a non-space, at
+which every encoding of a chunk around it has a boundary (no pre-token of a byte-level model goes on there, and added
+tokens hold no blank). Where the overlap has no such place it is widened, at most to the end of the text; so the counts
+are the library's for any text. Chunks of many texts go to the library in one call. Memory is bounded by a batch of
+chunks wherever words are bounded.
 
 Null and empty texts: 0 bytes, 0 tokens. Repeated rows are counted each. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import common
-from .byte_pieces import BytePieces
 
-HUGE, CHUNK, OVERLAP = 50_000, 16_384, 256
-#: Characters at a chunk's end where a cut added token could hide a boundary.
-GUARD = 64
+#: Characters of a chunk and of the overlap at first.
+CHUNK, OVERLAP = 2048, 128
 SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
 
 
-def resynced(library, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, guard: int = GUARD) -> Iterator[list[int]]:  # noqa: ANN001
-    """Ids of a text from overlapping chunks, a list for each chunk."""
+def stable(text: str, start: int, end: int) -> Iterator[int]:
+    """Places after start and before end - 1 where a blank precedes a non-space."""
+    at = text.find(" ", start + 1, end - 1)
+    while at >= 0:
+        if not text[at + 1].isspace():
+            yield at
+        at = text.find(" ", at + 1, end - 1)
 
-    def encode(start: int, end: int) -> tuple[list[int], list[int], int]:
-        e = library.encode(text[start:end], add_special_tokens=False)
-        return e.ids, [start + a for a, _ in e.offsets], min(end, len(text))
 
-    def stable(p: int) -> bool:
-        return text[p] == " " and not text[p + 1].isspace()
+def _boundary(encoding, at: int) -> int | None:  # noqa: ANN001
+    """The number of tokens before a place of the chunk, if one starts just there."""
+    token = encoding.char_to_token(at)
+    return token if token is not None and encoding.token_to_chars(token)[0] == at else None
 
-    start, kept_from = 0, 0  # of the left chunk; where its tokens begin to count
-    wide = overlap
-    ids, starts, end = encode(0, chunk + wide)
-    while end < len(text):
-        cut = start + chunk
-        right = encode(cut, cut + chunk + wide)
-        firsts, common_at = set(starts), None
-        reach = end - guard
-        for a in right[1]:
-            if a > cut and a < reach and a in firsts and a > kept_from and stable(a):
-                common_at = a
-                break
-        if common_at is None:  # no proven place: a wider overlap, from the same left chunk
-            wide *= 2
-            ids, starts, end = encode(start, cut + wide)
-            continue
-        yield [i for i, a in zip(ids, starts) if kept_from <= a < common_at]
-        start, kept_from, wide = cut, common_at, overlap
-        ids, starts, end = right
-    yield [i for i, a in zip(ids, starts) if a >= kept_from]
 
+def spliced(library, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLAP) -> list[list[list[int]]]:  # noqa: ANN001
+    """For each text its ids, a list for each chunk."""
+    spans = [(i, a, min(len(t), a + chunk + overlap)) for i, t in enumerate(texts) for a in range(0, max(1, len(t) - overlap), chunk)]
+    coded = library.encode_batch([texts[i][a:b] for i, a, b in spans], add_special_tokens=False)
+    out: list[list[list[int]]] = [[] for _ in texts]
+    k = 0
+    while k < len(spans):
+        i, start, end = spans[k]
+        left, first, text = coded[k], 0, texts[i]
+        k += 1
+        while k < len(spans) and spans[k][0] == i:
+            right, cut = coded[k], spans[k][1]
+            met = next(((a, b, at) for at in stable(text, cut, end) if (a := _boundary(left, at - start)) is not None and (b := _boundary(right, at - cut)) is not None and a >= first), None)
+            if met is not None:
+                out[i].append(left.ids[first : met[0]])
+                left, first, start, end = right, met[1], cut, spans[k][2]
+                k += 1
+            elif end < spans[k][2]:  # no proven place: the left chunk takes in more, up to the right one's end
+                end = min(spans[k][2], end + 2 * (end - cut))
+                left = library.encode(text[start:end], add_special_tokens=False)
+            else:  # nor up to there: the right chunk is part of the left one
+                k += 1
+        if end < len(text):
+            left = library.encode(text[start:], add_special_tokens=False)
+        out[i].append(left.ids[first:] if first else left.ids)
+    return out
 
-_encoders: dict[str, BytePieces] = {}
 
+def counted(library, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:  # noqa: ANN001
+    return [sum(map(len, parts)) for parts in spliced(library, texts, chunk, overlap)]
 
-def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, huge: int = HUGE, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of each row of docs."""
+
+_libraries: dict[str, object] = {}
+
+
+def _library(path: str):  # noqa: ANN202
+    if path not in _libraries:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        if any(" " in t.content for t in library.get_added_tokens_decoder().values()):
+            raise ValueError(f"{path} has added tokens with blanks, at which no boundary is proven")
+        _libraries[path] = library
+    return _libraries[path]
+
+
+def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of each row of docs, for a byte-level tokenizer."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if tokenizer not in _encoders:
-            _encoders[tokenizer] = BytePieces(tokenizer)
-        encoder, texts = _encoders[tokenizer], common.texts_of(batch)
-        counts = encoder.totals(["" if len(t) >= huge else t for t in texts])
-        for i, t in enumerate(texts):
-            if len(t) >= huge:
-                counts[i] = sum(map(len, resynced(encoder.library, t, chunk, overlap)))
+        counts = counted(_library(tokenizer), common.texts_of(batch), chunk, overlap)
         sizes = [len(b) for b in common.bytes_of(batch)]
         return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_bytes": pa.array(sizes, pa.int64()), "n_tokens": pa.array(counts, pa.int64()), "over_limit": pa.array([c > limit for c in counts], pa.bool_())})
 
-    return docs.select("doc_id", "text").mapInArrow(common.by_batch(kernel), SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(common.by_batch(kernel, 200), SCHEMA)
