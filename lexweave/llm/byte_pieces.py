@@ -14,7 +14,8 @@ from __future__ import annotations
 import os
 import re
 import string
-from itertools import filterfalse
+from itertools import chain, compress, filterfalse
+from operator import not_
 
 import numpy as np
 
@@ -77,17 +78,17 @@ class BytePieces:
 
     def _learn(self, new: set[str]) -> None:
         """A letter followed by ASCII marks up to the piece's end: the marks are a pre-token of their own."""
-        wanted, joined = set(), []
-        for c in new:
-            if c[-1] in _MARKS:
-                stem = c.rstrip(string.punctuation)
-                if stem and stem[-1] < "\u0250" and stem[-1].isalpha():
-                    tail = "\x01" + c[len(stem) :]
-                    joined.append((c, stem, tail))
-                    wanted.add(stem)
-                    wanted.add(tail)
-                    continue
-            wanted.add(c)
+        marked = [c for c in new if c[-1] in _MARKS]
+        wanted, joined = new.difference(marked), []
+        for c in marked:
+            stem = c.rstrip(string.punctuation)
+            if stem and stem[-1] < "\u0250" and stem[-1].isalpha():
+                tail = "\x01" + c[len(stem) :]
+                joined.append((c, stem, tail))
+                wanted.add(stem)
+                wanted.add(tail)
+            else:
+                wanted.add(c)
         wanted = list(filterfalse(self.known.__contains__, wanted))
         plain = [c for c in wanted if c[0] != "\x01" and c.split() == [c]]
         fresh = [c for c in wanted if c[0] == "\x01" and c[1:].split() == [c[1:]]]
@@ -105,22 +106,23 @@ class BytePieces:
 
     def _some(self, texts: list[str]) -> list[list]:
         cut = [self.pieces(t) for t in texts]
-        known = self.known
-        new = set()
-        for codes in cut:
-            if codes:
-                new.update(filterfalse(known.__contains__, codes))
+        rows = [list(map(self.known.get, codes)) if codes else [] for codes in cut]
+        missed = [list(compress(codes, map(not_, values))) if codes else [] for codes, values in zip(cut, rows)]  # no piece is without ids
+        new = set(chain.from_iterable(missed))
         if new:
-            if len(known) + len(new) > self.held // 2:  # the pieces met since then outlive the next turn
-                self.older, known = known, {}
-                self.known = known
-                new = {c for codes in cut if codes for c in codes}
-            back = [c for c in new if c in self.older]
-            for c in back:
-                known[c] = self.older[c]
+            if len(self.known) + len(new) > self.held // 2:
+                self.older, self.known = self.known, {}
+            back = {c: v for c in new if (v := self.older.get(c)) is not None}
+            self.known.update(back)
             self._learn(new.difference(back) if back else new)
-        get = known.__getitem__
-        return [[self._value(self.library.encode(t, add_special_tokens=False).ids)] if codes is None else list(map(get, codes)) for t, codes in zip(texts, cut)]
+        known = self.known
+        out = []
+        for t, codes, values, gone in zip(texts, cut, rows, missed):
+            if codes is None:
+                out.append([self._value(self.library.encode(t, add_special_tokens=False).ids)])
+            else:
+                out.append([v or known[c] for c, v in zip(codes, values)] if gone else values)
+        return out
 
     def totals(self, texts: list[str]) -> list[int] | list[bytes]:
         """For each text the number of its ids, or their bytes."""

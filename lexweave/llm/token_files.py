@@ -48,7 +48,8 @@ class EliasFano:
         return cls(n, bits, np.packbits(rows.ravel(), bitorder="little"), np.packbits(flags, bitorder="little"), ones[::STRIDE].astype(np.uint64))
 
     def to_bytes(self) -> bytes:
-        return struct.pack("<QBQQ", self.n, self.low_bits, len(self.low), len(self.high)) + self.low.tobytes() + self.high.tobytes() + self.marks.astype("<u8").tobytes()
+        wide = self.marks.astype("<u8").view(np.uint8).reshape(len(self.marks), 8)[:, : _bytes_for(8 * len(self.high))]
+        return struct.pack("<QBQQ", self.n, self.low_bits, len(self.low), len(self.high)) + self.low.tobytes() + self.high.tobytes() + wide.tobytes()
 
     @classmethod
     def from_buffer(cls, data: memoryview, at: int) -> tuple[EliasFano, int]:
@@ -56,8 +57,10 @@ class EliasFano:
         at += 25
         low = np.frombuffer(data, np.uint8, lows, at)
         high = np.frombuffer(data, np.uint8, highs, at + lows)
-        marks = np.frombuffer(data, "<u8", -(-n // STRIDE), at + lows + highs)
-        return cls(n, bits, low, high, marks), at + lows + highs + 8 * len(marks)
+        each, count = _bytes_for(8 * highs), -(-n // STRIDE)
+        marks = np.zeros((count, 8), dtype=np.uint8)
+        marks[:, :each] = np.frombuffer(data, np.uint8, count * each, at + lows + highs).reshape(count, each)
+        return cls(n, bits, low, high, marks.view("<u8").ravel()), at + lows + highs + count * each
 
     def select(self, i: int) -> int:
         """Number i, from the nearest mark and the bytes after it."""
@@ -77,14 +80,27 @@ class EliasFano:
             low |= (int(self.low[p // 8]) >> (p % 8) & 1) << b
         return (one - i) << self.low_bits | low
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        low = np.zeros(self.n, dtype=np.uint64)
-        if self.low_bits and self.n:
-            flags = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-            for b in range(self.low_bits):
-                low |= flags[:, b].astype(np.uint64) << np.uint64(b)
-        return ((ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)) | low
+    def between(self, a: int, b: int) -> np.ndarray:
+        """Numbers a to b - 1: the bits from the mark before a to the mark after b are looked at, no others."""
+        if a >= b:
+            return np.zeros(0, dtype=np.uint64)
+        first, last = a // STRIDE, -(-b // STRIDE)
+        begin = int(self.marks[first]) // 8
+        end = int(self.marks[last]) // 8 + 1 if last < len(self.marks) else len(self.high)
+        flags = np.unpackbits(self.high[begin:end], bitorder="little")
+        flags[: int(self.marks[first]) - 8 * begin] = 0
+        ones = np.flatnonzero(flags)[a - first * STRIDE : b - first * STRIDE] + 8 * begin
+        low = np.zeros(b - a, dtype=np.uint64)
+        if self.low_bits:
+            at = a * self.low_bits
+            flags = np.unpackbits(self.low[at // 8 : (b * self.low_bits + 7) // 8], bitorder="little")[at % 8 :][: (b - a) * self.low_bits].reshape(b - a, self.low_bits)
+            for k in range(self.low_bits):
+                low |= flags[:, k].astype(np.uint64) << np.uint64(k)
+        return ((ones - np.arange(a, b)).astype(np.uint64) << np.uint64(self.low_bits)) | low
+
+
+def _bytes_for(most: int) -> int:
+    return max(1, (most.bit_length() + 7) // 8)
 
 
 def file_bytes(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
@@ -107,8 +123,14 @@ class TokenFile:
         self.ends, at = EliasFano.from_buffer(memoryview(data), at)
         self.ids = np.frombuffer(data, f"<u{width}", self.size, at)
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.nulls + [self.least + int(g) for g in self.names.all()]
+    def doc_ids(self, a: int, b: int) -> list[int | None]:
+        """Names of documents a to b - 1 of the file."""
+        unknown = max(0, min(b, self.nulls) - a)
+        return [None] * unknown + [self.least + int(g) for g in self.names.between(a + unknown - self.nulls, b - self.nulls)]
+
+    def bounds(self, a: int, b: int) -> np.ndarray:
+        """Begin of document a and ends of documents a to b - 1."""
+        return np.append(self.ends.select(a - 1) if a else 0, self.ends.between(a, b)).astype(np.int64)
 
     def document(self, i: int) -> np.ndarray:
         """Ids of document i of the file, by two selects."""
@@ -203,13 +225,13 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                 source, path = common.opened(uri)
                 with source.open_input_stream(path) as src:
                     held = TokenFile(src.read())
-                names, ends = held.doc_ids(), held.ends.all().astype(np.int64)
                 for at in range(0, held.docs, 1000):
                     to = min(at + 1000, held.docs)
-                    begins = np.concatenate([ends[at - 1 : at] if at else [0], ends[at : to - 1]]).astype(np.int64)
+                    cuts = held.bounds(at, to)
+                    own, cut = held.ids[cuts[0] : cuts[-1]].astype("<u4").tobytes(), 4 * (cuts - cuts[0])
                     yield pa.RecordBatch.from_pydict({
-                        "doc_id": pa.array(names[at:to], pa.int64()), "start": pa.array(start + begins), "n_tokens": pa.array(ends[at:to] - begins),
-                        "ids": pa.array([held.ids[a:b].astype("<u4").tobytes() for a, b in zip(begins, ends[at:to])], pa.binary()),
+                        "doc_id": pa.array(held.doc_ids(at, to), pa.int64()), "start": pa.array(start + cuts[:-1]), "n_tokens": pa.array(np.diff(cuts)),
+                        "ids": pa.array([own[a:b] for a, b in zip(cut.tolist(), cut[1:].tolist())], pa.binary()),
                     })
 
     return spark.createDataFrame(files, "uri string, start bigint").repartition(len(files)).mapInArrow(read, schema)
