@@ -1,16 +1,19 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
 
 Texts and items are normalised to lower-case ASCII letters, digits and bytes above ASCII, words parted by one blank.
-A window is as many words of a document as an item has, placed where uncommon words of the item stand: windows
-without SEED_SHARE of them are too far from the item to count. The CGK walk copies a byte to each of 3 L places and
-moves on or stays by a random bit of (place, byte), so strings at edit distance k agree on all but O(k^2) places, most
-on far more. WALKS walks with TABLES samples of SAMPLE places each make the LSH keys; an item and a window that agree
-on a key are compared by edit distance (bit-parallel, the window's surroundings free at both ends). A hit is a distance
-of at most RATE of the item's length. Recall against all windows at 10 % random edits is measured in the tests.
+The CGK walk of a string copies a byte to each place and moves on or stays by a random bit of (place, byte), so strings
+at a small edit distance agree on most places: after an edit the two walks fall into step again. WALKS walks with TABLES
+samples of SAMPLE places each give the LSH keys. Samples lie in a walk's first DEPTH places, where few edits have been
+met; and as an edit spoils some of an item's windows only, windows start at every word of an item and at every
+STRIDE-th word of a document, without regard to what the words are. A key that two of them share sets the item against
+the window of the document that has the item's size at the same offset, and that is compared by edit distance
+(bit-parallel, the window's surroundings free at both ends). A hit is a distance of at most RATE of the item's length.
+Recall at each rate of edits up to RATE, and with a letter changed in every longer word, is measured in the tests.
 
 The items are the only side that is broadcast, in blocks of at most ITEM_BYTES of text; documents never move.
-Items with fewer than LEAST words, null ones too, are no evidence and match nothing. Null texts match nothing.
-Repeated items and documents are reported each; other columns are not read.
+An item of fewer than LEAST words or DEPTH // 2 bytes is found in documents that hold nothing else, as a common phrase
+is no evidence; items without words, null ones too, match nothing. Null texts match nothing. Repeated items and
+documents are reported each; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,14 +28,13 @@ from pyspark.sql import DataFrame
 
 from . import common
 
-RATE, LEAST, SEED_SHARE = 0.15, 5, 0.2
-WALKS, TABLES, SAMPLE, SEED = 4, 24, 4, 20240229
-ITEM_BYTES = 32 << 20
-#: A word is a seed of an item if it stands in at most so many items, or in at most so large a share of them.
-SEED_ITEMS, SEED_ITEM_SHARE = 3, 0.02
-#: Words of so many bytes are seeds where an item has so many of them; others are seeds of items without.
-SEED_BYTES, SEED_WORDS = 6, 6
+RATE, LEAST = 0.15, 5
+WALKS, TABLES, SAMPLE, DEPTH, STRIDE, SEED = 2, 4, 14, 48, 2, 20240229
+ITEM_BYTES = 8 << 20
+#: Windows that walk together.
+TOGETHER = 16_384
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(raw: bytes) -> list[bytes]:
@@ -66,110 +68,104 @@ def distance(pattern: bytes, text: bytes) -> tuple[int, int]:
     return best, end
 
 
+def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Normalised texts one after the other with room for a walk at the end, where each begins, and all word starts."""
+    begins = np.cumsum([0, *[len(t) + 1 for t in texts]])
+    raw = np.frombuffer(b"\0".join(texts) + bytes(DEPTH + 1), dtype=np.uint8)
+    last = int(begins[-1]) - 1
+    starts = np.append(0, np.flatnonzero((raw[:last] == 32) | (raw[:last] == 0)) + 1)
+    return raw, begins, starts[raw[starts] != 0]
+
+
 class Items:
-    """Seeds and LSH tables of a block of items."""
+    """LSH tables of a block of items."""
 
     def __init__(self, items: list[tuple[int, bytes]]) -> None:
-        self.items = [(i, w) for i, text in items if len(w := words_of(text)) >= LEAST]
-        self.texts = [b" ".join(w) for _, w in self.items]
-        often: dict[bytes, int] = defaultdict(int)
-        for _, w in self.items:
-            for x in set(w):
-                often[x] += 1
-        most = max(SEED_ITEMS, SEED_ITEM_SHARE * len(self.items))
-        self.seeds: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        self.needed = []
-        for n, (_, w) in enumerate(self.items):
-            rare = [j for j, x in enumerate(w) if often[x] <= most] or list(range(len(w)))
-            long = [j for j in rare if len(w[j]) >= SEED_BYTES]
-            rare = long if len({w[j] for j in long}) >= SEED_WORDS else rare
-            for j in rare:
-                self.seeds[w[j]].append((n, j))
-            self.needed.append(max(1, int(SEED_SHARE * len({w[j] for j in rare}))))
-        self.seed_set = frozenset(self.seeds)
-        self.longest = max(map(len, self.texts), default=0)
+        told = [(i, b" ".join(w), len(w)) for i, text in items if (w := words_of(text))]
+        self.short: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        for i, text, n in told:
+            if n < LEAST or len(text) < DEPTH // 2:
+                self.short[text].append((i, n))
+        self.items = [x for x in told if x[2] >= LEAST and len(x[1]) >= DEPTH // 2]
+        self.texts = [x[1] for x in self.items]
         rng = np.random.default_rng(SEED)
-        self.places = 3 * self.longest
-        self.steps = rng.integers(0, 2, (WALKS, self.places, 256), dtype=np.uint8)
-        # places beyond a string's own 3 L hold the same filler for all, so they are sampled from what each string has
-        self.picks = np.sort(rng.random((WALKS, TABLES, SAMPLE)), axis=2)
-        self.weights = rng.integers(1, 1 << 62, SAMPLE, dtype=np.int64) | 1
-        self.tables: list[dict[int, list[int]]] = [defaultdict(list) for _ in range(WALKS * TABLES)]
-        if self.texts:
-            for n, keys in enumerate(self.keys(self.texts, [len(t) for t in self.texts])):
-                for table, key in zip(self.tables, keys.tolist()):
-                    table[key].append(n)
-
-    def keys(self, strings: list[bytes], lengths: list[int]) -> np.ndarray:
-        """LSH keys (strings x tables); lengths: of the item that each string is held against."""
-        m, width = len(strings), max(map(len, strings)) + 1
-        raw = np.zeros((m, width), dtype=np.uint8)
-        for i, s in enumerate(strings):
-            raw[i, : len(s)] = np.frombuffer(s, dtype=np.uint8)
-        ends, rows = np.array([len(s) for s in strings]), np.arange(m)
-        spans = 3 * np.array(lengths)
-        out = np.empty((m, WALKS * TABLES), dtype=np.int64)
+        self.steps = rng.integers(0, 2, (WALKS, DEPTH, 256), dtype=np.int64)
+        self.weights = np.zeros((WALKS, TABLES, DEPTH))
         for w in range(WALKS):
-            at, walked = np.zeros(m, dtype=np.int64), np.empty((int(spans.max()), m), dtype=np.uint8)
-            for t in range(len(walked)):
-                c = raw[rows, at]
-                walked[t] = c
-                at = np.minimum(at + self.steps[w, t][c], ends)
-            for k in range(TABLES):
-                places = (self.picks[w, k][None, :] * spans[:, None] * 0.6).astype(np.int64)  # most walks end by 2 L
-                picked = walked[places.T, rows[None, :]].astype(np.int64)
-                out[:, w * TABLES + k] = (picked.T * self.weights).sum(axis=1)
-        return out
-
-    def windows(self, words: list[bytes]) -> list[tuple[int, int]]:
-        """(item, first word) of windows that hold enough seeds of the item."""
-        seeds = self.seed_set
-        at = [i for i, w in enumerate(words) if w in seeds]
-        if not at:
-            return []
-        near: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
-        for i in at:
-            for n, j in self.seeds[words[i]]:
-                near[n][i - j].add(j)
-        out = []
-        for n, starts in near.items():
-            if len(starts) == 1 and self.needed[n] > 1 and len(next(iter(starts.values()))) < self.needed[n]:
+            for t in range(TABLES):  # sums of whole numbers under 2^53 are exact in any order
+                self.weights[w, t, rng.permutation(DEPTH)[:SAMPLE]] = rng.integers(1, 1 << 40, SAMPLE)
+        raw, begins, starts = joined(self.texts)
+        owner = np.searchsorted(begins, starts, side="right") - 1
+        roomy = begins[owner + 1] - 1 - starts >= DEPTH // 2 if self.texts else np.zeros(len(starts), dtype=bool)
+        starts, owner = starts[roomy], owner[roomy]
+        self.tables = []
+        keys = self.keys(raw, starts) if len(starts) else np.zeros((WALKS * TABLES, 0))
+        self.bits = max(16, (16 * len(starts)).bit_length())
+        for row in keys:
+            order = np.argsort(row, kind="stable")
+            seen = np.zeros(1 << self.bits, dtype=bool)
+            seen[self._slot(row)] = True
+            self.tables.append((seen, row[order], owner[order], (starts - begins[owner])[order]))
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * _SPREAD) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def keys(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """LSH keys (tables x windows) of the windows that start there."""
+        out = np.empty((WALKS, TABLES, len(starts)))
+        for a in range(0, len(starts), TOGETHER):
+            own = starts[a : a + TOGETHER]
+            walked = np.empty((DEPTH, len(own)))
+            for w in range(WALKS):
+                at = own.copy()
+                for t in range(DEPTH):
+                    c = raw[at]
+                    walked[t] = c
+                    at += self.steps[w, t][c]
+                out[w, :, a : a + len(own)] = self.weights[w] @ walked
+        return out.reshape(WALKS * TABLES, len(starts))
+
+    def candidates(self, raw: np.ndarray, begins: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
+        """(text, item, begin) where an item of a key in common would begin, counted from its text's first byte."""
+        found = set()
+        for (seen, keys, items, offsets), row in zip(self.tables, self.keys(raw, starts)):
+            at = np.flatnonzero(seen[self._slot(row)])
+            low, high = np.searchsorted(keys, row[at], side="left"), np.searchsorted(keys, row[at], side="right")
+            at, low, high = at[high > low], low[high > low], high[high > low]
+            if not len(at):
                 continue
-            order, slack = sorted(starts), max(2, len(self.items[n][1]) // 8)
-            first = 0
-            while first < len(order):
-                last, held = first, set(starts[order[first]])
-                while last + 1 < len(order) and order[last + 1] - order[last] <= slack:
-                    last += 1
-                    held |= starts[order[last]]
-                if len({self.items[n][1][j] for j in held}) >= self.needed[n]:
-                    out += [(n, s) for s in order[first : last + 1]]
-                first = last + 1
-        return out
+            each = np.repeat(low - np.cumsum(high - low) + (high - low), high - low) + np.arange(int((high - low).sum()))
+            place = np.repeat(starts[at], high - low)
+            text = np.searchsorted(begins, place, side="right") - 1
+            found.update(zip(text.tolist(), items[each].tolist(), (place - begins[text] - offsets[each]).tolist()))
+        return sorted(found)
 
     def hits(self, texts: list[bytes], rate: float) -> Iterator[tuple[int, int, int, int, int]]:
-        """(text, item, distance, first word, words) of each item in each text: its nearest place."""
-        found, strings, lengths = [], [], []
-        for d, raw in enumerate(texts):
-            words = words_of(raw)
-            for n, s in self.windows(words):
-                size = len(self.items[n][1])
-                a, b = max(0, s), min(len(words), s + size)
-                window = b" ".join(words[a:b])[: len(self.texts[n])]
-                pad = size // 4 + 1
-                found.append((d, n, a, b"\x20".join(words[max(0, a - pad) : b + pad])))
-                strings.append(window)
-                lengths.append(len(self.texts[n]))
+        """(text, item_id, distance, first word, words) of each item in each text: its nearest place."""
+        plain = [b" ".join(words_of(t)) for t in texts]
+        for d, text in enumerate(plain):
+            for i, n in self.short.get(text, ()) if text else ():
+                yield d, i, 0, 0, n
+        if not self.texts or not any(plain):
+            return
+        raw, begins, starts = joined(plain)
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for at in range(0, len(found), 512):
-            keys = self.keys(strings[at : at + 512], lengths[at : at + 512])
-            for (d, n, a, around), own in zip(found[at : at + 512], keys.tolist()):
-                if any(n in table.get(k, ()) for table, k in zip(self.tables, own)):
-                    apart, _ = distance(self.texts[n], around)
-                    if apart <= rate * len(self.texts[n]) and (apart, a) < best.get((d, n), (1 << 60, 0)):
-                        best[d, n] = (apart, a)
+        place = None  # (text, item, first begin, last begin) of candidates whose windows overlap
+        for d, n, at in [*self.candidates(raw, begins, starts[::STRIDE]), (-1, -1, -1)]:
+            if place and place[:2] == (d, n) and at - place[3] <= len(self.texts[n]) // 4:
+                place = (d, n, place[2], at)
+                continue
+            if place:
+                e, m, a, b = place
+                item = self.texts[m]
+                pad = int(rate * len(item)) + 1
+                begin = max(0, a - pad)
+                apart, _ = distance(item, plain[e][begin : b + len(item) + pad])
+                if apart <= rate * len(item) and (apart, a) < best.get((e, m), (1 << 60, 0)):
+                    best[e, m] = (apart, max(0, a))
+            place = (d, n, at, at)
         for (d, n), (apart, a) in sorted(best.items()):
-            yield d, n, apart, a, len(self.items[n][1])
+            yield d, self.items[n][0], apart, plain[d].count(b" ", 0, a), self.items[n][2]
 
 
 def blocks(benchmark: DataFrame, most: int = ITEM_BYTES) -> Iterator[list[tuple[int, bytes]]]:
@@ -209,7 +205,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame
         def kernel(batch: pa.RecordBatch, held=held, block=uuid.uuid4().hex) -> pa.RecordBatch:  # noqa: ANN001
             items = _items(block, held)
             names = batch.column("doc_id").to_pylist()
-            rows = [(names[d], items.items[n][0], apart, a, size) for d, n, apart, a, size in items.hits(common.bytes_of(batch), rate)]
+            rows = [(names[d], *rest) for d, *rest in items.hits(common.bytes_of(batch), rate)]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, _HIT_FIELDS)], schema=_HIT_FIELDS)
 
         part = docs.select("doc_id", "text").mapInArrow(common.by_batch(kernel), _HITS)

@@ -56,22 +56,28 @@ def test_pieces_equal_the_library():
     for t, ids in zip(texts, whole.totals(texts)):
         want = whole.library.encode(t, add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == want, t
-        assert sum(token_counts.resynced(whole.library, t, 11, 4, 14), []) == want, t
+    for t, parts in zip(texts, token_counts.spliced(whole.library, texts, 11, 4)):
+        assert sum(parts, []) == whole.library.encode(t, add_special_tokens=False).ids, t
 
 
 def test_token_counts(docs, none):
     library = byte_pieces.BytePieces(BPE).library
-    got = by_row(token_counts.count_tokens(docs, BPE, huge=2000, chunk=500, overlap=8), "doc_id", "n_bytes", "n_tokens", "over_limit")
+    got = by_row(token_counts.count_tokens(docs, BPE, chunk=50, overlap=8), "doc_id", "n_bytes", "n_tokens", "over_limit")
     want = [(d, len((t or "").encode()), n := len(library.encode(t or "", add_special_tokens=False).ids), n > 512) for d, t, *_ in ROWS]
     assert got == sorted(map(repr, want))
     assert token_counts.count_tokens(none, BPE).count() == 0
+    ordinary = [t for t in TEXTS if t and 200 < len(t) < 2000]
+    assert ordinary and all(len(parts) > 1 for parts in token_counts.spliced(library, ordinary, 50, 8))
 
 
 def test_elias_fano():
     for values in ([], [0], [7], [0, 0, 0], [1, 2, 3, 10**12], sorted(rnd.randrange(10**9) for _ in range(3000))):
         e = token_files.EliasFano.of(np.array(values, dtype=np.uint64))
         back, _ = token_files.EliasFano.from_buffer(memoryview(e.to_bytes()), 0)
-        assert back.all().tolist() == values and [back.select(i) for i in range(len(values))] == values
+        assert back.between(0, len(values)).tolist() == values and [back.select(i) for i in range(len(values))] == values
+        for _ in range(20):
+            a, b = sorted(rnd.randint(0, len(values)) for _ in range(2))
+            assert back.between(a, b).tolist() == values[a:b]
 
 
 def test_token_files(spark, docs, none):
@@ -105,7 +111,16 @@ def test_streaming_viterbi(docs, none):
         ids = np.frombuffer(model.encode(t), "<u4").tolist()
         assert ids == library.encode(t), t
         assert model.decode(np.array(ids, dtype=int)) == library.decode(ids)
+    text = "".join(BASE)  # ordinary texts are committed while they run, but for their last characters
+    codes = np.array([ord(c) for c in "▁" + text.replace(" ", "▁")])
+    ends, ids, late, early = model.lanes(model.classes[codes], np.array([0]), np.array([len(codes)]))
+    assert not len(late) and 0.9 * len(ids) < early < len(ids) and (np.diff(np.sort(ends)) <= model.longest).all()
+    # with a window too small for most of the paths, stretches go the way of the growing window
+    few = model.lanes(model.classes[codes], np.array([0]), np.array([len(codes)]), window=model.longest + 20)
+    assert list(few[2]) == [0] and not len(few[1])
     coded = streaming_viterbi.encode(docs, PIECES)
+    again = {r["doc_id"]: r["restored"] for r in streaming_viterbi.encode(docs, PIECES, ("doc_id", "lang"), restored=True).collect()}
+    assert all(again.values())
     assert by_row(streaming_viterbi.decode(coded, PIECES), "doc_id", "text") == sorted(map(repr, ((d, t or "") for d, t, *_ in ROWS)))
     assert streaming_viterbi.encode(none, PIECES).count() == 0
 
@@ -345,20 +360,47 @@ def test_decontamination(spark, none):
             for j, d in enumerate(t, 1):
                 row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (c != d)))
         assert decontamination.distance(p, t)[0] == min(row)
-    docs, want = [(1000, None), (1001, ""), (1002, "clean words alone " * 50)], set()
+    docs, want = [(1000, None), (1001, ""), (1002, "clean words alone " * 50), (1003, "TOO, short!"), (1004, "too short but more"), (1005, "lead " * 30_000 + items[3][1])], {(1003, 78), (1006, 80)}
     for i, t in items:
-        s = list(t.upper() if i % 2 else t)
-        for _ in range(len(s) // 20 if i % 3 else 0):
-            s[rnd.randrange(len(s))] = "x"
-        docs.append((i, "lead in words here " + "".join(s) + " and a tail of words"))
-        want.add((i, i))
-    df, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([*items, (77, None), (78, "too short")], "item_id bigint, text string")
-    got = {(r["doc_id"], r["item_id"]) for r in decontamination.hits(df, bench).collect()}
-    assert got <= want and len(got) >= 0.9 * len(want)
-    assert {r["doc_id"] for r in decontamination.clean(df, bench).collect()} == {d for d, _ in docs} - {d for d, _ in got}
+        docs.append((i, "lead in words here " + (t.upper() if i % 2 else t) + " and a tail of words"))
+    for d, t in docs:
+        text = b" ".join(decontamination.words_of((t or "").encode()))
+        want |= {(d, i) for i, item in items if decontamination.distance(item.encode(), text)[0] <= decontamination.RATE * len(item)}
+    assert {(i, i) for i, _ in items} <= want
+    long = " ".join(f"part{i * i}" for i in range(9000))
+    df = spark.createDataFrame([(*d, "x") for d in docs] + [(1006, "so " + long, "x"), (1006, "so " + long, "x")], "doc_id bigint, text string, item_id string")
+    bench = spark.createDataFrame([*items, (77, None), (78, "too short"), (79, ""), (80, long)], "item_id bigint, text string")
+    rows = decontamination.hits(df, bench).collect()
+    got = {(r["doc_id"], r["item_id"]) for r in rows}
+    assert got == want and len(rows) == len(want) + 1
+    assert sorted(r["doc_id"] for r in decontamination.clean(df, bench).collect()) == [1000, 1001, 1002, 1004]
     assert decontamination.hits(none, bench).count() == 0 and decontamination.hits(df, bench.where("false")).count() == 0
 
 
+def test_decontamination_recall_at_every_rate(spark):
+    """Of all items within RATE of a place in a text, by exact distance to the whole text, at least nine tenths are found."""
+    syllables = ["ca", "mor", "li", "te", "an", "der", "so", "pu", "ge", "win", "ta", "re"]
+    rows = [(i, " ".join("".join(random.Random(i * 999 + k * 31 + j).choice(syllables) for j in range(1 + (i + k) % 4)) for k in range(12 + i % 40)).encode()) for i in range(150)]
+    block = decontamination.Items(rows)
+    r = random.Random(5)
+
+    def edited(text, rate):
+        s = list(text.decode())
+        for _ in range(int(rate * len(s))):
+            at, kind = r.randrange(len(s)), r.randrange(3)
+            s[at : at + (kind != 1)] = [r.choice("abcdefgh ")] if kind else []
+        return "".join(s).encode()
+
+    def spoilt(text):
+        return b" ".join(w[: len(w) // 2] + b"q" + w[len(w) // 2 + 1 :] if len(w) >= 6 else w for w in text.split())
+
+    for change in [*[lambda t, x=x: edited(t, x) for x in (0, 0.05, 0.1, 0.12, 0.14)], spoilt]:
+        texts = [b"words that lead in " + change(t) + b" and some that follow" for _, t in rows]
+        near = {(d, d) for d, t in enumerate(texts) if decontamination.distance(block.texts[d], b" ".join(decontamination.words_of(t)))[0] <= decontamination.RATE * len(block.texts[d])}
+        got = {h[:2] for h in block.hits(texts, decontamination.RATE)}
+        assert len(near) > 100 and len(near & got) >= 0.9 * len(near), len(near & got) / len(near)
+
+
 def test_text_stats_of_long_and_empty_texts():
     assert text_stats.of("", b"")[:3] == (0, 0, 0)
     t = "a b c " * 3000
