@@ -17,10 +17,15 @@ from lexweave.llm.queries import vocabulary
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the rule ensemble rejects; it is fitted on the labels of the documents given."""
-    scored = rule_ensemble.scored(docs, common.table(spark, sf_dir, "labels"), ("doc_id",))
-    verdict = scored.groupBy("doc_id").agg(F.max("predicted").alias("__kept"))
-    return _semi(docs, verdict.where("__kept = 1"))
+    """Drops rows that the rule ensemble rejects; it is fitted on the labels of the documents given.
+
+    The verdict is of a row's own text: rows that share a doc_id are judged apart.
+    """
+    told = docs.withColumn("__th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    scored = rule_ensemble.scored(told, common.table(spark, sf_dir, "labels"), ("doc_id", "__th"))
+    rejected = common.cut(scored.where("predicted = 0").select(F.col("doc_id").alias("__doc_id"), F.col("__th").alias("__of")).distinct(), "rejected")
+    names = F.broadcast(rejected) if rejected.count() <= parity_join.BROADCAST_ROWS else rejected
+    return told.join(names, (F.col("__th") == F.col("__of")) & F.col("doc_id").eqNullSafe(F.col("__doc_id")), "left_anti").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,12 +48,6 @@ def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return streaming_viterbi.encode(docs, vocabulary("piece_bpe_32k.model"), ("doc_id", "lang", "source"))
 
 
-def _semi(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id, null included, is in kept."""
-    names = kept.select(F.col("doc_id").alias("__doc_id"))
-    return docs.join(names, docs["doc_id"].eqNullSafe(names["__doc_id"]), "left_semi")
-
-
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality classifier", keep_quality),
     ("n-gram Jaccard join", drop_near_duplicates),
