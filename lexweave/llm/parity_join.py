@@ -13,11 +13,11 @@ equal (pigeonhole), so sets meet on equal lanes:
   - Equal sets are one node from the start, however many documents have them.
 
 Keys travel as packed blocks, not as rows. Groups of nodes under a key are kept once for each distinct set of nodes, in
-chunks of BLOCK nodes. A chunk is joined in place: nodes carry a parity sketch of about 1.5 to 3 bits a token, whose
-Hamming distance bounds the symmetric difference, and pairs that it doesn't rule out are taken as a spanning forest, so
-a chunk yields fewer pairs than it has nodes, whatever its size. Pairs are verified on the sets. A pair that fails is
-remembered by its nodes, and chunks that hold both of them go round again without it, until no chunk has a pair to
-offer: then every link has both ends in one component.
+chunks of BLOCK nodes. A chunk is joined in place: nodes carry a parity sketch of 1.5 to 3 bits a token (small ones of 1,024 bits), whose
+Hamming distance bounds the symmetric difference. Pairs that are well within the bound are taken as a spanning forest,
+fewer than the chunk has nodes; pairs near the bound are taken all, where the forest does not join them. Pairs are
+verified on the sets. Where a pair fails and its nodes are in different components, the chunks that hold both go round
+again without it, until no chunk has a pair to offer: then every link has both ends in one component.
 
 Groups of more than one chunk: a node with fewer keys in such groups than it has lanes to spare (beyond d_k) meets all
 that it links with in smaller groups. The others are compared across chunks too: those outside of their group's
@@ -43,6 +43,8 @@ from . import common, components, shingles
 
 #: Lanes over those that the pigeonhole needs; nodes in a chunk of a group; rows that may be broadcast (24 bytes each).
 SLACK, BLOCK, BROADCAST_ROWS = 1.3, 1024, 500_000
+#: Share of the bound up to which a suggested symmetric difference is taken for a link, until it is verified.
+SURE = 0.85
 #: Bytes of text behind a part of the keys.
 PART_BYTES = 16 << 20
 _K1, _K2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -89,8 +91,8 @@ def keys_of(tokens: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def width(n: int) -> int:
-    """Bits of the parity sketch of a set of n tokens: a power of two of at least 1.5 n."""
-    return max(64, 1 << (3 * n // 2 - 1).bit_length())
+    """Bits of the parity sketch of a set of n tokens: a power of two of at least 1.5 n + 500."""
+    return 1 << (3 * n // 2 + 499).bit_length()
 
 
 def sketch(tokens: np.ndarray) -> bytes:
@@ -245,15 +247,28 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def forest(node: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: np.ndarray, failed: list) -> list[tuple[int, int]]:
-    """Pairs (i, j) that join what sketches allow to link: fewer than there are components to begin with.
+    """Pairs (i, j) to verify: if all link that seem to, what sketches allow to link is joined.
 
+    Where the symmetric difference that a sketch suggests is well under the bound, a pair is taken to link: such pairs
+    are found as a spanning forest. Pairs near the bound are all returned, but for those that the forest joins.
     failed: for each node the nodes that it is known not to link with, or None.
     """
-    out = []
     _, root = np.unique(comp, return_inverse=True)
+    half = bits.shape[1] * 32.0
+    if np.bincount(root).max() > 1:  # the largest component last: nothing is left to do once the others are through
+        order = np.argsort(root == np.bincount(root).argmax(), kind="stable")
+        return [(min(int(order[i]), int(order[j])), max(int(order[i]), int(order[j]))) for i, j in _forest(node[order], root[order], n[order], bits[order], [failed[k] for k in order], half)]
+    return _forest(node, root, n, bits, failed, half)
+
+
+def _forest(node: np.ndarray, root: np.ndarray, n: np.ndarray, bits: np.ndarray, failed: list, half: float) -> list[tuple[int, int]]:
+    out, unsure = [], []
+    root = root.copy()
     for i in range(len(node) - 1):
         j = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
         if not len(j):
+            if i % 16 == 0 and (root[i:] == root[i]).all():
+                break
             continue
         j = j[100 * np.minimum(n[j], n[i]) >= 80 * np.maximum(n[j], n[i])]
         apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1)
@@ -262,11 +277,21 @@ def forest(node: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: np.ndarray,
         if failed[i] is not None and len(j):
             open_ = ~np.isin(node[j], failed[i])
             j, apart = j[open_], apart[open_]
+        if not len(j):
+            continue
+        suggested = -half * np.log(np.maximum(1 - apart / half, 1e-9))
+        sure = 9 * suggested <= SURE * (n[j] + n[i])
+        if not sure.all():
+            unsure.append(np.stack([np.full(int((~sure).sum()), i), j[~sure]], axis=1))
+            j, apart = j[sure], apart[sure]
         if len(j):
             order = np.lexsort((j, apart))
             found, at = np.unique(root[j[order]], return_index=True)
             out += [(i, int(x)) for x in j[order[at]]]
             root[np.isin(root, found)] = root[i]
+    if unsure:
+        rest = np.concatenate(unsure)
+        out += [(int(i), int(j)) for i, j in rest[root[rest[:, 0]] != root[rest[:, 1]]]]
     return out
 
 
@@ -356,9 +381,8 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     none = F.lit(None).cast("array<bigint>")
     pairs = common.cut(_candidates(members.select("gid", "chunk", "node", F.col("node").alias("comp"), none.alias("failed")), nodes), "pairs")
-    checked, comps, first = [], None, True
-    while first or pairs.limit(1).count():
-        first = False
+    checked, comps = [], None
+    while comps is None or pairs.limit(1).count():
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         sets = common.cut(_sets(docs, nodes.select("node", "rep").join(ends, "node")), "sets")
         checked.append(common.cut(_verified(pairs, sets), "checked"))
@@ -368,7 +392,15 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             every = every.union(more)
         comps = components.components(every.where("linked"))
         failed, last = (x.where("not linked").select("a", "b") for x in (every, checked[-1]))
-        pairs = common.cut(_candidates(_again(members, comps, failed, last, hot), nodes), "pairs")
+        of = comps.select("node", "comp")
+        last = last.join(of.withColumnsRenamed({"node": "a", "comp": "ca"}), "a", "left").join(of.withColumnsRenamed({"node": "b", "comp": "cb"}), "b", "left")
+        last = common.cut(last.where("coalesce(ca, a) != coalesce(cb, b)").select("a", "b"), "apart")
+        n = last.count()
+        if n == 0 and hot is None:
+            common.drop(last)
+            break
+        pairs = common.cut(_candidates(_again(members, comps, failed, F.broadcast(last) if n <= BROADCAST_ROWS else last, hot), nodes), "pairs")
+        common.drop(last)
     placed = nodes.select("node", "rep").join(comps.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     lowest = placed.groupBy("comp").agg(F.min("rep").alias("least"))
     rows = common.cut(rows, "rows")

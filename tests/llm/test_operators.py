@@ -347,6 +347,10 @@ def test_forest_joins_all_that_sketches_allow():
             return [int(np.flatnonzero(up == x)[0]) for x in up]
 
         found = parity_join.forest(node, comp, n, bits, failed)
+        assert classes(found) == classes(near - gone) and set(found) <= {(min(p), max(p)) for p in near}
+        parity_join.SURE, sure = 1e9, parity_join.SURE  # all pairs taken to link: a forest
+        found = parity_join.forest(node, comp, n, bits, failed)
+        parity_join.SURE = sure
         assert classes(found) == classes(near - gone) and len(found) < len(set(comp))
 
 
