@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -27,34 +28,23 @@ LATIN_TAILS = {"'s": "LATIN_POSSESSIVE", "’s": "LATIN_POSSESSIVE", "es": "LATI
 LONGEST = 4
 
 
-@lru_cache(maxsize=100_000)
-def suffix_parts(s: str) -> tuple[str, ...] | None:
-    """The string as catalog suffixes, longer ones first; None if it is not made of them."""
-    if not s:
-        return ()
-    for n in range(min(LONGEST, len(s)), 0, -1):
-        if s[:n] in SUFFIXES and (rest := suffix_parts(s[n:])) is not None:
-            return (s[:n], *rest)
-    return None
+#: Catalog suffixes to the end, longer ones first, after a modifier of up to LONGEST characters where there must be one.
+_TAIL = regex.compile(r"(?:(?P<modifier>.{1,%d}?)(?=.))??(?P<part>%s)*" % (LONGEST, "|".join(sorted(SUFFIXES, key=len, reverse=True))), regex.DOTALL)
 
 
+@lru_cache(maxsize=100_000)
 def residual(chunk: str, core_end: str = "") -> tuple[str, tuple[str, ...], tuple[str, ...]]:
-    """Kind, parts and classes of what follows a core; 지사 after 도 is a person."""
-
-    def classes(parts: tuple[str, ...], before: str) -> tuple[str, ...]:
-        out = [SUFFIXES[p] for p in parts]
-        if parts and parts[0] == "지사" and before.endswith("도"):
-            out[0] = "ROLE"
-        return tuple(out)
-
-    parts = suffix_parts(chunk)
-    if parts is not None:
-        return "SUFFIX", parts, classes(parts, core_end)
-    for n in range(1, min(LONGEST, len(chunk) - 1) + 1):
-        parts = suffix_parts(chunk[n:])
-        if parts is not None:
-            return "SUFFIX_WITH_MODIFIER", (chunk[:n], *parts), ("UNKNOWN_PART", *classes(parts, chunk[:n]))
-    return "UNKNOWN", (chunk,), ("UNKNOWN",)
+    """Kind, parts and classes of what follows a core; 지사 right after 도 is a person."""
+    found = _TAIL.fullmatch(chunk)
+    if found is None:
+        return "UNKNOWN", (chunk,), ("UNKNOWN",)
+    parts, modifier = found.captures("part"), found["modifier"]
+    classes = [SUFFIXES[p] for p in parts]
+    if parts[:1] == ["지사"] and (modifier or core_end).endswith("도"):
+        classes[0] = "ROLE"
+    if modifier is None:
+        return "SUFFIX", tuple(parts), tuple(classes)
+    return "SUFFIX_WITH_MODIFIER", (modifier, *parts), ("UNKNOWN_PART", *classes)
 
 
 def _residual_text(s: pd.Series, end: pd.Series) -> pd.Series:

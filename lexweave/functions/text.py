@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Characters that profiles drop or fold.
 HYPHENS = "-‐‑‒–—―−﹘﹣"
@@ -58,11 +60,10 @@ def fold_ocr(c: Column) -> Column:
 def alias_key(c: Column, profile: str) -> Column:
     """The key under which a surface and a text match in a profile."""
     case, chars, space, ocr = PROFILES[profile]
-    out = drop_zero_width(fold_width(c))
-    out = drop_chars(out, chars)
-    out = drop_space(out) if space else out
-    out = fold_ocr(out) if ocr else out  # before case: the groups tell capitals apart
-    return fold_case(out) if case else out
+    out = drop_zero_width(fold_width(nfc_where_needed(c)))
+    out = fold_case(out) if case else out
+    out = drop_space(drop_chars(out, chars)) if space else drop_chars(out, chars)
+    return fold_ocr(out) if ocr else out  # after case: capitals that have a look-alike only as capitals stay apart
 
 
 def prefix(c: Column, n: Column) -> Column:
@@ -112,10 +113,15 @@ def squeezed(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
-def answer(c: Column) -> Column:
-    """Squeezed; yes and no words become YES and NO."""
-    s = squeezed(c)
-    return F.when(F.lower(s).isin("yes", "예", "네"), "YES").when(F.lower(s).isin("no", "아니오", "아니요"), "NO").otherwise(s)
+YES_NO = {"예": "yes", "네": "yes", "아니요": "no", "아니오": "no"}
+
+
+def answer(c: Column, yes_no: bool = False) -> Column:
+    """Composed, squeezed and case-folded; with yes_no Korean yes and no become English ones."""
+    out = casefolded(F.regexp_replace(F.regexp_replace(nfc_where_needed(c), r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " "))
+    if not yes_no:
+        return out
+    return F.coalesce(*[F.when(out == k, F.lit(v)) for k, v in YES_NO.items()], out)
 
 
 def grams(c: Column, n: int = 2) -> Column:
@@ -152,8 +158,99 @@ def escaped(c: Column) -> Column:
     return c
 
 
-def lint_codes(c: Column, most: int = 2000) -> Column:
-    """Codes of what a glossary text must not hold."""
-    instructs = r"(?i)ignore (all|previous)|system prompt|you are now|지시(를|사항을)? 무시"
-    secret = r"(?i)password\s*[=:]|token\s*=|AKIA[0-9A-Z]{16}|api[_-]?key"
-    return F.array_compact(F.array(F.when(c.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"), "CONTROL_CHAR"), F.when(c.rlike(instructs), "INSTRUCTION"), F.when(c.rlike(secret), "SENSITIVE"), F.when(F.length(c) > most, "OVER_LENGTH")))
+# What texts of a glossary must not hold. The Java engine folds case by Unicode with (?iu).
+CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
+INSTRUCTS = r"(?iu)(ignore (all|previous|above)|disregard (the|previous)|system prompt|다음 지시를 무시|지시를 따르|프롬프트를 무시|you must now|</?script|<\s*/?\s*(system|instructions?)\b)"
+STEERS = r"(?iu)(ignore\s+(all\s+)?previous|disregard\s+(all\s+)?previous|system\s*:|</\w+>|<\s*(system|script|terminology_context)|rm\s+-rf|sudo\s|curl\s+http|무시하(고|라)|지시를\s*무시|다음부터\s*모든|비밀|secret\s+key|api[_\s-]?key|반드시\s*실행|실행하라|출력하라)"
+SENSITIVE = r"(\d{6}\s*[-–]\s*[1-4]\d{6}|\b(?:\d[ -]?){13,19}\b|\b(sk|pk|ghp|gho|xox[bp])[-_][A-Za-z0-9]{16,}|-----BEGIN [A-Z ]*PRIVATE KEY-----)"
+LONGEST_DESCRIPTION = 500
+
+
+def lint_codes(c: Column, most: int = LONGEST_DESCRIPTION) -> Column:
+    """Codes of what a glossary's description must not hold; only control characters are errors."""
+    return F.array_compact(F.array(F.when(c.rlike(CONTROL), "CONTENT_CONTROL_CHARS"), F.when(c.rlike(INSTRUCTS), "CONTENT_INJECTION_PATTERN"), F.when(F.length(c) > most, "CONTENT_TOO_LONG")))
+
+
+# ---------------------------------------------------------------- kernels that Spark has no function for
+
+
+def _nfc(s: pd.Series) -> pd.Series:
+    return s.str.normalize("NFC")
+
+
+def _casefold(s: pd.Series) -> pd.Series:
+    return s.str.casefold()
+
+
+_nfc_udf, _casefold_udf = F.pandas_udf(_nfc, StringType()), F.pandas_udf(_casefold, StringType())
+
+
+def nfc_where_needed(c: Column) -> Column:
+    """NFC; texts without a character from U+0300 on are composed as they are and skip the kernel."""
+    return F.when(c.rlike(r"[^\x00-˿]"), _nfc_udf(c)).otherwise(c)
+
+
+def casefolded(c: Column) -> Column:
+    """Unicode case folding; ASCII texts skip the kernel."""
+    return F.when(c.rlike(r"[^\x00-\x7F]"), _casefold_udf(c)).otherwise(F.lower(c))
+
+
+def span_query(text: Column, start: Column, end: Column, variant: str = "target", radius: int = 60, path: Column | None = None) -> Column:
+    """What a reranker is asked about a span: its surface, its surroundings, these with marks, or marks and a reading."""
+    low = F.greatest(start - radius, F.lit(0))
+    cut = lambda a, b: F.substring(text, a + 1, b - a)
+    if variant == "surface":
+        return cut(start, end)
+    if variant == "context":
+        return cut(low, end + radius)
+    marked = F.concat(cut(low, start), F.lit("[TARGET]"), cut(start, end), F.lit("[/TARGET]"), cut(end, end + radius))
+    if variant == "target":
+        return marked
+    if variant != "path" or path is None:
+        raise ValueError(f"unknown variant {variant!r}, or no reading given")
+    return F.concat(marked, F.lit("\nPATH "), path)
+
+
+def codepoint_of_byte(c: Column, at: Column) -> Column:
+    """The code point offset of a byte offset; null inside a character and beyond the text."""
+    raw = F.encode(c, "UTF-8")
+    lead = F.hex(F.substring(raw, at + 1, F.lit(1)))
+    inside = lead.rlike("^[89AB]")
+    return F.when((at < 0) | (at > F.octet_length(c)) | inside, F.lit(None).cast("bigint")).otherwise(F.length(F.decode(F.substring(raw, F.lit(1), at), "UTF-8")).cast("bigint"))
+
+
+def spans_between(c: Column, pattern: str) -> Column:
+    """[start, end) of what the matches of a pattern part, if it holds more than white space, in order. Native.
+
+    The pattern must be free of look-around, as its matches are cut out of the text one by one.
+    """
+    parts = F.split(c, pattern)
+    breaks = F.regexp_extract_all(c, F.lit(f"({pattern})"), F.lit(1))
+    steps = F.arrays_zip(parts.alias("part"), breaks.alias("gap"))
+    walk = F.aggregate(
+        F.transform(steps, lambda x: F.struct(F.length(x["part"]).alias("n"), F.coalesce(F.length(x["gap"]), F.lit(0)).alias("gap"), x["part"].rlike(r"(?U)\S").alias("full"))),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("found")),
+        lambda s, x: F.struct((s["at"] + x["n"] + x["gap"]).alias("at"), F.when(x["full"], F.array_append(s["found"], F.struct(s["at"].alias("start"), (s["at"] + x["n"]).alias("end")))).otherwise(s["found"]).alias("found")),
+        lambda s: s["found"],
+    )
+    return walk
+
+
+PARAGRAPH_BREAK = r"\n[ \t\r]*\n+"
+
+
+def sentence_spans(c: Column) -> Column:
+    """[start, end) of sentences: up to a full stop or the like before white space or the end. Native."""
+    pieces = F.regexp_extract_all(c, F.lit(r"(?s)(.*?[.!?。？！](?=\s|$)|.+$)"), F.lit(1))
+    return F.aggregate(
+        F.transform(pieces, lambda x: F.struct(F.length(x).alias("n"), x.rlike(r"(?U)\S").alias("full"))),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("found")),
+        lambda s, x: F.struct((s["at"] + x["n"]).alias("at"), F.when(x["full"], F.array_append(s["found"], F.struct(s["at"].alias("start"), (s["at"] + x["n"]).alias("end")))).otherwise(s["found"]).alias("found")),
+        lambda s: s["found"],
+    )
+
+
+def passages(c: Column, size: int = 1000, shared: int = 100) -> Column:
+    """Starts of passages of ``size`` characters, ``shared`` of them with the one before; the last one ends the text."""
+    last = F.greatest(F.lit(0), F.ceil((F.length(c) - size) / (size - shared)).cast("int"))
+    return F.when(F.length(c) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: i * (size - shared))).otherwise(F.array().cast("array<int>"))

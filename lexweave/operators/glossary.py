@@ -5,16 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from .matching import best_first
 
 SCOPES = ("base", "global", "project", "session", "document")
 
 
+# Endings by which a Hangul surface is an organisation's.
+ORG_SUFFIXES = ("부", "청", "처", "원", "회", "실", "국", "단", "공사", "공단", "법원", "검찰청", "은행", "위원회", "협회", "연합회", "노총", "본부", "재단", "교육청", "센터")
+
+
+def inferred_profile(surface: Column) -> Column:
+    """The normalization profile that a surface needs, by its scripts."""
+    hangul, latin = surface.rlike("[가-힣ㄱ-ㅣ]"), surface.rlike("[0-9A-Za-z]")
+    acronym = surface.rlike(r"\p{L}") & ~surface.rlike(r"[\p{L}&&[^\p{Lu}]]") & (F.length(surface) <= 8)
+    return F.when(hangul & latin, "mixed_alnum").when(latin & acronym, "latin_acronym").when(latin, "latin_word").when(surface.rlike("(" + "|".join(ORG_SUFFIXES) + ")$"), "korean_org_name").otherwise("korean_term")
+
+
 def compiled_terms(terms: DataFrame) -> DataFrame:
-    """Bindings (entity_id, alias_no, surface, kind) of terms (key, canonical, surfaces): the canonical name first."""
+    """Bindings (entity_id, alias_no, surface, kind, profile) of terms (key, canonical, surfaces): the canonical name first."""
     names = F.array_distinct(F.concat(F.array("canonical"), F.coalesce("surfaces", F.array().cast("array<string>"))))
-    out = terms.select(F.col("key").alias("entity_id"), "canonical", F.posexplode(names).alias("alias_no", "surface"))
-    return out.select("entity_id", "alias_no", "surface", F.when(F.col("surface") == F.col("canonical"), "canonical").when(F.col("surface").rlike("^[A-Z0-9.&-]{2,}$"), "acronym").otherwise("alias").alias("kind"))
+    out = terms.select(F.col("key").alias("entity_id"), "canonical", F.posexplode(names).alias("alias_no", "surface")).withColumn("profile", inferred_profile(F.col("surface")))
+    short = (F.length("surface") < F.length("canonical")) & F.col("surface").rlike("^[가-힣ㄱ-ㅣ]") & (F.length("surface") <= 4)
+    kind = F.when(F.col("surface") == F.col("canonical"), "name").when((F.col("profile") == "latin_acronym") | short, "abbreviation").otherwise("alias")
+    return out.select("entity_id", "alias_no", "surface", kind.alias("kind"), "profile")
+
+
+def trusted_layers(terms: DataFrame, trusted: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Terms of the layers that may be read, and a report on each layer: terms, trusted and why it was skipped."""
+    told = terms.withColumn("trusted", F.lit(True) if trusted is None else F.col("scope").isin(*trusted))
+    report = told.groupBy("scope", "trusted").agg(F.count_if("trusted").alias("terms")).select("scope", "terms", "trusted", F.when(~F.col("trusted"), "untrusted").alias("skipped"))
+    return told.where("trusted").drop("trusted"), report
+
+
+def folded(surface: Column) -> Column:
+    """The key under which layers meet: composed, narrow, ASCII in lower case."""
+    return T.fold_case(T.fold_width(T.nfc_where_needed(surface)))
 
 
 def table_entities(rows: DataFrame) -> DataFrame:
@@ -49,19 +75,3 @@ def difference(old: DataFrame, new: DataFrame, key: str, columns: list[str]) ->
     both = a.join(b, key, "full_outer")
     change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(~F.col("a").eqNullSafe(F.col("b")), "changed")
     return both.select(key, change.alias("change")).where("change is not null")
-
-
-def merged_candidates(rows: DataFrame, key: list[str]) -> DataFrame:
-    """One row for each candidate: channels united, best score and least cost and pass, blocked only if all are."""
-    return rows.groupBy(*key).agg(
-        F.array_join(F.sort_array(F.collect_set("channel")), ",").alias("channels"), F.max("score").alias("score"), F.min("cost").alias("cost"), F.min("pass").alias("pass"),
-        F.bool_and("blocked").alias("blocked"), F.bool_or("exact").alias("exact"), F.min_by("alias_id", "arrival").alias("alias_id"),
-    )
-
-
-def decided(ranked: DataFrame, key: str, resolve: float = 0.70, ambiguous: float = 0.25, margin: float = 0.15) -> DataFrame:
-    """Link decision of each mention from its candidates (key, entity_id, p, exact)."""
-    top = ranked.groupBy(key).agg(F.max(F.struct("p", F.col("exact"), "entity_id")).alias("best"), F.sort_array(F.collect_list("p"), asc=False).alias("ps"), F.bool_or("exact").alias("any_exact"))
-    first, second = F.col("best.p"), F.coalesce(F.get("ps", F.lit(1)), F.lit(0.0))
-    call = F.when((first >= resolve) & (first - second >= margin), "RESOLVED").when((first < 0.6) & ~F.col("any_exact"), "KB_MISSING").when(second >= ambiguous, "AMBIGUOUS").otherwise("UNCERTAIN")
-    return top.select(key, call.alias("decision"), F.round(first - second, 9).alias("margin"), F.when(call == "RESOLVED", F.col("best.entity_id")).alias("entity_id"))

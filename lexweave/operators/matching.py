@@ -109,3 +109,29 @@ def maximal(spans: DataFrame, key: str) -> DataFrame:
 def best_first(df: DataFrame, key: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first n rows of each key in a total order."""
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("__r") <= n).drop("__r")
+
+
+def one_edit_pairs(words: DataFrame, key: str, surface: str) -> DataFrame:
+    """Pairs (a, b) of keys, a below b, whose surfaces are one insertion, deletion or change of a character apart.
+
+    Two such surfaces share a form: each as it is or with one character taken out. An equi-join on the forms leaves few
+    pairs to verify, and each pair is verified once however many forms it shares.
+    """
+    s = F.col("__s")
+    forms = F.array_distinct(F.concat(F.array(s), F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))))
+    spread = words.select(F.col(key).alias("__k"), F.col(surface).alias("__s")).withColumn("form", F.explode(forms))
+    both = spread.alias("x").join(spread.alias("y"), (F.col("x.form") == F.col("y.form")) & (F.col("x.__k") < F.col("y.__k")) & (F.col("x.__s") != F.col("y.__s")))
+    near = both.select(F.col("x.__k").alias("a"), F.col("y.__k").alias("b"), F.col("x.__s").alias("sa"), F.col("y.__s").alias("sb")).distinct()
+    return near.where(T.one_edit(F.col("sa"), F.col("sb"))).select("a", "b")
+
+
+def contained(words: DataFrame, key: str, surface: str) -> DataFrame:
+    """Pairs (inner, outer) of keys where the outer surface holds the inner one, which has two characters at least.
+
+    An equi-join on the inner surface's first two characters, of which the outer one must have the pair somewhere.
+    """
+    s = F.col(surface)
+    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(2))))
+    inner = words.where(F.length(s) >= 2).select(F.col(key).alias("inner"), s.alias("__i"), F.left(s, F.lit(2)).alias("__g"))
+    outer = words.select(F.col(key).alias("outer"), s.alias("__o"), F.explode(pairs).alias("__g"))
+    return inner.join(outer, "__g").where((F.col("inner") != F.col("outer")) & F.contains("__o", "__i")).select("inner", "outer")

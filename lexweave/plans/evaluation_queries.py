@@ -151,12 +151,3 @@ def a20(spark: SparkSession, sf_dir: str) -> DataFrame:
         near = edges.join(labels.select(F.col("a").alias("b"), F.col("comp").alias("near")), "b").groupBy("a").agg(F.min("near").alias("near"))
         labels = labels.join(near, "a").select("a", F.least("comp", "near").alias("comp"))
     return labels.select(F.col("a").alias("node"), "comp")
-
-
-SCORES = [(1, 0.95, 0.0, False), (2, 0.5, 0.2, True), (3, 0.1, 0.0, False)]
-
-
-@query("r02_heuristic_probability", f"SELECT id, round(least(0.98, greatest(0.02, prior * (0.35 + 0.65 * q) + 0.6 * e)), 9)::DOUBLE AS p FROM (SELECT id, q, e, CASE WHEN x THEN 0.92 ELSE 0.40 END AS prior FROM {literal(SCORES, 'id', 'q', 'e', 'x')}) y")
-def r02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(SCORES, "id int, q double, e double, x boolean").withColumn("prior", F.when(F.col("x"), 0.92).otherwise(0.40))
-    return rows.select("id", F.round(F.least(F.lit(0.98), F.greatest(F.lit(0.02), F.col("prior") * (0.35 + 0.65 * F.col("q")) + 0.6 * F.col("e"))), 9).alias("p"))

@@ -14,7 +14,7 @@ NFD = [("1", "한전"), ("2", "한전"), ("3", "é"), ("4", "plain")]
 
 @query("p01_nfc", f"SELECT id, nfc_normalize(s) AS composed FROM {literal(NFD, 'id', 's')}")
 def p01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(NFD, "id string, s string").select("id", H.nfc_where_needed(F.col("s")).alias("composed"))
+    return spark.createDataFrame(NFD, "id string, s string").select("id", T.nfc_where_needed(F.col("s")).alias("composed"))
 
 
 JAMO = [("한전", "ㅎㅏㄴㅈㅓㄴ"), ("값", "ㄱㅏㅂㅅ"), ("의", "ㅇㅡㅣ"), ("AP", "AP"), ("", "")]

@@ -43,42 +43,3 @@ def m24(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([r[:3] for r in MAXSIM], "id int, q array<array<double>>, d array<array<double>>")
     best = F.transform("q", lambda x: F.array_max(F.transform("d", lambda y: T.inner_product(x, y))))
     return rows.select("id", F.round(F.aggregate(best, F.lit(0.0), lambda a, b: a + b), 9).alias("score"))
-
-
-GUARDS = [(1, 1, "none", True, 1.0), (2, 4, "UNKNOWN", True, 1.0), (3, 4, "none", False, 1.0), (4, 4, "SUFFIX", True, 0.5)]
-
-
-@query("f08_guard", "SELECT * FROM (VALUES (1, FALSE, 1.0::DOUBLE, 'SHORT_CORE'), (2, FALSE, 0.6::DOUBLE, 'UNKNOWN_DERIVATIVE'), (3, TRUE, 0.8::DOUBLE, 'UNGRAMMATICAL'), (4, TRUE, 0.92::DOUBLE, 'INFERRED_TAIL')) AS t(id, commit_allowed, factor, reasons)")
-def f08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a reading may commit, its factor and the reasons."""
-    short, unknown, loose, inferred = F.col("core") < 2, F.col("kind") == "UNKNOWN", ~F.col("grammatical"), (F.col("tail") < 1) & (F.col("kind") != "UNKNOWN")
-    factor = F.when(unknown, 0.60).otherwise(1.0) * F.when(loose, 0.80).otherwise(1.0) * F.when(inferred, 0.92).otherwise(1.0)
-    reasons = F.array_compact(F.array(F.when(short, "SHORT_CORE"), F.when(unknown, "UNKNOWN_DERIVATIVE"), F.when(loose, "UNGRAMMATICAL"), F.when(inferred, "INFERRED_TAIL")))
-    rows = spark.createDataFrame(GUARDS, "id int, core int, kind string, grammatical boolean, tail double")
-    return rows.select("id", (~short & ~unknown).alias("commit_allowed"), F.round(factor, 9).alias("factor"), F.array_join(reasons, ",").alias("reasons"))
-
-
-SCOPED = [(1, ["hr"], [], "hr", "SERVER_VERIFIED"), (2, ["hr"], [], "it", "AUTH_CLAIM"), (3, [], ["it"], "it", "SERVER_VERIFIED"), (4, [], ["it"], "it", "CLIENT_CLAIM"), (5, [], [], "it", "INFERRED")]
-
-
-@query("f09_scope_adjustment", f"""
-SELECT id, list_contains(deny, v) AND trust IN ('SERVER_VERIFIED', 'AUTH_CLAIM') AS dropped,
-  (CASE WHEN list_contains(deny, v) THEN CASE WHEN trust = 'CLIENT_CLAIM' THEN -0.20 ELSE -0.10 END ELSE 0 END + CASE WHEN len(allow) = 0 THEN 0 WHEN list_contains(allow, v) THEN 0.05 ELSE -0.08 END)::DOUBLE AS adjustment
-FROM {literal(SCOPED, 'id', 'allow', 'deny', 'v', 'trust')}""")
-def f09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(SCOPED, "id int, allow array<string>, deny array<string>, v string, trust string")
-    denied = F.array_contains("deny", F.col("v"))
-    soft = F.when(denied, F.when(F.col("trust") == "CLIENT_CLAIM", -0.20).otherwise(-0.10)).otherwise(0.0)
-    allowed = F.when(F.size("allow") == 0, 0.0).when(F.array_contains("allow", F.col("v")), 0.05).otherwise(-0.08)
-    return rows.select("id", (denied & F.col("trust").isin("SERVER_VERIFIED", "AUTH_CLAIM")).alias("dropped"), F.round(soft + allowed, 9).alias("adjustment"))
-
-
-@query("j06_abbreviations", "SELECT * FROM " + literal([("과기정통부", "과학기술정보통신부", "0,2,4,6,8")], "token", "name", "positions"))
-def j06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Subsequence alignment behind an equi-join on the first character; leftmost positions."""
-    names = spark.createDataFrame([("과학기술정보통신부",), ("한국전력공사",)], "name string").withColumn("first", F.left("name", F.lit(1)))
-    tokens = spark.createDataFrame([("과기정통부",), ("한정",), ("나라",)], "token string").withColumn("first", F.left("token", F.lit(1)))
-    both = tokens.join(names, "first")
-    step = F.expr("aggregate(filter(split(token, ''), c -> c != ''), array(0), (at, c) -> array_append(at, if(element_at(at, -1) < 0, -1, coalesce(nullif(locate(c, name, element_at(at, -1) + 1), 0), -1))))")
-    found = both.withColumn("at", step).where(F.element_at("at", -1) > 0)
-    return found.select("token", "name", F.array_join(F.transform(F.slice("at", F.lit(2), F.size("at") - 1), lambda x: (x - 1).cast("string")), ",").alias("positions"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import glossary, matching
 from .base import literal, query, table
 
-TERMS = [("kepco", "한국전력공사", ["한전", "KEPCO", "한국전력공사"]), ("msit", "과학기술정보통신부", ["과기정통부"]), ("qms", "Quality Management System", ["QMS", "qms"]), ("bare", "AP", None)]
+TERMS = [("kepco", "한국전력공사", ["한전", "KEPCO", "한국전력공사"]), ("msit", "과학기술정보통신부", ["과기정통부"]), ("qms", "Quality Management System", ["QMS", "qms"]), ("bare", "AP", None), ("sk", "SK하이닉스", ["하닉", "하이닉스반도체"])]
 BINDINGS = [("base", "AP", "e1"), ("global", "AP", "e2"), ("project", "QMS", "e3"), ("session", "AP", "e4"), ("base", "QMS", "e3"), ("document", "kdn", "e5"), ("base", "KDN", "e6")]
 _B = literal(BINDINGS, "scope", "surface", "entity_id")
 _RANK = "CASE scope WHEN 'base' THEN 1 WHEN 'global' THEN 2 WHEN 'project' THEN 3 WHEN 'session' THEN 4 ELSE 5 END"
@@ -20,9 +21,14 @@ def s03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return glossary.table_entities(rows)
 
 
-@query("s04_compiled_terms", f"""
-SELECT entity_id, (i - 1)::INT AS alias_no, names[i] AS surface, CASE WHEN names[i] = canonical THEN 'canonical' WHEN regexp_matches(names[i], '^[A-Z0-9.&-]{{2,}}$') THEN 'acronym' ELSE 'alias' END AS kind
-FROM (SELECT *, unnest(range(1, len(names) + 1)) AS i FROM (SELECT k AS entity_id, canonical, list_concat([canonical], list_filter(coalesce(surfaces, []), lambda x: x <> canonical)) AS names FROM {literal(TERMS, 'k', 'canonical', 'surfaces')}) x) y""")
+#: Bindings of TERMS: names as they are, acronyms and short Hangul forms are abbreviations, other surfaces aliases.
+COMPILED = [
+    ("kepco", 0, "한국전력공사", "name", "korean_org_name"), ("kepco", 1, "한전", "abbreviation", "korean_term"), ("kepco", 2, "KEPCO", "abbreviation", "latin_acronym"), ("msit", 0, "과학기술정보통신부", "name", "korean_org_name"), ("msit", 1, "과기정통부", "alias", "korean_org_name"),
+    ("qms", 0, "Quality Management System", "name", "latin_word"), ("qms", 1, "QMS", "abbreviation", "latin_acronym"), ("qms", 2, "qms", "alias", "latin_word"), ("bare", 0, "AP", "name", "latin_acronym"), ("sk", 0, "SK하이닉스", "name", "mixed_alnum"), ("sk", 1, "하닉", "abbreviation", "korean_term"), ("sk", 2, "하이닉스반도체", "alias", "korean_term"),
+]
+
+
+@query("s04_compiled_terms", "SELECT entity_id, alias_no::INT AS alias_no, surface, kind, profile FROM " + literal(COMPILED, "entity_id", "alias_no", "surface", "kind", "profile"))
 def s04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return glossary.compiled_terms(spark.createDataFrame(TERMS, "key string, canonical string, surfaces array<string>"))
 
@@ -33,15 +39,26 @@ def s05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return won
 
 
-@query("s06_shadowed", f"SELECT b.scope, b.surface, b.entity_id, w.entity_id AS winner FROM {_B.replace('AS t(', 'AS b(')} JOIN (SELECT surface, entity_id FROM (SELECT *, row_number() OVER (PARTITION BY surface ORDER BY {_RANK} DESC, entity_id) AS r FROM {_B}) x WHERE r = 1) w USING (surface) WHERE b.entity_id <> w.entity_id")
-def s06(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("s05_shadowed", f"SELECT b.scope, b.surface, b.entity_id, w.entity_id AS winner FROM {_B.replace('AS t(', 'AS b(')} JOIN (SELECT surface, entity_id FROM (SELECT *, row_number() OVER (PARTITION BY surface ORDER BY {_RANK} DESC, entity_id) AS r FROM {_B}) x WHERE r = 1) w USING (surface) WHERE b.entity_id <> w.entity_id")
+def s05_shadowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, lost = glossary.layered(spark.createDataFrame(BINDINGS, "scope string, surface string, entity_id string"), F.col("scope"), F.col("surface"))
     return lost
 
 
-@query("s08_folded_layers", f"SELECT scope, surface, entity_id FROM (SELECT *, row_number() OVER (PARTITION BY lower(surface) ORDER BY {_RANK} DESC, entity_id) AS r FROM {_B}) x WHERE r = 1")
+@query("s06_trusted_layers", f"SELECT scope, count(*) FILTER (trusted) AS terms, trusted, CASE WHEN NOT trusted THEN 'untrusted' END AS skipped FROM (SELECT *, scope IN ('base', 'global', 'session') AS trusted FROM {_B}) x GROUP BY scope, trusted")
+def s06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each layer brings in: those of scopes that are not trusted are named and not read."""
+    _, report = glossary.trusted_layers(spark.createDataFrame(BINDINGS, "scope string, surface string, entity_id string"), ("base", "global", "session"))
+    return report
+
+
+FOLDED = [("base", "ＡＰ", "e1"), ("project", "ap", "e2"), ("session", "Ap", "e2"), ("base", "카페", "e3"), ("global", "카페", "e4"), ("base", "É", "e5"), ("global", "é", "e6"), ("base", "QMS", "e7")]
+
+
+@query("s08_folded_layers", "SELECT * FROM " + literal([("session", "Ap", "e2"), ("global", "카페", "e4"), ("base", "É", "e5"), ("global", "é", "e6"), ("base", "QMS", "e7")], "scope", "surface", "entity_id"))
 def s08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    won, _ = glossary.layered(spark.createDataFrame(BINDINGS, "scope string, surface string, entity_id string"), F.col("scope"), F.lower("surface"))
+    """Layers meet on composed, width-folded and ASCII-case-folded surfaces; other scripts keep their case."""
+    won, _ = glossary.layered(spark.createDataFrame(FOLDED, "scope string, surface string, entity_id string"), F.col("scope"), glossary.folded(F.col("surface")))
     return won
 
 
@@ -83,11 +100,16 @@ def s17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("sent", "start", "end", F.array_join(F.col("cs.ch"), "").alias("surface"))
 
 
-@query("s20_byte_offsets", "SELECT doc_id, length(decode(encode(text)[1:60 - CASE WHEN ascii(substr(text, 1, 1)) > 0 THEN 0 ELSE 0 END])) AS codepoint FROM documents WHERE lang = 'en' AND strlen(text) > 60 AND strlen(left(text, 60)) = 60")
+BYTE_TEXTS = [(1, "가나 abc", 0), (1, "가나 abc", 1), (1, "가나 abc", 3), (1, "가나 abc", 6), (1, "가나 abc", 10), (1, "가나 abc", 11), (2, "é😀", 2), (2, "é😀", 4), (2, "é😀", 6), (3, "", 0), (3, "", 1), (1, "가나 abc", -1)]
+POINTS = [0, None, 1, 2, 6, None, 1, None, 2, 0, None, None]
+
+
+@query("s20_byte_offsets", "SELECT 'r' || i AS k, c::BIGINT AS codepoint FROM " + literal(list(enumerate(POINTS)), "i", "c") + " UNION ALL SELECT 'd' || doc_id, CASE WHEN b < strlen(text) AND regexp_matches(hex(encode(text)[b + 1:b + 1]), '^[89AB]') THEN NULL ELSE length(decode(CASE WHEN b < strlen(text) AND regexp_matches(hex(encode(text)[b + 1:b + 1]), '^[89AB]') THEN ''::BLOB ELSE encode(text)[1:b] END)) END FROM (SELECT doc_id, text, (strlen(text) // 2)::INT AS b FROM documents) x")
 def s20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Code points of a byte offset."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'en' and octet_length(text) > 60 and octet_length(left(text, 60)) = 60")
-    return docs.select("doc_id", F.length(F.decode(F.substring(F.encode("text", "UTF-8"), 1, 60), "UTF-8")).cast("bigint").alias("codepoint"))
+    """Code points of byte offsets, null inside characters: literal cases, and the middle of every document."""
+    rows = spark.createDataFrame([(f"r{i}", *r[1:]) for i, r in enumerate(BYTE_TEXTS)], "k string, text string, b int")
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id"), "text", F.floor(F.octet_length("text") / 2).cast("int"))
+    return rows.union(docs).select("k", T.codepoint_of_byte(F.col("text"), F.col("b")).alias("codepoint"))
 
 
 @query("s21_struct_arrays", "SELECT conv_id, unnest(t) AS turn, unnest(r) AS role FROM (SELECT conv_id, list(turn ORDER BY turn) AS t, list(role ORDER BY turn) AS r FROM conversations GROUP BY 1) x")
@@ -188,10 +210,13 @@ def j23(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sides.groupBy("none").agg(F.count_if((F.col("a") < 0.05) & (F.col("b") >= 0.05)).alias("helpful"), F.count_if((F.col("a") >= 0.05) & (F.col("b") < 0.05)).alias("harmful"))
 
 
-@query("j24_containment", "SELECT a.n_name AS inner_name, b.r_name AS outer_name FROM nation a JOIN region b ON contains(lower(b.r_name), lower(left(a.n_name, 2)))")
+SURFACES = [("e1", "한국전력공사"), ("e2", "전력공사"), ("e3", "공사"), ("e4", "한전"), ("e5", "한전KDN"), ("e6", "KDN"), ("e7", "한국전력공사노조")]
+
+
+@query("j24_containment", f"SELECT a.e AS inner_id, b.e AS outer_id FROM (SELECT * FROM {literal(SURFACES, 'e', 's')}) a, (SELECT * FROM {literal(SURFACES, 'e', 's')}) b WHERE a.e <> b.e AND contains(b.s, a.s)")
 def j24(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, r = table(spark, sf_dir, "nation"), F.broadcast(table(spark, sf_dir, "region"))
-    return n.join(r, F.contains(F.lower("r_name"), F.lower(F.left("n_name", F.lit(2))))).select(F.col("n_name").alias("inner_name"), F.col("r_name").alias("outer_name"))
+    """Entities whose surface another one's holds, by an equi-join on its first two characters and a check."""
+    return matching.contained(spark.createDataFrame(SURFACES, "e string, s string"), "e", "s").select(F.col("inner").alias("inner_id"), F.col("outer").alias("outer_id"))
 
 
 @query("w01_rank_margin", "SELECT o_custkey, o_orderkey, round(o_totalprice - nxt, 2) AS margin FROM (SELECT *, row_number() OVER w AS r, lead(o_totalprice) OVER w AS nxt FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)) x WHERE r = 1")
@@ -249,9 +274,9 @@ def u02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")).intersect(table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey"))
 
 
-@query("u03_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("u03_except", "SELECT doc_id AS k FROM documents EXCEPT SELECT doc_id FROM labels")
 def u03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, sf_dir, "orders").select("o_custkey"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k")).subtract(table(spark, sf_dir, "labels").select("doc_id"))
 
 
 @query("u05_holdout", "SELECT p_partkey FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size = 1)")
@@ -263,20 +288,3 @@ def u05(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("u06_pruned_families", "SELECT n_nationkey FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)")
 def u06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").join(table(spark, sf_dir, "supplier"), F.col("n_nationkey") == F.col("s_nationkey"), "left_semi").select("n_nationkey")
-
-
-CANDIDATES = [("m1", "e1", "exact", 1.0, 0.0, 1, False, True, "a1", 0), ("m1", "e1", "jamo", 0.8, 0.2, 2, True, False, "a2", 1), ("m1", "e2", "abbrev", 0.55, 0.3, 2, True, False, "a3", 2), ("m1", "e2", "dense", 0.6, 0.4, 3, True, False, "a4", 3)]
-
-
-@query("a02_candidate_merge", f"SELECT m, e, string_agg(DISTINCT channel, ',' ORDER BY channel) AS channels, max(score)::DOUBLE AS score, min(cost)::DOUBLE AS cost, min(pass) AS pass, bool_and(blocked) AS blocked, bool_or(exact) AS exact, arg_min(alias_id, arrival) AS alias_id FROM {literal(CANDIDATES, 'm', 'e', 'channel', 'score', 'cost', 'pass', 'blocked', 'exact', 'alias_id', 'arrival')} GROUP BY m, e")
-def a02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(CANDIDATES, "m string, e string, channel string, score double, cost double, pass int, blocked boolean, exact boolean, alias_id string, arrival int")
-    return glossary.merged_candidates(rows, ["m", "e"])
-
-
-RANKED = [("m1", "e1", 0.92, True), ("m1", "e2", 0.2, False), ("m2", "e1", 0.80, True), ("m2", "e2", 0.79, True), ("m3", "e1", 0.4, False), ("m4", "e1", 0.65, True)]
-
-
-@query("r03_decisions", "SELECT * FROM (VALUES ('m1', 'RESOLVED', 0.72::DOUBLE, 'e1'), ('m2', 'AMBIGUOUS', 0.01::DOUBLE, NULL), ('m3', 'KB_MISSING', 0.4::DOUBLE, NULL), ('m4', 'UNCERTAIN', 0.65::DOUBLE, NULL)) AS t(m, decision, margin, entity_id)")
-def r03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return glossary.decided(spark.createDataFrame(RANKED, "m string, entity_id string, p double, exact boolean"), "m")

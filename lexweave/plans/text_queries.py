@@ -23,10 +23,11 @@ def _tr(c: str, a: str, b: str) -> str:
 
 _KEYS = {}
 for _name, (_case, _chars, _space, _ocr) in T.PROFILES.items():
-    _sql = _tr(_tr(_tr("s", T.WIDE, T.NARROW), T.ZERO_WIDTH, ""), _chars, "") if _chars else _tr(_tr("s", T.WIDE, T.NARROW), T.ZERO_WIDTH, "")
+    _sql = _tr(_tr("nfc_normalize(s)", T.WIDE, T.NARROW), T.ZERO_WIDTH, "")
+    _sql = _tr(_sql, T.UPPER, T.LOWER) if _case else _sql
+    _sql = _tr(_sql, _chars, "") if _chars else _sql
     _sql = f"regexp_replace({_sql}, '\\s', '', 'g')" if _space else _sql
-    _sql = _tr(_sql, "".join(T.OCR_GROUPS), "".join(g[0] * len(g) for g in T.OCR_GROUPS)) if _ocr else _sql
-    _KEYS[_name] = _tr(_sql, T.UPPER, T.LOWER) if _case else _sql
+    _KEYS[_name] = _tr(_sql, "".join(T.OCR_GROUPS), "".join(g[0] * len(g) for g in T.OCR_GROUPS)) if _ocr else _sql
 
 
 @query("p02_width_fold", f"SELECT id, {_tr('s', T.WIDE, T.NARROW)} AS folded FROM {_REL}")
@@ -105,14 +106,14 @@ def p21(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", T.alnum_fold(F.col("text")).alias("folded"))
 
 
-ANSWERS = [(1, "  Yes "), (2, "아니오"), (3, "the  old \n mill"), (4, "no"), (5, "예"), (6, "")]
+ANSWERS = [(1, "  Yes "), (2, "아니오"), (3, "the  OLD \n mill"), (4, "no"), (5, "예"), (6, ""), (7, "\u1112\u1161\u11ab É"), (8, "네 ")]
 
 
-@query("p22_answer", rf"""
-SELECT id, CASE WHEN lower(q) IN ('yes', '예', '네') THEN 'YES' WHEN lower(q) IN ('no', '아니오', '아니요') THEN 'NO' ELSE q END AS answer
-FROM (SELECT id, trim(regexp_replace(a, '\s+', ' ', 'g')) AS q FROM {literal(ANSWERS, 'id', 'a')}) x""")
+@query("p22_answer", f"""
+SELECT id, q AS answer, CASE WHEN q IN ('예', '네') THEN 'yes' WHEN q IN ('아니오', '아니요') THEN 'no' ELSE q END AS judged
+FROM (SELECT id, lower(trim(regexp_replace(nfc_normalize(a), '\\s+', ' ', 'g'))) AS q FROM {literal(ANSWERS, 'id', 'a')}) x""")
 def p22(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(ANSWERS, "id int, a string").select("id", T.answer(F.col("a")).alias("answer"))
+    return spark.createDataFrame(ANSWERS, "id int, a string").select("id", T.answer(F.col("a")).alias("answer"), T.answer(F.col("a"), True).alias("judged"))
 
 
 @query("p23_profile_text", "SELECT p_partkey, concat_ws('. ', p_name, p_type, p_brand) AS profile FROM part")
@@ -120,26 +121,49 @@ def p23(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(". ", "p_name", "p_type", "p_brand").alias("profile"))
 
 
-@query("p24_context_window", "SELECT doc_id, substring(text, 41, 60) AS around FROM documents WHERE length(text) > 70")
+_J17 = """
+SELECT d.doc_id, b.item_id, p::BIGINT AS start, (p + length(b.text))::BIGINT AS "end", d.source, d.text, b.text AS surface FROM documents d JOIN benchmark b ON contains(d.text, b.text),
+LATERAL (SELECT unnest(list_filter(range(0, length(d.text) - length(b.text) + 1), lambda i: substring(d.text, i::INT + 1, length(b.text)) = b.text)) AS p) q"""
+
+
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All matches of the benchmark's items in the documents."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("surface"))
+    return matching.literal_matches(table(spark, sf_dir, "documents"), items)
+
+
+@query("p24_context_window", f"SELECT doc_id, item_id, start, substring(text, greatest(start - 40, 0)::INT + 1, (\"end\" + 40 - greatest(start - 40, 0))::INT) AS around FROM ({_J17}) x")
 def p24(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(F.length("text") > 70)
-    return docs.select("doc_id", T.window(F.col("text"), F.lit(60), F.lit(80), 20).alias("around"))
+    """Forty characters on both sides of every match of an item in a document."""
+    return _found(spark, sf_dir).select("doc_id", "item_id", F.col("start").cast("bigint").alias("start"), T.window(F.col("text"), F.col("start"), F.col("end"), 40).alias("around"))
+
+
+_LOW = "greatest(start - 60, 0)::INT"
+_AROUND = f"substring(text, {_LOW} + 1, (start - {_LOW})::INT) || {{0}}surface || {{1}} || substring(text, \"end\"::INT + 1, 60)"
 
 
-@query("p25_rerank_query", "SELECT item_id, left(text, 10) || ' [TARGET] ' || substring(text, 11, 8) || ' [/TARGET] ' || substring(text, 19, 10) AS query FROM benchmark")
+@query("p25_rerank_query", f"""
+SELECT doc_id, item_id, start, surface, {_AROUND.format("", "''")} AS context, {_AROUND.format("'[TARGET]' || ", "'[/TARGET]'")} AS target, {_AROUND.format("'[TARGET]' || ", "'[/TARGET]'")} || chr(10) || 'PATH {{"kind":"BARE"}}' AS path FROM ({_J17}) x""")
 def p25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    return table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.left(t, F.lit(10)), F.lit(" [TARGET] "), F.substring(t, 11, 8), F.lit(" [/TARGET] "), F.substring(t, 19, 10)).alias("query"))
+    """The four forms of a query about every match of an item in a document."""
+    text, start, end = F.col("text"), F.col("start"), F.col("end")
+    forms = [T.span_query(text, start, end, v, path=F.to_json(F.struct(F.lit("BARE").alias("kind")))).alias(v) for v in ("surface", "context", "target", "path")]
+    return _found(spark, sf_dir).select("doc_id", "item_id", start.cast("bigint").alias("start"), *forms)
 
 
-@query("p26_lint", r"""
-SELECT doc_id, array_to_string(list_filter([
-  CASE WHEN regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]') THEN 'CONTROL_CHAR' END,
-  CASE WHEN regexp_matches(text, '(?i)ignore (all|previous)|system prompt|you are now|지시(를|사항을)? 무시') THEN 'INSTRUCTION' END,
-  CASE WHEN regexp_matches(text, '(?i)password\s*[=:]|token\s*=|AKIA[0-9A-Z]{16}|api[_-]?key') THEN 'SENSITIVE' END,
-  CASE WHEN length(text) > 2000 THEN 'OVER_LENGTH' END], lambda x: x IS NOT NULL), ',') AS codes FROM documents""")
+_NOTES = ["", "a plain note", "ignore previous words", "Ignore the rest", "<script>x", "SYSTEM PROMPT", "< / System >", "tab\tand\nline", "bell\x07", "x" * 501, "지시를 따르시오", "\x1f" + "y" * 600 + " you must now"]
+
+
+@query("p26_lint", f"""
+SELECT k, array_to_string(list_filter([
+  CASE WHEN regexp_matches(t, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]') THEN 'CONTENT_CONTROL_CHARS' END,
+  CASE WHEN regexp_matches(t, '(?i)(ignore (all|previous|above)|disregard (the|previous)|system prompt|다음 지시를 무시|지시를 따르|프롬프트를 무시|you must now|</?script|<\\s*/?\\s*(system|instructions?)\\b)') THEN 'CONTENT_INJECTION_PATTERN' END,
+  CASE WHEN length(t) > 500 THEN 'CONTENT_TOO_LONG' END], lambda x: x IS NOT NULL), ',') AS codes
+FROM (SELECT 'd' || doc_id AS k, text AS t FROM documents UNION ALL SELECT k, t FROM {literal([(f"n{i}", t) for i, t in enumerate(_NOTES)], 'k', 't')}) x""")
 def p26(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.lint_codes(F.col("text")), ",").alias("codes"))
+    notes = spark.createDataFrame([(f"n{i}", t) for i, t in enumerate(_NOTES)], "k string, t string")
+    both = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("k"), F.col("text").alias("t")).union(notes)
+    return both.select("k", F.array_join(T.lint_codes(F.col("t")), ",").alias("codes"))
 
 
 @query("p27_token_estimate", r"""
@@ -169,12 +193,16 @@ def f10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", size.alias("n_bytes"), F.when(size > 65536, "TOO_LARGE").when(F.length(F.trim("text")) == 0, "EMPTY").otherwise("OK").alias("status"))
 
 
-@query("m10_one_edit", "SELECT a.n_name AS a, b.n_name AS b FROM nation a, nation b WHERE a.n_nationkey < b.n_nationkey AND length(a.n_name) = length(b.n_name) AND levenshtein(a.n_name, b.n_name) = 1")
+WORDS = ["kepco", "kepc", "kepko", "epco", "kkepco", "kepcos", "kecpo", "msit", "mist", "msi", "ms", "m", "", "한전", "한국전", "한국전력", "힌전", "kepco"]
+_WORDS = literal([(i, w) for i, w in enumerate(WORDS)], "k", "s")
+
+
+@query("m10_one_edit", f"SELECT a.k AS a, b.k AS b FROM (SELECT * FROM {_WORDS}) a, (SELECT * FROM {_WORDS}) b WHERE a.k < b.k AND levenshtein(a.s, b.s) = 1 UNION ALL SELECT -1 - a.n_nationkey, -1 - b.n_nationkey FROM nation a, nation b WHERE a.n_nationkey < b.n_nationkey AND levenshtein(a.n_name, b.n_name) = 1")
 def m10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equi-join on length before the distance: pairs of one length only."""
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("s"), F.length("n_name").alias("len"))
-    a, b = n.alias("a"), n.alias("b")
-    return a.join(b, (F.col("a.len") == F.col("b.len")) & (F.col("a.k") < F.col("b.k"))).where(T.one_edit(F.col("a.s"), F.col("b.s"))).select(F.col("a.s").alias("a"), F.col("b.s").alias("b"))
+    rows = spark.createDataFrame([(i, w) for i, w in enumerate(WORDS)], "k bigint, s string")
+    nations = table(spark, sf_dir, "nation").select((-1 - F.col("n_nationkey")).cast("bigint").alias("k"), F.col("n_name").alias("s"))
+    pairs = matching.one_edit_pairs(rows, "k", "s").union(matching.one_edit_pairs(nations, "k", "s").select(F.greatest("a", "b"), F.least("a", "b")))
+    return pairs.select("a", "b")
 
 
 _GRAMS = "list_distinct(CASE WHEN length({0}) >= 2 THEN list_transform(range(1, length({0})), lambda i: substring({0}, i::INT, 2)) WHEN length({0}) > 0 THEN [{0}] ELSE [] END)"
@@ -214,12 +242,6 @@ def m11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(BUDGETS, "id int, j int, s int").select("id", F.round(T.fuzzy_budget(F.col("j"), F.col("s")), 9).alias("budget"))
 
 
-@query("m15_type_terminal", "SELECT id, regexp_extract(s, '^.+?(공사|위원회|연구원|부|청)$', 1) AS terminal FROM " + literal([(1, "한국전력공사"), (2, "과학기술정보통신부"), (3, "부"), (4, "방송통신위원회"), (5, "카카오")], "id", "s"))
-def m15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "한국전력공사"), (2, "과학기술정보통신부"), (3, "부"), (4, "방송통신위원회"), (5, "카카오")], "id int, s string")
-    return rows.select("id", F.regexp_extract("s", "^.+?(공사|위원회|연구원|부|청)$", 1).alias("terminal"))
-
-
 @query("m16_tokens", r"SELECT doc_id, len(regexp_extract_all(text, '[0-9A-Za-z]+|[가-힣]+')) AS runs, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS words FROM documents")
 def m16(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = F.regexp_extract_all("text", F.lit("[0-9A-Za-z]+|[가-힣]+"), F.lit(0))
@@ -234,29 +256,34 @@ def s23(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", F.size("s").cast("bigint").alias("sentences"), F.array_max(F.transform("s", F.length)).cast("bigint").alias("longest"))
 
 
-@query("m17_paragraphs", r"SELECT doc_id, len(string_split(text, chr(10))) AS lines, len(list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) > 0)) AS filled FROM documents")
+PROSE = [(1, "첫 문단. 둘째 문장!\n\n 둘째 문단"), (2, "a.b c. d"), (3, "\n\n\n"), (4, "one\n \t\n\n\ntwo? three"), (5, ""), (6, "end.\n\n\n"), (7, "3.14 is pi. ok")]
+PARAGRAPHS = [(1, 0, 12), (1, 14, 20), (2, 0, 8), (4, 0, 3), (4, 9, 19), (6, 0, 4), (7, 0, 14)]
+SENTENCES = [(1, 0, 5), (1, 5, 12), (1, 12, 20), (2, 0, 6), (2, 6, 8), (4, 0, 13), (4, 13, 19), (6, 0, 4), (7, 0, 11), (7, 11, 14)]
+
+
+@query("m17_paragraphs", "SELECT 'paragraph' AS kind, * FROM " + literal(PARAGRAPHS, "id", "start", '"end"') + " UNION ALL SELECT 'sentence', * FROM " + literal(SENTENCES, "id", "start", '"end"'))
 def m17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = F.split("text", "\n")
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(lines).cast("bigint").alias("lines"), F.size(F.filter(lines, lambda x: F.length(F.trim(x)) > 0)).cast("bigint").alias("filled"))
+    """Paragraphs between blank lines, and sentences, with offsets."""
+    rows = spark.createDataFrame(PROSE, "id int, s string")
+    parts = rows.select(F.lit("paragraph").alias("kind"), "id", F.inline(T.spans_between(F.col("s"), T.PARAGRAPH_BREAK)))
+    return parts.union(rows.select(F.lit("sentence"), "id", F.inline(T.sentence_spans(F.col("s")))))
 
 
-@query("m19_passages", "SELECT doc_id, s AS start, least(s + 1000, length(text)) AS \"end\", md5(substring(text, s::INT + 1, 1000)) AS passage FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 900)) AS s FROM documents) x")
-def m19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages of 1000 characters, 100 shared by neighbours."""
-    cut = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(900))).alias("s"))
-    return cut.select("doc_id", F.col("s").cast("bigint").alias("start"), F.least(F.col("s") + 1000, F.length("text")).cast("bigint").alias("end"), F.md5(F.substring("text", F.col("s") + 1, F.lit(1000))).alias("passage"))
+@query("m17_document_paragraphs", r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\n[ \t\r]*\n+'), lambda x: regexp_matches(x, '\S'))) AS paragraphs FROM documents")
+def m17_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.spans_between(F.col("text"), T.PARAGRAPH_BREAK)).cast("bigint").alias("paragraphs"))
 
 
-_J17 = """
-SELECT d.doc_id, b.item_id, p::BIGINT AS start, (p + length(b.text))::BIGINT AS "end", d.source, d.text, b.text AS surface FROM documents d JOIN benchmark b ON contains(d.text, b.text),
-LATERAL (SELECT unnest(list_filter(range(0, length(d.text) - length(b.text) + 1), lambda i: substring(d.text, i::INT + 1, length(b.text)) = b.text)) AS p) q"""
+@query("m19_passages", "SELECT doc_id, s AS start, least(s + 1000, length(text)) AS \"end\", md5(substring(text, s::INT + 1, 1000)) AS passage FROM (SELECT doc_id, text, unnest(range(0, length(text), 900)) AS s FROM documents) x WHERE s = 0 OR s + 100 < length(text)")
+def m19(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 1000 characters, 100 shared by neighbours; none that the one before holds already."""
+    cut = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(T.passages(F.col("text"))).alias("s"))
+    return cut.select("doc_id", F.col("s").cast("bigint").alias("start"), F.least(F.col("s") + 1000, F.length("text")).cast("bigint").alias("end"), F.md5(F.substring("text", F.col("s") + 1, F.lit(1000))).alias("passage"))
 
 
 @query("j17_literal_matches", f'SELECT doc_id, item_id, start, "end" FROM ({_J17}) x')
 def j17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("surface"))
-    found = matching.literal_matches(table(spark, sf_dir, "documents"), items)
-    return found.select("doc_id", "item_id", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"))
+    return _found(spark, sf_dir).select("doc_id", "item_id", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"))
 
 
 @query("f02_boundaries", f"""

@@ -31,13 +31,43 @@ def deduplicated(mentions: DataFrame, late: str) -> DataFrame:
 
 
 def gaps(mentions: DataFrame) -> DataFrame:
-    """Occurrences and distinct documents of each (entity, residual); update mode on a stream."""
-    seen = F.approx_count_distinct("doc_id") if mentions.isStreaming else F.count_distinct("doc_id")
+    """Occurrences and distinct documents of each (entity, residual); update mode on a stream.
+
+    On a stream two aggregations in a row are not allowed in update mode, so the documents are a set in the state.
+    """
+    seen = F.size(F.collect_set("doc_id")).cast("bigint") if mentions.isStreaming else F.count_distinct("doc_id")
     return mentions.groupBy("entity_id", "residual").agg(F.count("*").alias("occurrences"), seen.alias("documents"))
 
 
-def records(lines: DataFrame) -> DataFrame:
+def records(lines: DataFrame, *keep: str) -> DataFrame:
     """Requests from JSON lines (value): a record or an error for each."""
     v = F.try_parse_json("value")
     text = F.try_variant_get(v, "$.text", "string")
-    return lines.select(F.try_variant_get(v, "$.id", "string").alias("id"), text.alias("text"), F.when(v.isNull(), "INVALID_JSON").when(text.isNull(), "MISSING_TEXT").otherwise("OK").alias("status"))
+    return lines.select(*keep, F.try_variant_get(v, "$.id", "string").alias("id"), text.alias("text"), F.when(v.isNull(), "INVALID_JSON").when(text.isNull(), "MISSING_TEXT").otherwise("OK").alias("status"))
+
+
+def pinned(jobs: DataFrame, activations: DataFrame) -> DataFrame:
+    """job and the snapshot of its tenant (tenant, snapshot, at) that was active when it began; null without one."""
+    at = jobs.join(activations, "tenant", "left").where("at is null or at <= begun")
+    held = at.groupBy("job").agg(F.max_by("snapshot", "at").alias("snapshot"))
+    return jobs.select("job").join(held, "job", "left")
+
+
+def expired(terms: DataFrame, now: Column, turns: int = 20) -> DataFrame:
+    """Whether provisional terms (id, turn) have outlived their turns; others are left out."""
+    return terms.where("turn is not null").select("id", (now - F.col("turn") >= turns).alias("expired"))
+
+
+#: State and event: the state after it.
+MOVES = {("QUEUED", "start"): "RUNNING", ("QUEUED", "cancel"): "CANCELLED", ("RUNNING", "finish"): "SUCCEEDED", ("RUNNING", "fail"): "FAILED", ("RUNNING", "cancel"): "CANCELLED"}
+
+
+def job_states(events: DataFrame) -> DataFrame:
+    """state and number of refused events of each job, from its events (job, n, event) in order. Native fold."""
+    moves = F.create_map(*[F.lit(x) for (a, e), b in MOVES.items() for x in (f"{a}:{e}", b)])
+    held = events.groupBy("job").agg(F.array_sort(F.collect_list(F.struct("n", "event"))).alias("es"))
+    fold = F.aggregate(
+        "es", F.struct(F.lit("QUEUED").alias("state"), F.lit(0).alias("refused")),
+        lambda s, e: F.struct(F.coalesce(F.try_element_at(moves, F.concat_ws(":", s["state"], e["event"])), s["state"]).alias("state"), (s["refused"] + F.try_element_at(moves, F.concat_ws(":", s["state"], e["event"])).isNull().cast("int")).alias("refused")),
+    )
+    return held.select("job", fold.alias("f")).select("job", "f.state", "f.refused")
