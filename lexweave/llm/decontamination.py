@@ -6,8 +6,8 @@ at a small edit distance agree on most places: after an edit the two walks fall
 samples of SAMPLE places each give the LSH keys. Samples lie in a walk's first DEPTH places, where few edits have been
 met; and as an edit spoils some of an item's windows only, windows start at every word of an item and at every
 STRIDE-th word of a document, without regard to what the words are. A key that two of them share sets the item against
-the window of the document that has the item's size at the same offset, and that is compared by edit distance
-(bit-parallel, the window's surroundings free at both ends). A hit is a distance of at most RATE of the item's length.
+the window of the document that has the item's size at the same offset. That is compared by edit distance
+(bit-parallel, the window's surroundings free at both ends), unless the grams in common rule a hit out. A hit is a distance of at most RATE of the item's length.
 Recall at each rate of edits up to RATE, and with a letter changed in every longer word, is measured in the tests.
 
 The items are the only side that is broadcast, in blocks of at most ITEM_BYTES of text; documents never move.
@@ -32,7 +32,7 @@ RATE, LEAST = 0.15, 5
 WALKS, TABLES, SAMPLE, DEPTH, STRIDE, SEED = 2, 4, 14, 48, 2, 20240229
 ITEM_BYTES = 8 << 20
 #: Windows that walk together.
-TOGETHER = 16_384
+TOGETHER = 4_096
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -68,6 +68,15 @@ def distance(pattern: bytes, text: bytes) -> tuple[int, int]:
     return best, end
 
 
+#: Bytes of the grams that are counted before an edit distance is worked out.
+GRAM = 4
+
+
+def grams(text: bytes) -> np.ndarray:
+    raw = np.frombuffer(text, dtype=np.uint8).astype(np.uint32)
+    return raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
+
+
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Normalised texts one after the other with room for a walk at the end, where each begins, and all word starts."""
     begins = np.cumsum([0, *[len(t) + 1 for t in texts]])
@@ -88,8 +97,9 @@ class Items:
                 self.short[text].append((i, n))
         self.items = [x for x in told if x[2] >= LEAST and len(x[1]) >= DEPTH // 2]
         self.texts = [x[1] for x in self.items]
+        self.grams = [grams(t) for t in self.texts]
         rng = np.random.default_rng(SEED)
-        self.steps = rng.integers(0, 2, (WALKS, DEPTH, 256), dtype=np.int64)
+        self.steps = rng.integers(0, 2, (WALKS, DEPTH, 256), dtype=np.uint8)
         self.weights = np.zeros((WALKS, TABLES, DEPTH))
         for w in range(WALKS):
             for t in range(TABLES):  # sums of whole numbers under 2^53 are exact in any order
@@ -115,14 +125,13 @@ class Items:
         out = np.empty((WALKS, TABLES, len(starts)))
         for a in range(0, len(starts), TOGETHER):
             own = starts[a : a + TOGETHER]
-            walked = np.empty((DEPTH, len(own)))
+            walked, step = np.empty((DEPTH, len(own)), dtype=np.uint8), np.empty(len(own), dtype=np.uint8)
             for w in range(WALKS):
                 at = own.copy()
                 for t in range(DEPTH):
-                    c = raw[at]
-                    walked[t] = c
-                    at += self.steps[w, t][c]
-                out[w, :, a : a + len(own)] = self.weights[w] @ walked
+                    c = np.take(raw, at, out=walked[t], mode="clip")
+                    at += np.take(self.steps[w, t], c, out=step, mode="clip")
+                np.matmul(self.weights[w], walked.astype(np.float64), out=out[w, :, a : a + len(own)])
         return out.reshape(WALKS * TABLES, len(starts))
 
     def candidates(self, raw: np.ndarray, begins: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
@@ -159,10 +168,14 @@ class Items:
                 e, m, a, b = place
                 item = self.texts[m]
                 pad = int(rate * len(item)) + 1
-                begin = max(0, a - pad)
-                apart, _ = distance(item, plain[e][begin : b + len(item) + pad])
-                if apart <= rate * len(item) and (apart, a) < best.get((e, m), (1 << 60, 0)):
-                    best[e, m] = (apart, max(0, a))
+                around = plain[e][max(0, a - pad) : b + len(item) + pad]
+                # an edit spoils GRAM of the item's grams at most, so a hit has all but so many in common with its place
+                held = np.sort(grams(around))
+                found = np.minimum(np.searchsorted(held, self.grams[m]), len(held) - 1)
+                if len(held) and (held[found] == self.grams[m]).sum() >= len(self.grams[m]) - GRAM * int(rate * len(item)):
+                    apart, _ = distance(item, around)
+                    if apart <= rate * len(item) and (apart, a) < best.get((e, m), (1 << 60, 0)):
+                        best[e, m] = (apart, max(0, a))
             place = (d, n, at, at)
         for (d, n), (apart, a) in sorted(best.items()):
             yield d, self.items[n][0], apart, plain[d].count(b" ", 0, a), self.items[n][2]
