@@ -68,13 +68,6 @@ def a10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(PAIRS, "id int, b int, c int").select("id", F.round(E.mcnemar(F.col("b"), F.col("c")), 9).alias("p"))
 
 
-@query("a12_threshold_grid", "SELECT t, sum(CASE WHEN s >= t THEN 1 ELSE 0 END)::BIGINT AS selected, sum(CASE WHEN s >= t AND quality = 0 THEN 1 ELSE 0 END)::BIGINT AS errors FROM (SELECT quality, least(n_chars / 5000.0, 1.0) AS s FROM documents JOIN labels USING (doc_id)) x, (VALUES (0.1), (0.2), (0.4), (0.8)) g(t) GROUP BY t")
-def a12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("quality", F.least(F.col("n_chars") / 5000.0, F.lit(1.0)).alias("s"))
-    grid = F.array(*[F.lit(t) for t in (0.1, 0.2, 0.4, 0.8)])
-    return scored.select("quality", "s", F.explode(grid).alias("t")).groupBy("t").agg(F.count_if(F.col("s") >= F.col("t")).alias("selected"), F.count_if((F.col("s") >= F.col("t")) & (F.col("quality") == 0)).alias("errors"))
-
-
 @query("a14_conformal_quantile", "SELECT lang, len(s) AS n, CASE WHEN ceil((len(s) + 1) * 0.9) <= len(s) THEN s[ceil((len(s) + 1) * 0.9)::INT] ELSE 1.0 END AS quantile FROM (SELECT lang, list(x ORDER BY x) AS s FROM (SELECT lang, round(1 - least(n_chars / 20000.0, 1.0), 9)::DOUBLE AS x FROM documents) y GROUP BY 1) z")
 def a14(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = table(spark, sf_dir, "documents").select("lang", F.round(1 - F.least(F.col("n_chars") / 20000.0, F.lit(1.0)), 9).alias("x"))
