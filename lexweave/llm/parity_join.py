@@ -16,7 +16,8 @@ Keys travel as packed blocks, not as rows. Groups of nodes under a key are kept
 chunks of BLOCK nodes. A chunk is joined in place: nodes carry a parity sketch of 1.5 to 3 bits a token (small ones of 1,024 bits), whose
 Hamming distance bounds the symmetric difference. Pairs that are well within the bound are taken as a spanning forest,
 fewer than the chunk has nodes; pairs near the bound are taken all, where the forest does not join them. Pairs are
-verified on the sets. Where a pair fails and its nodes are in different components, the chunks that hold both go round
+verified on the sets. A first round has each node in its largest group alone, the second all groups, given the
+components by then. Where a pair fails and its nodes are in different components, the chunks that hold both go round
 again without it, until no chunk has a pair to offer: then every link has both ends in one component.
 
 Groups of more than one chunk: a node with fewer keys in such groups than it has lanes to spare (beyond d_k) meets all
@@ -337,26 +338,27 @@ def _candidates(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.repartition("gid", "chunk").sortWithinPartitions("gid", "chunk", "node").mapInArrow(_near_within, "a bigint, b bigint").distinct()
 
 
+def _placed(members: DataFrame, comps: DataFrame, failed: DataFrame) -> DataFrame:
+    """members with their component and the nodes that they are known not to link with (null: none)."""
+    both = failed.select(F.col("a").alias("node"), F.col("b").alias("other")).union(failed.select("b", "a"))
+    missed = both.groupBy("node").agg(F.collect_list("other").alias("failed"))
+    told = members.join(comps.select("node", "comp"), "node", "left").join(missed, "node", "left")
+    return told.withColumn("comp", F.coalesce("comp", "node"))
+
+
 def _again(members: DataFrame, comps: DataFrame, failed: DataFrame, last: DataFrame, hot: DataFrame | None) -> DataFrame:
     """Members of the chunks that have to go round again.
 
     failed: all pairs (a, b) that did not link; last: those of the last round, of which a forest may have made use. hot:
     the nodes that groups of several chunks have to compare across chunks.
     """
-    both = failed.select(F.col("a").alias("node"), F.col("b").alias("other")).union(failed.select("b", "a"))
-    missed = both.groupBy("node").agg(F.collect_list("other").alias("failed"))
-
-    def placed(some: DataFrame) -> DataFrame:
-        told = some.join(comps.select("node", "comp"), "node", "left").join(missed, "node", "left")
-        return told.withColumn("comp", F.coalesce("comp", "node"))
-
     small = members.where(F.col("size") <= BLOCK).select("gid", "chunk", "node")
     one = small.join(last, small["node"] == last["a"]).select(F.col("gid").alias("of"), "b")
     held = small.join(one, (small["gid"] == one["of"]) & (small["node"] == one["b"]), "left_semi").select(F.col("gid").alias("of")).distinct()
-    out = placed(small.join(held, small["gid"] == held["of"], "left_semi")).select("gid", "chunk", "node", "comp", "failed")
+    out = _placed(small.join(held, small["gid"] == held["of"], "left_semi"), comps, failed).select("gid", "chunk", "node", "comp", "failed")
     if hot is None:
         return out
-    large = placed(members.where(F.col("size") > BLOCK).join(hot, "node", "left_semi"))
+    large = _placed(members.where(F.col("size") > BLOCK).join(hot, "node", "left_semi"), comps, failed)
     open_large = large.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("gid")
     most = large.groupBy("gid", "comp").agg(F.count("*").alias("many")).groupBy("gid").agg(F.max_by("comp", F.struct("many", "comp")).alias("main"))
     large = large.join(open_large, "gid").join(most, "gid")
@@ -380,9 +382,11 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         hot = common.cut(large.groupBy("node").agg(F.sum("keys").alias("hot")).join(nodes.select("node", "spare"), "node").where("hot > spare").select("node"), "hot")
 
     none = F.lit(None).cast("array<bigint>")
-    pairs = common.cut(_candidates(members.select("gid", "chunk", "node", F.col("node").alias("comp"), none.alias("failed")), nodes), "pairs")
-    checked, comps = [], None
-    while comps is None or pairs.limit(1).count():
+    # first each node in its largest group alone: that joins most of what links, with no more pairs than nodes
+    own = members.groupBy("node").agg(F.max(F.struct("size", "gid", "chunk")).alias("g")).select("g.gid", "g.chunk", "node", F.col("node").alias("comp"), none.alias("failed"))
+    pairs = common.cut(_candidates(own, nodes), "pairs")
+    checked, comps, whole = [], None, False
+    while True:
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         sets = common.cut(_sets(docs, nodes.select("node", "rep").join(ends, "node")), "sets")
         checked.append(common.cut(_verified(pairs, sets), "checked"))
@@ -392,6 +396,12 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             every = every.union(more)
         comps = components.components(every.where("linked"))
         failed, last = (x.where("not linked").select("a", "b") for x in (every, checked[-1]))
+        if not whole:
+            whole = True
+            pairs = common.cut(_candidates(_placed(members, comps, failed).select("gid", "chunk", "node", "comp", "failed"), nodes), "pairs")
+            if hot is None and pairs.limit(1).count() == 0:
+                break
+            continue
         of = comps.select("node", "comp")
         last = last.join(of.withColumnsRenamed({"node": "a", "comp": "ca"}), "a", "left").join(of.withColumnsRenamed({"node": "b", "comp": "cb"}), "b", "left")
         last = common.cut(last.where("coalesce(ca, a) != coalesce(cb, b)").select("a", "b"), "apart")
@@ -401,6 +411,8 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
         pairs = common.cut(_candidates(_again(members, comps, failed, F.broadcast(last) if n <= BROADCAST_ROWS else last, hot), nodes), "pairs")
         common.drop(last)
+        if pairs.limit(1).count() == 0:
+            break
     placed = nodes.select("node", "rep").join(comps.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     lowest = placed.groupBy("comp").agg(F.min("rep").alias("least"))
     rows = common.cut(rows, "rows")
