@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,3 +41,14 @@ def conformal_quantile(scores: DataFrame, key: list[str], score: str, alpha: flo
     whole = counts.groupBy(*key).agg(F.sum("__c").alias("n"))
     placed = counts.withColumn("__upto", F.sum("__c").over(upto)).join(whole, key).withColumn("__at", F.ceil((F.col("n") + 1) * F.lit(1 - alpha)))
     return placed.groupBy(*key, "n").agg(F.coalesce(F.min(F.when(F.col("__upto") >= F.col("__at"), F.col("__s"))), F.lit(1.0)).alias("quantile"))
+
+
+def placed_values(rows: DataFrame, key: str, value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """The values at 1-based places of each key's sorted values; a place is a function of their number.
+
+    Equal values are counted first and the counts summed up in order, so a window holds distinct values only.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("__c"))
+    upto = Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counts.withColumn("__upto", F.sum("__c").over(upto)).join(counts.groupBy(key).agg(F.sum("__c").alias("__n")), key)
+    return placed.groupBy(key).agg(*[F.min(F.when(F.col("__upto") >= at(F.col("__n")), F.col(value))).alias(name) for name, at in places.items()])

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..functions import text as T
 from .matching import best_first
@@ -46,25 +49,91 @@ def gram_rows(df: DataFrame, key: str) -> DataFrame:
     return held.select(key, F.explode(F.when(F.col("n") == 1, F.col("c")).otherwise(pairs)).alias("gram")).distinct()
 
 
-def lexical(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """|q & d| / sqrt(|d|) over distinct alphanumeric bigrams."""
-    d = gram_rows(docs, "doc_id")
-    d = d.join(d.groupBy("doc_id").agg(F.count("*").alias("size")), "doc_id")
-    q = gram_rows(queries, "query_id")
-    scored = d.join(q, "gram").groupBy("query_id", "doc_id", "size").agg(F.count("*").alias("both"))
-    scored = scored.withColumn("score", F.col("both") / F.sqrt("size"))
-    return best_first(scored.select("query_id", "doc_id", "score"), ["query_id"], [F.desc(F.round("score", 9)), F.asc("doc_id")], k)
+#: Queries that a scan of the corpus is asked at once.
+QUERIES_A_SCAN = 2048
+
 
+def _best(q: np.ndarray, v: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of each query, ties to nine digits by the smaller id."""
+    order = np.lexsort((v, -np.round(s, 9), q))
+    q, v, s = q[order], v[order], s[order]
+    first = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, np.int64)
+    kept = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) < k
+    return q[kept], v[kept], s[kept]
 
-def vector_top(vectors: DataFrame, queries: DataFrame, k: int, most: int = 100_000) -> DataFrame:
-    """The k nearest vectors of each query by inner product: query_id, vec_id, score.
 
-    The stated queries are broadcast (``most`` at most) and held against every vector in one scan; each task keeps a
-    partial ranking, so only queries x k x tasks rows are shuffled.
+def _scans(rows: DataFrame, queries: DataFrame, key: str, k: int, scored: Callable) -> DataFrame:
+    """query_id, key and score of the k best rows of each query.
+
+    The queries are broadcast in blocks of QUERIES_A_SCAN, each of which is one scan of the rows: a task keeps the k best of
+    what it has seen, so queries x k x tasks rows are shuffled and rows never are. scored: (block, batch) to the numbers of
+    queries, ids and scores of what a batch has to offer.
     """
-    n = queries.count()
-    if n > most:
-        raise ValueError(f"{n} queries: hold them against the vectors in blocks of {most}")
-    pairs = vectors.select("vec_id", "embedding").join(F.broadcast(queries.select("query_id", F.col("embedding").alias("q"))))
-    scored = pairs.select("query_id", "vec_id", T.inner_product(F.col("embedding"), F.col("q")).alias("score"))
-    return best_first(scored, ["query_id"], [F.desc(F.round("score", 9)), F.asc("vec_id")], k)
+    spark, out, held = rows.sparkSession, None, []
+    name = key
+
+    def scan(block: list) -> DataFrame:
+        told = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            ids = np.array([r[0] for r in told.value], dtype=np.int64)
+            for batch in batches:
+                best = _best(*[np.concatenate([x, y]) for x, y in zip(best, scored(told.value, batch))], k)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["query_id", name, "score"])
+
+        return rows.mapInArrow(run, f"query_id bigint, {name} bigint, score double")
+
+    for r in queries.toLocalIterator():
+        held.append(tuple(r))
+        if len(held) == QUERIES_A_SCAN:
+            out, held = scan(held) if out is None else out.union(scan(held)), []
+    if held or out is None:
+        out = scan(held) if out is None else out.union(scan(held))
+    return best_first(out, ["query_id"], [F.desc(F.round("score", 9)), F.asc(key)], k)
+
+
+def lexical(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """|q & d| / sqrt(|d|) over distinct alphanumeric bigrams: query_id, doc_id and score of the k best of each query."""
+    asked = gram_rows(queries, "query_id").groupBy("query_id").agg(F.collect_set("gram").alias("grams")).orderBy("query_id")
+    postings: dict[int, dict[str, np.ndarray]] = {}
+
+    def scored(block: list, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if id(block) not in postings:
+            postings.clear()
+            of: dict[str, list[int]] = {}
+            for i, (_, grams) in enumerate(block):
+                for g in grams:
+                    of.setdefault(g, []).append(i)
+            postings[id(block)] = {g: np.array(i) for g, i in of.items()}
+        known, out = postings[id(block)], []
+        for doc, t in zip(batch.column("doc_id").to_pylist(), batch.column("folded").to_pylist()):
+            if not t or doc is None:
+                continue
+            grams = {a + b for a, b in zip(t, t[1:])} if len(t) > 1 else {t}
+            hits = [known[g] for g in grams if g in known]
+            if hits:
+                both = np.bincount(np.concatenate(hits), minlength=len(block))
+                found = np.flatnonzero(both)
+                out.append((found, np.full(len(found), doc), both[found] / np.sqrt(len(grams))))
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+    folded = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), T.alnum_fold(F.col("text")).alias("folded"))
+    return _scans(folded, asked, "doc_id", k, scored)
+
+
+def vector_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k nearest vectors of each query by inner product: query_id, vec_id, score. Null vectors are no one's."""
+
+    def scored(block: list, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = batch.num_rows
+        if not n or not block:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        v = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+        s = np.array([r[1] for r in block], dtype=np.float64) @ v.T
+        r = np.round(s, 9)
+        least = np.partition(r, n - k, axis=1)[:, n - k] if n > k else r.min(axis=1)
+        q, i = np.nonzero(r >= least[:, None])
+        return q, batch.column("vec_id").to_numpy(zero_copy_only=False)[i].astype(np.int64), s[q, i]
+
+    return _scans(vectors.where("embedding is not null").select("vec_id", "embedding"), queries.where("embedding is not null").select("query_id", "embedding"), "vec_id", k, scored)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import glossary, matching
+from ..operators import glossary, matching, retrieval
 from .base import literal, query, table
 
 TERMS = [("kepco", "한국전력공사", ["한전", "KEPCO", "한국전력공사"]), ("msit", "과학기술정보통신부", ["과기정통부"]), ("qms", "Quality Management System", ["QMS", "qms"]), ("bare", "AP", None), ("sk", "SK하이닉스", ["하닉", "하이닉스반도체"])]
@@ -161,10 +161,10 @@ def j03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(F.broadcast(dims), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name", "r_name")
 
 
-@query("j13_composition", "SELECT l_orderkey, l_linenumber, p_name FROM (SELECT * FROM lineitem WHERE l_quantity >= 49) l LEFT JOIN part ON p_partkey = l_partkey AND p_size = l_linenumber")
+@query("j13_composition", "SELECT l_orderkey, l_linenumber, p_name FROM lineitem l LEFT JOIN part ON p_partkey = l_partkey AND p_size = l_linenumber")
 def j13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A left join on two keys: the target of a pair, if there is one."""
-    l, p = table(spark, sf_dir, "lineitem").where("l_quantity >= 49"), table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name")
+    l, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name")
     return l.join(p, (F.col("p_partkey") == F.col("l_partkey")) & (F.col("p_size") == F.col("l_linenumber")), "left").select("l_orderkey", "l_linenumber", "p_name")
 
 
@@ -179,12 +179,24 @@ def j14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.withColumn("r", F.rank().over(Window.partitionBy("m").orderBy("d"))).where("r = 1").select("m", "anchor")
 
 
-@query("j19_hybrid", "SELECT vec_id, pri FROM (SELECT vec_id, pri, row_number() OVER (ORDER BY pri, vec_id) AS k FROM (SELECT vec_id, min(pri)::INT AS pri FROM (SELECT vec_id, 0 AS pri FROM embeddings WHERE label = 3 UNION ALL SELECT vec_id, 1 FROM embeddings WHERE vec_id < 10) x GROUP BY 1) y) z WHERE k <= 14")
+_DENSE = "SELECT q.vec_id AS query_id, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) DESC, v.vec_id) AS r FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0"
+
+
+@query("j19_hybrid", f"""
+SELECT query_id, vec_id, pri FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pri, spot, vec_id) AS k FROM (
+  SELECT query_id, vec_id, min(pri) AS pri, arg_min(spot, pri) AS spot FROM (
+    SELECT query_id, vec_id, 0 AS pri, spot FROM (SELECT q.vec_id AS query_id, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY v.vec_id) AS spot FROM embeddings q JOIN embeddings v ON q.label = v.label WHERE q.vec_id % 20 = 0) l WHERE spot <= 7
+    UNION ALL SELECT query_id, vec_id, 1, r FROM ({_DENSE}) d WHERE r <= 10) x GROUP BY 1, 2) y) z WHERE k <= 14""")
 def j19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexical hits before dense ones, each vector once, 14 at most."""
+    """Seven hits by label before ten by vector, each vector once, 14 at most, for each of the stated queries."""
     v = table(spark, sf_dir, "embeddings")
-    both = v.where("label = 3").select("vec_id", F.lit(0).alias("pri")).unionByName(v.where("vec_id < 10").select("vec_id", F.lit(1).alias("pri")))
-    return both.groupBy("vec_id").agg(F.min("pri").alias("pri")).orderBy("pri", "vec_id").limit(14)
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label", "embedding")
+    order = lambda *by: F.row_number().over(Window.partitionBy("query_id").orderBy(*by))
+    first = matching.best_first(v.select("vec_id", "label"), ["label"], [F.asc("vec_id")], 7)  # the same for all queries of a label
+    labels = asked.select("query_id", "label").join(first, "label").select("query_id", "vec_id", F.lit(0).alias("pri"), order("vec_id").alias("at"))
+    near = retrieval.vector_top(v, asked, 10).select("query_id", "vec_id", F.lit(1).alias("pri"), order(F.desc(F.round("score", 9)), "vec_id").alias("at"))
+    one = labels.unionByName(near).groupBy("query_id", "vec_id").agg(F.min(F.struct("pri", "at")).alias("m"))
+    return matching.best_first(one.select("query_id", "vec_id", "m.pri", "m.at"), ["query_id"], [F.asc("pri"), F.asc("at"), F.asc("vec_id")], 14).drop("at")
 
 
 @query("j20_surface_lookup", "SELECT p_name AS surface, count(DISTINCT p_type) AS senses, count(DISTINCT p_type) > 1 AS ambiguous FROM part GROUP BY 1")
@@ -202,12 +214,15 @@ def j21(spark: SparkSession, sf_dir: str) -> DataFrame:
     return glossary.difference(p.where("p_size < 40"), new, "p_partkey", ["p_name"])
 
 
-@query("j23_flips", "SELECT a.l_shipdate IS NULL AS none, sum(CASE WHEN a.l_discount < 0.05 AND b.l_discount >= 0.05 THEN 1 ELSE 0 END)::BIGINT AS helpful, sum(CASE WHEN a.l_discount >= 0.05 AND b.l_discount < 0.05 THEN 1 ELSE 0 END)::BIGINT AS harmful FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2 GROUP BY 1")
+@query("j23_flips", "SELECT a.l_linenumber AS pair, count(*) FILTER (a.l_discount < 0.05 AND b.l_discount >= 0.05) AS helpful, count(*) FILTER (a.l_discount >= 0.05 AND b.l_discount < 0.05) AS harmful FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 GROUP BY 1")
 def j23(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paired conditions without a self-join: both outcomes of a case by conditional aggregates."""
-    l = table(spark, sf_dir, "lineitem").where("l_linenumber in (1, 2)")
-    sides = l.where("l_linenumber = 1").select("l_orderkey", F.col("l_discount").alias("a"), F.col("l_shipdate").isNull().alias("none")).join(l.where("l_linenumber = 2").select("l_orderkey", F.col("l_discount").alias("b")), "l_orderkey")
-    return sides.groupBy("none").agg(F.count_if((F.col("a") < 0.05) & (F.col("b") >= 0.05)).alias("helpful"), F.count_if((F.col("a") >= 0.05) & (F.col("b") < 0.05)).alias("harmful"))
+    """A case's outcome under each condition and the next one: the next row of the case, without a join."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.collect_list("l_discount").alias("d"))  # a line number may be repeated
+    after = F.lead(F.struct("l_linenumber", "d")).over(Window.partitionBy("l_orderkey").orderBy("l_linenumber"))
+    both = lines.select("l_linenumber", "d", after.alias("n")).where("n.l_linenumber = l_linenumber + 1")
+    low, then = (F.size(F.filter(c, lambda x: x < 0.05)) for c in (F.col("d"), F.col("n.d")))
+    high, after_high = F.size("d") - low, F.size("n.d") - then
+    return both.groupBy(F.col("l_linenumber").alias("pair")).agg(F.sum(low * after_high).alias("helpful"), F.sum(high * then).alias("harmful"))
 
 
 SURFACES = [("e1", "한국전력공사"), ("e2", "전력공사"), ("e3", "공사"), ("e4", "한전"), ("e5", "한전KDN"), ("e6", "KDN"), ("e7", "한국전력공사노조")]
