@@ -44,6 +44,8 @@ BEGIN, FIRST = RARE, RARE + 1
 BLOCK = 4000
 #: Positions that a task looks at together, unless one subtree has more.
 AT_ONCE = 500_000
+#: Bytes of text behind a part, which a task holds in memory.
+PART_BYTES = 16 << 20
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -335,7 +337,7 @@ _SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, tra
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = common.parts_of(docs, "text", PART_BYTES)
     coded = common.cut(_coded(docs.select("doc_id", "text"), parts), "coded")
     answered = common.cut(_answered(coded, parts), "symbols")
     totals = Totals([r["block"] for r in answered.where("kind = 2").select("block").collect()])  # RARE classes at most

@@ -255,6 +255,50 @@ def test_suffix_tree(docs, none):
     assert all(r["score"] < 0 for r in got) and suffix_tree.scored(none).count() == 0
 
 
+def test_suffix_tree_scores_equal_brute_force(spark):
+    """The model worked out anew over dictionaries: classes, contexts of none, one and two symbols, tests, smoothing."""
+    r = random.Random(8)
+    often = [f"w{i}" for i in range(12)]
+    texts = [" ".join(r.choice(["the same start of it", r.choice(often) + " " + r.choice(often), f"rare{r.randrange(60)}", "Then w1 w2 w3"]) for _ in range(r.randint(0, 25))) for _ in range(150)]
+    rows = [*enumerate(texts), (None, "the same start"), (9, None), (9, texts[9])]
+    words = [suffix_tree.hashes((t or "").encode()).tolist() for _, t in rows]
+    train = [not suffix_tree.held_out(d) for d, _ in rows]
+    n = Counter(w for t, own in zip(words, train) if own for w in t)
+    klass = {w: int(suffix_tree.rare_class(np.array([w], dtype=np.uint64))[0]) for t in words for w in t}
+    sums, kinds = Counter(), Counter()
+    for w, c in n.items():
+        if c < suffix_tree.OFTEN:
+            sums[klass[w]] += c
+            kinds[klass[w]] += 1
+    mass = lambda w: n[w] + 0.5 if n[w] >= suffix_tree.OFTEN else sums[klass[w]] + 0.5 * (kinds[klass[w]] + 1)
+    z = sum(n.values()) + 0.5 * (len(n) + suffix_tree.RARE)
+    symbol = lambda w: ("word", w) if n[w] >= suffix_tree.OFTEN else ("class", klass[w])
+    places = []
+    for t, own in zip(words, train):
+        s = ["begin", "begin", *map(symbol, t)]
+        places.append([((s[i + 1], s[i]), s[i + 2], w, own) for i, w in enumerate(t)])
+    root = {symbol(w): mass(w) / z for t in words for w in t}
+    tables = [Counter(), Counter()]
+    for (c1, c2), s, _, own in (x for p in places for x in p):
+        tables[0][(c1,), s] += own
+        tables[1][(c1, c2), s] += own
+
+    def state(context, table, below):
+        seen = {s: c for (x, s), c in table.items() if x == context}
+        total, best, k = sum(seen.values()), suffix_tree.GAIN, 0.0
+        for strength in suffix_tree.STRENGTHS:
+            gain = sum(c * math.log((c - 1 + strength * below(s)) / (total - 1 + strength) / below(s)) for s, c in seen.items() if c)
+            if gain > best:
+                best, k = gain, strength
+        return lambda s: (seen.get(s, 0) + k * below(s)) / (total + k) if k else below(s)
+
+    one = {c: state(c, tables[0], root.__getitem__) for c in {x for x, _ in tables[0]}}
+    two = {c: state(c, tables[1], one[c[:1]]) for c in {x for x, _ in tables[1]}}
+    want = sorted(repr((d, round(sum(math.log10(two[c](s)) + (0 if n[w] >= suffix_tree.OFTEN else math.log10((n[w] + 0.5) / mass(w))) for c, s, w, _ in p), 6))) for (d, _), p in zip(rows, places))
+    got = suffix_tree.scored(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert sorted(repr((x["doc_id"], round(x["score"], 6))) for x in got) == want
+
+
 def test_suffix_tree_keeps_all_frequent_words(spark):
     # 60,000 words of 17 occurrences, and 20,000 pairs of words of 16, the second one told by the first
     words, pairs, rows = [f"w{i}" for i in range(60_000)], [f"x{i} y{i}" for i in range(20_000)], []
