@@ -8,8 +8,10 @@ the largest page_id is the response and the others are revisits that refer to it
 the first in order is. Tasks write under temporary names; the driver renames the winners and then publishes the
 manifest.
 
-Only (page_id, digest) pairs meet by digest, and the largest page_id is a partial aggregate; payloads move once, to
-their shard, where the decisions arrive as rows sorted just before them.
+Only (page_id, digest) pairs meet by digest, and the largest page_id is a partial aggregate; one row a digest is joined
+back, so Spark splits the pairs of a digest that very many pages share. Payloads move once, to their shard, where the
+decisions arrive as rows sorted just before them. A task streams its shard: beyond MOST_SHARDS shards hold more, files
+do not.
 
 Null html is the empty payload. Null page_ids sort first, in shard 0, and are the smallest; null urls become NO_URL.
 An empty table gives a manifest without files. Other columns are not read.
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SHARD_BYTES, ROLL_BYTES, MOST_SHARDS, LEVEL = 32 << 20, 1 << 30, 20_000, 6
+SHARD_BYTES, ROLL_BYTES, MOST_SHARDS, LEVEL = 32 << 20, 4 << 20, 20_000, 6
 NO_URL = "urn:lexweave:no-url"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
