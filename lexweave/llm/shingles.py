@@ -11,7 +11,7 @@ import xxhash
 
 WIDTH = 5
 #: Distinct words whose hashes a worker remembers; the memory is emptied when full.
-WORDS_HELD = 1_000_000
+WORDS_HELD = 250_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
