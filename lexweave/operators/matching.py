@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import text as T
 
@@ -27,25 +32,64 @@ def occurrences(text: Column, surface: Column) -> Column:
     return F.when((size == 0) | (last < 0), none).when(bordered, tried).otherwise(walk)
 
 
-def literal_matches(docs: DataFrame, patterns: DataFrame, small: int = 100_000) -> DataFrame:
-    """All occurrences of patterns (item_id, surface) in docs (doc_id, text): doc_id, item_id, surface, start, end.
+def literal_matches(docs: DataFrame, patterns: DataFrame, most: int = 4 << 20) -> DataFrame:
+    """All occurrences of patterns (item_id, surface) in docs (doc_id, text), overlapping ones too: doc_id, item_id,
+    surface, text, start, end.
 
-    A pattern of four blank-parted tokens and more is sought by its second and third, which the text must hold as
-    tokens: an equi-join on them leaves few pairs to verify. Shorter ones are held against each text; they are
-    broadcast only up to ``small`` patterns.
+    Patterns of ``most`` bytes in all are broadcast as an automaton, which reads each text once; more of them meet the
+    texts by joins on tokens. Both give the same rows. Null and empty texts and surfaces match nothing.
+    """
+    parts = patterns.where(F.length("surface") > 0).select("item_id", "surface")
+    size = parts.agg(F.sum(F.octet_length("surface"))).first()[0] or 0
+    return _scanned(docs, parts) if size <= most else _joined(docs, parts)
+
+
+_automata: dict[str, object] = {}
+
+
+def _scanned(docs: DataFrame, parts: DataFrame) -> DataFrame:
+    held, key = docs.sparkSession.sparkContext.broadcast(parts.toArrow()), uuid.uuid4().hex
+    fields = [docs.schema["doc_id"], parts.schema["item_id"], parts.schema["surface"], docs.schema["text"]]
+    out = StructType([StructField(n, f.dataType) for n, f in zip(("doc_id", "item_id", "surface", "text"), fields)] + [StructField("start", IntegerType()), StructField("end", IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = held.value
+        if key not in _automata:
+            _automata.clear()
+            trie = ahocorasick.Automaton()
+            at: dict[str, list[int]] = {}
+            for i, s in enumerate(table.column("surface").to_pylist()):
+                at.setdefault(s, []).append(i)
+            for s, of in at.items():
+                trie.add_word(s, (len(s), of))
+            if at:
+                trie.make_automaton()
+            _automata[key] = trie
+        trie = _automata[key]
+        for batch in batches:
+            found = [(row, i, end + 1 - n, end + 1) for row, t in enumerate(batch.column("text").to_pylist()) if t and len(trie) for end, (n, of) in trie.iter(t) for i in of]
+            rows, items, starts, ends = (pa.array(c, pa.int32()) for c in zip(*found)) if found else [pa.array([], pa.int32())] * 4
+            own = [table.column(c).combine_chunks().take(items) for c in ("item_id", "surface")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), *own, batch.column("text").take(rows), starts, ends], names=out.names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, out)
+
+
+def _joined(docs: DataFrame, parts: DataFrame) -> DataFrame:
+    """A pattern of four blank-parted tokens and more is sought by its second and third, which the text must hold as
+    tokens: an equi-join on them leaves few pairs to verify. Shorter ones meet by their first two characters.
     """
-    parts = patterns.where(F.length("surface") > 0).withColumn("__t", F.split("surface", " "))
+    parts = parts.withColumn("__t", F.split("surface", " "))
     long = parts.where(F.size("__t") >= 4).select("item_id", "surface", F.concat_ws(" ", F.col("__t")[1], F.col("__t")[2]).alias("anchor"))
     tokens = F.split("text", " ")
     held = F.greatest(F.size(tokens) - 1, F.lit(0))
     pairs = F.zip_with(F.slice(tokens, F.lit(1), held), F.slice(tokens, F.lit(2), held), lambda a, b: F.concat_ws(" ", a, b))
-    anchored = docs.select("doc_id", F.explode(pairs).alias("anchor")).join(long, "anchor").select("doc_id", "item_id", "surface").distinct()
-    found = docs.select("doc_id", "text").join(anchored, "doc_id")
-    short = parts.where(F.size("__t") < 4).select("item_id", "surface")
-    n = short.limit(small + 1).count()
-    if n:
-        side = F.broadcast(short) if n <= small else short
-        found = found.unionByName(docs.select("doc_id", "text").join(side, F.expr("contains(text, surface)")))
+    short = parts.where(F.size("__t") < 4).select("item_id", "surface", F.left("surface", F.lit(2)).alias("anchor"))
+    size = F.length("text")
+    starts = F.when(size > 0, F.transform(F.sequence(F.lit(1), size), lambda i: F.substring("text", i, F.lit(2))))
+    both = F.array_distinct(F.concat(F.coalesce(starts, F.array().cast("array<string>")), F.transform(F.coalesce(starts, F.array().cast("array<string>")), lambda g: F.left(g, F.lit(1)))))
+    anchored = docs.select("doc_id", F.explode(pairs).alias("anchor")).join(long, "anchor").union(docs.select("doc_id", F.explode(both).alias("anchor")).join(short, "anchor").select("anchor", "doc_id", "item_id", "surface"))
+    found = docs.select("doc_id", "text").join(anchored.select("doc_id", "item_id", "surface").distinct(), "doc_id").where(F.contains("text", "surface"))
     return found.select("doc_id", "item_id", "surface", "text", F.explode(occurrences(F.col("text"), F.col("surface"))).alias("start")).select(
         "doc_id", "item_id", "surface", "text", "start", (F.col("start") + F.length("surface")).alias("end")
     )

@@ -8,9 +8,14 @@ def test_literal_matches_equal_brute_force(spark):
     words = ["a", "b", "ab", "the", "x\ny", ""]
     docs = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 30)))) for i in range(60)] + [(99, None)]
     items = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 6)))) for i in range(25)]
-    got = {(r["doc_id"], r["item_id"], r["start"]) for r in matching.literal_matches(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, surface string")).collect()}
+    items += [(99, None), (98, ""), (97, items[3][1])]
+    given = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, surface string")
     want = {(d, i, p) for d, t in docs if t for i, s in items if s for p in range(len(t) - len(s) + 1) if t[p : p + len(s)] == s}
-    assert got == want
+    for most in (1 << 20, 0):  # the automaton, and the joins for patterns beyond its size
+        rows = matching.literal_matches(*given, most).collect()
+        assert {(r["doc_id"], r["item_id"], r["start"]) for r in rows} == want and len(rows) == len(want)
+        assert all(r["text"][r["start"] : r["end"]] == r["surface"] for r in rows)
+    assert matching.literal_matches(given[0], given[1].where("false")).count() == 0
 
 
 def test_overlap_join_equals_brute_force(spark):
