@@ -126,3 +126,18 @@ def run_metrics(rows: DataFrame, latency: str, keep: int = 512, seed: int = 7) -
     s = F.sort_array(F.collect_list(latency))
     some = sample.agg(s.alias("s")).select(F.size("s").cast("bigint").alias("sampled"), F.get("s", F.floor(F.size("s") / 2).cast("int")).alias("p50"), F.get("s", F.least(F.floor(F.size("s") * 0.95).cast("int"), F.size("s") - 1)).alias("p95"))
     return rows.agg(F.count("*").alias("n"), F.count_if("degraded").alias("degraded"), F.expr(f"percentile_disc(0.5) within group (order by {latency})").alias("all_p50")).crossJoin(F.broadcast(some))
+
+
+def coverage_proven(components: DataFrame, alpha: float = 0.05, source: str = "random_audit") -> bool:
+    """Whether a calibrator may claim its coverage: components (component, part, group, positives) of an audited sample.
+
+    No component is in two rows, so fitting (fit) and calibration share none; each scored one (part score) has exactly one
+    positive and a group, others none; there are enough of them for the level. Anything but a random audit proves nothing.
+    """
+    if source != "random_audit" or not 0 < alpha < 1:
+        return False
+    r = components.agg(
+        F.count("*").alias("rows"), F.count_distinct("component").alias("distinct"), F.count_if(F.col("part") == "fit").alias("fit"), F.count_if(F.col("part") == "score").alias("scored"),
+        F.count_if((F.col("part") == "score") & ((F.coalesce("positives", F.lit(0)) != 1) | F.col("group").isNull())).alias("bad"), F.count_if((F.col("part") != "score") & (F.coalesce("positives", F.lit(0)) != 0)).alias("stray"),
+    ).first()
+    return r["fit"] > 0 and r["rows"] == r["distinct"] and not r["bad"] and not r["stray"] and r["scored"] >= max(1, math.ceil(1 / alpha) - 1)

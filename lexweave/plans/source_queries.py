@@ -133,3 +133,29 @@ MASKED = [("1", "혼밥", "혼자 + 밥", "[MASK]을 먹는 [MASK]족", "축약"
 def s19(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame(MASKED, "id string, term string, analysis string, usage string, formation string")
     return corpora.masked_usages(rows, ("축약", "혼성")).select("id", "text", F.array_join("components", "|").alias("components"))
+
+
+@query("s13_single_files", f"SELECT * FROM {_TERMS}")
+def s13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot in one file, saved twice to equal bytes and read back."""
+    folder, terms = _folder(spark), glossaries.from_rows(spark, TERMS)
+    seals = {glossaries.save_file(spark, f"{folder}/{i}.snapshot", terms.repartition(i + 1)) for i in range(2)}
+    assert len(seals) == 1
+    return _flat(glossaries.load_file(spark, f"{folder}/1.snapshot"))
+
+
+@query("s14_checked_files", "SELECT * FROM " + literal([("changed", "refused"), ("foreign", "refused"), ("future", "refused"), ("one", "read"), ("two", "read")], "what", "outcome"))
+def s14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both versions are read; a changed body, another head and a version to come are refused."""
+    folder, terms, out = _folder(spark), glossaries.from_rows(spark, TERMS), []
+    glossaries.save_file(spark, f"{folder}/one", terms, 1)
+    glossaries.save_file(spark, f"{folder}/two", terms, 2)
+    good = spark.read.text(f"{folder}/two", wholetext=True).first()["value"]
+    for what, text in (("changed", good.replace("KEPCO", "KEPC0")), ("foreign", "x" + good), ("future", good.replace(f"{glossaries.HEAD} 2", f"{glossaries.HEAD} 3"))):
+        glossaries._put(spark, f"{folder}/{what}", text)
+    for what in ("changed", "foreign", "future", "one", "two"):
+        try:
+            out.append((what, "read" if glossaries.load_file(spark, f"{folder}/{what}").count() == len(TERMS) else "short"))
+        except glossaries.SourceError:
+            out.append((what, "refused"))
+    return spark.createDataFrame(out, "what string, outcome string")

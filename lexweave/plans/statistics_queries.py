@@ -172,3 +172,16 @@ def e03(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A token counter plugged into a budget: the documents of each language that fit 2,000 tokens."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", T.estimated_tokens(F.col("text")).alias("n"))
     return docs.select("doc_id", (F.sum("n").over(Window.partitionBy("lang").orderBy("doc_id")) <= 2000).alias("within"))
+
+
+PROOFS = {"proven": [*[(f"f{i}", "fit", None, None) for i in range(3)], *[(f"c{i}", "score", "exact", 1) for i in range(19)]]}
+PROOFS["too few"] = PROOFS["proven"][:-1]
+PROOFS["shared"] = PROOFS["proven"] + [("f0", "score", "exact", 1)]
+PROOFS["twice positive"] = PROOFS["proven"][:-1] + [("c18", "score", "exact", 2)]
+PROOFS["no fit"] = PROOFS["proven"][3:]
+
+
+@query("r05_coverage_proofs", "SELECT * FROM " + literal([("proven", True), ("too few", False), ("shared", False), ("twice positive", False), ("no fit", False)], "proof", "valid"))
+def r05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = {k: spark.createDataFrame(v, "component string, part string, group string, positives int") for k, v in PROOFS.items()}
+    return spark.createDataFrame([(k, S.coverage_proven(df)) for k, df in held.items()], "proof string, valid boolean")

@@ -7,6 +7,7 @@ by a rename, so a folder without one is no bundle. Paths are Hadoop's: any file
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Iterable
@@ -147,3 +148,38 @@ def layered_manifest(report: DataFrame, snapshot_id: str) -> dict:
     """What a compiled set of layers says of itself: its layers, their terms, and which were not trusted."""
     layers = [r.asDict() for r in report.orderBy("scope").collect()]  # five scopes at most
     return {"snapshot_id": snapshot_id, "layers": layers}
+
+
+# ---------------------------------------------------------------- single-file snapshots
+
+HEAD = "LEXWEAVE-SNAPSHOT"
+VERSIONS = (1, 2)
+
+
+def save_file(spark: SparkSession, path: str, terms: DataFrame, version: int = 2) -> str:
+    """Writes terms as one file and returns its hash: a line with format, version and SHA-256 of the rest, then JSON.
+
+    The terms of one glossary are an authored file's worth; larger ones are bundles. Rows are ordered by key, so equal
+    terms give equal files. Version 1 knows no scopes.
+    """
+    if version not in VERSIONS:
+        raise SourceError(f"no version {version}")
+    rows = [r.asDict() for r in terms.orderBy("key").collect()]
+    body = json.dumps([{k: v for k, v in r.items() if v is not None and (k != "scope" or version > 1)} for r in rows], ensure_ascii=False, sort_keys=True)
+    seal_ = hashlib.sha256(body.encode()).hexdigest()
+    _put(spark, path, f"{HEAD} {version} {seal_}\n{body}")
+    return seal_
+
+
+def load_file(spark: SparkSession, path: str) -> DataFrame:
+    """Terms of a single-file snapshot; another head, an unknown version, a wrong hash or a malformed term is an error."""
+    head, _, body = spark.read.text(path, wholetext=True).first()["value"].partition("\n")
+    parts = head.split(" ")
+    if len(parts) != 3 or parts[0] != HEAD or parts[1] not in map(str, VERSIONS):
+        raise SourceError(f"{path} is no snapshot of a known version")
+    if hashlib.sha256(body.encode()).hexdigest() != parts[2]:
+        raise SourceError(f"{path} is not what was saved")
+    rows = json.loads(body)
+    if not isinstance(rows, list) or (parts[1] == "1" and any("scope" in r for r in rows)):
+        raise SourceError(f"{path}: the body is no list of terms of version {parts[1]}")
+    return from_rows(spark, rows)
