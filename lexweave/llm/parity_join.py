@@ -20,9 +20,11 @@ verified on the sets. A first round has each node in its largest group alone, th
 components by then. Where a pair fails and its nodes are in different components, the chunks that hold both go round
 again without it, until no chunk has a pair to offer: then every link has both ends in one component.
 
-Groups of more than one chunk: a node with fewer keys in such groups than it has lanes to spare (beyond d_k) meets all
-that it links with in smaller groups. The others are compared across chunks too: those outside of their group's
-largest component visit each chunk. So no cap drops a link.
+Groups of more than LARGE nodes: a node with no more keys in such groups than it has lanes to spare (beyond d_k) meets
+all that it links with in smaller groups. The others, hot ones, share hundreds of such groups with the same nodes, so
+after the first round those that large groups connect are one family, whose nodes are compared once and not in each
+group: in cells of about CELL nodes by CELL of the same or the next band of sizes. Smaller groups all of one family are left
+out. So no cap drops a link.
 
 Texts without words, null ones too, are linked with nothing. Repeated rows are equal sets. A null doc_id is never
 the least of a component unless all are null. An empty table gives an empty result.
@@ -44,6 +46,9 @@ from . import common, components, shingles
 
 #: Lanes over those that the pigeonhole needs; nodes in a chunk of a group; rows that may be broadcast (24 bytes each).
 SLACK, BLOCK, BROADCAST_ROWS = 1.3, 1024, 500_000
+#: Nodes in a group from which on hot ones are compared by family; nodes in a side of a cell; ratio of a family's bands,
+#: which is over 1.25 so that rounding sets no linked sizes two bands apart.
+LARGE, CELL, STEP = 128, 2048, 1.26
 #: Share of the bound up to which a suggested symmetric difference is taken for a link, until it is verified.
 SURE = 0.85
 #: Bytes of text behind a part of the keys.
@@ -346,25 +351,45 @@ def _placed(members: DataFrame, comps: DataFrame, failed: DataFrame) -> DataFram
     return told.withColumn("comp", F.coalesce("comp", "node"))
 
 
-def _again(members: DataFrame, comps: DataFrame, failed: DataFrame, last: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """Members of the chunks that have to go round again.
+def _compared(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """gid, chunk and node of groups and cells that hold each two nodes that may link together."""
+    small = members.where(F.col("size") <= LARGE).select("gid", "chunk", "node")
+    large = members.where(F.col("size") > LARGE)
+    hot = common.cut(large.groupBy("node").agg(F.sum("keys").alias("hot")).join(nodes.select("node", "n", "spare"), "node").where("hot > spare").select("node", "n"), "hot")
+    held = large.select("gid", "node").join(hot.select("node"), "node")
+    families = components.components(held.join(held.groupBy("gid").agg(F.min("node").alias("b")), "gid").select(F.col("node").alias("a"), "b"))
+    placed = families.join(hot, "node").select("node", F.col("comp").alias("family"), F.floor(F.log("n") / math.log(STEP)).alias("band"))
+    count = placed.groupBy("family", "band").agg(F.ceil(F.count("*") / CELL).alias("own"))
+    for name, step in (("above", 1), ("below", -1)):
+        placed = placed.join(count.select("family", (F.col("band") - step).alias("band"), F.col("own").alias(name)), ["family", "band"], "left")
+    placed = placed.join(count, ["family", "band"]).withColumn("at", F.pmod(F.xxhash64("node"), F.col("own")))
+
+    def cells(sides: str, of) -> Column:  # noqa: ANN001
+        return F.when(F.coalesce(sides, F.lit(0)) > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), F.col(sides) - 1), lambda j: F.xxhash64("family", *of(j)))).otherwise(F.array().cast("array<bigint>"))
+
+    band, at = F.col("band"), F.col("at")
+    every = F.concat(
+        cells("own", lambda j: (band, F.least(at, j), band, F.greatest(at, j))),
+        cells("above", lambda j: (band, at, band + 1, j)),
+        cells("below", lambda j: (band - 1, j, band, at)),
+    )
+    told = small.join(families.withColumnRenamed("comp", "family"), "node", "left").withColumn("family", F.coalesce("family", "node"))
+    mixed = told.groupBy("gid").agg(F.min("family").alias("low"), F.max("family").alias("high")).where("low != high").select("gid")
+    cells_of = placed.select(F.explode(every).alias("gid"), F.lit(0).cast("bigint").alias("chunk"), "node")
+    out = common.cut(small.join(mixed, "gid", "left_semi").unionByName(cells_of), "compared")
+    common.drop(hot, families)
+    return out
+
 
-    failed: all pairs (a, b) that did not link; last: those of the last round, of which a forest may have made use. hot:
-    the nodes that groups of several chunks have to compare across chunks.
+def _again(members: DataFrame, comps: DataFrame, failed: DataFrame, last: DataFrame) -> DataFrame:
+    """Members of the groups and cells that have to go round again.
+
+    failed: all pairs (a, b) that did not link; last: those of the last round, of which a forest may have made use.
     """
-    small = members.where(F.col("size") <= BLOCK).select("gid", "chunk", "node")
+    small = members.select("gid", "chunk", "node")
     one = small.join(last, small["node"] == last["a"]).select(F.col("gid").alias("of"), "b")
     held = small.join(one, (small["gid"] == one["of"]) & (small["node"] == one["b"]), "left_semi").select(F.col("gid").alias("of")).distinct()
-    out = _placed(small.join(held, small["gid"] == held["of"], "left_semi"), comps, failed).select("gid", "chunk", "node", "comp", "failed")
-    if hot is None:
-        return out
-    large = _placed(members.where(F.col("size") > BLOCK).join(hot, "node", "left_semi"), comps, failed)
-    open_large = large.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("gid")
-    most = large.groupBy("gid", "comp").agg(F.count("*").alias("many")).groupBy("gid").agg(F.max_by("comp", F.struct("many", "comp")).alias("main"))
-    large = large.join(open_large, "gid").join(most, "gid")
-    everywhere: Column = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("size") - 1) / BLOCK).cast("bigint"))
-    visits = large.withColumn("chunk", F.explode(F.when(F.col("comp") == F.col("main"), F.array("chunk")).otherwise(everywhere)))
-    return out.unionByName(visits.select("gid", "chunk", "node", "comp", "failed"))
+    return _placed(small.join(held, small["gid"] == held["of"], "left_semi"), comps, failed).select("gid", "chunk", "node", "comp", "failed")
 
 
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -376,11 +401,7 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = common.cut(met.where("kind = 0 and node is not null").groupBy("node").agg(F.min(row).alias("rep"), F.max("n").alias("n"), F.max("spare").alias("spare"), F.max("sketch").alias("sketch")), "nodes")
     groups = met.where("kind = 1").groupBy("gid", "chunk").agg(F.first("size").alias("size"), F.sum("keys").alias("keys"), F.first("members").alias("members"))
     members = common.cut(groups.select("gid", "chunk", "size", "keys", F.explode("members").alias("node")), "members")
-    large = members.where(F.col("size") > BLOCK)
-    hot = None
-    if large.limit(1).count():
-        hot = common.cut(large.groupBy("node").agg(F.sum("keys").alias("hot")).join(nodes.select("node", "spare"), "node").where("hot > spare").select("node"), "hot")
-
+    compared = _compared(members, nodes) if members.where(F.col("size") > LARGE).limit(1).count() else members
     none = F.lit(None).cast("array<bigint>")
     # first each node in its largest group alone: that joins most of what links, with no more pairs than nodes
     own = members.groupBy("node").agg(F.max(F.struct("size", "gid", "chunk")).alias("g")).select("g.gid", "g.chunk", "node", F.col("node").alias("comp"), none.alias("failed"))
@@ -398,18 +419,18 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         failed, last = (x.where("not linked").select("a", "b") for x in (every, checked[-1]))
         if not whole:
             whole = True
-            pairs = common.cut(_candidates(_placed(members, comps, failed).select("gid", "chunk", "node", "comp", "failed"), nodes), "pairs")
-            if hot is None and pairs.limit(1).count() == 0:
+            pairs = common.cut(_candidates(_placed(compared, comps, failed).select("gid", "chunk", "node", "comp", "failed"), nodes), "pairs")
+            if pairs.limit(1).count() == 0:
                 break
             continue
         of = comps.select("node", "comp")
         last = last.join(of.withColumnsRenamed({"node": "a", "comp": "ca"}), "a", "left").join(of.withColumnsRenamed({"node": "b", "comp": "cb"}), "b", "left")
         last = common.cut(last.where("coalesce(ca, a) != coalesce(cb, b)").select("a", "b"), "apart")
         n = last.count()
-        if n == 0 and hot is None:
+        if n == 0:
             common.drop(last)
             break
-        pairs = common.cut(_candidates(_again(members, comps, failed, F.broadcast(last) if n <= BROADCAST_ROWS else last, hot), nodes), "pairs")
+        pairs = common.cut(_candidates(_again(compared, comps, failed, F.broadcast(last) if n <= BROADCAST_ROWS else last), nodes), "pairs")
         common.drop(last)
         if pairs.limit(1).count() == 0:
             break
@@ -417,7 +438,7 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     lowest = placed.groupBy("comp").agg(F.min("rep").alias("least"))
     rows = common.cut(rows, "rows")
     of_node = common.cut(placed.join(lowest, "comp").select("node", "least"), "components")
-    common.drop(pairs, comps, members, nodes, met, *checked, *[] if hot is None else [hot])
+    common.drop(pairs, comps, members, compared, nodes, met, *checked)
     return rows, of_node
 
 

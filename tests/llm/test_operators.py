@@ -366,6 +366,45 @@ def test_parity_join_equals_brute_force(spark, docs, none):
     assert parity_join.grouped(none).count() == 0
 
 
+def test_parity_join_compares_a_large_family_once(spark, monkeypatch):
+    """Near copies share hundreds of groups; after the first round each pair is looked at in a few cells alone."""
+    r = random.Random(5)
+    texts = []
+    for _ in range(400):
+        own = [f"w{i}" for i in range(90)]
+        for _ in range(r.randint(0, 3)):
+            own[r.randrange(len(own))] = f"e{r.random()}"
+        texts.append(" ".join(own))
+    texts += ["shared one two three four five six seven " + " ".join(f"q{k}r{i}" for i in range(30)) for k in range(40)]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in map(str.split, texts)]
+    up = list(range(len(texts)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                up[max(find(i), find(j))] = min(find(i), find(j))
+    want = sorted(repr((i, find(i))) for i in range(len(texts)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    counts, candidates = [], parity_join._candidates
+
+    def counted(members, nodes):
+        counts.append(members.count())
+        return candidates(members, nodes)
+
+    monkeypatch.setattr(parity_join, "_candidates", counted)
+    assert by_row(parity_join.grouped(df), "doc_id", "component_id") == want
+    assert counts[1] < 6 * len(texts)
+    # groups that count as large and cells that are many
+    monkeypatch.setattr(parity_join, "LARGE", 4)
+    monkeypatch.setattr(parity_join, "CELL", 20)
+    assert by_row(parity_join.grouped(df), "doc_id", "component_id") == want
+
+
 def test_sketch_distance_is_a_lower_bound():
     for _ in range(300):
         a, b = ({rnd.randrange(90) for _ in range(rnd.randint(1, 80))} for _ in range(2))
