@@ -12,7 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from lexweave.llm import byte_pieces, common, decontamination, outliers, parity_join, pii, rule_ensemble, shingles, streaming_viterbi, suffix_tree, text_stats, token_counts, token_files, warc
+from lexweave.llm import byte_pieces, common, components, decontamination, outliers, parity_join, pii, rule_ensemble, shingles, streaming_viterbi, suffix_tree, text_stats, token_counts, token_files, warc
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 W = re.compile(r"[^\x20\x09-\x0D]+")
@@ -405,6 +405,53 @@ def test_parity_join_compares_a_large_family_once(spark, monkeypatch):
     assert by_row(parity_join.grouped(df), "doc_id", "component_id") == want
 
 
+def rows_of_joins(spark, run):
+    """Rows that all joins of run() made, by Spark's own counts, and what it returned."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before, out, made = store.executionsCount(), run(), 0
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    executions = store.executionsList()
+    for i in range(before, executions.size()):
+        number = executions.apply(i).executionId()
+        held, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
+        for node in map(nodes.apply, range(nodes.size())):
+            for metric in map(node.metrics().apply, range(node.metrics().size())):
+                if "Join" in node.name() and metric.name() == "number of output rows" and held.contains(metric.accumulatorId()):
+                    made += int(held.apply(metric.accumulatorId()).replace(",", ""))
+    return made, out
+
+
+def test_components_equal_brute_force(spark):
+    r = random.Random(3)
+    chain = [(i, i + 1) for i in range(200)]
+    star = [(1000 + i, 2000) for i in range(50)]  # its middle is the greatest
+    mixed = [(3000 + r.randrange(120), 3000 + r.randrange(120)) for _ in range(90)] + [(-5, 3000), (7, 7)]
+    links = chain + star + mixed + [(b, a) for a, b in mixed[:20]]
+    up = {x: x for p in links for x in p if p[0] != p[1]}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            up[max(find(a), find(b))] = min(find(a), find(b))
+    got = components.components(spark.createDataFrame(links, "a bigint, b bigint").repartition(3))
+    assert sorted((x["node"], x["comp"]) for x in got.collect()) == sorted((x, find(x)) for x in up)
+    assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_components_read_links_once(spark):
+    """Links within what is joined already are not read again in each round."""
+    r = random.Random(4)
+    links = [(n, int(300 * r.random() ** 3)) for n in range(300, 1500) for _ in range(20)] + [(n, n + 1) for n in range(5000, 5060)]
+    df = common.cut(spark.createDataFrame(links, "a bigint, b bigint"), "links")
+    made, got = rows_of_joins(spark, lambda: components.components(df))
+    assert {x["comp"] for x in got.collect()} == {0, 5000}
+    assert made < 3 * len(set(links))
+
+
 def test_sketch_distance_is_a_lower_bound():
     for _ in range(300):
         a, b = ({rnd.randrange(90) for _ in range(rnd.randint(1, 80))} for _ in range(2))
