@@ -12,7 +12,7 @@ in each state.
 Counts of words meet by the hash's class. There the symbols are numbered, in 32 bits, and each block of documents is
 answered the numbers and counts of its own words; only the totals of the classes go to the driver and to every task, so
 words and contexts grow with the corpus. Contexts with the same last symbol form one subtree, and positions go to their
-subtree's task as packed, sorted blocks: it counts, tests, smooths and scores there, and returns sums for documents. A
+subtree's task as packed, sorted blocks, their symbols as gaps and counts as steps: it counts, tests, smooths and scores there, and returns sums for documents. A
 symbol that follows a large share of all words makes a large subtree, which is one task's work.
 
 Training rows are those whose crc32(doc_id as text) mod 5 is not HELD_OUT; a null doc_id counts as the empty text.
@@ -108,6 +108,36 @@ def _joined(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return low.astype(np.uint32) | high.astype(np.uint32) << np.uint32(16)
 
 
+def _planes(x: np.ndarray) -> np.ndarray:
+    """Bytes of equal place side by side, which pack better."""
+    return np.ascontiguousarray(x.view("u1").reshape(len(x), x.itemsize).T).reshape(-1)
+
+
+def _whole(planes: np.ndarray, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(planes.reshape(size, -1).T).reshape(-1).view(kind)
+
+
+def _gaps(x: np.ndarray, kind: str) -> np.ndarray:
+    """Planes of the gaps between ascending numbers, the first one's gap from 0 included."""
+    return _planes(np.diff(x.astype(kind), prepend=np.zeros(1, kind)))
+
+
+def _sums(planes: np.ndarray, kind: str) -> np.ndarray:
+    return np.cumsum(_whole(planes, kind), dtype=kind)
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Planes of the steps, up or down, between numbers that differ little from the one before."""
+    d = np.diff(x.astype(np.int64), prepend=np.zeros(1, np.int64))
+    return _planes((d << 1 ^ d >> 63).astype("<u8"))
+
+
+def _walked(planes: np.ndarray) -> np.ndarray:
+    d = _whole(planes, "<u8")
+    return np.cumsum((d >> np.uint64(1)).astype(np.int64) ^ -(d & np.uint64(1)).astype(np.int64))
+
+
 def _coded(docs: DataFrame, parts: int) -> DataFrame:
     """Kind 0: a block's documents, their tokens as places among its distinct ones; 1: those of a part, with training counts."""
 
@@ -124,9 +154,9 @@ def _coded(docs: DataFrame, parts: int) -> DataFrame:
         h, to = h[order], place[to]
         n = np.bincount(to, np.repeat(train, size), len(h)).astype("<u4")
         number = uuid.uuid4().int >> 65
-        out = [(0, number % parts, number, _pack(np.array([d is None for d in names], dtype="<u1"), np.array([d or 0 for d in names], dtype="<i8"), train.astype("<u1"), size.astype("<i8"), _fit(to)))]
+        out = [(0, number % parts, number, _pack(np.array([d is None for d in names], dtype="<u1"), np.array([d or 0 for d in names], dtype="<i8"), train.astype("<u1"), size.astype("<i8"), _planes(to.astype("<u4"))))]
         edges = np.searchsorted(part[order], np.arange(parts + 1))
-        out += [(1, p, number, _pack(h[edges[p] : edges[p + 1]], n[edges[p] : edges[p + 1]])) for p in range(parts) if edges[p] < edges[p + 1]]
+        out += [(1, p, number, _pack(_gaps(h[edges[p] : edges[p + 1]], "<u8"), _planes(n[edges[p] : edges[p + 1]]))) for p in range(parts) if edges[p] < edges[p + 1]]
         return _sent(out)
 
     return docs.mapInArrow(common.by_batch(kernel, BLOCK), _SENT)
@@ -136,7 +166,8 @@ def _answered(coded: DataFrame, parts: int) -> DataFrame:
     """Kind 1: symbols and training counts of a block's distinct tokens in a part; 2: totals of the part's rare classes and of all its tokens."""
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(p, number, *_unpack(b)) for batch in batches for p, number, b in zip(*[batch.column(c).to_pylist() for c in ("part", "number", "block")])]
+        got = ((p, number, *_unpack(b)) for batch in batches for p, number, b in zip(*[batch.column(c).to_pylist() for c in ("part", "number", "block")]))
+        held = [(p, number, _sums(own, "<u8"), _whole(n, "<u4")) for p, number, own, n in got]
         if not held:
             return
         part = held[0][0]
@@ -153,7 +184,7 @@ def _answered(coded: DataFrame, parts: int) -> DataFrame:
             raise OverflowError("more words than symbols of 32 bits")
         for _, number, own, _ in held:
             at = np.searchsorted(h, own)
-            yield _sent([(1, part, number, _pack(*_halves(symbol[at]), _fit(n[at])))])
+            yield _sent([(1, part, number, _pack(*_halves(symbol[at]), _planes(n[at].astype("<u8"))))])
 
     return coded.where("kind = 1").repartitionById(parts, F.col("part")).mapInArrow(total, _SENT)
 
@@ -184,9 +215,10 @@ def _positions(coded: DataFrame, answered: DataFrame, held, parts: int) -> DataF
     def of(number: int, table: bytes, answers: list[tuple[int, bytes]]) -> pa.RecordBatch:
         totals: Totals = held.value
         gone, names, train, size, to = _unpack(table)
+        to = _whole(to, "<u4")
         got = [_unpack(b) for _, b in sorted(answers)]
         symbol = np.concatenate([_joined(*x[:2]) for x in got])
-        n = np.concatenate([x[2].astype(np.int64) for x in got])
+        n = np.concatenate([_whole(x[2], "<u8") for x in got]).astype(np.int64)
         doc = np.repeat(np.arange(len(size)), size)
         rare = symbol < RARE
         own = np.where(rare, np.log10((n + 0.5) / totals.rare_mass[np.where(rare, symbol, 0)]), 0.0)
@@ -195,7 +227,7 @@ def _positions(coded: DataFrame, answered: DataFrame, held, parts: int) -> DataF
         out = [(0, number % parts, number, _pack(gone, names, 1 - train, size, np.bincount(doc, (n > 0)[to], len(size)).astype("<i8"), *sums))]
         # distinct symbols in the order of their subtrees' parts
         distinct, first = np.unique(np.append(symbol, np.uint32(BEGIN)), return_index=True)
-        counts = np.append(n, 0)[first]
+        counts = np.where(distinct < RARE, 0, np.append(n, 0)[first])  # those of rare classes are not read
         part = (mixed(distinct.astype(np.uint64), 33) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         distinct, counts, part = distinct[order], counts[order], part[order]
@@ -222,7 +254,7 @@ def _positions(coded: DataFrame, answered: DataFrame, held, parts: int) -> DataF
                 own = np.flatnonzero(used)
                 own = own[np.argsort(distinct[own])]
                 local[own] = np.arange(len(own))
-                out.append((1, p, number, _pack(*_halves(distinct[own]), _fit(counts[own]), *[_fit(local[x[at]]) for x in (c1, c2, w)], tag[at])))
+                out.append((1, p, number, _pack(_gaps(distinct[own], "<u4"), _steps(counts[own]), *[_fit(local[x[at]]) for x in (c1, c2, w)], tag[at])))
         return _sent(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,23 +331,24 @@ def _tallied(held):  # noqa: ANN001, ANN202
                 if kind == 0:
                     yield pa.RecordBatch.from_arrays([pa.array([0], pa.int8()), pa.array([number], pa.int64()), pa.array([block], pa.binary())], names=["kind", "number", "block"])
                 else:
-                    trees.append((number, _unpack(block)))
+                    tree = _unpack(block)
+                    trees.append((number, [_sums(tree[0], "<u4"), _fit(_walked(tree[1])), *tree[2:]]))
         if not trees:
             return
         _words.clear()  # this worker hashes no more words
-        symbols, first = np.unique(np.concatenate([_joined(*x[:2]) for _, x in trees]), return_index=True)
-        root = totals.root(symbols, np.concatenate([x[2].astype(np.int64) for _, x in trees])[first])
-        places = [np.searchsorted(symbols, _joined(*x[:2])).astype(np.uint32) for _, x in trees]
+        symbols, first = np.unique(np.concatenate([x[0] for _, x in trees]), return_index=True)
+        root = totals.root(symbols, np.concatenate([x[1].astype(np.int64) for _, x in trees])[first])
+        places = [np.searchsorted(symbols, x[0]).astype(np.uint32) for _, x in trees]
         # subtrees are taken one after another, as many at once as have AT_ONCE positions; a block's are sorted by c1
         total = np.zeros(len(symbols), np.int64)
         for at, (_, x) in zip(places, trees):
-            total[at] += np.bincount(x[3], minlength=len(at))
+            total[at] += np.bincount(x[2], minlength=len(at))
         begins = np.cumsum(total) - total
         cuts = np.append(np.flatnonzero(np.diff(begins // AT_ONCE, prepend=-1)), len(symbols))
         sums: dict[int, np.ndarray] = {number: np.zeros(1 << 12) for number, _ in trees}
         for low, high in zip(cuts, cuts[1:]):
-            edges = [np.searchsorted(x[3], np.searchsorted(at, (low, high))) for at, (_, x) in zip(places, trees)]
-            own = [(number, at, [c[a:b] for c in x[3:]]) for at, (number, x), (a, b) in zip(places, trees, edges) if a < b]
+            edges = [np.searchsorted(x[2], np.searchsorted(at, (low, high))) for at, (_, x) in zip(places, trees)]
+            own = [(number, at, [c[a:b] for c in x[2:]]) for at, (number, x), (a, b) in zip(places, trees, edges) if a < b]
             if not own:
                 continue
             c1, c2, w = (np.concatenate([at[x[i]] for _, at, x in own]) for i in range(3))

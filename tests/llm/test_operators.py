@@ -315,6 +315,25 @@ def test_suffix_tree_keeps_all_frequent_words(spark):
     assert score / 500 > -5.6
 
 
+def test_suffix_tree_packs_symbols_as_gaps(spark):
+    for values in ([], [0], [5, 5, 9, 2**32 - 1], sorted(rnd.randrange(2**32) for _ in range(500))):
+        x = np.array(values, dtype=np.uint64)
+        for kind in ("<u4", "<u8"):
+            assert suffix_tree._sums(suffix_tree._gaps(x, kind), kind).tolist() == values
+        assert suffix_tree._walked(suffix_tree._steps(x[::-1])).tolist() == values[::-1]
+    wide = np.sort(np.array([0, 1, 2**63 + 5, 2**64 - 1], dtype=np.uint64))
+    assert suffix_tree._sums(suffix_tree._gaps(wide, "<u8"), "<u8").tolist() == wide.tolist()
+    # many words, of which each block has a part: symbols and counts of the blocks are most of what positions take
+    r = random.Random(6)
+    rows = [(i, " ".join(f"w{int(40_000 * r.random() ** 2)}" for _ in range(100))) for i in range(8000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    coded = common.cut(suffix_tree._coded(df, 8), "coded")
+    answered = common.cut(suffix_tree._answered(coded, 8), "symbols")
+    held = spark.sparkContext.broadcast(suffix_tree.Totals([x["block"] for x in answered.where("kind = 2").collect()]))
+    sent = suffix_tree._positions(coded, answered, held, 8).where("kind = 1").selectExpr("sum(octet_length(block))").first()[0]
+    assert sent < 6.5 * 800_000  # bytes a word
+
+
 def test_states_are_distributions():
     root = np.array([0.4, 0.3, 0.2, 0.1])
     c1, c2, w = (np.array(x) for x in zip(*[(a, b, s) for a in (0, 1) for b in (0, 1) for s in range(4) for _ in range(1 + 30 * (s == a))]))
