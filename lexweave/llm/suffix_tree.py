@@ -12,8 +12,8 @@ in each state.
 Counts of words meet by the hash's class. There the symbols are numbered, in 32 bits, and each block of documents is
 answered the numbers and counts of its own words; only the totals of the classes go to the driver and to every task, so
 words and contexts grow with the corpus. Contexts with the same last symbol form one subtree, and positions go to their
-subtree's task as packed, sorted blocks, their symbols as gaps and counts as steps: it counts, tests, smooths and scores there, and returns sums for documents. A
-symbol that follows a large share of all words makes a large subtree, which is one task's work.
+subtree's task as packed, sorted blocks, their symbols as gaps and counts as steps: it counts, tests, smooths and scores
+there, and returns sums for documents. A symbol that follows a large share of all words makes a large subtree, which is one task's work.
 
 Training rows are those whose crc32(doc_id as text) mod 5 is not HELD_OUT; a null doc_id counts as the empty text.
 Null texts are the end alone. Repeated rows count each. Without training rows all tokens are unknown.
