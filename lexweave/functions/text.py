@@ -236,6 +236,23 @@ def spans_between(c: Column, pattern: str) -> Column:
     return walk
 
 
+def matched_spans(c: Column, pattern: str, groups: int = 0) -> Column:
+    """(start, end, g1, .., text) of the matches of a pattern, from the left, none overlapping. Native.
+
+    The pattern must be free of look-around and match no empty string: the next match is then where the string that it
+    matched stands next.
+    """
+    found = F.arrays_zip(*[F.regexp_extract_all(c, F.lit(f"({pattern})"), F.lit(i + 1)).alias(f"g{i}") for i in range(groups + 1)])
+    kind = "array<struct<start:int,end:int" + "".join(f",g{i}:string" for i in range(1, groups + 1)) + ",text:string>>"
+
+    def step(s: Column, x: Column) -> Column:
+        at = F.call_function("locate", x["g0"], c, s["at"] + 1) - 1
+        own = F.struct(at.alias("start"), (at + F.length(x["g0"])).alias("end"), *[x[f"g{i}"].alias(f"g{i}") for i in range(1, groups + 1)], x["g0"].alias("text"))
+        return F.struct((at + F.length(x["g0"])).alias("at"), F.array_append(s["found"], own).alias("found"))
+
+    return F.aggregate(found, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found")), step, lambda s: s["found"])
+
+
 PARAGRAPH_BREAK = r"\n[ \t\r]*\n+"
 
 

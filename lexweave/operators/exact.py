@@ -31,21 +31,42 @@ def channel(c: Column, profile: str) -> Column:
     return F.struct((T.fold_ocr(folded) if ocr else folded).alias("folded"), some.alias("at"))
 
 
-def matches(docs: DataFrame, bindings: DataFrame, profile: str) -> DataFrame:
-    """doc_id, item_id, start, end (of the text) and cost of each place where a key matches, overlapping ones too.
-
-    docs: doc_id, text; bindings: item_id, surface. More than MOST_GAP characters skipped in a row void a match.
+def profile_matches(docs: DataFrame, bindings: DataFrame) -> DataFrame:
+    """doc_id, text (composed), item_id, profile, surface, entity_id, start, end and cost of every place where a key
+    matches, overlapping ones too; one scan of the texts for all profiles.
+
+    docs: doc_id, text; bindings: item_id, entity_id, surface, profile. A text is composed once, folded under each profile
+    that has bindings and read by one automaton of all keys; a key counts where the channel is its own profile's. What a
+    match is mapped back by travels with the text, so nothing is joined by doc_id: rows that share one, or have none, stay
+    apart. More than MOST_GAP characters skipped in a row void a match.
     """
+    used = [r[0] for r in bindings.select("profile").distinct().collect()]
+    profiles = [p for p in T.PROFILES if p in used]  # six at most
+    if not profiles:
+        profiles = list(T.PROFILES)[:1]
     composed = docs.where("text is not null").select("doc_id", T.nfc_where_needed(F.col("text")).alias("composed"))
-    told = composed.select("doc_id", "composed", channel(F.col("composed"), profile).alias("c")).select("doc_id", "composed", F.col("c.folded").alias("text"), F.col("c.at").alias("at"))
-    keys = bindings.select("item_id", T.alias_key(F.col("surface"), profile).alias("surface")).where("surface != ''")
-    found = matching.literal_matches(told.select("doc_id", "text"), keys).select("doc_id", "item_id", F.col("start").alias("f"), F.col("end").alias("g"))
-    placed = found.join(told.select("doc_id", "composed", "at"), "doc_id").withColumn("own", F.slice("at", F.col("f") + 1, F.col("g") - F.col("f")))
+    folds = F.array(*[F.struct(F.lit(p).alias("profile"), channel(F.col("composed"), p).alias("c")) for p in profiles])
+    told = composed.select("doc_id", "composed", F.explode(folds).alias("f")).select(F.struct("doc_id", "composed", "f.profile", F.col("f.c.at").alias("at")).alias("doc_id"), F.col("f.c.folded").alias("text"))
+    keys = None
+    for p in profiles:
+        own = bindings.where(F.col("profile") == p).select(F.struct("item_id", "profile", "surface", "entity_id").alias("item_id"), T.alias_key(F.col("surface"), p).alias("surface"))
+        keys = own if keys is None else keys.union(own)
+    found = matching.literal_matches(told, keys.where("surface != ''")).where("doc_id.profile = item_id.profile")
+    placed = found.select("doc_id.doc_id", "doc_id.composed", "item_id.*", F.slice("doc_id.at", F.col("start") + 1, F.col("end") - F.col("start")).alias("own"))
     gaps = F.zip_with(F.slice("own", F.lit(1), F.size("own") - 1), F.slice("own", F.lit(2), F.size("own") - 1), lambda a, b: b - a - 1)
     whole = F.when(F.size("own") > 1, gaps).otherwise(F.array().cast("array<int>"))
     out = placed.withColumn("gaps", whole).where(~F.exists("gaps", lambda g: g > MOST_GAP))
     cost = F.aggregate("gaps", F.lit(0), lambda a, g: a + g) * GAP_COST
-    return out.select("doc_id", "item_id", F.col("composed").alias("text"), F.element_at("own", 1).alias("start"), (F.element_at("own", -1) + 1).alias("end"), F.round(cost, 9).alias("cost"))
+    return out.select("doc_id", F.col("composed").alias("text"), "item_id", "profile", "surface", "entity_id", F.element_at("own", 1).alias("start"), (F.element_at("own", -1) + 1).alias("end"), F.round(cost, 9).alias("cost"))
+
+
+def matches(docs: DataFrame, bindings: DataFrame, profile: str) -> DataFrame:
+    """doc_id, item_id, text, start, end (of the text) and cost of each match under one profile.
+
+    docs: doc_id, text; bindings: item_id, surface.
+    """
+    found = profile_matches(docs, bindings.select("item_id", F.lit(None).cast("string").alias("entity_id"), "surface", F.lit(profile).alias("profile")))
+    return found.select("doc_id", "item_id", "text", "start", "end", "cost")
 
 
 def default_left(surface: Column) -> Column:
@@ -53,7 +74,7 @@ def default_left(surface: Column) -> Column:
     return F.when(first == "latin", "latin_token_boundary").when(first == "hangul", "hangul_token_boundary").otherwise("unicode_word_boundary")
 
 
-def with_boundary(found: DataFrame, latin_morph: bool = True) -> DataFrame:
+def with_boundary(found: DataFrame, latin_morph: bool | Column = True) -> DataFrame:
     """Adds status (PASS, SOFT, FAIL) and note of each match under its rule (left, right, inside_latin).
 
     A prefix modifier may fill the Hangul before a match, particles and Latin endings what follows it; other Hangul
@@ -78,7 +99,7 @@ def with_boundary(found: DataFrame, latin_morph: bool = True) -> DataFrame:
         .when(~known, F.struct(F.lit("FAIL").alias("status"), F.lit("right:unknown_policy").alias("note")))
         .when((T.script(after) == "hangul") & (F.col("right") == "particle_or_token_boundary") & right_run.rlike(f"^(?:{particles})"), F.struct(F.lit("PASS").alias("status"), F.lit("right:particle_prefix_accept").alias("note")))
         .when(T.script(after) == "hangul", F.struct(F.lit("SOFT").alias("status"), F.lit("right:hangul_residual").alias("note")))
-        .when(F.lit(latin_morph) & (tail != ""), F.struct(F.lit("PASS").alias("status"), F.concat(F.lit("right:latin_tail:"), tail).alias("note")))
+        .when((latin_morph if isinstance(latin_morph, Column) else F.lit(latin_morph)) & (tail != ""), F.struct(F.lit("PASS").alias("status"), F.concat(F.lit("right:latin_tail:"), tail).alias("note")))
         .when(F.col("inside_latin"), F.struct(F.lit("SOFT").alias("status"), F.lit("right:inside_latin_run_allowed").alias("note")))
         .otherwise(F.struct(F.lit("FAIL").alias("status"), F.lit("right:inside_latin_run").alias("note")))
     )

@@ -4,16 +4,34 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import accumulate
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..functions import text as T
 
 
+def row_of(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """A key of a row by its content: rows of one doc_id with different texts and rows without doc_id stay apart.
+
+    Rows that are equal share the key, and whatever is found by it holds for each of them.
+    """
+    return F.struct(F.col(doc_id).alias("doc_id"), F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("of"))
+
+
+def places(text: Column, surface: Column) -> Column:
+    """0-based starts of occurrences that don't overlap, from the left; the surface is not empty."""
+    size = F.length(surface)
+    parts = F.split(text, F.concat(F.lit("\\Q"), surface, F.lit("\\E")))
+    return F.aggregate(
+        F.slice(parts, F.lit(1), F.size(parts) - 1), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found")),
+        lambda s, x: F.struct((s["at"] + F.length(x) + size).alias("at"), F.array_append(s["found"], s["at"] + F.length(x)).alias("found")), lambda s: s["found"],
+    )
+
+
 def occurrences(text: Column, surface: Column) -> Column:
     """0-based starts of all occurrences, overlapping ones too.
 
@@ -22,24 +40,20 @@ def occurrences(text: Column, surface: Column) -> Column:
     """
     size, last = F.length(surface), F.length(text) - F.length(surface)
     none = F.array().cast("array<int>")
-    parts = F.split(text, F.concat(F.lit("\\Q"), surface, F.lit("\\E")))
-    walk = F.aggregate(
-        F.slice(parts, F.lit(1), F.size(parts) - 1), F.struct(F.lit(0).alias("at"), none.alias("found")),
-        lambda s, x: F.struct((s["at"] + F.length(x) + size).alias("at"), F.array_append(s["found"], s["at"] + F.length(x)).alias("found")), lambda s: s["found"],
-    )
     bordered = F.exists(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), lambda k: (k < size) & (F.left(surface, k) == F.right(surface, k))) | F.contains(surface, F.lit("\\E"))
     tried = F.filter(F.sequence(F.lit(0), last), lambda i: F.substring(text, i + 1, size) == surface)
-    return F.when((size == 0) | (last < 0), none).when(bordered, tried).otherwise(walk)
+    return F.when((size == 0) | (last < 0), none).when(bordered, tried).otherwise(places(text, surface))
 
 
 def literal_matches(docs: DataFrame, patterns: DataFrame, most: int = 4 << 20) -> DataFrame:
     """All occurrences of patterns (item_id, surface) in docs (doc_id, text), overlapping ones too: doc_id, item_id,
-    surface, text, start, end.
+    surface, text, start, end. A pattern given twice matches once.
 
     Patterns of ``most`` bytes in all are broadcast as an automaton, which reads each text once; more of them meet the
-    texts by joins on tokens. Both give the same rows. Null and empty texts and surfaces match nothing.
+    texts by joins on tokens. Both give the same rows. Null and empty texts and surfaces match nothing; rows that share a
+    doc_id, or have none, are matched each by its own text. doc_id may be of any type that can be a key.
     """
-    parts = patterns.where(F.length("surface") > 0).select("item_id", "surface")
+    parts = patterns.where(F.length("surface") > 0).select("item_id", "surface").distinct()
     size = parts.agg(F.sum(F.octet_length("surface"))).first()[0] or 0
     return _scanned(docs, parts) if size <= most else _joined(docs, parts)
 
@@ -48,37 +62,47 @@ _automata: dict[str, object] = {}
 
 
 def _scanned(docs: DataFrame, parts: DataFrame) -> DataFrame:
+    """A kernel gives one row for each text that holds something; it is opened up on the JVM's side."""
     held, key = docs.sparkSession.sparkContext.broadcast(parts.toArrow()), uuid.uuid4().hex
-    fields = [docs.schema["doc_id"], parts.schema["item_id"], parts.schema["surface"], docs.schema["text"]]
-    out = StructType([StructField(n, f.dataType) for n, f in zip(("doc_id", "item_id", "surface", "text"), fields)] + [StructField("start", IntegerType()), StructField("end", IntegerType())])
+    found = ArrayType(StructType([StructField("item_id", parts.schema["item_id"].dataType), StructField("surface", parts.schema["surface"].dataType), StructField("start", IntegerType()), StructField("end", IntegerType())]))
+    out = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), StructField("text", docs.schema["text"].dataType), StructField("found", found)])
+
+    def automaton():  # noqa: ANN202
+        import ahocorasick
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = held.value
         if key not in _automata:
             _automata.clear()
             trie = ahocorasick.Automaton()
             at: dict[str, list[int]] = {}
-            for i, s in enumerate(table.column("surface").to_pylist()):
+            for i, s in enumerate(held.value.column("surface").to_pylist()):
                 at.setdefault(s, []).append(i)
             for s, of in at.items():
                 trie.add_word(s, (len(s), of))
             if at:
                 trie.make_automaton()
             _automata[key] = trie
-        trie = _automata[key]
+        return _automata[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, table = automaton(), held.value
         for batch in batches:
-            found = [(row, i, end + 1 - n, end + 1) for row, t in enumerate(batch.column("text").to_pylist()) if t and len(trie) for end, (n, of) in trie.iter(t) for i in of]
-            rows, items, starts, ends = (pa.array(c, pa.int32()) for c in zip(*found)) if found else [pa.array([], pa.int32())] * 4
+            hits = [[(i, end + 1 - n, end + 1) for end, (n, of) in trie.iter(t) for i in of] if t and len(trie) else [] for t in batch.column("text").to_pylist()]
+            rows = pa.array([r for r, h in enumerate(hits) if h], pa.int32())
+            items, starts, ends = (pa.array(c, pa.int32()) for c in zip(*[x for h in hits for x in h])) if len(rows) else [pa.array([], pa.int32())] * 3
             own = [table.column(c).combine_chunks().take(items) for c in ("item_id", "surface")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), *own, batch.column("text").take(rows), starts, ends], names=out.names)
+            offsets = pa.array([0, *accumulate(len(h) for h in hits if h)], pa.int32())
+            lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([*own, starts, ends], names=["item_id", "surface", "start", "end"]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("text").take(rows), lists], names=out.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, out)
+    opened = docs.select("doc_id", "text").mapInArrow(run, out).select("doc_id", "text", F.inline("found"))
+    return opened.select("doc_id", "item_id", "surface", "text", "start", "end")
 
 
 def _joined(docs: DataFrame, parts: DataFrame) -> DataFrame:
     """A pattern of four blank-parted tokens and more is sought by its second and third, which the text must hold as
     tokens: an equi-join on them leaves few pairs to verify. Shorter ones meet by their first two characters.
     """
+    docs = docs.select(row_of().alias("__row"), "doc_id", "text")
     parts = parts.withColumn("__t", F.split("surface", " "))
     long = parts.where(F.size("__t") >= 4).select("item_id", "surface", F.concat_ws(" ", F.col("__t")[1], F.col("__t")[2]).alias("anchor"))
     tokens = F.split("text", " ")
@@ -88,11 +112,11 @@ def _joined(docs: DataFrame, parts: DataFrame) -> DataFrame:
     size = F.length("text")
     starts = F.when(size > 0, F.transform(F.sequence(F.lit(1), size), lambda i: F.substring("text", i, F.lit(2))))
     both = F.array_distinct(F.concat(F.coalesce(starts, F.array().cast("array<string>")), F.transform(F.coalesce(starts, F.array().cast("array<string>")), lambda g: F.left(g, F.lit(1)))))
-    anchored = docs.select("doc_id", F.explode(pairs).alias("anchor")).join(long, "anchor").union(docs.select("doc_id", F.explode(both).alias("anchor")).join(short, "anchor").select("anchor", "doc_id", "item_id", "surface"))
-    found = docs.select("doc_id", "text").join(anchored.select("doc_id", "item_id", "surface").distinct(), "doc_id").where(F.contains("text", "surface"))
-    return found.select("doc_id", "item_id", "surface", "text", F.explode(occurrences(F.col("text"), F.col("surface"))).alias("start")).select(
-        "doc_id", "item_id", "surface", "text", "start", (F.col("start") + F.length("surface")).alias("end")
-    )
+    anchored = docs.select("__row", F.explode(pairs).alias("anchor")).join(long, "anchor").union(docs.select("__row", F.explode(both).alias("anchor")).join(short, "anchor").select("anchor", "__row", "item_id", "surface"))
+    # rows may repeat: a pair of a row and a pattern is one, and meets every copy of the row
+    found = docs.join(anchored.select("__row", "item_id", "surface").distinct(), "__row").where(F.contains("text", "surface"))
+    placed = found.select("doc_id", "item_id", "surface", "text", F.explode(occurrences(F.col("text"), F.col("surface"))).alias("start"))
+    return placed.select("doc_id", "item_id", "surface", "text", "start", (F.col("start") + F.length("surface")).alias("end"))
 
 
 def with_boundaries(matches: DataFrame) -> DataFrame:

@@ -16,15 +16,10 @@ _CANDIDATE = ("doc_id", "start", "end", "entity_id", "channel", "score", "cost",
 
 
 def proposals(docs: DataFrame, bindings: DataFrame) -> DataFrame:
-    """Exact and normalized matches of all profiles with boundaries, tails and scores; a scan of docs for each profile."""
-    out = None
-    for profile in T.PROFILES:  # six at most; a profile without bindings has no matches
-        own = bindings.where(F.col("profile") == profile)
-        found = exact.matches(docs, own.select("item_id", "surface"), profile).join(own.select("item_id", "entity_id", F.col("surface").alias("registered")), "item_id")
-        ruled = found.withColumns({"left": exact.default_left(F.col("registered")), "right": F.lit("particle_or_token_boundary"), "inside_latin": F.lit(False)})
-        part = exact.proposals(exact.with_boundary(ruled, latin_morph=profile == "latin_word"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Exact and normalized matches of all profiles with boundaries, tails and scores; one scan of docs."""
+    found = exact.profile_matches(docs, bindings).withColumnRenamed("surface", "registered")
+    ruled = found.withColumns({"left": exact.default_left(F.col("registered")), "right": F.lit("particle_or_token_boundary"), "inside_latin": F.lit(False), "latin_morph": F.col("profile") == "latin_word"})
+    return exact.proposals(exact.with_boundary(ruled, latin_morph=F.col("latin_morph"))).drop("latin_morph", "profile")
 
 
 def tokens(docs: DataFrame) -> DataFrame:
