@@ -1,4 +1,4 @@
-"""Recovery of misspelt and locally abbreviated names: jamo grams with weighted distance, document-local aliases."""
+"""Recovery of misspelt names: jamo grams with weighted distance, names typed in the other script."""
 
 from __future__ import annotations
 
@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import hangul as H
 from ..functions import text as T
 
-# Names and short forms in definitions; share of a long form that a known name must cover.
-NAME, SHORT, COVERED = r"[가-힣A-Za-z0-9·\- ]{2,40}", r"[가-힣A-Za-z0-9·\-]{1,20}", 0.7
-_PARENTHESIS = rf"({NAME})\(\s*(?:이하\s*)?[\"'“”]?({SHORT})[\"'“”]?\s*\)"
-_HEREAFTER = rf"({NAME}),?\s*이하\s*[\"'“”]?({SHORT})[\"'“”]?"
-
 
 def fuzzy_candidates(tokens: DataFrame, bindings: DataFrame, shortlist: int = 32, most: int = 8) -> DataFrame:
     """token, item_id and cost of up to ``most`` bindings within their budget of weighted jamo edits.
@@ -30,19 +25,14 @@ def fuzzy_candidates(tokens: DataFrame, bindings: DataFrame, shortlist: int = 32
     return cost.withColumn("__r", F.row_number().over(Window.partitionBy("token").orderBy("cost", "item_id"))).where(F.col("__r") <= most).select("token", "item_id", F.round("cost", 9).alias("cost"))
 
 
-def local_aliases(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """doc_id, alias, long_form and entity_id of definitions: NAME(SHORT), NAME(이하 SHORT) and NAME, 이하 SHORT.
+def typed_otherwise(tokens: DataFrame, bindings: DataFrame) -> DataFrame:
+    """token, item_id and entity_id of names typed with the keyboard in the other script: Latin letters that are the keys
+    of a Hangul name, or Hangul whose keys spell a Latin one.
 
-    docs: doc_id, text; names: surface, entity_id. The long form, or where it is unknown the longer one in parentheses,
-    must hold a known name of at least COVERED of its length.
+    tokens: token; bindings: item_id, entity_id, surface. An equi-join on the keys; names under two characters are left out.
     """
-    pairs = F.array_distinct(F.flatten(F.array(*[F.arrays_zip(F.regexp_extract_all("text", F.lit(p), F.lit(1)).alias("long"), F.regexp_extract_all("text", F.lit(p), F.lit(2)).alias("short")) for p in (_PARENTHESIS, _HEREAFTER)])))
-    told = docs.select("doc_id", F.explode(pairs).alias("p")).select("doc_id", F.trim("p.long").alias("long"), F.trim("p.short").alias("short")).where("long != '' and short != '' and long != short")
-    forms = told.select(F.col("long").alias("form")).union(told.select("short")).distinct()
-    gram = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2)))))
-    inside = forms.select("form", gram(F.col("form")).alias("g")).join(names.where("surface != ''").select("surface", "entity_id", F.left("surface", F.lit(2)).alias("g")), "g")
-    known = inside.where(F.contains("form", "surface") & (F.length("surface") >= COVERED * F.length("form"))).select("form", "entity_id").distinct()
-    forward = told.join(known, told["long"] == known["form"]).select("doc_id", F.col("short").alias("alias"), F.col("long").alias("long_form"), "entity_id")
-    rest = told.join(known.select("form").distinct(), told["long"] == F.col("form"), "left_anti").where("length(short) > length(long)")
-    back = rest.join(known, rest["short"] == known["form"]).select("doc_id", F.col("long").alias("alias"), F.col("short").alias("long_form"), "entity_id")
-    return forward.union(back).distinct()
+    latin = F.col("surface").rlike("^[A-Za-z]+$")
+    held = bindings.where(F.length("surface") >= 2).where(latin | F.col("surface").rlike("^[가-힣]+$")).select("item_id", "entity_id", F.when(latin, F.lower("surface")).otherwise(F.lower(H.keys(F.col("surface")))).alias("keys"), latin.alias("latin"))
+    hangul = F.col("token").rlike("^[가-힣ㄱ-ㅎㅏ-ㅣ]+$")
+    sought = tokens.select("token").distinct().where(hangul | F.col("token").rlike("^[A-Za-z]+$")).select("token", F.when(hangul, F.lower(H.keys(F.col("token")))).otherwise(F.lower("token")).alias("keys"), hangul.alias("latin"))
+    return sought.join(held, ["keys", "latin"]).select("token", "item_id", "entity_id")

@@ -1,6 +1,9 @@
-"""The whole way from texts to decisions: exact matches, recovery of what they leave, candidates, probabilities, mentions.
+"""The whole way from texts to decisions: exact matches, a document's own short forms, recovery of what these leave,
+candidates, probabilities, mentions.
 
-bindings: item_id, entity_id, surface, profile. A mention is a span of a document; its candidates are entities.
+bindings: item_id, entity_id, surface, profile and, where scopes are held, allow and deny (maps of a dimension to values).
+A mention is a span of a row of documents; its candidates are entities. Rows are told apart by doc_id and text
+(matching.row_of): rows that share a doc_id, or have none, have mentions of their own, equal rows each the same ones.
 """
 
 from __future__ import annotations
@@ -10,9 +13,12 @@ from pyspark.sql import functions as F
 
 from ..functions import segmentation as S
 from ..functions import text as T
-from . import abbreviations, decisions, exact, matching, recovery
+from . import abbreviations, decisions, exact, local_definitions, matching, recovery
 
-_CANDIDATE = ("doc_id", "start", "end", "entity_id", "channel", "score", "cost", "pass", "blocked", "exact", "alias_id", "arrival")
+# Fixed value: characters on both sides of a mention that its context is read from.
+AROUND = 40
+_KEY = ("row", "start", "end")
+_ARRIVAL = (*_KEY, "surface", "around", "entity_id", "channel", "score", "cost", "pass", "blocked", "exact", "alias_id", "arrival")
 
 
 def proposals(docs: DataFrame, bindings: DataFrame) -> DataFrame:
@@ -23,66 +29,126 @@ def proposals(docs: DataFrame, bindings: DataFrame) -> DataFrame:
 
 
 def tokens(docs: DataFrame) -> DataFrame:
-    """doc_id, start, end and token of each run of letters and digits."""
+    """doc_id, start, end, token and around of each run of letters and digits."""
     spans = docs.where("text is not null").select("doc_id", "text", F.inline(T.spans_between(F.col("text"), "[^가-힣ㄱ-ㆎ0-9A-Za-z]+")))
-    return spans.select("doc_id", "start", "end", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("token"))
+    return spans.select("doc_id", "start", "end", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("token"), T.window(F.col("text"), F.col("start"), F.col("end"), AROUND).alias("around"))
+
+
+def _rank(n: int, *ties: Column) -> Column:
+    """What arrivals are ordered by: the channel's turn, then numbers, then names."""
+    number, name = (ties + (F.lit(None), F.lit(None)))[:2]
+    return F.struct(F.lit(n).alias("turn"), number.cast("bigint").alias("number"), name.cast("string").alias("name"))
 
 
 def recovered(free: DataFrame, bindings: DataFrame) -> DataFrame:
-    """Candidates of tokens (doc_id, start, end, token) that no exact match touches: misspelt and abbreviated cores.
+    """Arrivals of tokens (row, start, end, token, around) that no exact match touches: misspelt and abbreviated cores and
+    names typed with the keyboard in the other script.
 
-    Distinct tokens are taken apart once; each core is sought by its jamo and as an abbreviation, and a guard says what its
-    tail allows.
+    Distinct tokens are taken apart once; each core is sought by its jamo, by its keys and as an abbreviation, and a guard
+    says what its tail allows.
     """
     paths = free.select("token").distinct().select("token", F.inline(S.paths_udf("token")))
     cores = paths.select(F.col("core").alias("token")).distinct()
     fuzzy = recovery.fuzzy_candidates(cores, bindings.select("item_id", "surface")).join(bindings.select("item_id", "entity_id"), "item_id")
     short = abbreviations.aligned(cores, bindings.select("entity_id", "surface").where(~F.col("surface").rlike("^[A-Z0-9]+$")))
+    typed = recovery.typed_otherwise(cores, bindings.select("item_id", "entity_id", "surface"))
     base = decisions.CHANNEL_BASE
-    near = fuzzy.select(F.col("token").alias("core"), "entity_id", F.lit("jamo").alias("channel"), F.greatest(F.lit(0.1), base["jamo"] - F.col("cost")).alias("score"), "cost", F.col("item_id").cast("string").alias("alias_id"))
-    near = near.unionByName(short.select(F.col("token").alias("core"), "entity_id", F.lit("abbrev").alias("channel"), "score", F.lit(0.0).alias("cost"), F.lit(None).cast("string").alias("alias_id")))
+    columns = ("core", "entity_id", "channel", "score", "cost", "alias_id", "number")
+    near = fuzzy.select(F.col("token").alias("core"), "entity_id", F.lit("jamo").alias("channel"), F.greatest(F.lit(0.1), base["jamo"] - F.col("cost")).alias("score"), "cost", F.col("item_id").cast("string").alias("alias_id"), F.col("item_id").alias("number"))
+    near = near.unionByName(typed.select(F.col("token").alias("core"), "entity_id", F.lit("keyboard").alias("channel"), F.lit(base["keyboard"]).alias("score"), F.lit(0.0).alias("cost"), F.col("item_id").cast("string").alias("alias_id"), F.col("item_id").alias("number")))
+    near = near.unionByName(short.select(F.col("token").alias("core"), "entity_id", F.lit("abbrev").alias("channel"), "score", F.lit(0.0).alias("cost"), F.lit(None).cast("string").alias("alias_id"), F.lit(None).cast(dict(near.dtypes)["number"]).alias("number")).select(*columns))
     tail = F.col("tail")
     stripped = (tail["residual"] != "") | (F.size(tail["particles"]) > 0) | (tail["latin"] != "")
     verdict = decisions.guard(F.col("channel"), F.length("core"), tail["identity"], tail["kind"], tail["grammatical"], stripped)
     both = paths.join(near, "core").withColumn("v", verdict)
     placed = free.join(both, "token")
-    end = F.col("start") + F.length("core")
+    turn = F.when(F.col("channel") == "jamo", 2).when(F.col("channel") == "keyboard", 3).otherwise(4)
     return placed.select(
-        "doc_id", "start", end.alias("end"), "entity_id", "channel", (F.col("score") * F.col("v.factor")).alias("score"), "cost", F.lit(1).alias("pass"),
-        F.when(~F.col("v.commit_allowed"), F.get("v.reasons", F.lit(0))).alias("blocked"), F.lit(False).alias("exact"), "alias_id", F.xxhash64("entity_id", "channel", F.coalesce("alias_id", F.lit(""))).alias("arrival"),
+        "row", "start", (F.col("start") + F.length("core")).alias("end"), F.col("core").alias("surface"), "around", "entity_id", "channel", (F.col("score") * F.col("v.factor")).alias("score"), "cost", F.when(F.col("channel") == "abbrev", 2).otherwise(1).alias("pass"),
+        F.when(~F.col("v.commit_allowed"), F.get("v.reasons", F.lit(0))).alias("blocked"), F.lit(False).alias("exact"), "alias_id",
+        F.struct(turn.alias("turn"), F.col("number").cast("bigint").alias("number"), F.col("entity_id").cast("string").alias("name")).alias("arrival"),
     )
 
 
-def resolved(docs: DataFrame, bindings: DataFrame, fast: bool = False) -> DataFrame:
-    """Primary mentions of each document: doc_id, start, end, surface, decisions, entity_id and probability of the best.
-
-    fast: exact matches alone, without probabilities.
-    """
-    found = proposals(docs, bindings)
+def arrivals(docs: DataFrame, bindings: DataFrame, fast: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Every reading of every channel (_ARRIVAL), and the short forms that rows define (row, alias, entity_id). docs: doc_id, text."""
+    keyed = docs.where("text is not null").select(matching.row_of().alias("doc_id"), "text")
+    found = proposals(keyed, bindings).withColumnRenamed("doc_id", "row")
     own = F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))
     literal = F.col("registered") == own
     rows = found.select(
-        "doc_id", "start", "end", "entity_id", F.when(literal, "exact").otherwise("normalized").alias("channel"), (F.col("score") * F.when(literal, 1.0).otherwise(decisions.CHANNEL_BASE["normalized"])).alias("score"),
-        "cost", F.lit(1).alias("pass"), F.lit(None).cast("string").alias("blocked"), F.lit(True).alias("exact"), F.col("item_id").cast("string").alias("alias_id"), F.col("item_id").cast("bigint").alias("arrival"),
+        *_KEY, own.alias("surface"), T.window(F.col("text"), F.col("start"), F.col("end"), AROUND).alias("around"), "entity_id", F.when(literal, "exact").otherwise("normalized").alias("channel"),
+        (F.col("score") * F.when(literal, 1.0).otherwise(decisions.CHANNEL_BASE["normalized"])).alias("score"), "cost", F.lit(1).alias("pass"), F.lit(None).cast("string").alias("blocked"), F.lit(True).alias("exact"),
+        F.col("item_id").cast("string").alias("alias_id"), _rank(0, F.col("item_id")).alias("arrival"),
     )
+    local = local_definitions.definitions(docs, bindings)
+    used = local_definitions.occurrences(docs, local)
+    rows = rows.unionByName(used.select(
+        *_KEY, F.col("alias").alias("surface"), F.lit(None).cast("string").alias("around"), "entity_id", F.lit("doc_local").alias("channel"), F.lit(decisions.CHANNEL_BASE["doc_local"]).alias("score"), F.lit(0.0).alias("cost"), F.lit(1).alias("pass"),
+        F.lit(None).cast("string").alias("blocked"), F.lit(False).alias("exact"), F.lit(None).cast("string").alias("alias_id"), _rank(1, F.lit(None), F.col("entity_id")).alias("arrival"),
+    ))
     if not fast:
-        free = matching.overlap_join(tokens(docs), found.select("doc_id", "start", "end").distinct(), "doc_id", how="anti")
-        rows = rows.unionByName(recovered(free, bindings))
-    key = ["doc_id", "start", "end"]
-    merged = decisions.merged(rows, key)
-    senses = F.sum(F.col("exact").cast("int")).over(Window.partitionBy(*key))
-    p = decisions.heuristic_probability(F.col("scores"), F.col("exact"), F.col("__n"), F.col("cost"), F.lit(0.0))
-    told = merged.withColumn("__n", senses).withColumn("p", F.round(p, 9)).withColumn("m", F.concat_ws(":", *key))
-    told = told.withColumns({"local": F.lit(False), "member": F.lit(None).cast("boolean"), "degraded": F.col("truncated")})
+        free = matching.overlap_join(tokens(keyed).withColumnRenamed("doc_id", "row"), rows.where("exact").select(*_KEY).distinct(), "row", how="anti")
+        rows = rows.unionByName(recovered(free.distinct(), bindings))
+    return rows, local.select("row", F.col("alias").alias("surface"), "entity_id").distinct()
+
+
+def signals(entities: DataFrame) -> DataFrame:
+    """entity_id and grams: character pairs of an entity's canonical, description, examples and lower-cased domains, as far as it has them."""
+    texts = [F.array(F.col(c)) for c in ("canonical", "description") if c in entities.columns] + [F.col(c) for c in ("examples",) if c in entities.columns] + [F.transform("domains", F.lower) for c in ("domains",) if c in entities.columns]
+    told = F.array_compact(F.concat(*[F.coalesce(t, F.array().cast("array<string>")) for t in texts])) if texts else F.array().cast("array<string>")
+    grams = F.flatten(F.transform(told, lambda t: T.grams(t, 2)))
+    return entities.groupBy("entity_id").agg(F.array_distinct(F.flatten(F.collect_list(grams))).alias("grams"))
+
+
+def scored(docs: DataFrame, bindings: DataFrame, fast: bool = False, entities: DataFrame | None = None, context: dict | None = None) -> DataFrame:
+    """Candidates of every mention with their evidence and probability p: row, start, end, surface, entity_id, scores, ...
+
+    entities: entity_id and any of canonical, description, examples, domains, which a mention's surroundings are held
+    against; context: department and project of the request as {"value": .., "trust": ..}, held against the bindings'
+    scopes. A hard denial drops the entity from the mention.
+    """
+    rows, local = arrivals(docs, bindings, fast)
+    merged = decisions.merged(rows, list(_KEY))
+    spans = rows.groupBy(*_KEY).agg(F.max("surface").alias("surface"), F.max("around").alias("around"))
+    told = merged.join(spans, list(_KEY)).join(local.withColumn("own", F.lit(True)), ["row", "surface", "entity_id"], "left").withColumn("own", F.coalesce("own", F.lit(False)))
+    bonus, adjustment = F.lit(0.0), F.lit(0.0)
+    if entities is not None:
+        told = told.join(signals(entities), "entity_id", "left")
+        near = F.array_except(T.grams(F.coalesce("around", "surface"), 2), T.grams(F.col("surface"), 2))
+        bonus = F.coalesce(decisions.context_bonus(near, F.col("grams")), F.lit(0.0))
+    if context and "allow" in bindings.columns:
+        told = told.join(bindings.select(F.col("item_id").cast("string").alias("alias_id"), "allow", "deny").distinct(), "alias_id", "left")
+        rules = []
+        for dimension, field in decisions.SCOPE_FIELDS.items():
+            given = context.get(field) or {}
+            of = [F.coalesce(F.try_element_at(c, F.lit(dimension)), F.array().cast("array<string>")) for c in (F.col("allow"), F.col("deny"))]
+            rules.append(decisions.scope_adjustment(*of, F.lit(given.get("value")).cast("string"), F.lit(given.get("trust")).cast("string")))
+        adjustment = rules[0]["adjustment"] + rules[1]["adjustment"]
+        told = told.withColumn("dropped", rules[0]["dropped"] | rules[1]["dropped"]).where("not dropped").drop("dropped")
+    told = told.withColumn("evidence", bonus + F.when(F.col("own"), 0.20).otherwise(0.0) + adjustment)
+    senses = F.sum(F.col("exact").cast("int")).over(Window.partitionBy(*_KEY))
+    told = told.withColumn("senses", senses)
+    p = decisions.heuristic_probability(F.col("scores"), F.col("exact"), F.col("senses"), F.col("cost"), F.col("evidence"))
+    return told.withColumn("p", F.round(p, 9)).withColumn("local", F.array_contains(F.map_keys("scores"), "doc_local"))
+
+
+def resolved(docs: DataFrame, bindings: DataFrame, fast: bool = False, entities: DataFrame | None = None, context: dict | None = None) -> DataFrame:
+    """Primary mentions of each row: doc_id, start, end, surface, decisions, entity_id and probability of the best.
+
+    fast: no recovery and no probabilities. entities and context: see scored().
+    """
+    told = scored(docs, bindings, fast, entities, context).withColumns({"m": F.struct(*_KEY), "member": F.lit(None).cast("boolean"), "degraded": F.col("truncated")})
     if fast:
         link = decisions.fast_decisions(told, "m").select("m", "mention_decision", "link_decision", F.when(F.size("senses") == 1, F.get("senses", F.lit(0))).alias("entity_id"))
     else:
         link = decisions.decided(told, "m").select("m", "mention_decision", "link_decision", "entity_id")
-    spans = told.groupBy(*key, "m").agg(F.bool_or("exact").alias("exact"), F.max("p").alias("p"), F.min("alias_id").alias("alias_id"))
+    spans = told.groupBy(*_KEY, "m").agg(F.bool_or("exact").alias("exact"), F.max("p").alias("p"), F.min("alias_id").alias("alias_id"), F.max("surface").alias("surface"))
     order: list[Column] = [(~F.col("exact")).cast("int"), F.when(F.col("exact"), 0.0).otherwise(-F.col("p")), F.col("start") - F.col("end"), F.col("start"), F.coalesce("alias_id", F.lit("￿"))]
-    primary = matching.greedy_intervals(spans, "doc_id", order, ["m", "exact", "p"])
-    out = primary.join(link, "m").join(docs.select("doc_id", "text"), "doc_id")
-    return out.select("doc_id", "start", "end", own.alias("surface"), "mention_decision", "link_decision", "entity_id", F.when(F.lit(not fast), F.col("p")).alias("p"))
+    primary = matching.greedy_intervals(spans, "row", order, ["m", "exact", "p", "surface"])
+    copies = docs.where("text is not null").select(matching.row_of().alias("row"))  # equal rows have one key and each its mentions
+    out = primary.join(link, "m").join(copies, "row")
+    return out.select("row.doc_id", "start", "end", "surface", "mention_decision", "link_decision", "entity_id", F.when(F.lit(not fast), F.col("p")).alias("p"))
 
 
 def surface_records(found: DataFrame, compositions: DataFrame) -> DataFrame:

@@ -40,3 +40,27 @@ def literal(rows: list[tuple], *names: str) -> str:
     """A DuckDB relation of literal rows."""
     body = ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows)
     return f"(VALUES {body}) AS t({', '.join(names)})"
+
+
+# ---------------------------------------------------------------- documents with a planted sentence
+
+
+def planted(spark: SparkSession, sf_dir: str, sentences: list[str]) -> DataFrame:
+    """All documents, whole, each with a paragraph more: the sentence that its doc_id modulo their number picks."""
+    from pyspark.sql import functions as F
+
+    docs = table(spark, sf_dir, "documents")
+    return docs.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit("\n\n"), F.element_at(F.array(*map(F.lit, sentences)), F.pmod("doc_id", F.lit(len(sentences))).cast("int") + 1)))
+
+
+def planted_sql(sentences: list[str]) -> str:
+    """planted() as a DuckDB relation with the number of the sentence (k) and where it starts (base)."""
+    return f"(SELECT * EXCLUDE (text), coalesce(text, '') || E'\\n\\n' || {quoted(sentences)}[doc_id % {len(sentences)} + 1] AS text, doc_id % {len(sentences)} AS k, length(coalesce(text, '')) + 2 AS base FROM documents)"
+
+
+def place(sentence: str, surface: str, n: int = 1) -> int:
+    """Where the n-th occurrence of a surface starts in a sentence."""
+    at = -1
+    for _ in range(n):
+        at = sentence.index(surface, at + 1)
+    return at

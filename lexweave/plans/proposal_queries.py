@@ -71,15 +71,6 @@ def j04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.fuzzy_candidates(rows, spark.createDataFrame(NAMES, "item_id int, surface string"))
 
 
-LOCAL = [(1, "한국전력공사(이하 한전)는 발표했다. 한전은"), (2, "무명회사(무명)는"), (3, "KEPCO(한국전력공사)는"), (4, "과학기술정보통신부, 이하 과기부라"), (5, None)]
-
-
-@query("j08_local_aliases", "SELECT * FROM " + literal([(1, "한전", "한국전력공사", "e1"), (3, "KEPCO", "한국전력공사", "e1"), (4, "과기부라", "과학기술정보통신부", "e2")], "doc_id", "alias", "long_form", "entity_id"))
-def j08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.createDataFrame([("한국전력공사", "e1"), ("과학기술정보통신부", "e2"), ("무", "e3")], "surface string, entity_id string")
-    return R.local_aliases(spark.createDataFrame(LOCAL, "doc_id int, text string"), names)
-
-
 LONGEST = [(1, "한전KDN과 한전"), (2, "APAP")]
 KEYS = [(1, "한전"), (2, "한전KDN"), (3, "AP"), (4, "APAP"), (5, "PA")]
 
