@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import json
 import re
 import tempfile
@@ -70,6 +72,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What a worker remembers between tasks: a memory and the modules whose kernels use it.
+_memories: list[tuple[dict, frozenset[str]]] = []
+
+
+def remembered(memory: dict, *modules: str) -> dict:
+    """Registers a worker's memory; kernels of other modules than those named (of this package) empty it."""
+    _memories.append((memory, frozenset(f"{__package__}.{m}" for m in modules)))
+    return memory
+
+
+def settle(module: str) -> None:
+    """Empties the memories that kernels of other modules fill; a function of its own, as closures carry copies of what they name."""
+    for memory, users in _memories:
+        if module not in users:
+            memory.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Returns what Arrow and the allocator hold of freed memory to the system, where the allocator can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def settled(kernel: Callable, module: str | None = None) -> Callable:
+    """Wraps a generator over batches: it starts without the memories of other operators and leaves no freed memory behind.
+
+    Workers go from stage to stage and from operator to operator; without this what one left adds to the next one's peak.
+    """
+    own = module or kernel.__module__
+
+    @functools.wraps(kernel)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle(own)
+        yield from kernel(batches)
+        give_back()
+
+    return run
+
+
 #: Bytes of a batch that a kernel gets at once, where a row alone has not more.
 BATCH_BYTES = 8 << 20
 
@@ -87,7 +131,7 @@ def by_batch(kernel: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int = 100
                 at += part.num_rows
                 yield kernel(part)
 
-    return run
+    return settled(run, kernel.__module__)
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:

@@ -198,7 +198,7 @@ _HITS = "doc_id bigint, item_id bigint, distance int, first_word int, n_words in
 _HIT_FIELDS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("first_word", pa.int32()), ("n_words", pa.int32())])
 
 
-_built: dict[str, Items] = {}
+_built: dict[str, Items] = common.remembered({}, "decontamination")
 
 
 def _items(block: str, held) -> Items:  # noqa: ANN001

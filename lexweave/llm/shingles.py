@@ -9,21 +9,25 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from . import common
+
 WIDTH = 5
-#: Distinct words whose hashes a worker remembers; the memory is emptied when full.
-WORDS_HELD = 250_000
+#: Distinct words whose hashes a worker remembers, and bytes of one that is; the memory is emptied when full.
+WORDS_HELD, LONGEST_HELD = 250_000, 64
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_HELD:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONGEST_HELD:
+            if len(self) >= WORDS_HELD:
+                self.clear()
+            self[word] = h
         return h
 
 
-_words = _Words()
+_words = common.remembered(_Words(), "parity_join", "suffix_tree", "shingles")
 
 
 def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:

@@ -399,7 +399,7 @@ class Pieces:
         return self.decode_all([np.asarray(ids).astype("<u4").tobytes()])[0]
 
 
-_models: dict[str, Pieces] = {}
+_models: dict[str, Pieces] = common.remembered({}, "streaming_viterbi")
 
 
 def _model(path: str) -> Pieces:
