@@ -170,9 +170,17 @@ _MET_FIELDS = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("th", pa.
 _MET = "kind tinyint, doc_id bigint, th bigint, node bigint, n bigint, spare bigint, sketch binary, gid bigint, chunk bigint, size bigint, keys bigint, members array<bigint>"
 
 
+#: Ranges of keys that a part is worked through by, one after another.
+RANGES = 8
+
+
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Passes rows on and turns the blocks of a part into its distinct groups of two nodes and more, in chunks."""
-    keys, owners, nodes, base = [], [], [], 0
+    """Passes rows on and turns the blocks of a part into its distinct groups of two nodes and more, in chunks.
+
+    Blocks stay as they came, eight bytes a key; the sorting, which takes many times that, is done for a range of keys at
+    a time. A group that comes of keys of several ranges comes from each, as it may from several parts.
+    """
+    blocks, base = [], 0
     for batch in batches:
         kind = batch.column("kind").to_numpy(zero_copy_only=False)
         rows = batch.filter(pa.array(kind == 0))
@@ -180,19 +188,30 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in ("kind", "doc_id", "th", "node", "n", "spare", "block")], *[pa.nulls(m, pa.int64())] * 4, pa.nulls(m, pa.list_(pa.int64()))], schema=_MET_FIELDS)
         for block in batch.filter(pa.array(kind == 1)).column("block").to_pylist():
             used, count = struct.unpack_from("<II", block)
-            at = 8 + 8 * used
-            nodes.append(np.frombuffer(block, "<i8", used, 8))
-            owners.append(np.frombuffer(block, "<u2", count, at).astype(np.uint32) + np.uint32(base))
-            keys.append(np.frombuffer(block, "<u4", count, at + 2 * count).astype(np.uint64) | np.frombuffer(block, "<u2", count, at + 6 * count).astype(np.uint64) << np.uint64(32))
+            blocks.append((block, used, count, base))
             base += used
-    if not keys:
+    if not blocks:
         return
-    key, owner, node = np.concatenate(keys), np.concatenate(owners), np.concatenate(nodes)
-    keys = owners = nodes = None
+    node = np.concatenate([np.frombuffer(block, "<i8", used, 8) for block, used, _, _ in blocks])
+    for turn in range(RANGES):
+        keys, owners = [], []
+        for block, used, count, base in blocks:
+            at = 8 + 8 * used
+            high = np.frombuffer(block, "<u2", count, at + 6 * count)
+            own = np.flatnonzero(high >> np.uint16(13) == turn)
+            owners.append(np.frombuffer(block, "<u2", count, at)[own].astype(np.uint32) + np.uint32(base))
+            keys.append(np.frombuffer(block, "<u4", count, at + 2 * count)[own].astype(np.uint64) | high[own].astype(np.uint64) << np.uint64(32))
+        key, owner = np.concatenate(keys), np.concatenate(owners)
+        keys = owners = None
+        yield from _groups_of(key, owner, node)
+
+
+def _groups_of(key: np.ndarray, owner: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The distinct groups of two nodes and more that share a key; owner: a key's place in node."""
     order = np.argsort(key, kind="stable")
     key, owner = key[order], owner[order]
     again = key[1:] == key[:-1]
-    met = np.append(again, False) | np.append(False, again)
+    met = (np.append(again, False) | np.append(False, again))[: len(key)]
     key, owner = key[met], node[owner[met]]
     order = np.lexsort((owner, key))
     key, owner = key[order], owner[order]
@@ -340,7 +359,7 @@ def _near_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _candidates(members: DataFrame, nodes: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) from members (gid, chunk, node, comp, failed)."""
     rows = members.join(nodes.select("node", "n", "sketch"), "node").select("gid", "chunk", "node", "comp", "n", "sketch", "failed")
-    return rows.repartition("gid", "chunk").sortWithinPartitions("gid", "chunk", "node").mapInArrow(_near_within, "a bigint, b bigint").distinct()
+    return rows.repartition("gid", "chunk").sortWithinPartitions("gid", "chunk", "node").mapInArrow(common.settled(_near_within), "a bigint, b bigint").distinct()
 
 
 def _placed(members: DataFrame, comps: DataFrame, failed: DataFrame) -> DataFrame:
@@ -395,7 +414,7 @@ def _again(members: DataFrame, comps: DataFrame, failed: DataFrame, last: DataFr
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """doc_id, th, node and n of each row, and node and least (known, doc_id and th of the first row) of its component."""
     parts = common.parts_of(docs, "text", PART_BYTES)
-    met = common.cut(_sketched(docs, parts).repartitionById(parts, F.col("part")).mapInArrow(_met, _MET), "met")
+    met = common.cut(_sketched(docs, parts).repartitionById(parts, F.col("part")).mapInArrow(common.settled(_met), _MET), "met")
     rows = met.where("kind = 0").select("doc_id", "th", "node", "n")
     row = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "th")
     nodes = common.cut(met.where("kind = 0 and node is not null").groupBy("node").agg(F.min(row).alias("rep"), F.max("n").alias("n"), F.max("spare").alias("spare"), F.max("sketch").alias("sketch")), "nodes")
