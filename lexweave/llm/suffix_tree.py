@@ -167,11 +167,21 @@ def _answered(coded: DataFrame, parts: int) -> DataFrame:
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = ((p, number, *_unpack(b)) for batch in batches for p, number, b in zip(*[batch.column(c).to_pylist() for c in ("part", "number", "block")]))
-        held = [(p, number, _sums(own, "<u8"), _whole(n, "<u4")) for p, number, own, n in got]
+        held, fresh, size, h, n = [], [], 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        _words.clear()  # this worker hashes no more words
+        for p, number, own, count in got:
+            own, count = _sums(own, "<u8"), _whole(count, "<u4")
+            held.append((p, number, own))
+            fresh.append((own, count))
+            size += len(own)
+            if size > max(len(h), AT_ONCE):  # merged as they come: what is sorted stays near what is distinct
+                h, n = _summed(np.concatenate([h, *[x for x, _ in fresh]]), np.concatenate([n, *[x for _, x in fresh]]))
+                fresh, size = [], 0
         if not held:
             return
         part = held[0][0]
-        h, n = _summed(np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held]).astype(np.int64))
+        h, n = _summed(np.concatenate([h, *[x for x, _ in fresh]]), np.concatenate([n, *[x for _, x in fresh]]))
+        fresh = None
         symbol, often = rare_class(h), n >= OFTEN
         # a rare class holds what was seen in training; other tokens are of a class, but add nothing
         seen = ~often & (n > 0)
@@ -182,11 +192,12 @@ def _answered(coded: DataFrame, parts: int) -> DataFrame:
         symbol[words] = FIRST + np.arange(len(words)) * parts + part
         if len(words) and symbol[words[-1]] >> 32:
             raise OverflowError("more words than symbols of 32 bits")
-        for _, number, own, _ in held:
+        narrow = int(n.max(initial=0)) < 1 << 32
+        for _, number, own in held:
             at = np.searchsorted(h, own)
-            yield _sent([(1, part, number, _pack(*_halves(symbol[at]), _planes(n[at].astype("<u8"))))])
+            yield _sent([(1, part, number, _pack(*_halves(symbol[at]), _planes(n[at].astype("<u4" if narrow else "<u8"))))])
 
-    return coded.where("kind = 1").repartitionById(parts, F.col("part")).mapInArrow(total, _SENT)
+    return coded.where("kind = 1").repartitionById(parts, F.col("part")).mapInArrow(common.settled(total), _SENT)
 
 
 class Totals:
@@ -218,7 +229,7 @@ def _positions(coded: DataFrame, answered: DataFrame, held, parts: int) -> DataF
         to = _whole(to, "<u4")
         got = [_unpack(b) for _, b in sorted(answers)]
         symbol = np.concatenate([_joined(*x[:2]) for x in got])
-        n = np.concatenate([_whole(x[2], "<u8") for x in got]).astype(np.int64)
+        n = np.concatenate([_whole(x[2], f"<u{len(x[2]) // max(len(x[0]), 1) or 4}") for x in got]).astype(np.int64)
         doc = np.repeat(np.arange(len(size)), size)
         rare = symbol < RARE
         own = np.where(rare, np.log10((n + 0.5) / totals.rare_mass[np.where(rare, symbol, 0)]), 0.0)
@@ -271,7 +282,7 @@ def _positions(coded: DataFrame, answered: DataFrame, held, parts: int) -> DataF
             yield of(number, table, answers.pop(number))
 
     both = coded.where("kind = 0").unionByName(answered.where("kind = 1"))
-    return both.repartition(parts, "number").mapInArrow(run, _SENT)
+    return both.repartition(parts, "number").mapInArrow(common.settled(run), _SENT)
 
 
 def _state(n: np.ndarray, group: np.ndarray, suffix: np.ndarray) -> np.ndarray:
@@ -375,7 +386,7 @@ def scored(docs: DataFrame) -> DataFrame:
     answered = common.cut(_answered(coded, parts), "symbols")
     totals = Totals([r["block"] for r in answered.where("kind = 2").select("block").collect()])  # RARE classes at most
     held = spark.sparkContext.broadcast(totals)
-    tallied = _positions(coded, answered, held, parts).repartitionById(parts, F.col("part")).mapInArrow(_tallied(held), "kind tinyint, number bigint, block binary")
+    tallied = _positions(coded, answered, held, parts).repartitionById(parts, F.col("part")).mapInArrow(common.settled(_tallied(held)), "kind tinyint, number bigint, block binary")
 
     tokens = totals.tokens
 
@@ -395,4 +406,4 @@ def scored(docs: DataFrame) -> DataFrame:
                 "train_tokens": pa.array(np.full(len(names), tokens)), "base_score": pa.array(base), "score": pa.array(own + sums[number][: len(names)]),
             })
 
-    return tallied.repartition(parts, "number").mapInArrow(gathered, _SCORES)
+    return tallied.repartition(parts, "number").mapInArrow(common.settled(gathered), _SCORES)
