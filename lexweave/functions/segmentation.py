@@ -6,12 +6,13 @@ listed and ranked, none is left out; a token keeps its best few paths.
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from . import hangul as H
 from . import morphology as M
@@ -117,3 +118,16 @@ tails_udf, paths_udf = F.pandas_udf(_tails, ArrayType(_TAIL)), F.pandas_udf(_pat
 def accepts_particle(run: str) -> bool:
     """Whether some particle is a prefix of a run of characters; what ends a word may not be followed by a syllable."""
     return any(run.startswith(p) and not (p in H.CLOSING and "가" <= run[len(p) : len(p) + 1] <= "힣") for p in H.PARTICLES)
+
+
+#: Characters on both sides of a token that are kept with it.
+AROUND = 40
+_TOKEN = re.compile("[가-힣ㄱ-ㆎ0-9A-Za-z]+")
+
+
+def _tokens(text: pd.Series) -> pd.Series:
+    return pd.Series([[(m.start(), m.end(), m[0], t[max(0, m.start() - AROUND) : m.end() + AROUND]) for m in _TOKEN.finditer(t)] for t in text], dtype="object")
+
+
+#: start, end, token and around of each run of letters and digits; one pass, where columns would take a pass for each run.
+tokens_udf = F.pandas_udf(_tokens, ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("token", StringType()), StructField("around", StringType())])))

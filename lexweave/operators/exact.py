@@ -1,13 +1,19 @@
 """Exact matching under normalization profiles: channels with index maps, gaps, boundaries, proposals.
 
-A channel is a text folded under a profile with the place of each kept character. Keys are found in the channel by the
-dictionary join and mapped back, so that offsets are the text's. All of it is native but for the tails of proposals.
+A channel is a text folded under a profile with the place of each kept character. Keys are found in the channel and
+mapped back, so that offsets are the composed text's. Native but for the scan for a dictionary that fits a broadcast and
+the tails of proposals.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from ..functions import hangul as H
 from ..functions import morphology as M
@@ -23,35 +29,100 @@ def channel(c: Column, profile: str) -> Column:
     """(folded, at): the text under a profile and the 0-based place of each of its characters. c: composed, not null."""
     case, dropped, space, ocr = T.PROFILES[profile]
     gone = T.ZERO_WIDTH + dropped
-    kept = F.filter(F.sequence(F.lit(0), F.length(c) - 1), lambda i: ~F.contains(F.lit(gone), F.substring(c, i + 1, F.lit(1))) & (~F.substring(c, i + 1, F.lit(1)).rlike(r"\s") if space else F.lit(True)))
-    some = F.when(F.length(c) > 0, kept).otherwise(F.array().cast("array<int>"))
+    each = F.transform(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    some = F.transform(F.filter(each, lambda e: ~F.contains(F.lit(gone), e["x"]) & (~e["x"].rlike(r"\s") if space else F.lit(True))), lambda e: e["i"])
     folded = T.drop_space(T.drop_chars(c, gone)) if space else T.drop_chars(c, gone)
     folded = T.fold_width(folded)
     folded = T.fold_case(folded) if case else folded
     return F.struct((T.fold_ocr(folded) if ocr else folded).alias("folded"), some.alias("at"))
 
 
-def profile_matches(docs: DataFrame, bindings: DataFrame) -> DataFrame:
+class _Fold:
+    """A profile as a table of characters: what they become, or nothing."""
+
+    def __init__(self, profile: str) -> None:
+        case, dropped, space, ocr = T.PROFILES[profile]
+        self.gone = frozenset(T.ZERO_WIDTH + dropped + (" \t\n\v\f\r" if space else ""))
+        steps = [dict(zip(T.WIDE, T.NARROW))] + ([dict(zip(T.UPPER, T.LOWER))] if case else []) + ([{c: g[0] for g in T.OCR_GROUPS for c in g}] if ocr else [])
+        self.table: dict[int, str] = {}
+        for c in {c for step in steps for c in step}:
+            to = c
+            for step in steps:
+                to = step.get(to, to)
+            self.table[ord(c)] = to
+        self.table |= dict.fromkeys(map(ord, self.gone), "")
+
+    def places(self, text: str) -> list[int]:
+        return [i for i, c in enumerate(text) if c not in self.gone]
+
+
+def _scanned(docs: DataFrame, keys: DataFrame, profiles: list[str]) -> DataFrame:
+    """Composes, folds and reads each text in one kernel; places are mapped back only where something was found."""
+    held = docs.sparkSession.sparkContext.broadcast({p: keys.where(F.col("profile") == p).select("n", "key").collect() for p in profiles})
+    out = StructType([*docs.select("doc_id").schema, StructField("text", StringType()), StructField("found", ArrayType(StructType([StructField("n", IntegerType()), StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("cost", DoubleType())])))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        folds = []
+        for profile, rows in held.value.items():
+            trie, at = ahocorasick.Automaton(), {}
+            for n, key in rows:
+                at.setdefault(key, []).append(n)
+            for key, of in at.items():
+                trie.add_word(key, (len(key), of))
+            if at:
+                trie.make_automaton()
+                folds.append((_Fold(profile), trie))
+        for batch in batches:
+            texts, lists = [], []
+            for t in batch.column("text").to_pylist():
+                t, own = unicodedata.normalize("NFC", t), []
+                for fold, trie in folds:
+                    hits, places = list(trie.iter(t.translate(fold.table))), None
+                    for last, (size, of) in hits:
+                        places = places if places is not None else fold.places(t)
+                        at = places[last + 1 - size : last + 1]
+                        gaps = [y - x - 1 for x, y in zip(at, at[1:])]
+                        if not gaps or max(gaps) <= MOST_GAP:
+                            own += [{"n": n, "start": at[0], "end": at[-1] + 1, "cost": round(sum(gaps) * GAP_COST, 9)} for n in of]
+                texts.append(t if own else None)
+                lists.append(own)
+            kept = pa.array([i for i, x in enumerate(lists) if x], pa.int32())
+            names = [batch.column("doc_id").take(kept), pa.array(texts, pa.string()).take(kept), pa.array([x for x in lists if x], pa.list_(pa.struct([("n", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("cost", pa.float64())])))]
+            yield pa.RecordBatch.from_arrays(names, names=["doc_id", "text", "found"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, out).select("doc_id", "text", F.inline("found"))
+
+
+def profile_matches(docs: DataFrame, bindings: DataFrame, most: int = 4 << 20) -> DataFrame:
     """doc_id, text (composed), item_id, profile, surface, entity_id, start, end and cost of every place where a key
     matches, overlapping ones too; one scan of the texts for all profiles.
 
-    docs: doc_id, text; bindings: item_id, entity_id, surface, profile. A text is composed once, folded under each profile
-    that has bindings and read by one automaton of all keys; a key counts where the channel is its own profile's. What a
-    match is mapped back by travels with the text, so nothing is joined by doc_id: rows that share one, or have none, stay
-    apart. More than MOST_GAP characters skipped in a row void a match.
+    docs: doc_id, text; bindings: item_id, entity_id, surface, profile. A text is composed once and read under each profile
+    that has bindings. Keys of ``most`` bytes in all are broadcast as automata, one for each profile; more of them meet the
+    folded texts by joins, with equal rows. Nothing is joined by doc_id: rows that share one, or have none, stay apart. More
+    than MOST_GAP characters skipped in a row void a match.
     """
-    used = [r[0] for r in bindings.select("profile").distinct().collect()]
-    profiles = [p for p in T.PROFILES if p in used]  # six at most
-    if not profiles:
-        profiles = list(T.PROFILES)[:1]
-    composed = docs.where("text is not null").select("doc_id", T.nfc_where_needed(F.col("text")).alias("composed"))
+    keyed = None
+    for p in T.PROFILES:  # six
+        own = bindings.where(F.col("profile") == p).select("item_id", "profile", "surface", "entity_id", T.alias_key(F.col("surface"), p).alias("key"))
+        keyed = own if keyed is None else keyed.union(own)
+    keyed = keyed.where("key != ''").distinct()
+    size = keyed.groupBy("profile").agg(F.sum(F.octet_length("key")).alias("n")).collect()  # six rows
+    profiles = [p for p in T.PROFILES if p in {r["profile"] for r in size}]
+    given = docs.where("text is not null")
+    if sum(r["n"] for r in size) <= most:
+        # numbered on the driver, as they go out from there
+        rows = sorted(keyed.collect(), key=repr)
+        numbered = docs.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(rows)], StructType([StructField("n", IntegerType()), *keyed.schema]))
+        found = _scanned(given, numbered, profiles).join(F.broadcast(numbered.drop("key")), "n")
+        return found.select("doc_id", "text", "item_id", "profile", "surface", "entity_id", "start", "end", "cost")
+    composed = given.select("doc_id", T.nfc_where_needed(F.col("text")).alias("composed"))
     folds = F.array(*[F.struct(F.lit(p).alias("profile"), channel(F.col("composed"), p).alias("c")) for p in profiles])
     told = composed.select("doc_id", "composed", F.explode(folds).alias("f")).select(F.struct("doc_id", "composed", "f.profile", F.col("f.c.at").alias("at")).alias("doc_id"), F.col("f.c.folded").alias("text"))
-    keys = None
-    for p in profiles:
-        own = bindings.where(F.col("profile") == p).select(F.struct("item_id", "profile", "surface", "entity_id").alias("item_id"), T.alias_key(F.col("surface"), p).alias("surface"))
-        keys = own if keys is None else keys.union(own)
-    found = matching.literal_matches(told, keys.where("surface != ''")).where("doc_id.profile = item_id.profile")
+    keys = keyed.select(F.struct("item_id", "profile", "surface", "entity_id").alias("item_id"), F.col("key").alias("surface"))
+    found = matching.literal_matches(told, keys, most).where("doc_id.profile = item_id.profile")
     placed = found.select("doc_id.doc_id", "doc_id.composed", "item_id.*", F.slice("doc_id.at", F.col("start") + 1, F.col("end") - F.col("start")).alias("own"))
     gaps = F.zip_with(F.slice("own", F.lit(1), F.size("own") - 1), F.slice("own", F.lit(2), F.size("own") - 1), lambda a, b: b - a - 1)
     whole = F.when(F.size("own") > 1, gaps).otherwise(F.array().cast("array<int>"))

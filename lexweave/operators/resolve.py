@@ -13,12 +13,11 @@ from pyspark.sql import functions as F
 
 from ..functions import segmentation as S
 from ..functions import text as T
-from . import abbreviations, decisions, exact, local_definitions, matching, recovery
+from . import abbreviations, decisions, evidence, exact, local_definitions, matching, recovery
 
-# Fixed value: characters on both sides of a mention that its context is read from.
-AROUND = 40
+AROUND = S.AROUND
 _KEY = ("row", "start", "end")
-_ARRIVAL = (*_KEY, "surface", "around", "entity_id", "channel", "score", "cost", "pass", "blocked", "exact", "alias_id", "arrival")
+_ARRIVAL = (*_KEY, "surface", "around", "entity_id", "channel", "score", "cost", "pass", "blocked", "exact", "plain", "alias_id", "arrival")
 
 
 def proposals(docs: DataFrame, bindings: DataFrame) -> DataFrame:
@@ -30,8 +29,7 @@ def proposals(docs: DataFrame, bindings: DataFrame) -> DataFrame:
 
 def tokens(docs: DataFrame) -> DataFrame:
     """doc_id, start, end, token and around of each run of letters and digits."""
-    spans = docs.where("text is not null").select("doc_id", "text", F.inline(T.spans_between(F.col("text"), "[^가-힣ㄱ-ㆎ0-9A-Za-z]+")))
-    return spans.select("doc_id", "start", "end", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("token"), T.window(F.col("text"), F.col("start"), F.col("end"), AROUND).alias("around"))
+    return docs.where("text is not null").select("doc_id", F.inline(S.tokens_udf("text")))
 
 
 def _rank(n: int, *ties: Column) -> Column:
@@ -65,7 +63,7 @@ def recovered(free: DataFrame, bindings: DataFrame) -> DataFrame:
     turn = F.when(F.col("channel") == "jamo", 2).when(F.col("channel") == "keyboard", 3).otherwise(4)
     return placed.select(
         "row", "start", (F.col("start") + F.length("core")).alias("end"), F.col("core").alias("surface"), "around", "entity_id", "channel", (F.col("score") * F.col("v.factor")).alias("score"), "cost", F.when(F.col("channel") == "abbrev", 2).otherwise(1).alias("pass"),
-        F.when(~F.col("v.commit_allowed"), F.get("v.reasons", F.lit(0))).alias("blocked"), F.lit(False).alias("exact"), "alias_id",
+        F.when(~F.col("v.commit_allowed"), F.get("v.reasons", F.lit(0))).alias("blocked"), F.lit(False).alias("exact"), F.lit(False).alias("plain"), "alias_id",
         F.struct(turn.alias("turn"), F.col("number").cast("bigint").alias("number"), F.col("entity_id").cast("string").alias("name")).alias("arrival"),
     )
 
@@ -79,13 +77,13 @@ def arrivals(docs: DataFrame, bindings: DataFrame, fast: bool = False) -> tuple[
     rows = found.select(
         *_KEY, own.alias("surface"), T.window(F.col("text"), F.col("start"), F.col("end"), AROUND).alias("around"), "entity_id", F.when(literal, "exact").otherwise("normalized").alias("channel"),
         (F.col("score") * F.when(literal, 1.0).otherwise(decisions.CHANNEL_BASE["normalized"])).alias("score"), "cost", F.lit(1).alias("pass"), F.lit(None).cast("string").alias("blocked"), F.lit(True).alias("exact"),
-        F.col("item_id").cast("string").alias("alias_id"), _rank(0, F.col("item_id")).alias("arrival"),
+        ((F.col("status") == "PASS") & (F.col("identity") == "SAME")).alias("plain"), F.col("item_id").cast("string").alias("alias_id"), _rank(0, F.col("item_id")).alias("arrival"),
     )
     local = local_definitions.definitions(docs, bindings)
     used = local_definitions.occurrences(docs, local)
     rows = rows.unionByName(used.select(
         *_KEY, F.col("alias").alias("surface"), F.lit(None).cast("string").alias("around"), "entity_id", F.lit("doc_local").alias("channel"), F.lit(decisions.CHANNEL_BASE["doc_local"]).alias("score"), F.lit(0.0).alias("cost"), F.lit(1).alias("pass"),
-        F.lit(None).cast("string").alias("blocked"), F.lit(False).alias("exact"), F.lit(None).cast("string").alias("alias_id"), _rank(1, F.lit(None), F.col("entity_id")).alias("arrival"),
+        F.lit(None).cast("string").alias("blocked"), F.lit(False).alias("exact"), F.lit(False).alias("plain"), F.lit(None).cast("string").alias("alias_id"), _rank(1, F.lit(None), F.col("entity_id")).alias("arrival"),
     ))
     if not fast:
         free = matching.overlap_join(tokens(keyed).withColumnRenamed("doc_id", "row"), rows.where("exact").select(*_KEY).distinct(), "row", how="anti")
@@ -101,12 +99,29 @@ def signals(entities: DataFrame) -> DataFrame:
     return entities.groupBy("entity_id").agg(F.array_distinct(F.flatten(F.collect_list(grams))).alias("grams"))
 
 
-def scored(docs: DataFrame, bindings: DataFrame, fast: bool = False, entities: DataFrame | None = None, context: dict | None = None) -> DataFrame:
+def defined(docs: DataFrame, rows: DataFrame, entities: DataFrame) -> DataFrame:
+    """row, start, end and entity_id of mentions that several entities match exactly and the text itself defines as one.
+
+    Mentions with any other candidate, a soft boundary or a derived identity are left alone; only the texts of the few
+    mentions that remain are read again.
+    """
+    alike = rows.groupBy(*_KEY).agg(F.bool_and("plain").alias("plain"), F.array_sort(F.collect_set("entity_id")).alias("ids")).where("plain and size(ids) > 1")
+    told = F.col("definition") if "definition" in entities.columns else F.col("description") if "description" in entities.columns else F.lit(None).cast("string")
+    record = entities.select("entity_id", F.struct("entity_id", F.col("canonical"), told.alias("definition"), F.array().cast("array<string>").alias("aliases")).alias("c"))
+    held = alike.select(*_KEY, F.explode("ids").alias("entity_id")).join(record, "entity_id").groupBy(*_KEY).agg(F.array_sort(F.collect_list("c")).alias("candidates"))
+    texts = docs.where("text is not null").select(matching.row_of().alias("row"), T.nfc_where_needed(F.col("text")).alias("text"))
+    some = texts.join(held.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"])
+    found = evidence.self_definitions(held.join(some, "row"))
+    return found.where("chosen is not null").select(*_KEY, F.col("chosen").alias("entity_id"))
+
+
+def scored(docs: DataFrame, bindings: DataFrame, fast: bool = False, entities: DataFrame | None = None, context: dict | None = None, contextual: bool = False) -> DataFrame:
     """Candidates of every mention with their evidence and probability p: row, start, end, surface, entity_id, scores, ...
 
     entities: entity_id and any of canonical, description, examples, domains, which a mention's surroundings are held
     against; context: department and project of the request as {"value": .., "trust": ..}, held against the bindings'
-    scopes. A hard denial drops the entity from the mention.
+    scopes. A hard denial drops the entity from the mention. contextual: exact senses that the text itself defines as one
+    of the entities count as single ones (defined()).
     """
     rows, local = arrivals(docs, bindings, fast)
     merged = decisions.merged(rows, list(_KEY))
@@ -129,16 +144,20 @@ def scored(docs: DataFrame, bindings: DataFrame, fast: bool = False, entities: D
     told = told.withColumn("evidence", bonus + F.when(F.col("own"), 0.20).otherwise(0.0) + adjustment)
     senses = F.sum(F.col("exact").cast("int")).over(Window.partitionBy(*_KEY))
     told = told.withColumn("senses", senses)
-    p = decisions.heuristic_probability(F.col("scores"), F.col("exact"), F.col("senses"), F.col("cost"), F.col("evidence"))
+    sure = None
+    if contextual and entities is not None and not fast:
+        told = told.join(defined(docs, rows, entities).withColumn("defined", F.lit(True)), [*_KEY, "entity_id"], "left")
+        sure = F.coalesce("defined", F.lit(False))
+    p = decisions.heuristic_probability(F.col("scores"), F.col("exact"), F.col("senses"), F.col("cost"), F.col("evidence"), sure)
     return told.withColumn("p", F.round(p, 9)).withColumn("local", F.array_contains(F.map_keys("scores"), "doc_local"))
 
 
-def resolved(docs: DataFrame, bindings: DataFrame, fast: bool = False, entities: DataFrame | None = None, context: dict | None = None) -> DataFrame:
+def resolved(docs: DataFrame, bindings: DataFrame, fast: bool = False, entities: DataFrame | None = None, context: dict | None = None, contextual: bool = False) -> DataFrame:
     """Primary mentions of each row: doc_id, start, end, surface, decisions, entity_id and probability of the best.
 
-    fast: no recovery and no probabilities. entities and context: see scored().
+    fast: no recovery and no probabilities. entities, context and contextual: see scored().
     """
-    told = scored(docs, bindings, fast, entities, context).withColumns({"m": F.struct(*_KEY), "member": F.lit(None).cast("boolean"), "degraded": F.col("truncated")})
+    told = scored(docs, bindings, fast, entities, context, contextual).withColumns({"m": F.struct(*_KEY), "member": F.lit(None).cast("boolean"), "degraded": F.col("truncated")})
     if fast:
         link = decisions.fast_decisions(told, "m").select("m", "mention_decision", "link_decision", F.when(F.size("senses") == 1, F.get("senses", F.lit(0))).alias("entity_id"))
     else:

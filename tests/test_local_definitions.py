@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from lexweave.operators import local_definitions, matching, resolve
+from lexweave.operators import exact, local_definitions, matching, resolve
 
 NAMES = {"한국전력공사": "kepco", "금융감독원": "fss", "한국전기연구원": "keri"}
 PARTS = [*NAMES, "한전공", "감독원", "KERI", "(", ")", " (이하 ", "이하 ", ", ", " ", "\n", "은", "“", "”", "x1", "AP", "무명회사"]
@@ -98,3 +98,13 @@ def test_matches_of_rows_without_and_with_equal_ids(spark):
     want = sorted([("1", 1, 0), ("1", 2, 1), ("1", 1, 1), ("1", 2, 2), ("None", 1, 0), ("None", 2, 1), ("None", 2, 0)])
     for most in (1 << 20, 0):
         assert sorted((repr(r["doc_id"]), r["item_id"], r["start"]) for r in matching.literal_matches(docs, items, most).collect()) == want
+
+
+def test_profile_matches_by_automata_and_by_joins(spark):
+    parts = ["한 전", "한·전", "ＡＰ", "a.p", "A-P", "ap", "QMS", "한전", "전력", " ", "공\u200b사", "l0l", "1O1", "😀", "x", "\n", "é"]
+    rows = [(i % 50, "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12)))) for i in range(120)] + [(None, "한전"), (1, None), (2, "")]
+    b = [(1, "k", "한전", "korean_org_name"), (2, "n", "AP", "latin_acronym"), (3, "f", "AP", "latin_acronym"), (4, "q", "QMS", "latin_word"), (5, "l", "1O1", "ocr_tolerant"), (6, "e", "전력공사", "korean_org_name"), (7, "z", "-", "latin_word"), (8, "t", "한전", "korean_term")]
+    docs, bindings = spark.createDataFrame(rows, "doc_id int, text string"), spark.createDataFrame(b, "item_id int, entity_id string, surface string, profile string")
+    one, two = (sorted(map(repr, exact.profile_matches(docs, bindings, most).collect())) for most in (1 << 20, 0))
+    assert one == two and len(one) > 60
+    assert exact.profile_matches(docs, bindings.where("false")).count() == 0 == exact.profile_matches(docs.where("false"), bindings).count()
