@@ -193,6 +193,9 @@ def fast_decisions(candidates: DataFrame, key: str) -> DataFrame:
     return one.select(key, F.when(F.col("strong"), "TERM").otherwise("UNCERTAIN").alias("mention_decision"), F.when(F.size(senses) == 1, "RESOLVED").otherwise("AMBIGUOUS").alias("link_decision"), senses.alias("senses"))
 
 
-def blocking_reason(decision: Column, mention: Column, blocked: Column, degraded: Column, top: Column, margin: Column) -> Column:
-    """Why a mention did not resolve; null where it did."""
-    return F.when(decision == "RESOLVED", F.lit(None).cast("string")).when(degraded, "degraded").when(mention != "TERM", "mention_uncertain").when(blocked.isNotNull(), blocked).when(top < RESOLVE, "below_threshold").when(margin < MARGIN, "thin_margin").otherwise("not_in_glossary")
+def blocking_reason(link: Column, mention: Column, blocked: Column, degraded: Column, members: Column, top: Column, margin: Column) -> Column:
+    """Why a mention did not resolve; null where it did. members: entities in the prediction set; a missing one counts as none."""
+    return (
+        F.when(link == "RESOLVED", F.lit(None).cast("string")).when(degraded, "degraded_result").when(mention != "TERM", "mention_not_term").when(link == "KB_MISSING", "kb_missing_dominates").when(members == 0, "no_candidates")
+        .when(F.coalesce(blocked, F.lit("")) != "", "guard_blocked").when(F.coalesce(top, F.lit(0.0)) < RESOLVE, "below_resolve_threshold").when(margin < MARGIN, "insufficient_margin").otherwise("ambiguous")
+    )

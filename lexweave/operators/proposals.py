@@ -21,11 +21,13 @@ def checks(proposals: DataFrame, bindings: DataFrame, entities: DataFrame) -> Da
     """id, ok and the names of failed checks of each proposal.
 
     proposals: id, surface, canonical, definition, scope, origin, observed (seen in a trusted source); bindings: surface,
-    entity_id; entities: entity_id, canonical.
+    entity_id; entities: entity_id, canonical. A null text is an empty one, a null scope or origin is unknown.
     """
+    bare = lambda c: F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
+    proposals = proposals.withColumns({c: F.coalesce(c, F.lit("")) for c in ("surface", "canonical", "definition", "scope", "origin")})
     taken = bindings.select(F.col("surface").alias("__s")).distinct().withColumn("__taken", F.lit(True))
-    named = entities.select(F.lower(F.trim("canonical")).alias("__c")).distinct().withColumn("__named", F.lit(True))
-    both = proposals.join(taken, F.col("surface") == F.col("__s"), "left").join(named, F.lower(F.trim("canonical")) == F.col("__c"), "left")
+    named = entities.select(bare(F.col("canonical")).alias("__c")).distinct().withColumn("__named", F.lit(True))
+    both = proposals.join(taken, F.col("surface") == F.col("__s"), "left").join(named, bare(F.col("canonical")) == F.col("__c"), "left")
     texts = [F.col(c) for c in ("surface", "canonical", "definition")]
     whole = F.concat_ws("\n", "canonical", "definition")
     fails = {

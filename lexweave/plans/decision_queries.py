@@ -120,13 +120,39 @@ def q01_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.fast_decisions(_candidates(spark), "m").drop("senses")
 
 
-@query("q04_blocking_reasons", "SELECT * FROM " + literal([("m1", None), ("m2", "thin_margin"), ("m3", "mention_uncertain"), ("m4", "below_threshold"), ("m5", "mention_uncertain"), ("m6", "typed_derivative"), ("m7", "degraded"), ("m8", "degraded"), ("m9", "below_threshold"), ("m10", None), ("m11", None), ("m12", "degraded")], "m", "reason"))
+#: Lines as candidates of their order: a probability, evidence, a guard and a budget from their own columns.
+_LINES = """(SELECT l_orderkey AS m, l_linenumber * 10000000 + l_partkey AS e, l_quantity / 50.0 AS p, l_returnflag = 'A' AS x, l_returnflag = 'R' AND l_linestatus = 'F' AS l, CASE WHEN l_partkey % 4 = 0 THEN 'typed_derivative' END AS b, l_suppkey % 5 = 0 AND l_quantity > 48 AS d FROM lineitem)"""
+_DECIDED_LINES = f"""
+(SELECT *, CASE WHEN missing > top THEN 'KB_MISSING' WHEN term AND NOT bad AND guard IS NULL AND top >= 0.7 AND (n = 1 OR top - second >= 0.15) AND missing IS NULL THEN 'RESOLVED' WHEN bad AND inside + CASE WHEN missing IS NULL THEN 0 ELSE 1 END <= 1 THEN 'UNCERTAIN' ELSE 'AMBIGUOUS' END AS link
+ FROM (SELECT *, strong OR top >= 0.6 AS term, CASE WHEN top < 0.6 AND NOT exact THEN round(least(0.9, greatest(0.05, 0.8 - top)), 3) END AS missing
+  FROM (SELECT m, max(p) AS top, coalesce(max(p) FILTER (k = 2), 0) AS second, count(*) AS n, bool_or(x OR l) AS strong, bool_or(x) AS exact, bool_or(d) AS bad, max(b) FILTER (k = 1) AS guard, max(e) FILTER (k = 1) AS first, count(*) FILTER (p >= 0.25 OR k = 1) AS inside
+   FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY p DESC, e) AS k FROM {_LINES}) GROUP BY m)))"""
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.col("l_quantity").cast("double")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("m"), (F.col("l_linenumber") * 10_000_000 + F.col("l_partkey")).alias("entity_id"), (q / 50.0).alias("p"), (F.col("l_returnflag") == "A").alias("exact"), ((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")).alias("local"),
+        F.when(F.col("l_partkey") % 4 == 0, "typed_derivative").alias("blocked"), ((F.col("l_suppkey") % 5 == 0) & (q > 48)).alias("degraded"), F.lit(False).alias("overflow"), F.lit(None).cast("boolean").alias("member"),
+    )
+
+
+@query("r03_order_decisions", f"SELECT m, CASE WHEN term THEN 'TERM' ELSE 'UNCERTAIN' END AS mention, link, CASE WHEN link = 'RESOLVED' THEN first END AS entity_id FROM {_DECIDED_LINES}")
+def r03_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions on all orders, whose lines stand for candidates."""
+    return D.decided(_lines(spark, sf_dir), "m").select("m", F.col("mention_decision").alias("mention"), F.col("link_decision").alias("link"), "entity_id")
+
+
+@query("q04_blocking_reasons", f"""SELECT m, CASE WHEN link = 'RESOLVED' THEN NULL WHEN bad THEN 'degraded_result' WHEN NOT term THEN 'mention_not_term' WHEN link = 'KB_MISSING' THEN 'kb_missing_dominates' WHEN inside = 0 THEN 'no_candidates'
+ WHEN guard IS NOT NULL THEN 'guard_blocked' WHEN top < 0.7 THEN 'below_resolve_threshold' WHEN top - second < 0.15 THEN 'insufficient_margin' ELSE 'ambiguous' END AS reason FROM {_DECIDED_LINES}""")
 def q04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decisions with the first thing that kept each mention from resolving."""
-    c = _candidates(spark).withColumn("p", F.when((F.col("entity_id") == "e1") & (F.col("m") == "m11"), F.lit(0.5499999999)).otherwise(F.col("p")))
-    first = D.ranked(c, "m").where("rank = 1").select("m", "top", F.col("margin").alias("lead"), "blocked", (F.col("degraded") | F.col("overflow")).alias("bad"))
-    both = D.decided(c, "m").join(first, "m")
-    return both.select("m", D.blocking_reason(F.col("link_decision"), F.col("mention_decision"), F.col("blocked"), F.col("bad"), F.col("top"), F.col("lead")).alias("reason"))
+    """The first thing that kept each order from resolving; hand-made mentions of every reason are in the tests."""
+    c = _lines(spark, sf_dir)
+    first = D.ranked(c, "m").where("rank = 1").select("m", "top", F.col("margin").alias("lead"), "blocked")
+    of = c.groupBy("m").agg(F.bool_or(F.col("degraded") | F.col("overflow")).alias("bad"))
+    both = D.decided(c, "m").join(first, "m").join(of, "m")
+    entities = F.col("members") - F.col("missing_p").isNotNull().cast("int")
+    return both.select("m", D.blocking_reason(F.col("link_decision"), F.col("mention_decision"), F.col("blocked"), F.col("bad"), entities, F.col("top"), F.col("lead")).alias("reason"))
 
 
 ARRIVALS = [

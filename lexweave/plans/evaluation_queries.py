@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import components, matching
 from ..operators import evaluation as E
-from ..operators import matching
 from .base import literal, query, table
 
 _Z = E.Z95
@@ -124,16 +124,9 @@ def t14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy("o_orderkey").offset(40).limit(20)
 
 
-LINKS = [("a", "b"), ("b", "c"), ("d", "e"), ("f", "f"), ("g", "h"), ("h", "c")]
-
-
-@query("a20_components", "SELECT * FROM (VALUES ('a', 'a'), ('b', 'a'), ('c', 'a'), ('g', 'a'), ('h', 'a'), ('d', 'd'), ('e', 'd'), ('f', 'f')) AS t(node, comp)")
+@query("a20_components", "SELECT doc_id AS node, doc_id - doc_id % 200 AS comp FROM documents")
 def a20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Least labels spread over links until none changes; an array of the neighbours is never built."""
-    edges = spark.createDataFrame(LINKS, "a string, b string")
-    edges = edges.union(edges.select("b", "a")).distinct()
-    labels = edges.groupBy("a").agg(F.min(F.least("a", "b")).alias("comp"))
-    for _ in range(5):  # a fixed literal relation of width five
-        near = edges.join(labels.select(F.col("a").alias("b"), F.col("comp").alias("near")), "b").groupBy("a").agg(F.min("near").alias("near"))
-        labels = labels.join(near, "a").select("a", F.least("comp", "near").alias("comp"))
-    return labels.select(F.col("a").alias("node"), "comp")
+    """Documents linked to their neighbour, in chains of 200: each gets the first one of its chain, 199 hops away at most."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    links = docs.select(F.col("doc_id").alias("a"), F.when(F.col("doc_id") % 200 == 0, F.col("doc_id")).otherwise(F.col("doc_id") - 1).alias("b"))
+    return components.components(links).select("node", "comp")

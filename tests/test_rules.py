@@ -208,3 +208,42 @@ def test_bundles_refuse_what_was_not_sealed(spark, tmp_path):
     (tmp_path / "bad.tsv").write_text("id\tcanonical\talias\n1\tA\tx\n1\tB\ty\n")
     with pytest.raises(glossaries.SourceError):
         glossaries.read_terms(spark, f"file://{tmp_path}/bad.tsv")
+
+
+def test_every_reason_that_keeps_a_mention_from_resolving(spark):
+    from pyspark.sql import functions as F
+
+    from lexweave.operators import decisions
+
+    rows = [
+        (None, "RESOLVED", "TERM", None, False, 1, 0.9, 0.9), ("degraded_result", "UNCERTAIN", "TERM", None, True, 1, 0.9, 0.9), ("mention_not_term", "AMBIGUOUS", "UNCERTAIN", None, False, 1, 0.4, 0.4), ("kb_missing_dominates", "KB_MISSING", "TERM", None, False, 1, 0.3, 0.3),
+        ("no_candidates", "UNCERTAIN", "TERM", None, False, 0, None, None), ("guard_blocked", "AMBIGUOUS", "TERM", "short_core", False, 1, 0.9, 0.9), ("below_resolve_threshold", "AMBIGUOUS", "TERM", None, False, 1, 0.69, 0.69), ("insufficient_margin", "AMBIGUOUS", "TERM", "", False, 2, 0.8, 0.1),
+        ("ambiguous", "AMBIGUOUS", "TERM", None, False, 2, 0.8, 0.15), ("ambiguous", "AMBIGUOUS", "TERM", None, False, 1, 0.8, None),
+    ]
+    df = spark.createDataFrame(rows, "want string, link string, mention string, blocked string, degraded boolean, members int, top double, margin double")
+    got = df.select("want", decisions.blocking_reason(*[F.col(c) for c in ("link", "mention", "blocked", "degraded", "members", "top", "margin")]).alias("got")).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got] == [r[0] for r in rows]
+
+
+def test_components_of_any_length(spark):
+    from lexweave.operators import components
+
+    rnd = random.Random(2)
+    links = [(i, i + 1) for i in range(300)] + [(1000 + rnd.randint(0, 80), 1000 + rnd.randint(0, 80)) for _ in range(60)] + [(2000, 2000 + i) for i in range(50)] + [(3000, 3000), (None, 7), (8, None), (5, 4), (5, 4)]
+    least = {n: n for link in links if None not in link for n in link}
+    for _ in range(400):
+        for a, b in links:
+            if a is not None and b is not None:
+                least[a] = least[b] = min(least[a], least[b])
+    got = components.components(spark.createDataFrame(links, "a int, b int"))
+    assert {tuple(r) for r in got.collect()} == set(least.items())
+    held = components.split(got).groupBy("comp").agg({"held": "min", "*": "count"}).count()
+    assert held == len(set(least.values()))
+    assert components.components(spark.createDataFrame([], "a int, b int")).count() == 0
+
+
+def test_proposals_without_fields(spark):
+    rows = spark.createDataFrame([(1, None, None, None, None, None, None), (2, "s", " 한국전력공사 \t", "d", "session", "llm_proposal", True)], "id int, surface string, canonical string, definition string, scope string, origin string, observed boolean")
+    held, named = spark.createDataFrame([], "surface string, entity_id string"), spark.createDataFrame([("e1", "한국전력공사　")], "entity_id string, canonical string")
+    got = {r["id"]: r["failed"] for r in proposals.checks(rows, held, named).collect()}
+    assert got == {1: ["surface_nonempty", "canonical_nonempty", "definition_nonempty", "evidence_surface_present", "scope_known", "origin_known"], 2: ["no_duplicate_entity"]}
