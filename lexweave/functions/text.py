@@ -190,6 +190,14 @@ def nfc_where_needed(c: Column) -> Column:
     return F.when(c.rlike(r"[^\x00-˿]"), _nfc_udf(c)).otherwise(c)
 
 
+def _nfd(s: pd.Series) -> pd.Series:
+    return s.str.normalize("NFD")
+
+
+#: NFD: conjoining jamo for Hangul syllables.
+nfd = F.pandas_udf(_nfd, StringType())
+
+
 def casefolded(c: Column) -> Column:
     """Unicode case folding; ASCII texts skip the kernel."""
     return F.when(c.rlike(r"[^\x00-\x7F]"), _casefold_udf(c)).otherwise(F.lower(c))

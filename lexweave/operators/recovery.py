@@ -36,3 +36,58 @@ def typed_otherwise(tokens: DataFrame, bindings: DataFrame) -> DataFrame:
     hangul = F.col("token").rlike("^[가-힣ㄱ-ㅎㅏ-ㅣ]+$")
     sought = tokens.select("token").distinct().where(hangul | F.col("token").rlike("^[A-Za-z]+$")).select("token", F.when(hangul, F.lower(H.keys(F.col("token")))).otherwise(F.lower("token")).alias("keys"), hangul.alias("latin"))
     return sought.join(held, ["keys", "latin"]).select("token", "item_id", "entity_id")
+
+
+def _name_keys(names: DataFrame) -> DataFrame:
+    """surface, channel, key and form (what is verified) of every way in which a name can be recovered."""
+    s, compact = F.col("surface"), F.regexp_replace("surface", r"(?U)\s", "")
+    words = F.split(F.regexp_replace("surface", r"(?U)^\s+|\s+$", ""), r"(?U)\s+")
+    told = names.select("surface").where("surface is not null").distinct()
+    hangul = told.where(s.rlike("^[가-힣]{2,32}$"))
+    jamo = hangul.where(F.length(s) >= 3).withColumn("form", T.nfd(s)).withColumn("n", F.length("form")).withColumn("h", F.floor(F.col("n") / 2).cast("int"))
+    halves = F.explode(F.array(F.concat_ws("|", F.lit("0"), "n", F.substring("form", F.lit(1), F.col("h"))), F.concat_ws("|", F.lit("1"), "n", F.substring("form", F.col("h") + 1, F.col("n")))))
+    out = jamo.select("surface", F.lit("jamo").alias("channel"), halves.alias("key"), "form")
+    out = out.union(hangul.select("surface", F.lit("keyboard"), H.keys(s), s)).union(told.where(s.rlike("^[A-Za-z]{2,32}$")).select("surface", F.lit("hangul_keyboard"), F.lower(s), s))
+    several = told.where((F.size(words) >= 3) & F.forall(words, lambda w: w.rlike("^[A-Za-z]+$")))
+    out = out.union(several.select("surface", F.lit("initials"), F.upper(F.array_join(F.transform(words, lambda w: F.left(w, F.lit(1))), "")), s))
+    ends = told.withColumn("c", compact).where(F.col("c").rlike("^[가-힣]{4,60}$"))
+    inner = F.array_distinct(F.transform(F.sequence(F.lit(2), F.length("c") - 1), lambda i: F.concat(F.left("c", F.lit(1)), F.right("c", F.lit(1)), F.substring("c", i, F.lit(1)))))
+    return out.union(ends.select("surface", F.lit("abbrev"), F.explode(inner), F.col("c")))
+
+
+def _word_keys(words: DataFrame) -> DataFrame:
+    """token, channel, key and form of every way in which a word can stand for a name."""
+    t = F.col("token")
+    told = words.select("token").where("token is not null").distinct()
+    latin, hangul = told.where(t.rlike("^[A-Za-z]{3,96}$")), told.where(t.rlike("^[가-힣]{3,32}$"))
+    jamo = hangul.withColumn("form", T.nfd(t)).withColumn("n", F.length("form"))
+    each = F.explode(F.flatten(F.transform(F.array(*[F.col("n") + d for d in (-1, 0, 1)]), lambda m: F.array(
+        F.concat_ws("|", F.lit("0"), m, F.left("form", F.floor(m / 2).cast("int"))), F.concat_ws("|", F.lit("1"), m, F.right("form", (m - F.floor(m / 2)).cast("int")))
+    ))))
+    out = jamo.select("token", F.lit("jamo").alias("channel"), each.alias("key"), "form").union(latin.select("token", F.lit("keyboard"), t, t)).union(latin.select("token", F.lit("initials"), t, t))
+    typed = told.where(t.rlike("^[가-힣ㄱ-ㅎㅏ-ㅣ]{1,32}$") & (t.rlike("[ㄱ-ㅎㅏ-ㅣ]") | (F.length(t) >= 2)))
+    out = out.union(typed.select("token", F.lit("hangul_keyboard"), F.lower(H.keys(t)), t))
+    inner = F.array_distinct(F.transform(F.sequence(F.lit(2), F.length(t) - 1), lambda i: F.concat(F.left(t, F.lit(1)), F.right(t, F.lit(1)), F.substring(t, i, F.lit(1)))))
+    return out.union(hangul.select("token", F.lit("abbrev"), F.explode(inner), t))
+
+
+def one_step(words: DataFrame, names: DataFrame) -> DataFrame:
+    """token, surface and channel of names (surface) that a word (token) is one step away from.
+
+    jamo: one conjoining jamo inserted, deleted or changed; keyboard and hangul_keyboard: typed with the other script's
+    keys; initials of three Latin words and more; abbrev: a subsequence that keeps both ends, half of the syllables and
+    leaves out two at least. All of them are one equi-join on a key of channel and form: one edit leaves a half of a name as
+    it is, and of an abbreviation's inner syllables the rarest among the names is its key, so that frequent ones pair
+    nothing. A pair that several keys offer is verified once.
+    """
+    held = _name_keys(names)
+    counts = held.where("channel = 'abbrev'").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    sought = _word_keys(words)
+    inner = sought.where("channel = 'abbrev'")
+    # a syllable that no name holds rules the word out
+    rarest = inner.join(counts, "key", "left").groupBy("token", "channel", "form").agg(F.min_by("key", F.coalesce("n", F.lit(0))).alias("key"))
+    keyed = sought.where("channel != 'abbrev'").unionByName(rarest)
+    met = keyed.join(held.withColumnRenamed("form", "held"), ["channel", "key"]).select("token", "surface", "channel", "form", "held").distinct()
+    far = F.length("held")
+    within = (far >= F.length("form") + 2) & (far <= 2 * F.length("form")) & F.rlike("held", F.array_join(F.regexp_extract_all("form", F.lit("."), F.lit(0)), ".*"))
+    return met.where(F.when(F.col("channel") == "jamo", T.one_edit(F.col("form"), F.col("held"))).when(F.col("channel") == "abbrev", within).otherwise(F.lit(True))).select("token", "surface", "channel")

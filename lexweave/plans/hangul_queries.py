@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import hangul as H
 from ..functions import text as T
-from .base import literal, query
+from ..operators import recovery as R
+from .base import literal, query, table
 
 NFD = [("1", "한전"), ("2", "한전"), ("3", "é"), ("4", "plain")]
 
@@ -91,3 +92,18 @@ def j10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     t, s = halves(spark.createDataFrame([("한국전려",), ("호랑이",)], "token string"), "token"), halves(spark.createDataFrame([("한국전력",), ("한전",)], "surface string"), "surface").withColumnRenamed("j", "js")
     return t.join(s, ["side", "half"]).where(T.one_edit(F.col("j"), F.col("js"))).select("token", "surface").distinct()
+
+
+@query("j10_recovered_names", """
+WITH n AS (SELECT DISTINCT lpad(p_partkey::VARCHAR, 6, '0') AS d FROM part), f AS (SELECT d, i, d[1:i - 1] || '*' || d[i + 1:] AS form FROM n, range(1, 7) t(i)), w AS (SELECT DISTINCT lpad(s_suppkey::VARCHAR, 6, '0') AS d FROM supplier)
+SELECT a.d AS word, b.d AS name, 'jamo' AS channel FROM f a JOIN f b ON a.form = b.form AND a.i = b.i AND a.d <> b.d UNION ALL SELECT w.d, n.d, 'keyboard' FROM w JOIN n ON w.d = n.d""")
+def j10_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of all parts spelt in syllables of one vowel: two of them are one jamo apart where one digit differs. The
+    suppliers' are typed with the Latin keys."""
+    digits, syllables = "0123456789", "가나다라마바사아자차"
+    spelt = lambda c: F.translate(F.lpad(F.col(c).cast("string"), 6, "0"), digits, syllables)
+    names = table(spark, sf_dir, "part").select(spelt("p_partkey").alias("surface"))
+    typed = table(spark, sf_dir, "supplier").select(H.keys(spelt("s_suppkey")).alias("token"), F.lpad(F.col("s_suppkey").cast("string"), 6, "0").alias("word")).distinct()
+    words = names.select(F.col("surface").alias("token")).union(typed.select("token"))
+    found = R.one_step(words, names).where("channel != 'abbrev'").join(typed, "token", "left")
+    return found.select(F.coalesce("word", F.translate("token", syllables, digits)).alias("word"), F.translate("surface", syllables, digits).alias("name"), "channel")
