@@ -7,6 +7,7 @@ listed and ranked, none is left out; a token keeps its best few paths.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -125,8 +126,14 @@ AROUND = 40
 _TOKEN = re.compile("[가-힣ㄱ-ㆎ0-9A-Za-z]+")
 
 
+def token_spans(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """start, end, token and around of each run of letters and digits."""
+    for m in _TOKEN.finditer(text):
+        yield m.start(), m.end(), m[0], text[max(0, m.start() - AROUND) : m.end() + AROUND]
+
+
 def _tokens(text: pd.Series) -> pd.Series:
-    return pd.Series([[(m.start(), m.end(), m[0], t[max(0, m.start() - AROUND) : m.end() + AROUND]) for m in _TOKEN.finditer(t)] for t in text], dtype="object")
+    return pd.Series([list(token_spans(t)) for t in text], dtype="object")
 
 
 #: start, end, token and around of each run of letters and digits; one pass, where columns would take a pass for each run.
