@@ -36,9 +36,16 @@ SELECT id, v IS NOT NULL AND list_contains(deny, v) AND trust IN ('SERVER_VERIFI
   (CASE WHEN v IS NULL THEN 0 WHEN list_contains(deny, v) THEN CASE trust WHEN 'APPLICATION_VERIFIED' THEN -0.2 WHEN 'USER_PROVIDED' THEN -0.1 ELSE 0 END
         WHEN len(allow) = 0 THEN 0 WHEN list_contains(allow, v) THEN 0.05 ELSE -0.08 END)::DOUBLE AS adjustment,
   CASE WHEN v IS NULL OR list_contains(deny, v) OR len(allow) = 0 THEN NULL ELSE list_contains(allow, v) END AS matched
-FROM (SELECT id, allow::VARCHAR[] AS allow, deny::VARCHAR[] AS deny, v, coalesce(trust, 'USER_PROVIDED') AS trust FROM {literal(SCOPED, 'id', 'allow', 'deny', 'v', 'trust')}) x""")
+FROM (SELECT id, allow::VARCHAR[] AS allow, deny::VARCHAR[] AS deny, v, coalesce(trust, 'USER_PROVIDED') AS trust FROM {literal(SCOPED, 'id', 'allow', 'deny', 'v', 'trust')}
+  UNION ALL SELECT l_orderkey + 1000, CASE WHEN l_linenumber % 2 = 0 THEN ['A', 'R'] ELSE [] END, CASE WHEN l_linenumber % 3 = 0 THEN ['N', 'R'] ELSE [] END, CASE WHEN l_quantity < 45 THEN l_returnflag END,
+    coalesce((['SERVER_VERIFIED', 'AUTH_CLAIM', 'APPLICATION_VERIFIED', 'USER_PROVIDED', 'UNTRUSTED_DOCUMENT'])[l_suppkey % 6 + 1], 'USER_PROVIDED') FROM lineitem) x""")
 def f09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(SCOPED, "id int, allow array<string>, deny array<string>, v string, trust string")
+    """Hand-made scopes, and all lines with scopes of their columns."""
+    none = F.array().cast("array<string>")
+    levels = F.array(*map(F.lit, ("SERVER_VERIFIED", "AUTH_CLAIM", "APPLICATION_VERIFIED", "USER_PROVIDED", "UNTRUSTED_DOCUMENT")))
+    allow, deny = (F.when(F.col("l_linenumber") % n == 0, F.array(*map(F.lit, flags))).otherwise(none) for n, flags in ((2, "AR"), (3, "NR")))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey") + 1000, allow, deny, F.when(F.col("l_quantity") < 45, F.col("l_returnflag")), F.get(levels, (F.col("l_suppkey") % 6).cast("int")))
+    rows = spark.createDataFrame(SCOPED, "id bigint, allow array<string>, deny array<string>, v string, trust string").union(lines)
     return rows.withColumn("s", D.scope_adjustment(F.col("allow"), F.col("deny"), F.col("v"), F.col("trust"))).select("id", "s.dropped", "s.adjustment", "s.matched")
 
 
@@ -49,13 +56,24 @@ SCORED = [
     (7, {"exact": 1.0}, 0.0, 0.0, False, None, 0.9, True, 9), (8, {"normalized": 0.97}, 0.15, 0.0, False, None, 0.0, True, 1), (9, {"keyboard": 0.5}, 0.0, 0.0, False, None, 1.0, False, 2), (10, {"exact": 1.0}, 0.15, 0.05, True, 1.0, 0.0, True, 1),
 ]
 _NAMES = ["id", "exact_s", "normalized_s", "doc_local_s", "jamo_s", "keyboard_s", "abbrev_s", "dense_s", "bonus", "scope", "own", "xenc", "cost", "x", "senses"]
-_S = literal([(i, *[s.get(c) for c in ("exact", "normalized", "doc_local", "jamo", "keyboard", "abbrev", "dense")], *rest) for i, s, *rest in SCORED], *_NAMES)
+_CHANNELS = ("exact", "normalized", "doc_local", "jamo", "keyboard", "abbrev", "dense")
+#: What the lines of orders have for scores: a channel by their number, its score by their columns.
+_LINE_SCORE = "round(1 - l_discount - l_tax, 2)"
+_S = f"""(SELECT * FROM {literal([(i, *[s.get(c) for c in _CHANNELS], *rest) for i, s, *rest in SCORED], *_NAMES)} UNION ALL SELECT l_orderkey + 1000, {', '.join(f"CASE WHEN l_linenumber = {i + 1} OR (l_linenumber = 7 AND {i} IN (0, 3)) THEN {_LINE_SCORE} END" for i in range(7))},
+  0.0375 * (l_suppkey % 5), 0.05 * (l_partkey % 3) - 0.05, l_linenumber % 4 = 0, CASE WHEN l_suppkey % 2 = 0 THEN l_discount END, l_tax, l_linenumber IN (1, 2, 7), (l_partkey % 5)::INT FROM lineitem) AS t({', '.join(_NAMES)})"""
 _BASE = "greatest(coalesce(exact_s, 0), coalesce(normalized_s, 0), coalesce(doc_local_s, 0), coalesce(jamo_s, 0), coalesce(keyboard_s, 0), coalesce(abbrev_s, 0), coalesce(dense_s, 0))::DOUBLE"
 _SCORE = f"round({_BASE} + bonus + CASE WHEN own THEN 0.2 ELSE 0 END + scope + coalesce(0.25 * (xenc - 0.5), 0), 4)::DOUBLE"
 
 
-def _scored(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SCORED, "id int, scores map<string, double>, bonus double, scope double, own boolean, xenc double, cost double, x boolean, senses int")
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hand-made candidates, and all lines of orders as candidates."""
+    n, score = F.col("l_linenumber"), F.round(1 - F.col("l_discount") - F.col("l_tax"), 2)
+    held = F.array(*[F.struct(F.lit(c).alias("k"), F.when((n == i + 1) | ((n == 7) & F.lit(i in (0, 3))), score).alias("v")) for i, c in enumerate(_CHANNELS)])
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey") + 1000, F.map_from_entries(F.filter(held, lambda x: x["v"].isNotNull())), 0.0375 * (F.col("l_suppkey") % 5), 0.05 * (F.col("l_partkey") % 3) - 0.05, n % 4 == 0,
+        F.when(F.col("l_suppkey") % 2 == 0, F.col("l_discount")), "l_tax", n.isin(1, 2, 7), (F.col("l_partkey") % 5).cast("int"),
+    )
+    return spark.createDataFrame(SCORED, "id bigint, scores map<string, double>, bonus double, scope double, own boolean, xenc double, cost double, x boolean, senses int").union(lines)
 
 
 @query("r01_features", f"""
@@ -65,7 +83,7 @@ SELECT id, greatest(coalesce(exact_s, 0), coalesce(normalized_s, 0))::DOUBLE AS
 def r01(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     vector = D.features(c("scores"), c("bonus"), c("scope"), c("own"), c("xenc"), c("cost"), c("x"), c("senses"))
-    return _scored(spark).select("id", *[v.alias(k) for k, v in vector.items()], D.ranking_score(F.col("scores"), F.round("bonus", 4), c("scope"), c("own"), c("xenc")).alias("score"))
+    return _scored(spark, sf_dir).select("id", *[v.alias(k) for k, v in vector.items()], D.ranking_score(F.col("scores"), F.round("bonus", 4), c("scope"), c("own"), c("xenc")).alias("score"))
 
 
 @query("r02_heuristic_probability", f"""
@@ -74,7 +92,7 @@ SELECT id, round(least(0.98, greatest(0.02, p + 0.6 * (bonus + CASE WHEN own THE
     WHEN doc_local_s IS NOT NULL THEN 0.6 WHEN jamo_s IS NOT NULL OR keyboard_s IS NOT NULL THEN greatest(0.2, 0.5 - 0.3 * cost) ELSE 0.3 + greatest(0, {_BASE} - 0.55) END)::DOUBLE AS p FROM {_S}) y""")
 def r02(spark: SparkSession, sf_dir: str) -> DataFrame:
     evidence = F.col("bonus") + F.when(F.col("own"), 0.2).otherwise(0.0) + F.col("scope") + F.coalesce(0.25 * (F.col("xenc") - 0.5), F.lit(0.0))
-    return _scored(spark).select("id", F.round(D.heuristic_probability(F.col("scores"), F.col("x"), F.col("senses"), F.col("cost"), evidence), 9).alias("p"))
+    return _scored(spark, sf_dir).select("id", F.round(D.heuristic_probability(F.col("scores"), F.col("x"), F.col("senses"), F.col("cost"), evidence), 9).alias("p"))
 
 
 #: mention, entity, p, exact, own alias, blocked, degraded, overflow.

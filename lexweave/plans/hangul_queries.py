@@ -1,4 +1,4 @@
-"""Hangul operators on literal relations; the oracle rows are the expected values."""
+"""Hangul operators on hand-made strings and on the numbers of all parts spelt in syllables; the oracle spells them by hand."""
 
 from __future__ import annotations
 
@@ -8,8 +8,25 @@ from pyspark.sql import functions as F
 from ..functions import hangul as H
 from ..functions import text as T
 from ..operators import recovery as R
-from .base import literal, query, table
+from .base import literal, query, quoted, table
 
+#: A syllable for each digit, with its jamo, its keys and its final.
+DIGITS = "0123456789"
+SYLLABLES = "가각난다란마밥사아잘"
+SPELT = [("ㄱㅏ", "rk", ""), ("ㄱㅏㄱ", "rkr", "ㄱ"), ("ㄴㅏㄴ", "sks", "ㄴ"), ("ㄷㅏ", "ek", ""), ("ㄹㅏㄴ", "fks", "ㄴ"), ("ㅁㅏ", "ak", ""), ("ㅂㅏㅂ", "qkq", "ㅂ"), ("ㅅㅏ", "tk", ""), ("ㅇㅏ", "dk", ""), ("ㅈㅏㄹ", "wkf", "ㄹ")]
+
+
+def _spelt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """d (digits) and s (syllables) of the number of every part."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("d")).withColumn("s", F.translate("d", DIGITS, SYLLABLES))
+
+
+def _spelt_sql(which: int, d: str = "p_partkey::VARCHAR") -> str:
+    """The digits of a string, each as its syllable's jamo (0) or keys (1)."""
+    return f"array_to_string(list_transform(regexp_extract_all({d}, '.'), lambda x: ({quoted([r[which] for r in SPELT])})[x::INT + 1]), '')"
+
+
+_SYLLABLES = f"translate(p_partkey::VARCHAR, '{DIGITS}', '{SYLLABLES}')"
 NFD = [("1", "한전"), ("2", "한전"), ("3", "é"), ("4", "plain")]
 
 
@@ -21,30 +38,32 @@ def p01(spark: SparkSession, sf_dir: str) -> DataFrame:
 JAMO = [("한전", "ㅎㅏㄴㅈㅓㄴ"), ("값", "ㄱㅏㅂㅅ"), ("의", "ㅇㅡㅣ"), ("AP", "AP"), ("", "")]
 
 
-@query("p15_jamo", "SELECT * FROM " + literal(JAMO, "s", "jamo"))
+@query("p15_jamo", f"SELECT * FROM {literal(JAMO, 's', 'jamo')} UNION ALL SELECT {_SYLLABLES}, {_spelt_sql(0)} FROM part")
 def p15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(s,) for s, _ in JAMO], "s string").select("s", H.jamo(F.col("s")).alias("jamo"))
+    return spark.createDataFrame([(s,) for s, _ in JAMO], "s string").union(_spelt(spark, sf_dir).select("s")).select("s", H.jamo(F.col("s")).alias("jamo"))
 
 
-@query("p16_keys", "SELECT * FROM " + literal([("한국전력", "gksrnrwjsfur"), ("한전", "gkswjs")], "s", "keys"))
+@query("p16_keys", f"SELECT * FROM {literal([('한국전력', 'gksrnrwjsfur'), ('한전', 'gkswjs')], 's', 'keys')} UNION ALL SELECT {_SYLLABLES}, {_spelt_sql(1)} FROM part")
 def p16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([("한국전력",), ("한전",)], "s string").select("s", H.keys(F.col("s")).alias("keys"))
+    return spark.createDataFrame([("한국전력",), ("한전",)], "s string").union(_spelt(spark, sf_dir).select("s")).select("s", H.keys(F.col("s")).alias("keys"))
 
 
 COMPOSED = [("ㄱㅏㅁㅏ", "가마"), ("ㄷㅏㄹㄱ", "닭"), ("ㅎㅏㄴㅅ", "한ㅅ"), ("ㅎㅏㄴ전", "한전"), ("ㅇㅗㅏ", "와")]
 
 
-@query("p06_composed_runs", "SELECT * FROM " + literal(COMPOSED, "s", "composed"))
+@query("p06_composed_runs", f"SELECT * FROM {literal(COMPOSED, 's', 'composed')} UNION ALL SELECT {_spelt_sql(0)}, {_SYLLABLES} FROM part")
 def p06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(s,) for s, _ in COMPOSED], "s string").select("s", H.compose_udf("s").alias("composed"))
+    """Hand-made runs, and all parts' numbers as they are typed jamo by jamo."""
+    typed = F.array_join(F.transform(F.regexp_extract_all("d", F.lit("."), F.lit(0)), lambda x: F.element_at(F.array(*[F.lit(r[0]) for r in SPELT]), x.cast("int") + 1)), "")
+    return spark.createDataFrame([(s,) for s, _ in COMPOSED], "s string").union(_spelt(spark, sf_dir).select(typed)).select("s", H.compose_udf("s").alias("composed"))
 
 
 FINAL = [("한전", "ㄴ"), ("서울", "ㄹ"), ("카카오", ""), ("AP", None)]
 
 
-@query("p14_finals", "SELECT * FROM " + literal(FINAL, "s", "final"))
+@query("p14_finals", f"SELECT * FROM {literal(FINAL, 's', 'final')} UNION ALL SELECT {_SYLLABLES}, ({quoted([r[2] for r in SPELT])})[p_partkey % 10 + 1] FROM part")
 def p14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(s,) for s, _ in FINAL], "s string").select("s", H.final_of(F.col("s")).alias("final"))
+    return spark.createDataFrame([(s,) for s, _ in FINAL], "s string").union(_spelt(spark, sf_dir).select("s")).select("s", H.final_of(F.col("s")).alias("final"))
 
 
 DISTANCES = [("ㅁ", "ㄴ", 0.20), ("ㅂ", "ㅊ", 0.50), ("ㄱ", "ㅋ", 0.35), ("ㅐ", "ㅔ", 0.20), ("가나", "가 나", 0.05)]
@@ -67,11 +86,14 @@ def m02(spark: SparkSession, sf_dir: str) -> DataFrame:
 ACRONYMS = ["Quality Management System", "Access Point", "Korea Electric Power"]
 
 
-@query("j07_initials", "SELECT * FROM " + literal([("AP", "Access Point"), ("QMS", "Quality Management System")], "token", "name"))
+@query("j07_initials", f"SELECT * FROM {literal([('AP', 'Access Point'), ('QMS', 'Quality Management System')], 'token', 'name')} UNION ALL SELECT DISTINCT upper(array_to_string(list_transform(string_split(p_name, ' '), lambda w: w[1]), '')), p_name FROM part")
 def j07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equi-join of a token with the initials of names."""
-    names = spark.createDataFrame([(n,) for n in ACRONYMS], "name string").withColumn("token", F.upper(F.array_join(F.transform(F.split("name", " "), lambda w: F.left(w, F.lit(1))), "")))
-    return spark.createDataFrame([("AP",), ("QMS",), ("XX",)], "token string").join(names, "token")
+    """Equi-join of tokens, hand-made ones and the initials of all parts, with the initials of names."""
+    initials = F.upper(F.array_join(F.transform(F.split("name", " "), lambda w: F.left(w, F.lit(1))), ""))
+    parts = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
+    names = spark.createDataFrame([(n,) for n in ACRONYMS], "name string").union(parts).withColumn("token", initials)
+    tokens = spark.createDataFrame([("AP",), ("QMS",), ("XX",)], "token string").union(parts.select(initials)).distinct()
+    return tokens.join(names, "token")
 
 
 @query("j05_keyboard_recovery", "SELECT * FROM " + literal([("gkswjs", "한전")], "token", "surface"))

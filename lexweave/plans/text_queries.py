@@ -14,13 +14,20 @@ _REL = literal(TEXTS, "id", "s")
 
 
 def texts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TEXTS, "id int, s string")
+    return spark.createDataFrame(TEXTS, "id bigint, s string")
+
+
+def wide_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The literal texts and all documents as if typed in full width, with a character of no width behind each blank."""
+    wide = F.translate(F.replace("text", F.lit(" "), F.lit(" \u200b")), T.NARROW, T.WIDE)
+    return texts(spark).union(table(spark, sf_dir, "documents").select(F.col("doc_id") + 1000, wide))
 
 
 def _tr(c: str, a: str, b: str) -> str:
     return f"translate({c}, {quoted(a)}, {quoted(b)})"
 
 
+_WIDE = f"(SELECT id, s FROM {_REL} UNION ALL SELECT doc_id + 1000, {_tr("replace(text, ' ', ' ' || chr(8203))", T.NARROW, T.WIDE)} FROM documents) AS t(id, s)"
 _KEYS = {}
 for _name, (_case, _chars, _space, _ocr) in T.PROFILES.items():
     _sql = _tr(_tr("nfc_normalize(s)", T.WIDE, T.NARROW), T.ZERO_WIDTH, "")
@@ -30,9 +37,9 @@ for _name, (_case, _chars, _space, _ocr) in T.PROFILES.items():
     _KEYS[_name] = _tr(_sql, "".join(T.OCR_GROUPS), "".join(g[0] * len(g) for g in T.OCR_GROUPS)) if _ocr else _sql
 
 
-@query("p02_width_fold", f"SELECT id, {_tr('s', T.WIDE, T.NARROW)} AS folded FROM {_REL}")
+@query("p02_width_fold", f"SELECT id, {_tr('s', T.WIDE, T.NARROW)} AS folded FROM {_WIDE}")
 def p02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts(spark).select("id", T.fold_width(F.col("s")).alias("folded"))
+    return wide_texts(spark, sf_dir).select("id", T.fold_width(F.col("s")).alias("folded"))
 
 
 @query("p03_case_fold", "SELECT doc_id, md5(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS folded FROM documents")
@@ -51,21 +58,21 @@ def p05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.length(T.drop_space(F.col("text"))).cast("bigint").alias("kept"))
 
 
-@query("p07_zero_width", f"SELECT id, {_tr('s', T.ZERO_WIDTH, '')} AS cleaned, length(s) - length({_tr('s', T.ZERO_WIDTH, '')}) AS gaps FROM {_REL}")
+@query("p07_zero_width", f"SELECT id, {_tr('s', T.ZERO_WIDTH, '')} AS cleaned, length(s) - length({_tr('s', T.ZERO_WIDTH, '')}) AS gaps FROM {_WIDE}")
 def p07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts(spark).select("id", T.drop_zero_width(F.col("s")).alias("cleaned"), T.zero_width_gaps(F.col("s")).alias("gaps"))
+    return wide_texts(spark, sf_dir).select("id", T.drop_zero_width(F.col("s")).alias("cleaned"), T.zero_width_gaps(F.col("s")).alias("gaps"))
 
 
-@query("p08_ocr_fold", f"SELECT id, {_tr('s', ''.join(T.OCR_GROUPS), ''.join(g[0] * len(g) for g in T.OCR_GROUPS))} AS folded FROM {_REL}")
+@query("p08_ocr_fold", f"SELECT id, {_tr('s', ''.join(T.OCR_GROUPS), ''.join(g[0] * len(g) for g in T.OCR_GROUPS))} AS folded FROM {_WIDE}")
 def p08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts(spark).select("id", T.fold_ocr(F.col("s")).alias("folded"))
+    return wide_texts(spark, sf_dir).select("id", T.fold_ocr(F.col("s")).alias("folded"))
 
 
-@query("p10_alias_keys", " UNION ALL ".join(f"SELECT id, '{n}' AS profile, {k} AS alias_key FROM {_REL}" for n, k in _KEYS.items()))
+@query("p10_alias_keys", " UNION ALL ".join(f"SELECT id, '{n}' AS profile, md5({k}) AS alias_key FROM {_WIDE}" for n, k in _KEYS.items()))
 def p10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys under all profiles in one pass."""
-    keys = F.array(*[F.struct(F.lit(n).alias("profile"), T.alias_key(F.col("s"), n).alias("alias_key")) for n in T.PROFILES])
-    return texts(spark).select("id", F.inline(keys))
+    """Keys under all profiles in one pass, told by their digests."""
+    keys = F.array(*[F.struct(F.lit(n).alias("profile"), F.md5(T.alias_key(F.col("s"), n)).alias("alias_key")) for n in T.PROFILES])
+    return wide_texts(spark, sf_dir).select("id", F.inline(keys))
 
 
 PROFILE_ROWS = [("b1", "latin_acronym", None, None), ("b2", "korean_org_name", "strict", True), ("b3", "nowhere", None, None), ("b4", None, "tolerant", False)]
@@ -182,9 +189,12 @@ CHARS = [(i, c) for i, c in enumerate("가ㄱaZ9 \t.😀é")]
 _SCRIPT = "CASE WHEN regexp_matches({0}, '^[가-힣ㄱ-ㆎ]') THEN 'hangul' WHEN regexp_matches({0}, '^[0-9A-Za-z]') THEN 'latin' WHEN regexp_matches({0}, '^\\s') THEN 'space' ELSE 'other' END"
 
 
-@query("f01_script", f"SELECT id, {_SCRIPT.format('c')} AS script FROM {literal(CHARS, 'id', 'c')}")
+@query("f01_script", f"SELECT id, {_SCRIPT.format('c')} AS script FROM (SELECT * FROM {literal(CHARS, 'id', 'c')} UNION ALL SELECT DISTINCT unicode(x) + 1000, x FROM (SELECT unnest(regexp_extract_all(text, '(?s).')) AS x FROM documents)) AS t(id, c)")
 def f01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(CHARS, "id int, c string").select("id", T.script(F.col("c")).alias("script"))
+    """Some characters of each script, and every character that documents hold."""
+    held = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0)))).alias("c")).distinct()
+    rows = spark.createDataFrame(CHARS, "id bigint, c string").union(held.select(F.conv(F.hex(F.encode("c", "UTF-32")), 16, 10).cast("bigint") + 1000, "c"))
+    return rows.select("id", T.script(F.col("c")).alias("script"))
 
 
 @query("f10_input_limits", "SELECT doc_id, strlen(text) AS n_bytes, CASE WHEN strlen(text) > 65536 THEN 'TOO_LARGE' WHEN length(trim(text)) = 0 THEN 'EMPTY' ELSE 'OK' END AS status FROM documents")
@@ -237,9 +247,10 @@ def m14(spark: SparkSession, sf_dir: str) -> DataFrame:
 BUDGETS = [(1, 6, 2), (2, 8, 3), (3, 10, 4), (4, 12, 5), (5, 30, 10)]
 
 
-@query("m11_fuzzy_budget", f"SELECT id, CASE WHEN s <= 2 THEN NULL WHEN s <= 4 THEN 0.35 ELSE round(least(1.2, 0.25 + 0.06 * j), 9) END::DOUBLE AS budget FROM {literal(BUDGETS, 'id', 'j', 's')}")
+@query("m11_fuzzy_budget", f"SELECT id, CASE WHEN s <= 2 THEN NULL WHEN s <= 4 THEN 0.35 ELSE round(least(1.2, 0.25 + 0.06 * j), 9) END::DOUBLE AS budget FROM (SELECT * FROM {literal(BUDGETS, 'id', 'j', 's')} UNION ALL SELECT p_partkey + 1000, length(p_name), p_partkey % 9 FROM part) AS t(id, j, s)")
 def m11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(BUDGETS, "id int, j int, s int").select("id", F.round(T.fuzzy_budget(F.col("j"), F.col("s")), 9).alias("budget"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey") + 1000, F.length("p_name"), (F.col("p_partkey") % 9).cast("int"))
+    return spark.createDataFrame(BUDGETS, "id bigint, j int, s int").union(parts).select("id", F.round(T.fuzzy_budget(F.col("j"), F.col("s")), 9).alias("budget"))
 
 
 @query("m16_tokens", r"SELECT doc_id, len(regexp_extract_all(text, '[0-9A-Za-z]+|[가-힣]+')) AS runs, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS words FROM documents")
