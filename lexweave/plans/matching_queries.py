@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import hangul as H
 from ..functions import segmentation as S
 from ..operators import exact
-from .base import literal, query
+from .base import literal, planted, planted_sql, query
 
 CHANNELS = [(1, "한 전·KPS", "korean_org_name", "한전KPS", "0,2,4,5,6"), (2, "A.P-장애", "latin_acronym", "ap장애", "0,2,4,5"), (3, "ＡＰ 5S", "ocr_tolerant", "ap5s", "0,1,3,4"), (4, "", "korean_term", "", ""), (5, "é​x", "latin_word", "éx", "0,2"), (6, "R&D / x", "mixed_alnum", "rdx", "0,2,6")]
 
@@ -52,8 +52,13 @@ ACRONYMS = [(1, "AP"), (2, "server")]
 ACRONYM_TEXTS = [(1, "AP 장애 발생"), (2, "SAP 시스템"), (3, "CAPEX 검토"), (4, "ＡＰ 장애"), (5, "a.p. 장애"), (6, "AP에서 확인"), (7, "servers 점검"), (8, "APs 교체"), (9, "A----P")]
 
 
-def _orgs(spark: SparkSession) -> DataFrame:
-    found = exact.matches(spark.createDataFrame(ORG_TEXTS, "doc_id int, text string"), spark.createDataFrame(ORGS, "item_id int, surface string"), "korean_org_name")
+ORG_SENTENCES = [t or "" for _, t in ORG_TEXTS]
+_PLANTED = planted_sql(ORG_SENTENCES)
+
+
+def _orgs(spark: SparkSession, docs: DataFrame | None = None) -> DataFrame:
+    docs = spark.createDataFrame(ORG_TEXTS, "doc_id int, text string") if docs is None else docs
+    found = exact.matches(docs, spark.createDataFrame(ORGS, "item_id int, surface string"), "korean_org_name")
     return exact.with_boundary(found.withColumns({"left": F.lit("hangul_token_boundary"), "right": F.lit("particle_or_token_boundary"), "inside_latin": F.lit(False)}))
 
 
@@ -62,10 +67,10 @@ def _acronyms(spark: SparkSession, profile: str, latin_morph: bool) -> DataFrame
     return exact.with_boundary(found.withColumns({"left": F.lit("latin_token_boundary"), "right": F.lit("particle_or_token_boundary"), "inside_latin": F.lit(False)}), latin_morph)
 
 
-@query("j01_exact_matches", "SELECT doc_id, item_id, start, \"end\", cost::DOUBLE AS cost FROM " + literal([r[:5] for r in FOUND], "doc_id", "item_id", "start", '"end"', "cost"))
+@query("j01_exact_matches", f'SELECT doc_id, item_id, base + a AS start, base + b AS "end", cost::DOUBLE AS cost FROM {_PLANTED} d JOIN {literal([(r[0] - 1, *r[1:5]) for r in FOUND], "k", "item_id", "a", "b", "cost")} USING (k)')
 def j01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All places of the keys in the folded texts, mapped back; three blanks in a row void the ninth text's."""
-    return _orgs(spark).select("doc_id", "item_id", "start", "end", "cost")
+    """All places of the keys in all documents as folded, mapped back; three blanks in a row void the ninth sentence's."""
+    return _orgs(spark, planted(spark, sf_dir, ORG_SENTENCES)).select("doc_id", "item_id", "start", "end", "cost")
 
 
 @query("f03_boundaries", "SELECT 'org' AS kind, * FROM " + literal([(*r[:3], *r[5:]) for r in FOUND], "doc_id", "item_id", "start", "status", "note") + " UNION ALL SELECT 'acronym', * FROM " + literal([(1, 1, 0, "PASS", ""), (2, 1, 1, "FAIL", "left:inside_latin_run"), (3, 1, 1, "FAIL", "left:inside_latin_run"), (4, 1, 0, "PASS", ""), (5, 1, 0, "PASS", ""), (6, 1, 0, "PASS", ""), (7, 2, 0, "FAIL", "right:inside_latin_run"), (8, 1, 0, "FAIL", "right:inside_latin_run")], "doc_id", "item_id", "start", "status", "note") + " UNION ALL SELECT 'word', 7, 2, 0, 'PASS', 'right:latin_tail:s'")
@@ -81,12 +86,12 @@ def f04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _acronyms(spark, "latin_acronym", False).where("item_id = 1").select("doc_id", "cost")
 
 
-@query("m08_proposals", "SELECT doc_id, item_id, residual, array_to_string(particles, ',') AS particles, identity, modifier, full_start, full_end, score::DOUBLE AS score FROM " + literal([
+@query("m08_proposals", f"SELECT d.doc_id, item_id, residual, array_to_string(particles, ',') AS particles, identity, modifier, base + full_start AS full_start, base + full_end AS full_end, score::DOUBLE AS score FROM {_PLANTED} d JOIN " + literal([
     (1, 1, "", ["은"], "SAME", "", 0, 3, 1.0), (3, 1, "", [], "SAME", "", 0, 2, 1.0), (3, 2, "", ["은"], "SAME", "", 0, 6, 1.0), (4, 1, "", [], "SAME", "", 0, 3, 0.95), (5, 1, "", [], "SAME", "구", 0, 3, 1.0),
     (6, 3, "", ["부터"], "SAME", "", 0, 4, 1.0), (6, 4, "터", [], "UNKNOWN", "", 0, 4, 0.18), (7, 1, "서울본부", ["에서", "도"], "DISTINCT", "", 0, 9, 0.45), (8, 1, "서울본부", ["에서", "도"], "DISTINCT", "전", 0, 11, 0.45), (11, 1, "", [], "SAME", "", 0, 2, 1.0),
-], "doc_id", "item_id", "residual", "particles", "identity", "modifier", "full_start", "full_end", "score"))
+], "n", "item_id", "residual", "particles", "identity", "modifier", "full_start", "full_end", "score") + " ON d.k = n - 1")
 def m08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = exact.proposals(_orgs(spark))
+    out = exact.proposals(_orgs(spark, planted(spark, sf_dir, ORG_SENTENCES)))
     return out.select("doc_id", "item_id", "residual", F.array_join("particles", ",").alias("particles"), "identity", "modifier", "full_start", "full_end", "score")
 
 
