@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import segmentation as S
 from ..functions import text as T
-from . import abbreviations, decisions, evidence, exact, local_definitions, matching, recovery
+from . import abbreviations, components, decisions, evidence, exact, local_definitions, matching, recovery
 
 AROUND = S.AROUND
 _KEY = ("row", "start", "end")
@@ -111,7 +111,7 @@ def defined(docs: DataFrame, rows: DataFrame, entities: DataFrame) -> DataFrame:
     held = alike.select(*_KEY, F.explode("ids").alias("entity_id")).join(record, "entity_id").groupBy(*_KEY).agg(F.array_sort(F.collect_list("c")).alias("candidates"))
     texts = docs.where("text is not null").select(matching.row_of().alias("row"), T.nfc_where_needed(F.col("text")).alias("text"))
     some = texts.join(held.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"])
-    found = evidence.self_definitions(held.join(some, "row"))
+    found = components.cut(evidence.self_definitions(held.join(some, "row")).select(*_KEY, "chosen"))  # else the filter is pushed through all of its columns
     return found.where("chosen is not null").select(*_KEY, F.col("chosen").alias("entity_id"))
 
 
@@ -123,7 +123,7 @@ def scored(docs: DataFrame, bindings: DataFrame, fast: bool = False, entities: D
     scopes. A hard denial drops the entity from the mention. contextual: exact senses that the text itself defines as one
     of the entities count as single ones (defined()).
     """
-    rows, local = arrivals(docs, bindings, fast)
+    rows, local = (components.cut(x) for x in arrivals(docs, bindings, fast))  # read several times below
     merged = decisions.merged(rows, list(_KEY))
     spans = rows.groupBy(*_KEY).agg(F.max("surface").alias("surface"), F.max("around").alias("around"))
     told = merged.join(spans, list(_KEY)).join(local.withColumn("own", F.lit(True)), ["row", "surface", "entity_id"], "left").withColumn("own", F.coalesce("own", F.lit(False)))
