@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import chunks, hangul, morphology, segmentation
 from lexweave.functions import text as T
-from lexweave.operators import evaluation, exact, glossary, matching, proposals, recovery, selection, statistics
+from lexweave.operators import evaluation, exact, glossary, local_definitions, matching, proposals, recovery, selection, statistics
 from lexweave.sources import glossaries
 
 rnd = random.Random(4)
@@ -171,7 +171,7 @@ def test_empty_tables(spark):
     names = spark.createDataFrame([(1, "한전")], "item_id int, surface string")
     assert exact.matches(none, names, "korean_term").count() == 0
     assert selection.gold_hits(spark.createDataFrame([], "doc_id int, start int, end int"), spark.createDataFrame([], "doc_id int, start int, end int")).count() == 0
-    assert recovery.local_aliases(none, spark.createDataFrame([], "surface string, entity_id string")).count() == 0
+    assert local_definitions.definitions(none, names.select("item_id", "surface", F.lit("e").alias("entity_id"), F.lit("korean_term").alias("profile"))).count() == 0
     assert recovery.fuzzy_candidates(spark.createDataFrame([], "token string"), names).count() == 0
     empty = spark.createDataFrame([], "id int, surface string, entity_id string")
     assert proposals.grounding_violations(empty, empty.select("surface", "entity_id"), empty.select("surface", "entity_id")).count() == 0
