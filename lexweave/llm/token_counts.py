@@ -3,9 +3,10 @@
 Every text of more than a chunk is encoded in chunks that overlap, with offsets; shorter ones are one chunk. Two
 neighbours are spliced at a common token boundary in the overlap that is proven stable: a blank before a non-space, at
 which every encoding of a chunk around it has a boundary (no pre-token of a byte-level model goes on there, and added
-tokens hold no blank). Where the overlap has no such place it is widened, at most to the end of the text; so the counts
-are the library's for any text. Chunks of many texts go to the library in one call. Memory is bounded by a batch of
-chunks wherever words are bounded.
+tokens hold no blank). Where the overlap has no such place it is widened: the left chunk, from its own start, takes in
+as much again, at most to the end of the text, and meets the chunks that it reaches. So the counts are the library's for
+any text, and what is encoded twice stays in proportion to the text, blanks or none. Chunks of many texts go to the
+library in one call. Memory is bounded by a batch of chunks wherever words are bounded.
 
 Null and empty texts: 0 bytes, 0 tokens. Repeated rows are counted each. Other columns are not read.
 """
@@ -51,19 +52,20 @@ def spliced(library, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLA
         left, first, text = coded[k], 0, texts[i]
         k += 1
         while k < len(spans) and spans[k][0] == i:
-            right, cut = coded[k], spans[k][1]
-            met = next(((a, b, at) for at in stable(text, cut, end) if (a := _boundary(left, at - start)) is not None and (b := _boundary(right, at - cut)) is not None and a >= first), None)
+            j, met = k, None
+            while met is None and j < len(spans) and spans[j][0] == i and spans[j][1] < end:
+                right, cut = coded[j], spans[j][1]
+                met = next(((a, b) for at in stable(text, cut, min(end, spans[j][2])) if (a := _boundary(left, at - start)) is not None and (b := _boundary(right, at - cut)) is not None and a >= first), None)
+                j += 1
             if met is not None:
                 out[i].append(left.ids[first : met[0]])
-                left, first, start, end = right, met[1], cut, spans[k][2]
+                left, first, start, end, k = right, met[1], cut, spans[j - 1][2], j
+                continue
+            while k < len(spans) and spans[k][0] == i and spans[k][2] <= end:  # the left chunk holds all of it
                 k += 1
-            elif end < spans[k][2]:  # no proven place: the left chunk takes in more, up to the right one's end
-                end = min(spans[k][2], end + 2 * (end - cut))
+            if end < len(text):  # no proven place: the left chunk takes in as much again
+                end = min(len(text), start + 2 * (end - start))
                 left = library.encode(text[start:end], add_special_tokens=False)
-            else:  # nor up to there: the right chunk is part of the left one
-                k += 1
-        if end < len(text):
-            left = library.encode(text[start:], add_special_tokens=False)
         out[i].append(left.ids[first:] if first else left.ids)
     return out
 
