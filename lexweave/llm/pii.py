@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -110,9 +111,17 @@ def further_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str
         found += [("iban", m.start(), m.end()) for m in _IBAN.finditer(text)] + [("ssn", m.start(), m.end()) for m in _SSN.finditer(text)]
     if "[at]" in text or "(at)" in text:
         found += [("contact", m.start(), m.end()) for m in _CONTACT.finditer(text)]
+    taken: list[tuple[int, int]] = []  # stretches that base spans cover, then the spans found too: apart, by start
+    for a, b in sorted((a, b) for _, a, b in base) if found else ():
+        if taken and a <= taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+        else:
+            taken.append((a, b))
     out: list[tuple[str, int, int]] = []
     for kind, a, b in found:
-        if not any(a < d and c < b for _, c, d in base) and not any(a < d and c < b for _, c, d in out):
+        at = bisect_left(taken, (b,))
+        if not at or taken[at - 1][1] <= a:
+            taken.insert(at, (a, b))
             out.append((kind, a, b))
     return sorted(out, key=lambda s: (KINDS.index(s[0]), s[1]))
 

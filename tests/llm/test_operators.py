@@ -70,6 +70,31 @@ def test_token_counts(docs, none):
     assert ordinary and all(len(parts) > 1 for parts in token_counts.spliced(library, ordinary, 50, 8))
 
 
+def test_texts_without_blanks_are_counted_in_linear_time():
+    library = token_counts._library(BPE)
+    made = random.Random(5)
+    solid = "".join(made.choice("abcdefghij漢字カナ") for _ in range(40_000))
+    mixed = " ".join("".join(made.choice("xyz語") for _ in range(n)) for n in (3, 9000, 5, 1, 4500, 2, 2, 30_000, 7))
+    for t in (solid, mixed, solid + " tail of words " * 400, "word " * 900 + solid, "\n".join([solid[:5000]] * 4), " " * 9000 + "a", "a" + "\t" * 9000):
+        (parts,) = token_counts.spliced(library, [t])
+        assert [i for part in parts for i in part] == library.encode(t, add_special_tokens=False).ids
+    read = []
+
+    class Counting:
+        def encode_batch(self, texts, **kw):
+            read.extend(map(len, texts))
+            return library.encode_batch(texts, **kw)
+
+        def encode(self, text, **kw):
+            read.append(len(text))
+            return library.encode(text, **kw)
+
+    for n in (100_000, 400_000):
+        read.clear()
+        token_counts.counted(Counting(), ["ab7" * (n // 3)])
+        assert sum(read) <= 4 * n
+
+
 def test_elias_fano():
     for values in ([], [0], [7], [0, 0, 0], [1, 2, 3, 10**12], sorted(rnd.randrange(10**9) for _ in range(3000))):
         e = token_files.EliasFano.of(np.array(values, dtype=np.uint64))
@@ -233,6 +258,24 @@ def test_pii(spark, docs, none):
     assert pii.detect(none).count() == 0 and pii.detect(docs).count() == len(ROWS)
 
 
+def test_further_spans_equal_pairwise_comparison_and_stay_linear():
+    made = random.Random(9)
+    bits = ["token=abcdefgh12345", "DE44 5001 0517 5407 3249 31", "123-45-6789", "joe [at] example [dot] org", "a.b@c.org", "+44 20 7946 0958", "secret: joe(at)site.com", "4111 1111 1111 1111", "10.0.0.1", " ", "x"]
+    for _ in range(300):
+        t = "".join(made.choice(bits) + made.choice(["", " ", ",", "-"]) for _ in range(made.randint(0, 12)))
+        base, every, out = pii.base_spans(t), pii.further_spans(t, []), []
+        assert all(b <= c or d <= a for i, (_, a, b) in enumerate(every) for _, c, d in every[:i])
+        secrets = [("secret", m.start(1) if m.group(1) else m.start(), m.end(1) if m.group(1) else m.end()) for m in pii._SECRET.finditer(t)]
+        loose = [(kind, m.start(), m.end()) for kind, pattern in (("iban", pii._IBAN), ("ssn", pii._SSN), ("contact", pii._CONTACT)) for m in pattern.finditer(t)]
+        for kind, a, b in secrets + loose:
+            if all(b <= c or d <= a for _, c, d in base + out):
+                out.append((kind, a, b))
+        assert pii.further_spans(t, base) == sorted(out, key=lambda s: (pii.KINDS.index(s[0]), s[1])), t
+    many = "123-45-6789 10.1.2.3 " * 50_000
+    base = pii.base_spans(many)
+    assert len(base) == 50_000 and len(pii.further_spans(many, base)) == 50_000
+
+
 def test_secrets_are_whole_and_found_in_any_case():
     long = "".join("aB3x"[i % 4] for i in range(240))
     assert pii.further_spans(f'token="{long}" end', []) == [("secret", 7, 247)]
