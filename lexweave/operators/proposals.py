@@ -73,13 +73,14 @@ def consumed(attempts: DataFrame, requests: DataFrame) -> DataFrame:
     """Outcome of each attempt (request, n, at, tenant, snapshot, document) to use a request once within its time.
 
     requests: request, issued, expires, tenant, snapshot, document. The first attempt uses the request up, whatever comes
-    of it; times run from issued up to but not including expires.
+    of it; times run from issued up to but not including expires. What an attempt doesn't name (null) differs from what
+    the request was made for, and an attempt without a time is outside it.
     """
     both = attempts.join(requests.select("request", "issued", "expires", *[F.col(c).alias(f"__{c}") for c in ("tenant", "snapshot", "document")]), "request", "left")
     turn = F.row_number().over(Window.partitionBy("request").orderBy("n"))
     outcome = (
-        F.when(F.col("issued").isNull(), "unknown_request").when(F.col("__turn") > 1, "compact_request_consumed").when((F.col("at") < F.col("issued")) | (F.col("at") >= F.col("expires")), "compact_request_expired")
-        .when(F.col("tenant") != F.col("__tenant"), "compact_request_context_mismatch").when(F.col("snapshot") != F.col("__snapshot"), "compact_snapshot_mismatch").when(F.col("document") != F.col("__document"), "compact_document_mismatch").otherwise("accepted")
+        F.when(F.col("issued").isNull(), "unknown_request").when(F.col("__turn") > 1, "compact_request_consumed").when(~F.coalesce((F.col("at") >= F.col("issued")) & (F.col("at") < F.col("expires")), F.lit(False)), "compact_request_expired")
+        .when(~F.col("tenant").eqNullSafe(F.col("__tenant")), "compact_request_context_mismatch").when(~F.col("snapshot").eqNullSafe(F.col("__snapshot")), "compact_snapshot_mismatch").when(~F.col("document").eqNullSafe(F.col("__document")), "compact_document_mismatch").otherwise("accepted")
     )
     return both.withColumn("__turn", turn).select("request", "n", outcome.alias("outcome"))
 

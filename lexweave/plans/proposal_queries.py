@@ -52,6 +52,24 @@ def f17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.consumed(spark.createDataFrame(ATTEMPTS, "request string, n int, at int, tenant string, snapshot string, document string"), made)
 
 
+@query("f17_single_use_attempts", """
+WITH made AS (SELECT c_custkey AS request, TIMESTAMP '1995-01-01' + INTERVAL 1 DAY * (c_custkey % 1000) AS issued, c_nationkey % 2 AS tenant, c_mktsegment AS snapshot FROM customer WHERE c_acctbal >= 0),
+tried AS (SELECT o_custkey AS request, o_orderkey AS n, o_orderdate AS moment, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 1 END AS tenant, CASE WHEN o_orderkey % 7 = 0 THEN 'OTHER' END AS other, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS turn FROM orders)
+SELECT t.request, n, CASE WHEN m.request IS NULL THEN 'unknown_request' WHEN turn > 1 THEN 'compact_request_consumed' WHEN moment < issued OR moment >= issued + INTERVAL 1500 DAY THEN 'compact_request_expired'
+  WHEN t.tenant IS DISTINCT FROM m.tenant THEN 'compact_request_context_mismatch' WHEN other IS NOT NULL THEN 'compact_snapshot_mismatch' ELSE 'accepted' END AS outcome
+FROM tried t LEFT JOIN made m USING (request)""")
+def f17_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as attempts to use a request of their customer: the first one uses it up."""
+    made = table(spark, sf_dir, "customer").where("c_acctbal >= 0").selectExpr(
+        "c_custkey AS request", "timestamp'1995-01-01' + make_dt_interval(c_custkey % 1000) AS issued", "timestamp'1995-01-01' + make_dt_interval(c_custkey % 1000 + 1500) AS expires", "c_nationkey % 2 AS tenant", "c_mktsegment AS snapshot", "'d' AS document"
+    )
+    named = made.select(F.col("request").alias("r"), F.col("snapshot").alias("own"))
+    tried = table(spark, sf_dir, "orders").join(named, F.col("o_custkey") == F.col("r"), "left").selectExpr(
+        "o_custkey AS request", "o_orderkey AS n", "o_orderdate AS at", "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 1 END AS tenant", "CASE WHEN o_orderkey % 7 = 0 THEN 'OTHER' ELSE own END AS snapshot", "'d' AS document"
+    )
+    return P.consumed(tried, made)
+
+
 CARDS = [("p1", "f1", False, 1, 10, 5, []), ("p1", "a1", True, 2, 4, 2, [3, 3, 3, 3]), ("p2", "f1", False, 1, 10, 50, []), ("p2", "a1", True, 2, 4, 2, [3, 3, 3, 3]), ("p3", "f1", False, 1, 20, 0, []), ("p3", "a1", True, 2, 4, 0, [3, 3, 3, 3]), ("p4", "f1", False, 1, 20, 0, []), ("p4", "f2", False, 2, 20, 0, []), ("p4", "a1", True, 3, 4, 0, [3, 3])]
 
 

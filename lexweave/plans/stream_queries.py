@@ -57,6 +57,20 @@ def x03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.pinned(spark.createDataFrame(JOBS, "job string, tenant string, begun int"), spark.createDataFrame(ACTIVATIONS, "tenant string, snapshot string, at int"))
 
 
+@query("x03_pinned_by_user", "SELECT j.event_id AS job, a.event_id AS snapshot FROM (SELECT * FROM events WHERE event_type = 'purchase') j ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'signup') a ON j.user_id = a.user_id AND j.ts >= a.ts")
+def x03_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signups as activations of a user, purchases as jobs."""
+    events = table(spark, sf_dir, "events")
+    jobs = events.where("event_type = 'purchase'").select(F.col("event_id").alias("job"), F.col("user_id").alias("tenant"), F.col("ts").alias("begun"))
+    return sessions.pinned(jobs, events.where("event_type = 'signup'").select(F.col("user_id").alias("tenant"), F.col("event_id").alias("snapshot"), F.col("ts").alias("at")))
+
+
+@query("x07_active_by_user", "SELECT user_id AS tenant, arg_max(event_id, ts) AS snapshot, count(*) AS activations FROM events WHERE event_type = 'signup' GROUP BY 1")
+def x07_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").where("event_type = 'signup'")
+    return rows.groupBy(F.col("user_id").alias("tenant")).agg(F.max_by("event_id", "ts").alias("snapshot"), F.count("*").alias("activations"))
+
+
 @query("x07_active_snapshots", f"SELECT tenant, arg_max(s, moment) AS snapshot, count(*) AS activations FROM {literal(ACTIVATIONS, 'tenant', 's', 'moment')} GROUP BY tenant")
 def x07(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One active snapshot a tenant: the last activation of an append-only log."""
@@ -73,6 +87,42 @@ def x06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.expired(spark.createDataFrame(PROVISIONAL, "id string, turn int"), F.lit(25))
 
 
+@query("x06_expired_terms", """
+SELECT p.user_id AS tenant, p.event_id AS id, l.event_id AS expired_by
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events) p
+LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events) l ON l.user_id = p.user_id AND l.turn = p.turn + 20
+WHERE p.event_type = 'signup'""")
+def x06_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event is a turn of its user, each signup puts in a term: the event by which it expires, null if it lives."""
+    return sessions.expired_by(turns_of(table(spark, sf_dir, "events")))
+
+
+def turns_of(events: DataFrame) -> DataFrame:
+    return events.select(F.col("user_id").alias("tenant"), "ts", F.col("event_id").alias("n"), F.when(F.col("event_type") == "signup", F.col("event_id")).alias("id"))
+
+
+def steps_of(events: DataFrame) -> DataFrame:
+    """A user's events of a day as those of a job: job, ts, n, event."""
+    kinds = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
+    return events.select(F.concat_ws(":", "user_id", F.date_format("ts", "yyyy-MM-dd")).alias("job"), "ts", F.col("event_id").alias("n"), F.try_element_at(kinds, F.col("event_type")).alias("event"))
+
+
+KINDS = {"view": "start", "click": "start", "purchase": "finish", "error": "fail", "signup": "cancel"}
+
+
+@query("x04_job_histories", """
+WITH steps AS (SELECT user_id || ':' || strftime(ts, '%Y-%m-%d') AS job, event_id AS n, CASE event_type WHEN 'view' THEN 'start' WHEN 'click' THEN 'start' WHEN 'purchase' THEN 'finish' WHEN 'error' THEN 'fail' WHEN 'signup' THEN 'cancel' END AS event FROM events),
+begun AS (SELECT job, count(*) AS n_events, min(n) FILTER (event = 'start') AS s, min(n) FILTER (event = 'cancel') AS c FROM steps GROUP BY job),
+ended AS (SELECT b.job, arg_min(event, n) AS e FROM begun b JOIN steps t ON t.job = b.job AND n > s AND event IN ('finish', 'fail', 'cancel') WHERE c IS NULL OR s < c GROUP BY b.job)
+SELECT b.job, CASE WHEN c IS NOT NULL AND (s IS NULL OR c < s) THEN 'CANCELLED' WHEN s IS NULL THEN 'QUEUED' WHEN e = 'finish' THEN 'SUCCEEDED' WHEN e = 'fail' THEN 'FAILED' WHEN e = 'cancel' THEN 'CANCELLED' ELSE 'RUNNING' END AS state,
+  n_events - CASE WHEN c IS NOT NULL AND (s IS NULL OR c < s) THEN 1 WHEN s IS NULL THEN 0 WHEN e IS NULL THEN 1 ELSE 2 END AS refused
+FROM begun b LEFT JOIN ended USING (job)""")
+def x04_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of a user's day as those of a job, hours folded by themselves and chained."""
+    steps = steps_of(table(spark, sf_dir, "events"))
+    return sessions.job_states(steps, F.date_trunc("hour", "ts"))
+
+
 STEPS = [("j1", 1, "start"), ("j1", 2, "finish"), ("j2", 1, "start"), ("j2", 2, "cancel"), ("j2", 3, "finish"), ("j3", 1, "finish"), ("j4", 1, "cancel"), ("j5", 1, "start"), ("j5", 2, "fail"), ("j5", 3, "start"), ("j6", 1, "start")]
 
 
