@@ -132,6 +132,66 @@ def f06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.bool_or(F.col("o_orderstatus") == "F").alias("eligible"))
 
 
+#: Rules: entity, allowed and denied departments and projects, first and last day. Departments are market segments and
+#: projects order priorities of the given tables.
+ENTITY_RULES = [("e1", ["BUILDING", "MACHINERY"], None, None, None, "1995-01-01", "2000-06-30"), ("e2", None, ["FURNITURE"], None, ["1-URGENT"], None, None), ("e4", None, None, None, None, "1999-01-01", None)]
+BINDING_RULES = [
+    ("F", "e1", None, None, ["1-URGENT", "2-HIGH"], None, None, None), ("F", "e1", None, None, None, ["2-HIGH"], None, "1999-12-31"), ("F", "e2", [], [], None, None, None, None),
+    ("O", "e2", ["AUTOMOBILE", "HOUSEHOLD"], None, None, None, "1998-01-01", None), ("O", "e3", None, None, None, None, None, None), ("P", "e4", None, ["BUILDING"], None, None, None, None), ("P", "e4", ["MACHINERY"], None, None, None, None, None),
+]
+_RULE_NAMES = ("dep_allow", "dep_deny", "pro_allow", "pro_deny", "first_day", "last_day")
+_RULE_TYPES = "dep_allow array<string>, dep_deny array<string>, pro_allow array<string>, pro_deny array<string>, first_day string, last_day string"
+#: What is missing from a request: every eleventh has no department, every seventh no project, every fifth no date.
+_REQUESTS = "SELECT o_orderkey, o_orderstatus AS surface, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE c_mktsegment END AS departments, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE o_orderpriority END AS projects, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS as_of FROM orders LEFT JOIN customer ON c_custkey = o_custkey"
+
+
+def _outcome_sql(r: str) -> str:
+    """excluded, unknown or applies (2, 1, 0) of the columns of a rule r."""
+    out, open_ = [], []
+    for p, v in (("dep", "q.departments"), ("pro", "q.projects")):
+        given, allow, deny = f"coalesce({v}, '') <> ''", f"coalesce({r}.{p}_allow, [])", f"coalesce({r}.{p}_deny, [])"
+        out.append(f"({given} AND (list_contains({deny}, {v}) OR (len({allow}) > 0 AND NOT list_contains({allow}, {v}))))")
+        open_.append(f"(NOT ({given}) AND len({allow}) + len({deny}) > 0)")
+    out.append(f"(as_of IS NOT NULL AND (as_of < coalesce({r}.first_day, '0001-01-01')::DATE OR as_of > coalesce({r}.last_day, '9999-12-31')::DATE))")
+    open_.append(f"(as_of IS NULL AND ({r}.first_day IS NOT NULL OR {r}.last_day IS NOT NULL))")
+    return f"CASE WHEN {' OR '.join(out)} THEN 2 WHEN {' OR '.join(open_)} THEN 1 ELSE 0 END"
+
+
+_ELIGIBLE = f"""
+(SELECT q.o_orderkey, q.surface, b.entity_id, max(CASE WHEN e.entity_id IS NULL THEN 0 ELSE {_outcome_sql('e')} END) AS own, min({_outcome_sql('b')}) AS of
+FROM ({_REQUESTS}) q JOIN {literal(BINDING_RULES, 'name', 'entity_id', *_RULE_NAMES).replace('AS t(', 'AS b(')} ON b.name = q.surface LEFT JOIN {literal(ENTITY_RULES, 'entity_id', *_RULE_NAMES).replace('AS t(', 'AS e(')} ON e.entity_id = b.entity_id
+GROUP BY ALL HAVING own < 2 AND of < 2)"""
+
+
+def _ruled(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
+    made = spark.createDataFrame(rows, f"{names}, {_RULE_TYPES}")
+    both = lambda policy: F.struct(F.col(f"dep_{policy}").alias("departments"), F.col(f"pro_{policy}").alias("projects")).alias(policy)
+    rule = F.struct(both("allow"), both("deny"), F.col("first_day").cast("date").alias("valid_from"), F.col("last_day").cast("date").alias("valid_to"))
+    return made.select(*[n.split()[0] for n in names.split(", ")], rule.alias("rule"))
+
+
+def _eligible_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"), "left")
+    requests = both.selectExpr(
+        "o_orderkey", "o_orderstatus AS surface", "CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE c_mktsegment END AS departments", "CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE o_orderpriority END AS projects", "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS as_of"
+    )
+    return glossary.eligibility(requests, _ruled(spark, BINDING_RULES, "surface string, entity_id string"), _ruled(spark, ENTITY_RULES, "entity_id string"))
+
+
+@query("f06_eligible_entities", f"SELECT o_orderkey, surface, entity_id, own = 0 AND of = 0 AS eligible FROM {_ELIGIBLE} x")
+def f06_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities that rules leave to each order's surface by its department, project and day, and whether they are confirmed."""
+    return _eligible_orders(spark, sf_dir).select("o_orderkey", "surface", "entity_id", "eligible")
+
+
+@query("q03_linked_by_rules", f"""
+SELECT o_orderkey, CASE WHEN n = 1 AND sure THEN 'RESOLVED' ELSE 'AMBIGUOUS' END AS decision, CASE WHEN n = 1 AND sure THEN 'unique_eligible_alias' WHEN n > 1 THEN 'shared_alias' ELSE 'eligibility_unconfirmed' END AS reason, CASE WHEN n = 1 AND sure THEN one END AS entity_id
+FROM (SELECT o_orderkey, count(*) AS n, bool_and(own = 0 AND of = 0) AS sure, min(entity_id) AS one FROM {_ELIGIBLE} x GROUP BY 1) y""")
+def q03_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions of the single-file resolver: one confirmed entity is resolved, all else is ambiguous, with the reason."""
+    return glossary.links(_eligible_orders(spark, sf_dir), "o_orderkey")
+
+
 @query("f11_validation", """
 SELECT 'UNKNOWN_CUSTOMER' AS code, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL
 SELECT 'UNUSED_ENTITY', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL

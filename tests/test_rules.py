@@ -1,5 +1,6 @@
 """Rules and kernels against brute force and worked-out cases; nulls, empty tables and ties among them."""
 
+import datetime as dt
 import hashlib
 import itertools
 import math
@@ -13,6 +14,7 @@ from lexweave.functions import chunks, hangul, morphology, segmentation
 from lexweave.functions import text as T
 from lexweave.operators import evaluation, exact, glossary, local_definitions, matching, proposals, recovery, selection, statistics
 from lexweave.sources import glossaries
+from lexweave.streaming import sessions
 
 rnd = random.Random(4)
 
@@ -247,3 +249,55 @@ def test_proposals_without_fields(spark):
     held, named = spark.createDataFrame([], "surface string, entity_id string"), spark.createDataFrame([("e1", "한국전력공사　")], "entity_id string, canonical string")
     got = {r["id"]: r["failed"] for r in proposals.checks(rows, held, named).collect()}
     assert got == {1: ["surface_nonempty", "canonical_nonempty", "definition_nonempty", "evidence_surface_present", "scope_known", "origin_known"], 2: ["no_duplicate_entity"]}
+
+
+# ---------------------------------------------------------------- eligibility by rules of scope and time
+
+
+def told(rule, departments, projects, day):
+    """excluded, unknown or applies, case by case."""
+    open_ = False
+    for i, value in enumerate((departments, projects)):
+        allow, deny = (rule["allow"] or [[], []])[i] or [], (rule["deny"] or [[], []])[i] or []
+        if value and (value in deny or allow and value not in allow):
+            return "excluded"
+        open_ |= not value and bool(allow or deny)
+    first, last = rule["valid_from"], rule["valid_to"]
+    if day and (first and day < first or last and day > last):
+        return "excluded"
+    return "unknown" if open_ or not day and (first or last) else "applies"
+
+
+def test_eligibility_equals_case_by_case(spark):
+    made = random.Random(4)
+    some = lambda: made.choice([None, None, [], ["a"], ["b"], ["a", "b"]])
+    day = lambda: made.choice([None, None, dt.date(2024, 1, 1), dt.date(2024, 1, 5), dt.date(2024, 2, 1)])
+    rule = lambda: {"allow": made.choice([None, [some(), some()]]), "deny": made.choice([None, [some(), None]]), "valid_from": day(), "valid_to": day()}
+    row = lambda r: r and (r["allow"], r["deny"], r["valid_from"], r["valid_to"])
+    bindings = [(made.choice("STU"), made.choice("efgh"), made.choice([None, rule(), rule(), rule()])) for _ in range(40)] + [(None, "e", None), ("S", None, None)]
+    entities = [(e, made.choice([None, rule()])) for e in "efg"]
+    asked = [(i // 2, made.choice(["S", "T", "U", "V", None]), made.choice([None, "", "a", "b", "c"]), made.choice([None, "a", "b"]), day(), "clash") for i in range(120)]
+    want, free = [], {"allow": None, "deny": None, "valid_from": None, "valid_to": None}
+    for n, surface, dep, pro, on, _ in asked:
+        for e in "efgh":
+            own = told(dict(entities).get(e) or free, dep, pro, on)
+            of = [told(r or free, dep, pro, on) for s, x, r in bindings if s == surface and s and x == e]
+            if own != "excluded" and any(o != "excluded" for o in of):
+                want.append((n, surface, e, own == "applies" and "applies" in of))
+    b = spark.createDataFrame([(s, e, row(r)) for s, e, r in bindings], f"surface string, entity_id string, rule {glossary.RULE}")
+    e = spark.createDataFrame([(e, row(r)) for e, r in entities], f"entity_id string, rule {glossary.RULE}")
+    m = spark.createDataFrame(asked, "n int, surface string, departments string, projects string, as_of date, entity_id string")
+    key = lambda r: tuple(map(str, r))
+    got = glossary.eligibility(m, b, e)
+    assert len(want) > 50 and sorted(map(key, got.select("n", "surface", "entity_id", "eligible").collect())) == sorted(map(key, want))
+    assert {"confirmed", "open"} == {"confirmed" if w[3] else "open" for w in want}
+    assert glossary.eligibility(m.limit(0), b, e).count() == 0 and glossary.eligibility(m, b.limit(0), e).count() == 0
+    bad = spark.createDataFrame([((None, None, dt.date(2024, 2, 1), dt.date(2024, 1, 1)),), (None,)], f"rule {glossary.RULE}")
+    assert [r[0] for r in bad.select(glossary.rule_errors(F.col("rule"))).collect()] == ["valid_from is after valid_to", None]
+
+
+def test_pinned_takes_the_last_before(spark):
+    jobs = spark.createDataFrame([(1, "t", 10), (2, "t", 9), (3, None, 50), (4, "t", None), (5, "u", 5), (1, "t", 10)], "job int, tenant string, begun int")
+    acts = spark.createDataFrame([("t", "a", 10), ("t", "b", 10), ("t", "z", None), (None, "n", 1), ("t", None, 9)], "tenant string, snapshot string, at int")
+    got = sorted((r["job"], r["snapshot"]) for r in sessions.pinned(jobs, acts).collect())
+    assert got == [(1, "b"), (1, "b"), (2, None), (3, None), (4, None), (5, None)]
