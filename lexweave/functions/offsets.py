@@ -13,7 +13,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
@@ -146,6 +147,39 @@ def _tables(texts: pd.Series) -> pd.DataFrame:
 
 #: bytes and utf16: the offset of each code point of a text and of its end, in either unit, in one pass.
 unit_tables = F.pandas_udf(_tables, _UNITS)
+#: Offsets that a batch of unit_rows() holds in either unit, but for single texts that have more.
+MOST_OFFSETS = 1 << 18
+
+
+def unit_batches(batches: Iterator[pa.RecordBatch], most: int = MOST_OFFSETS) -> Iterator[pa.RecordBatch]:
+    """key, bytes and utf16 of batches of key and text, which are read text by text and given on by ``most`` offsets."""
+
+    def told(batch: pa.RecordBatch, first: int, sizes: list[int], tables: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        ends = pa.array(np.cumsum([0, *sizes]), pa.int32())
+        own = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([t[i] for t in tables]))) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays([batch.column("key").slice(first, len(sizes)), *own], names=["key", "bytes", "utf16"])
+
+    for batch in batches:
+        texts, first, held, sizes, tables = batch.column("text"), 0, 0, [], []
+        for at in range(batch.num_rows):
+            codes = np.frombuffer((texts[at].as_py() or "").encode("utf-32-le", "surrogatepass"), dtype="<u4")
+            table = np.zeros((2, len(codes) + 1), dtype=np.int64)
+            np.cumsum(1 + (codes > 0x7F).astype(np.int8) + (codes > 0x7FF) + (codes > 0xFFFF), out=table[0, 1:])
+            np.cumsum(1 + (codes > 0xFFFF).astype(np.int8), out=table[1, 1:])
+            if sizes and held + len(codes) + 1 > most:
+                yield told(batch, first, sizes, tables)
+                first, held, sizes, tables = at, 0, [], []
+            held += len(codes) + 1
+            sizes.append(len(codes) + 1)
+            tables.append((table[0], table[1]))
+        if sizes:
+            yield told(batch, first, sizes, tables)
+
+
+def unit_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, bytes and utf16 of each row, as unit_tables has them, in batches whose size does not grow with the number of rows."""
+    kind = dict(docs.dtypes)[key]
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(unit_batches, f"key {kind}, bytes array<bigint>, utf16 array<bigint>").withColumnRenamed("key", key)
 
 
 def codepoint(table: Column, at: Column) -> Column:

@@ -48,6 +48,6 @@ SELECT doc_id, n + 1 AS places, strlen(text) AS bytes, coalesce(list_sum(list_tr
 FROM (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, regexp_extract_all(coalesce(text, ''), '(?s).') AS chars FROM documents)""")
 def p12_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every code point offset of every document in bytes and UTF-16 units, told by their number and sums."""
-    u = table(spark, sf_dir, "documents").select("doc_id", O.unit_tables("text").alias("u"))
+    u = O.unit_rows(table(spark, sf_dir, "documents"))
     total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return u.select("doc_id", F.size("u.bytes").cast("bigint").alias("places"), F.element_at("u.bytes", -1).alias("bytes"), total(F.col("u.bytes")).alias("byte_sum"), total(F.col("u.utf16")).alias("utf16_sum"))
+    return u.select("doc_id", F.size("bytes").cast("bigint").alias("places"), F.element_at("bytes", -1).alias("bytes"), total(F.col("bytes")).alias("byte_sum"), total(F.col("utf16")).alias("utf16_sum"))

@@ -75,3 +75,13 @@ def test_every_offset_and_back(spark):
         if r["t"] is not None:
             want = {len(t[:k].encode()): k for k in range(len(t) + 1)}
             assert r["back"] == [want.get(k) for k in range(len(t.encode()) + 1)]
+
+
+def test_offsets_of_all_rows_in_bounded_batches(spark):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"key": pa.array(range(len(TEXTS))), "text": pa.array(TEXTS)})
+    parts = list(O.unit_batches(iter([batch]), 20))
+    assert max(len(p.column("bytes").flatten()) for p in parts if p.num_rows > 1) <= 20 and sum(p.num_rows for p in parts) == len(TEXTS)
+    got = {r["i"]: (r["bytes"], r["utf16"]) for r in O.unit_rows(frame(spark), "i", "t").collect()}
+    assert got == {i: ([len(t[:k].encode()) for k in range(len(t) + 1)], [len(t[:k].encode("utf-16-le")) // 2 for k in range(len(t) + 1)]) for i, t in ((i, t or "") for i, t in enumerate(TEXTS))}
