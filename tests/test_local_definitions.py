@@ -108,3 +108,29 @@ def test_profile_matches_by_automata_and_by_joins(spark):
     one, two = (sorted(map(repr, exact.profile_matches(docs, bindings, most).collect())) for most in (1 << 20, 0))
     assert one == two and len(one) > 60
     assert exact.profile_matches(docs, bindings.where("false")).count() == 0 == exact.profile_matches(docs.where("false"), bindings).count()
+
+
+def test_definitions_in_long_texts_as_the_patterns_read_them(spark):
+    """Spans of the kernels against the patterns alone, over pieces that make names meet, overlap and fail."""
+    from lexweave.functions import definitions as D
+
+    parts = ["가", "나다", "a1", "·", "-", " ", "  ", "\n", "\u3000", ",", "(", ")", "이하", "이", "하", "“", "'", "x" * 39, "라" * 21, "."]
+    some = random.Random(14)
+    for text in ["".join(some.choice(parts) for _ in range(some.randint(1, 30))) for _ in range(20000)]:
+        assert [list(m.span()) + list(m.groups()) for m in PATTERNS[0].finditer(text)] == [list(x) for x in D.in_parentheses(text)], text
+        assert [list(m.span()) + list(m.groups()) for m in PATTERNS[1].finditer(text)] == [list(x) for x in D.hereafter(text)], text
+
+
+def test_short_forms_of_long_texts_in_linear_time(spark):
+    """A text of many words is read once: before, each word took a pass over what stands before it."""
+    import time
+
+    text = "한국전력공사(이하 한전공)는. " + "낱말 (둘) 한전공은 " * 40000
+    given = spark.createDataFrame([(1, "kepco", "한국전력공사", "korean_org_name")], "item_id int, entity_id string, surface string, profile string")
+    docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    began = time.time()
+    local = local_definitions.definitions(docs, given)
+    assert local_definitions.occurrences(docs, local).count() == 40000
+    beside = local.select("row", "alias", "entity_id", "start", "end").selectExpr("*", "true AS sure")
+    assert local_definitions.word_occurrences(docs, beside, beside.select("row", "start", "end")).count() == 40000
+    assert time.time() - began < 60
