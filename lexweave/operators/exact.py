@@ -180,11 +180,13 @@ def with_boundary(found: DataFrame, latin_morph: bool | Column = True) -> DataFr
 
 
 def proposals(bounded: DataFrame) -> DataFrame:
-    """Matches that did not fail with their tails, modifier, whole span and score; tails are read for distinct runs only."""
+    """Matches that did not fail with their tails, modifier, whole span and score.
+
+    Tails are read beside the matches, by a kernel that remembers runs: a join on distinct runs would take the texts along.
+    """
     text, start, end = F.col("text"), F.col("start"), F.col("end")
     kept = bounded.where("status != 'FAIL'").withColumn("run", F.regexp_extract(F.substring(text, end + 1, F.lit(40)), "^([가-힣]*)", 1)).withColumn("last", F.substring(text, end, F.lit(1)))
-    read = kept.select("run", "last").distinct().withColumn("tails", S.tails_udf("run", "last"))
-    both = kept.join(read, ["run", "last"])
+    both = kept.withColumn("tails", S.tails_udf("run", "last"))
     best = F.get("tails", F.lit(0))
     before = F.substring(text, F.lit(1), start)
     modifier = M.prefix_modifier(before)

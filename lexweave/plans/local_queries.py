@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import local_definitions, matching, resolve
+from ..operators import components, local_definitions, matching, resolve
 from .base import literal, place, planted, planted_sql, query
 
 BINDINGS = [
@@ -57,7 +57,7 @@ def _mentions(docs: DataFrame, bindings: DataFrame) -> DataFrame:
     """Bounded exact matches as mentions, a row for each entity; sure where there is one alone."""
     from pyspark.sql import Window
 
-    found = resolve.proposals(docs.select(matching.row_of().alias("doc_id"), "text"), bindings).select(F.col("doc_id").alias("row"), "text", "start", "end", "full_end", "entity_id").distinct()
+    found = resolve.proposals(docs.select(matching.row_of().alias("doc_id"), "text"), bindings).select(F.col("doc_id").alias("row"), local_definitions.beside(F.col("text"), F.col("start"), F.col("end")).alias("beside"), "start", "end", "full_end", "entity_id").distinct()
     return found.withColumn("sure", F.count(F.lit(1)).over(Window.partitionBy("row", "start", "end")) == 1)
 
 
@@ -68,8 +68,8 @@ def _mentions(docs: DataFrame, bindings: DataFrame) -> DataFrame:
 def j09(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of a document, bare or with particles, that a definition beside a mention makes a name; words of mentions stay theirs."""
     docs = planted(spark, sf_dir, SENTENCES)
-    mentions = _mentions(docs, _given(spark))
-    local = local_definitions.defined_by_mentions(mentions)
+    mentions = components.cut(_mentions(docs, _given(spark)))
+    local = components.cut(local_definitions.defined_by_mentions(mentions))
     taken = mentions.select("row", "start", F.col("full_end").alias("end"))
     return local_definitions.word_occurrences(docs, local, taken).select("row.doc_id", "alias", "entity_id", "sure", "start")
 
