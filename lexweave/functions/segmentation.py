@@ -12,6 +12,7 @@ from functools import lru_cache
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
@@ -132,9 +133,40 @@ def token_spans(text: str) -> Iterator[tuple[int, int, str, str]]:
         yield m.start(), m.end(), m[0], text[max(0, m.start() - AROUND) : m.end() + AROUND]
 
 
-def _tokens(text: pd.Series) -> pd.Series:
-    return pd.Series([list(token_spans(t)) for t in text], dtype="object")
-
-
-#: start, end, token and around of each run of letters and digits; one pass, where columns would take a pass for each run.
-tokens_udf = F.pandas_udf(_tokens, ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("token", StringType()), StructField("around", StringType())])))
+#: Texts of a batch of tokens are read one by one; this many tokens are given on at once, but for single texts with more.
+MOST_TOKENS = 1 << 14
+
+
+def token_batches(batches: Iterator[pa.RecordBatch], most: int = MOST_TOKENS) -> Iterator[pa.RecordBatch]:
+    """doc_id, start, end, token and around of the tokens of batches of doc_id and text."""
+
+    def told(batch: pa.RecordBatch, rows: list[int], found: list[tuple]) -> pa.RecordBatch:
+        starts, ends, tokens, around = zip(*found)
+        own = batch.column("doc_id").take(pa.array(rows, pa.int32()))
+        return pa.RecordBatch.from_arrays([own, pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(tokens, pa.string()), pa.array(around, pa.string())], names=["doc_id", "start", "end", "token", "around"])
+
+    for batch in batches:
+        texts, rows, found = batch.column("text"), [], []
+        for at in range(batch.num_rows):
+            for x in token_spans(texts[at].as_py() or ""):
+                rows.append(at)
+                found.append(x)
+                if len(found) >= most:
+                    yield told(batch, rows, found)
+                    rows, found = [], []
+        if found:
+            yield told(batch, rows, found)
+
+
+def distinct_batches(batches: Iterator[pa.RecordBatch], most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """token of batches of text: those of a stretch of texts, each once; a stretch ends with ``most`` different ones."""
+    seen: set[str] = set()
+    for batch in batches:
+        texts = batch.column("text")
+        for at in range(batch.num_rows):
+            seen.update(_TOKEN.findall(texts[at].as_py() or ""))
+            if len(seen) >= most:
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["token"])
+                seen = set()
+    if seen:
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["token"])

@@ -10,12 +10,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions import segmentation as S
 from ..functions import text as T
 from . import abbreviations, components, decisions, evidence, exact, local_definitions, matching, recovery
 
 AROUND = S.AROUND
+# Different tokens that may be a name, up to which they go to the texts and not the texts' tokens to them.
+BROADCAST_TOKENS = 200_000
 _KEY = ("row", "start", "end")
 _ARRIVAL = (*_KEY, "surface", "around", "entity_id", "channel", "score", "cost", "pass", "blocked", "exact", "plain", "alias_id", "arrival")
 
@@ -29,7 +32,13 @@ def proposals(docs: DataFrame, bindings: DataFrame) -> DataFrame:
 
 def tokens(docs: DataFrame) -> DataFrame:
     """doc_id, start, end, token and around of each run of letters and digits."""
-    return docs.where("text is not null").select("doc_id", F.inline(S.tokens_udf("text")))
+    out = StructType([docs.schema["doc_id"], StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("token", StringType()), StructField("around", StringType())])
+    return docs.where("text is not null").select("doc_id", "text").mapInArrow(S.token_batches, out)
+
+
+def distinct_tokens(docs: DataFrame) -> DataFrame:
+    """The different tokens of docs; a task gives each of its own about once, so that few are shuffled."""
+    return docs.where("text is not null").select("text").mapInArrow(S.distinct_batches, "token string").distinct()
 
 
 def _rank(n: int, *ties: Column) -> Column:
@@ -38,14 +47,15 @@ def _rank(n: int, *ties: Column) -> Column:
     return F.struct(F.lit(n).alias("turn"), number.cast("bigint").alias("number"), name.cast("string").alias("name"))
 
 
-def recovered(free: DataFrame, bindings: DataFrame) -> DataFrame:
-    """Arrivals of tokens (row, start, end, token, around) that no exact match touches: misspelt and abbreviated cores and
-    names typed with the keyboard in the other script.
+def recovered(docs: DataFrame, taken: DataFrame, bindings: DataFrame) -> DataFrame:
+    """Arrivals of tokens of docs (doc_id: a row's key, text) that no exact match (taken: row, start, end) touches: misspelt
+    and abbreviated cores and names typed with the keyboard in the other script.
 
     Distinct tokens are taken apart once; each core is sought by its jamo, by its keys and as an abbreviation, and a guard
-    says what its tail allows.
+    says what its tail allows. The texts are then read again for the places of the tokens that may be a name; the other
+    ones, nearly all, never leave their task.
     """
-    paths = free.select("token").distinct().select("token", F.inline(S.paths_udf("token")))
+    paths = components.cut(distinct_tokens(docs)).select("token", F.inline(S.paths_udf("token")))
     cores = paths.select(F.col("core").alias("token")).distinct()
     fuzzy = recovery.fuzzy_candidates(cores, bindings.select("item_id", "surface")).join(bindings.select("item_id", "entity_id"), "item_id")
     short = abbreviations.aligned(cores, bindings.select("entity_id", "surface").where(~F.col("surface").rlike("^[A-Z0-9]+$")))
@@ -58,8 +68,11 @@ def recovered(free: DataFrame, bindings: DataFrame) -> DataFrame:
     tail = F.col("tail")
     stripped = (tail["residual"] != "") | (F.size(tail["particles"]) > 0) | (tail["latin"] != "")
     verdict = decisions.guard(F.col("channel"), F.length("core"), tail["identity"], tail["kind"], tail["grammatical"], stripped)
-    both = paths.join(near, "core").withColumn("v", verdict)
-    placed = free.join(both, "token")
+    both = components.cut(paths.join(near, "core").withColumn("v", verdict))
+    names = components.cut(both.select("token").distinct())
+    names = F.broadcast(names) if names.count() <= BROADCAST_TOKENS else names
+    some = tokens(docs).withColumnRenamed("doc_id", "row").join(names, "token", "left_semi").select("row", "start", "end", "token", "around")
+    placed = matching.overlap_join(some, taken, "row", how="anti").distinct().join(both, "token")
     turn = F.when(F.col("channel") == "jamo", 2).when(F.col("channel") == "keyboard", 3).otherwise(4)
     return placed.select(
         "row", "start", (F.col("start") + F.length("core")).alias("end"), F.col("core").alias("surface"), "around", "entity_id", "channel", (F.col("score") * F.col("v.factor")).alias("score"), "cost", F.when(F.col("channel") == "abbrev", 2).otherwise(1).alias("pass"),
@@ -79,15 +92,15 @@ def arrivals(docs: DataFrame, bindings: DataFrame, fast: bool = False) -> tuple[
         (F.col("score") * F.when(literal, 1.0).otherwise(decisions.CHANNEL_BASE["normalized"])).alias("score"), "cost", F.lit(1).alias("pass"), F.lit(None).cast("string").alias("blocked"), F.lit(True).alias("exact"),
         ((F.col("status") == "PASS") & (F.col("identity") == "SAME")).alias("plain"), F.col("item_id").cast("string").alias("alias_id"), _rank(0, F.col("item_id")).alias("arrival"),
     )
-    local = local_definitions.definitions(docs, bindings)
+    # both are read again below: without the cuts each reading is a scan of all texts
+    rows, local = components.cut(rows), components.cut(local_definitions.definitions(docs, bindings))
     used = local_definitions.occurrences(docs, local)
     rows = rows.unionByName(used.select(
         *_KEY, F.col("alias").alias("surface"), F.lit(None).cast("string").alias("around"), "entity_id", F.lit("doc_local").alias("channel"), F.lit(decisions.CHANNEL_BASE["doc_local"]).alias("score"), F.lit(0.0).alias("cost"), F.lit(1).alias("pass"),
         F.lit(None).cast("string").alias("blocked"), F.lit(False).alias("exact"), F.lit(False).alias("plain"), F.lit(None).cast("string").alias("alias_id"), _rank(1, F.lit(None), F.col("entity_id")).alias("arrival"),
     ))
     if not fast:
-        free = matching.overlap_join(tokens(keyed).withColumnRenamed("doc_id", "row"), rows.where("exact").select(*_KEY).distinct(), "row", how="anti")
-        rows = rows.unionByName(recovered(free.distinct(), bindings))
+        rows = rows.unionByName(recovered(keyed, rows.where("exact").select(*_KEY).distinct(), bindings))
     return rows, local.select("row", F.col("alias").alias("surface"), "entity_id").distinct()
 
 

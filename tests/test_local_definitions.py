@@ -134,3 +134,24 @@ def test_short_forms_of_long_texts_in_linear_time(spark):
     beside = local.select("row", "alias", "entity_id", "start", "end").selectExpr("*", "true AS sure")
     assert local_definitions.word_occurrences(docs, beside, beside.select("row", "start", "end")).count() == 40000
     assert time.time() - began < 60
+
+
+def test_tokens_leave_their_task_in_bounded_batches(spark):
+    """A batch of texts gives its tokens on in several parts; the different ones once for a stretch."""
+    import pyarrow as pa
+
+    from lexweave.functions import segmentation as S
+
+    texts = ["가 나 다 라", None, "", "마" * 300 + " 가", "가 나 AB-12 c"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(5)), "text": pa.array(texts)})
+    parts = list(S.token_batches(iter([batch]), 3))
+    rows = [tuple(r.values()) for p in parts for r in p.to_pylist()]
+    assert max(p.num_rows for p in parts) == 3 and rows == [(i, *x) for i, t in enumerate(texts) for x in S.token_spans(t or "")]
+    assert sorted(r["token"] for p in S.distinct_batches(iter([batch])) for r in p.to_pylist()) == sorted({r[3] for r in rows})
+
+
+def test_resolver_finds_misspelt_tokens_of_repeated_rows(spark):
+    given = spark.createDataFrame([(1, "fss", "금융감독원", "korean_org_name")], "item_id int, entity_id string, surface string, profile string")
+    docs = spark.createDataFrame([(1, "금융감도원에서 발표"), (1, "금융감도원에서 발표"), (None, "금융감독원 금융감도원"), (2, None)], "doc_id int, text string")
+    out = sorted((str(r["doc_id"]), r["start"], r["surface"]) for r in resolve.resolved(docs, given).collect())
+    assert out == [("1", 0, "금융감도원"), ("1", 0, "금융감도원"), ("None", 0, "금융감독원"), ("None", 6, "금융감도원")]
