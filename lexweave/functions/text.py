@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -174,15 +177,21 @@ def lint_codes(c: Column, most: int = LONGEST_DESCRIPTION) -> Column:
 # ---------------------------------------------------------------- kernels that Spark has no function for
 
 
-def _nfc(s: pd.Series) -> pd.Series:
-    return s.str.normalize("NFC")
+def _normalized(s: pa.Array, form: str, rows: int = 64) -> pa.Array:
+    """A few rows at a time: as Python objects the texts of a batch would take many times their size."""
+    some = [pa.array([None if t is None else unicodedata.normalize(form, t) for t in s.slice(at, rows).to_pylist()], pa.string()) for at in range(0, len(s), rows)]
+    return pa.concat_arrays(some) if some else pa.array([], pa.string())
+
+
+def _nfc(s: pa.Array) -> pa.Array:
+    return _normalized(s, "NFC")
 
 
 def _casefold(s: pd.Series) -> pd.Series:
     return s.str.casefold()
 
 
-_nfc_udf, _casefold_udf = F.pandas_udf(_nfc, StringType()), F.pandas_udf(_casefold, StringType())
+_nfc_udf, _casefold_udf = F.arrow_udf(_nfc, StringType()), F.pandas_udf(_casefold, StringType())
 
 
 def nfc_where_needed(c: Column) -> Column:
@@ -190,12 +199,12 @@ def nfc_where_needed(c: Column) -> Column:
     return F.when(c.rlike(r"[^\x00-˿]"), _nfc_udf(c)).otherwise(c)
 
 
-def _nfd(s: pd.Series) -> pd.Series:
-    return s.str.normalize("NFD")
+def _nfd(s: pa.Array) -> pa.Array:
+    return _normalized(s, "NFD")
 
 
 #: NFD: conjoining jamo for Hangul syllables.
-nfd = F.pandas_udf(_nfd, StringType())
+nfd = F.arrow_udf(_nfd, StringType())
 
 
 def casefolded(c: Column) -> Column:
