@@ -8,6 +8,7 @@ is native. A null text has a null fold.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -47,6 +48,24 @@ def _combines(ch: str) -> bool:
     return unicodedata.combining(ch) != 0 or 0x1160 <= ord(ch) <= 0x11FF
 
 
+#: Stretches of ASCII, which no fold joins with what stands before, without their last character, which a mark may follow.
+_PLAIN = re.compile(r"[\x00-\x7f]+(?=[\x00-\x7f])")
+
+
+def _by_stretch(pieces: Callable, fold: Callable[[str], str] = str) -> Callable[[str], Iterator[tuple[int, int, str, bool]]]:
+    """The pieces of a text, where each stretch of ASCII is a single one; fold: what becomes of it, character by character."""
+
+    def run(text: str) -> Iterator[tuple[int, int, str, bool]]:
+        at = 0
+        for m in _PLAIN.finditer(text):
+            yield from ((at + a, at + b, s, block) for a, b, s, block in pieces(text[at : m.start()]))
+            yield m.start(), m.end(), fold(m[0]), False
+            at = m.end()
+        yield from ((at + a, at + b, s, block) for a, b, s, block in pieces(text[at:]))
+
+    return run
+
+
 def composed(text: str) -> Iterator[tuple[int, int, str, bool]]:
     """NFC by segments: a character and the marks and jamo that join it."""
     start = 0
@@ -90,10 +109,10 @@ def _step(pieces: Callable) -> Callable[[Column | str], Column]:
 
 
 #: Steps: (text, runs) of a column of texts.
-nfc, cluster = _step(composed), _step(clustered)
-width = _step(by_character(lambda c: T.NARROW[T.WIDE.index(c)] if c in T.WIDE else c))
-nfkc = _step(by_character(lambda c: unicodedata.normalize("NFKC", c)))
-visible = _step(by_character(lambda c: "" if c in T.ZERO_WIDTH else c))
+nfc, cluster = _step(_by_stretch(composed)), _step(_by_stretch(clustered, lambda s: s.translate(_ASCII)))
+width = _step(_by_stretch(by_character(lambda c: T.NARROW[T.WIDE.index(c)] if c in T.WIDE else c)))
+nfkc = _step(_by_stretch(by_character(lambda c: unicodedata.normalize("NFKC", c))))
+visible = _step(_by_stretch(by_character(lambda c: "" if c in T.ZERO_WIDTH else c)))
 
 
 def raw_start(runs: Column, at: Column) -> Column:

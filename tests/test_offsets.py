@@ -85,3 +85,12 @@ def test_offsets_of_all_rows_in_bounded_batches(spark):
     assert max(len(p.column("bytes").flatten()) for p in parts if p.num_rows > 1) <= 20 and sum(p.num_rows for p in parts) == len(TEXTS)
     got = {r["i"]: (r["bytes"], r["utf16"]) for r in O.unit_rows(frame(spark), "i", "t").collect()}
     assert got == {i: ([len(t[:k].encode()) for k in range(len(t) + 1)], [len(t[:k].encode("utf-16-le")) // 2 for k in range(len(t) + 1)]) for i, t in ((i, t or "") for i, t in enumerate(TEXTS))}
+
+
+def test_stretches_of_ascii_are_single_pieces():
+    """The same runs as by single characters, from fewer pieces: before, a text of 1,000 plain characters had as many."""
+    some = random.Random(9)
+    for text in ["".join(some.choice([*PARTS, "ab Cd", "E", "e\u0301"]) for _ in range(some.randint(0, 12))) for _ in range(3000)] + ["x" * 1000]:
+        for pieces, fold in ((O.composed, str), (O.clustered, lambda s: s.translate(O._ASCII)), (O.by_character(lambda c: unicodedata.normalize("NFKC", c)), str)):
+            assert O.runs_of(O._by_stretch(pieces, fold)(text)) == O.runs_of(pieces(text)), text
+    assert len(list(O._by_stretch(O.composed)("x" * 1000))) == 2
