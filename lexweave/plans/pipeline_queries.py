@@ -93,15 +93,13 @@ def q10(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     passages = parts.select(F.col("id").alias("doc_id"), "text")
     best = {"lexical": retrieval.lexical(passages, asked, 8), "bm25": retrieval.bm25(passages, asked, 8)}
-    out = None
-    for method, found in best.items():
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id"))
-        placed = found.select("query_id", F.col("doc_id").alias("id"), rank.alias("rank")).join(parts.select("id", "doc_id", "start", "end"), "id")
-        # spans of different documents never overlap: each document has its own stretch of the line
-        line = placed.select("query_id", "rank", (F.col("doc_id") * 10_000_000 + F.col("start")).alias("start"), (F.col("doc_id") * 10_000_000 + F.col("end")).alias("end"))
-        kept = selection.within_budget(line, "query_id").select(F.lit(method).alias("method"), "query_id", "place", F.floor(F.col("start") / 10_000_000).alias("doc_id"), (F.col("start") % 10_000_000).alias("start"))
-        out = kept if out is None else out.unionByName(kept)
-    return out
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id"))
+    lexical, bm25 = (found.select(F.lit(method).alias("method"), "query_id", F.col("doc_id").alias("id"), rank.alias("rank")) for method, found in best.items())
+    placed = lexical.unionByName(bm25).join(parts.select("id", "doc_id", "start", "end"), "id")  # the passages are cut once for both
+    # spans of different documents never overlap: each document has its own stretch of the line
+    line = placed.select(F.struct("method", "query_id").alias("asked"), "rank", (F.col("doc_id") * 10_000_000 + F.col("start")).alias("start"), (F.col("doc_id") * 10_000_000 + F.col("end")).alias("end"))
+    kept = selection.within_budget(line, "asked")
+    return kept.select("asked.method", "asked.query_id", "place", F.floor(F.col("start") / 10_000_000).alias("doc_id"), (F.col("start") % 10_000_000).alias("start"))
 
 
 @query("q11_expanded_questions", "SELECT * FROM " + literal([(1, "한전은 왜 한국전력공사"), (2, "아무 질문")], "id", "question"))
