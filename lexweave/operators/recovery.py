@@ -44,10 +44,8 @@ def _name_keys(names: DataFrame) -> DataFrame:
     words = F.split(F.regexp_replace("surface", r"(?U)^\s+|\s+$", ""), r"(?U)\s+")
     told = names.select("surface").where("surface is not null").distinct()
     hangul = told.where(s.rlike("^[가-힣]{2,32}$"))
-    jamo = hangul.where(F.length(s) >= 3).withColumn("form", T.nfd(s)).withColumn("n", F.length("form")).withColumn("h", F.floor(F.col("n") / 2).cast("int"))
-    halves = F.explode(F.array(F.concat_ws("|", F.lit("0"), "n", F.substring("form", F.lit(1), F.col("h"))), F.concat_ws("|", F.lit("1"), "n", F.substring("form", F.col("h") + 1, F.col("n")))))
-    out = jamo.select("surface", F.lit("jamo").alias("channel"), halves.alias("key"), "form")
-    out = out.union(hangul.select("surface", F.lit("keyboard"), H.keys(s), s)).union(told.where(s.rlike("^[A-Za-z]{2,32}$")).select("surface", F.lit("hangul_keyboard"), F.lower(s), s))
+    out = hangul.select("surface", F.lit("keyboard").alias("channel"), H.keys(s).alias("key"), s.alias("form"))
+    out = out.union(told.where(s.rlike("^[A-Za-z]{2,32}$")).select("surface", F.lit("hangul_keyboard"), F.lower(s), s))
     several = told.where((F.size(words) >= 3) & F.forall(words, lambda w: w.rlike("^[A-Za-z]+$")))
     out = out.union(several.select("surface", F.lit("initials"), F.upper(F.array_join(F.transform(words, lambda w: F.left(w, F.lit(1))), "")), s))
     ends = told.withColumn("c", compact).where(F.col("c").rlike("^[가-힣]{4,60}$"))
@@ -60,24 +58,47 @@ def _word_keys(words: DataFrame) -> DataFrame:
     t = F.col("token")
     told = words.select("token").where("token is not null").distinct()
     latin, hangul = told.where(t.rlike("^[A-Za-z]{3,96}$")), told.where(t.rlike("^[가-힣]{3,32}$"))
-    jamo = hangul.withColumn("form", T.nfd(t)).withColumn("n", F.length("form"))
-    each = F.explode(F.flatten(F.transform(F.array(*[F.col("n") + d for d in (-1, 0, 1)]), lambda m: F.array(
-        F.concat_ws("|", F.lit("0"), m, F.left("form", F.floor(m / 2).cast("int"))), F.concat_ws("|", F.lit("1"), m, F.right("form", (m - F.floor(m / 2)).cast("int")))
-    ))))
-    out = jamo.select("token", F.lit("jamo").alias("channel"), each.alias("key"), "form").union(latin.select("token", F.lit("keyboard"), t, t)).union(latin.select("token", F.lit("initials"), t, t))
+    out = latin.select("token", F.lit("keyboard").alias("channel"), t.alias("key"), t.alias("form")).union(latin.select("token", F.lit("initials"), t, t))
     typed = told.where(t.rlike("^[가-힣ㄱ-ㅎㅏ-ㅣ]{1,32}$") & (t.rlike("[ㄱ-ㅎㅏ-ㅣ]") | (F.length(t) >= 2)))
     out = out.union(typed.select("token", F.lit("hangul_keyboard"), F.lower(H.keys(t)), t))
     inner = F.array_distinct(F.transform(F.sequence(F.lit(2), F.length(t) - 1), lambda i: F.concat(F.left(t, F.lit(1)), F.right(t, F.lit(1)), F.substring(t, i, F.lit(1)))))
     return out.union(hangul.select("token", F.lit("abbrev"), F.explode(inner), t))
 
 
+def _one_jamo(words: DataFrame, names: DataFrame) -> DataFrame:
+    """token, surface and channel of Hangul words and names one conjoining jamo apart.
+
+    Both are spread into themselves and what is left without each of their jamo. A jamo that was changed leaves two equal
+    rests of one place, one that was put in or left out a rest that equals the other whole: rows that meet are pairs that
+    are sought, however many names share a beginning or an end, and a pair meets once.
+    """
+
+    def spread(df: DataFrame, name: str, least: int) -> DataFrame:
+        c = F.col(name)
+        forms = df.select(name).where(c.rlike("^[가-힣]{%d,32}$" % least)).distinct().select(name, T.nfd(c).alias("form"))
+        cut = lambda i: F.concat(F.left("form", i - 1), F.substring("form", i + 1, F.length("form")))
+        each = F.transform(F.sequence(F.lit(1), F.length("form")), lambda i: F.struct(i.alias("at"), F.xxhash64(cut(i)).alias("key"), F.substring("form", i, F.lit(1)).alias("gone")))
+        whole = F.array(F.struct(F.lit(0).alias("at"), F.xxhash64("form").alias("key"), F.lit("").alias("gone")))
+        return forms.select(name, "form", F.inline(F.concat(whole, each)))
+
+    t, n = spread(words, "token", 3), spread(names, "surface", 3).withColumnsRenamed({"form": "held", "at": "held_at", "gone": "held_gone"})
+    # of a run of equal jamo the first one counts as the one that was put in
+    first = lambda form, at, gone: (at > 0) & (F.substring(form, at - 1, F.lit(1)) != gone) | (at == 1)
+    rest = lambda form, at: F.concat(F.left(form, at - 1), F.substring(form, at + 1, F.length(form)))
+    form, held, i, j = (F.col(c) for c in ("form", "held", "at", "held_at"))
+    changed = (i == j) & (i > 0) & (F.col("gone") != F.col("held_gone")) & (rest(form, i) == rest(held, j))
+    longer = (j == 0) & first(form, i, F.col("gone")) & (rest(form, i) == held)
+    shorter = (i == 0) & first(held, j, F.col("held_gone")) & (rest(held, j) == form)
+    return t.join(n, "key").where(changed | longer | shorter).select("token", "surface", F.lit("jamo").alias("channel"))
+
+
 def one_step(words: DataFrame, names: DataFrame) -> DataFrame:
     """token, surface and channel of names (surface) that a word (token) is one step away from.
 
     jamo: one conjoining jamo inserted, deleted or changed; keyboard and hangul_keyboard: typed with the other script's
     keys; initials of three Latin words and more; abbrev: a subsequence that keeps both ends, half of the syllables and
-    leaves out two at least. All of them are one equi-join on a key of channel and form: one edit leaves a half of a name as
-    it is, and of an abbreviation's inner syllables the rarest among the names is its key, so that frequent ones pair
+    leaves out two at least. The first meet by what is left without a jamo, the others are one equi-join on a key of channel
+    and form: of an abbreviation's inner syllables the rarest among the names is its key, so that frequent ones pair
     nothing. A pair that several keys offer is verified once.
     """
     held = _name_keys(names)
@@ -90,4 +111,5 @@ def one_step(words: DataFrame, names: DataFrame) -> DataFrame:
     met = keyed.join(held.withColumnRenamed("form", "held"), ["channel", "key"]).select("token", "surface", "channel", "form", "held").distinct()
     far = F.length("held")
     within = (far >= F.length("form") + 2) & (far <= 2 * F.length("form")) & F.rlike("held", F.array_join(F.regexp_extract_all("form", F.lit("."), F.lit(0)), ".*"))
-    return met.where(F.when(F.col("channel") == "jamo", T.one_edit(F.col("form"), F.col("held"))).when(F.col("channel") == "abbrev", within).otherwise(F.lit(True))).select("token", "surface", "channel")
+    others = met.where(F.when(F.col("channel") == "abbrev", within).otherwise(F.lit(True))).select("token", "surface", "channel")
+    return _one_jamo(words, names).union(others)

@@ -46,3 +46,15 @@ def test_one_step_equals_all_pairs(spark):
     assert typed == {("ㅂㅡㄴ", "QMS", "hangul_keyboard"), ("ㅃㅡㄴ", "QMS", "hangul_keyboard")}
     none = spark.createDataFrame([], "token string")
     assert recovery.one_step(none, spark.createDataFrame([("QMS",)], "surface string")).count() == 0
+
+
+def test_names_one_jamo_apart_meet_once(spark):
+    from itertools import product
+
+    names = ["".join(p) for p in product("가나다", repeat=4)] + ["가아아가", "각가가", "가가각", "가각가"]
+    words = names + ["나가아가", "가아가", "가가가까"]
+    frame = lambda rows, name: spark.createDataFrame([(r,) for r in rows * 2], f"{name} string")
+    found = recovery._one_jamo(frame(words, "token"), frame(names, "surface"))
+    got = [(r["token"], r["surface"]) for r in found.collect()]
+    nfd = {w: unicodedata.normalize("NFD", w) for w in words}
+    assert sorted(got) == sorted((w, n) for w in words for n in set(names) if edits(nfd[w], nfd[n]))
