@@ -127,6 +127,11 @@ AROUND = 40
 _TOKEN = re.compile("[가-힣ㄱ-ㆎ0-9A-Za-z]+")
 
 
+def tokens(text: str) -> list[str]:
+    """Runs of letters and digits, in order."""
+    return _TOKEN.findall(text)
+
+
 def token_spans(text: str) -> Iterator[tuple[int, int, str, str]]:
     """start, end, token and around of each run of letters and digits."""
     for m in _TOKEN.finditer(text):

@@ -1,6 +1,6 @@
 """Table functions for SQL: readings of what a text's tokens hold, called laterally, and folds over partitioned tables.
 
-``register`` puts them into a session: lexical_paths(text), lexical_tails(run, before) and merged_spans(TABLE(..) PARTITION BY
+``register`` puts them into a session: lexical_paths(text), lexical_shapes(text), lexical_tails(run, before) and merged_spans(TABLE(..) PARTITION BY
 .. ORDER BY start). Each has an analyze step, which names its columns and refuses arguments of other types before a task
 starts. A worker is started once a task, whatever the number of rows; a fold holds one span of a partition at a time, so
 that a partition of any size takes the same memory.
@@ -8,7 +8,9 @@ that a partition of any size takes the same memory.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
@@ -18,6 +20,7 @@ from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 from . import segmentation as S
 
 _PATHS = StructType([StructField("start", IntegerType()), StructField("core", StringType()), StructField("shape", StringType()), StructField("residual", StringType()), StructField("particles", ArrayType(StringType())), StructField("score", DoubleType())])
+_SHAPES = StructType([StructField("shape", StringType()), StructField("n", LongType()), StructField("chars", LongType())])
 _TAILS = StructType([StructField("residual", StringType()), StructField("kind", StringType()), StructField("particles", ArrayType(StringType())), StructField("identity", StringType()), StructField("score", DoubleType())])
 
 
@@ -26,6 +29,11 @@ def _of(argument: AnalyzeArgument, *kinds: type[DataType]) -> None:
         raise TypeError(f"a column of type {' or '.join(k.typeName() for k in kinds)} is needed, not {'a table' if argument.isTable else argument.dataType.simpleString()}")
 
 
+@lru_cache(maxsize=100_000)
+def _readings(token: str) -> tuple[tuple, ...]:
+    return tuple((core, tail.shape(), tail.residual, list(tail.particles), round(score, 6)) for core, tail, score in S.paths(token))
+
+
 @udtf
 class LexicalPaths:
     """A row for each reading of each token of a text; none for a null one."""
@@ -37,8 +45,33 @@ class LexicalPaths:
 
     def eval(self, text: str) -> Iterator[tuple]:
         for start, _, token, _ in S.token_spans(text or ""):
-            for core, tail, score in S.paths(token):
-                yield start, core, tail.shape(), tail.residual, list(tail.particles), round(score, 6)
+            for reading in _readings(token):
+                yield start, *reading
+
+
+@lru_cache(maxsize=100_000)
+def _shapes(token: str) -> tuple[tuple[str, int], ...]:
+    return tuple((tail.shape(), len(core)) for core, tail, _ in S.paths(token))
+
+
+@udtf
+class LexicalShapes:
+    """A row for each shape of the readings of a text's tokens, which lexical_paths lists: how many, and the characters of
+    their cores. A row for each reading is not handed over."""
+
+    @staticmethod
+    def analyze(text: AnalyzeArgument) -> AnalyzeResult:
+        _of(text, StringType)
+        return AnalyzeResult(schema=_SHAPES)
+
+    def eval(self, text: str) -> Iterator[tuple]:
+        n, chars = Counter(), Counter()
+        for token, times in Counter(S.tokens(text or "")).items():
+            for shape, size in _shapes(token):
+                n[shape] += times
+                chars[shape] += times * size
+        for shape, of in n.items():
+            yield shape, of, chars[shape]
 
 
 @udtf
@@ -92,5 +125,5 @@ class MergedSpans:
 
 
 def register(spark: SparkSession) -> None:
-    for name, function in (("lexical_paths", LexicalPaths), ("lexical_tails", LexicalTails), ("merged_spans", MergedSpans)):
+    for name, function in (("lexical_paths", LexicalPaths), ("lexical_shapes", LexicalShapes), ("lexical_tails", LexicalTails), ("merged_spans", MergedSpans)):
         spark.udtf.register(name, function)

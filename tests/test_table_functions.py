@@ -44,3 +44,11 @@ def test_merged_spans(spark, sql):
     assert sql("SELECT * FROM merged_spans(TABLE(SELECT * FROM spans WHERE false) PARTITION BY key ORDER BY start)").count() == 0
     with pytest.raises(Exception, match="columns key, start and end"):
         sql("SELECT * FROM merged_spans(TABLE(SELECT start FROM spans) PARTITION BY start)").collect()
+
+
+def test_shapes_add_up_paths(spark, sql):
+    texts = ["한전에서 servers 한전에서", None, "", "금감원장! 한전노조가 x", "servers AP's"]
+    spark.createDataFrame(list(enumerate(texts)), "i int, t string").createOrReplaceTempView("texts")
+    want = sql("SELECT i, shape, count(*), sum(length(core)) FROM texts, LATERAL lexical_paths(t) GROUP BY i, shape").collect()
+    got = [tuple(r) for r in sql("SELECT i, shape, n, chars FROM texts, LATERAL lexical_shapes(t)").collect()]
+    assert sorted(got) == sorted(tuple(r) for r in want) and len(got) > 5
