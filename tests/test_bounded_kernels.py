@@ -35,3 +35,30 @@ def test_queries_of_vectors_go_out_as_numbers(spark, monkeypatch):
     scores = vectors[::60].astype(np.float64) @ vectors.astype(np.float64).T
     assert got == sorted((60 * q, int(i)) for q, s in enumerate(scores) for i in np.lexsort((np.arange(3000), -np.round(s, 9)))[:5])
     assert [x[1].dtype for x in sent] == [np.float32] * 3
+
+
+def test_folds_of_texts_at_once():
+    from lexweave.operators import exact
+
+    texts = ["", "한 전·K\u200bＰ-Ｓ\u3000😀 A.p", "plain TEXT 0O|5S", "\t\n"]
+    for profile in T.PROFILES:
+        fold = exact._Fold(profile)
+        for t in texts:
+            folded, kept = fold.read(t)
+            assert folded == t.translate(fold.table) and np.flatnonzero(kept).tolist() == [i for i, c in enumerate(t) if c not in fold.gone]
+
+
+def test_boundaries_read_what_is_near(spark):
+    from lexweave.operators import exact
+
+    rows = [(far + before, "한전", after + far) for far in ("", "가" * 90, "x " * 90) for before in ("", "구", " 구 ", "가칭", "이른바 ", "가나다라마바사아자구", "구\n", "A") for after in ("", "은", "s", "에서도 ", "서울", "서 ", "서가", " 구")]
+    df = spark.createDataFrame([(i, "".join(r), len(r[0]), len(r[0]) + 2) for i, r in enumerate(rows)], "doc_id int, text string, start int, end int")
+    lit = T.F.lit
+    ruled = df.withColumns({"cost": lit(0.0), "left": lit("hangul_token_boundary"), "right": lit("particle_or_token_boundary"), "inside_latin": lit(False)})
+    near = sorted(map(repr, exact.proposals(exact.with_boundary(ruled)).collect()))
+    held = exact.LEFT, exact.RIGHT
+    try:
+        exact.LEFT, exact.RIGHT = 100_000, 100_000
+        assert near == sorted(map(repr, exact.proposals(exact.with_boundary(ruled)).collect())) and len(near) > 50
+    finally:
+        exact.LEFT, exact.RIGHT = held
