@@ -14,7 +14,7 @@ from functools import lru_cache
 
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
-from pyspark.sql.types import ArrayType, DataType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from . import segmentation as S
@@ -93,27 +93,30 @@ class LexicalTails:
 class MergedSpans:
     """Unions of touching or overlapping spans (key, start, end) of each partition, whose rows come in order of start.
 
-    A span without a start or an end adds nothing.
+    A span without a start or an end adds nothing. With ``whole`` it is counted, and rows come in order of start and end,
+    nulls last: without a start it stands alone, without an end it joins the union that its start lies in, if any.
     """
 
     def __init__(self) -> None:
         self.held: tuple | None = None
 
     @staticmethod
-    def analyze(spans: AnalyzeArgument) -> AnalyzeResult:
+    def analyze(spans: AnalyzeArgument, whole: AnalyzeArgument | None = None) -> AnalyzeResult:
         if not spans.isTable:
             raise TypeError("a table of key, start and end is needed")
+        if whole:
+            _of(whole, BooleanType)
         names = [f.name for f in spans.dataType.fields]
         if names != ["key", "start", "end"]:
             raise TypeError(f"columns key, start and end are needed, not {', '.join(names)}")
         return AnalyzeResult(schema=StructType([spans.dataType["key"], StructField("start", LongType()), StructField("end", LongType()), StructField("spans", LongType())]))
 
-    def eval(self, row) -> Iterator[tuple]:  # noqa: ANN001
-        key, start, end = row
-        if start is None or end is None:
+    def eval(self, spans, whole=False) -> Iterator[tuple]:  # noqa: ANN001
+        key, start, end = spans
+        if not whole and (start is None or end is None):
             return
-        if self.held and start <= self.held[2]:
-            self.held = (key, self.held[1], max(self.held[2], end), self.held[3] + 1)
+        if self.held and start is not None and self.held[2] is not None and start <= self.held[2]:
+            self.held = (key, self.held[1], self.held[2] if end is None else max(self.held[2], end), self.held[3] + 1)
             return
         if self.held:
             yield self.held

@@ -2,9 +2,11 @@
 
 import random
 
+import duckdb
 import pytest
 
 from lexweave.functions import segmentation, table_functions
+from lexweave.plans.registry import ORACLE_SQL, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -52,3 +54,18 @@ def test_shapes_add_up_paths(spark, sql):
     want = sql("SELECT i, shape, count(*), sum(length(core)) FROM texts, LATERAL lexical_paths(t) GROUP BY i, shape").collect()
     got = [tuple(r) for r in sql("SELECT i, shape, n, chars FROM texts, LATERAL lexical_shapes(t)").collect()]
     assert sorted(got) == sorted(tuple(r) for r in want) and len(got) > 5
+
+
+def test_merged_lines_without_quantity_or_number(spark, tmp_path):
+    """Lines without a quantity or a number are counted, and quantities round, as in the SQL; equal spans all stand alone here, so that their order is of no matter."""
+    rows = [
+        (1, 3.0, 1), (1, 2.5, 7), (1, 9.5, 2), (1, 12.5, None), (1, 14.0, 1), (1, 14.6, None), (1, None, 2), (1, None, None), (1, None, 5),
+        (2, None, 1), (3, 8.0, None), (3, 8.0, 4), (3, 11.5, None), (3, 20.0, None), (3, 20.0, None), (3, 21.0, 3),
+        (None, 4.0, 2), (None, 7.0, 1), (None, None, 3), (4, 10.0, -8), (4, 1.0, 4), (4, 10.0, 1), (4, 1.5, 1),
+    ]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_quantity double, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.sql(ORACLE_SQL["e10_merged_spans"]).fetchall()
+    got = [tuple(r) for r in QUERIES["e10_merged_spans"](spark, str(tmp_path)).select("key", "start", "end", "spans").collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and sum(r[3] for r in got) == len(rows)
