@@ -70,7 +70,8 @@ def _one_jamo(words: DataFrame, names: DataFrame) -> DataFrame:
 
     Both are spread into themselves and what is left without each of their jamo. A jamo that was changed leaves two equal
     rests of one place, one that was put in or left out a rest that equals the other whole: rows that meet are pairs that
-    are sought, however many names share a beginning or an end, and a pair meets once.
+    are sought, however many names share a beginning or an end, and a pair meets once. Spark takes the spread names for no
+    larger than the names, so that without the hint it sends them whole through the driver.
     """
 
     def spread(df: DataFrame, name: str, least: int) -> DataFrame:
@@ -89,7 +90,7 @@ def _one_jamo(words: DataFrame, names: DataFrame) -> DataFrame:
     changed = (i == j) & (i > 0) & (F.col("gone") != F.col("held_gone")) & (rest(form, i) == rest(held, j))
     longer = (j == 0) & first(form, i, F.col("gone")) & (rest(form, i) == held)
     shorter = (i == 0) & first(held, j, F.col("held_gone")) & (rest(held, j) == form)
-    return t.join(n, "key").where(changed | longer | shorter).select("token", "surface", F.lit("jamo").alias("channel"))
+    return t.join(n.hint("merge"), "key").where(changed | longer | shorter).select("token", "surface", F.lit("jamo").alias("channel"))
 
 
 def one_step(words: DataFrame, names: DataFrame) -> DataFrame:
@@ -99,16 +100,16 @@ def one_step(words: DataFrame, names: DataFrame) -> DataFrame:
     keys; initials of three Latin words and more; abbrev: a subsequence that keeps both ends, half of the syllables and
     leaves out two at least. The first meet by what is left without a jamo, the others are one equi-join on a key of channel
     and form: of an abbreviation's inner syllables the rarest among the names is its key, so that frequent ones pair
-    nothing. A pair that several keys offer is verified once.
+    nothing. A pair that several keys offer is verified once. No side of a join is sent through the driver.
     """
     held = _name_keys(names)
     counts = held.where("channel = 'abbrev'").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     sought = _word_keys(words)
     inner = sought.where("channel = 'abbrev'")
     # a syllable that no name holds rules the word out
-    rarest = inner.join(counts, "key", "left").groupBy("token", "channel", "form").agg(F.min_by("key", F.coalesce("n", F.lit(0))).alias("key"))
+    rarest = inner.join(counts.hint("merge"), "key", "left").groupBy("token", "channel", "form").agg(F.min_by("key", F.coalesce("n", F.lit(0))).alias("key"))
     keyed = sought.where("channel != 'abbrev'").unionByName(rarest)
-    met = keyed.join(held.withColumnRenamed("form", "held"), ["channel", "key"]).select("token", "surface", "channel", "form", "held").distinct()
+    met = keyed.join(held.withColumnRenamed("form", "held").hint("merge"), ["channel", "key"]).select("token", "surface", "channel", "form", "held").distinct()
     far = F.length("held")
     within = (far >= F.length("form") + 2) & (far <= 2 * F.length("form")) & F.rlike("held", F.array_join(F.regexp_extract_all("form", F.lit("."), F.lit(0)), ".*"))
     others = met.where(F.when(F.col("channel") == "abbrev", within).otherwise(F.lit(True))).select("token", "surface", "channel")

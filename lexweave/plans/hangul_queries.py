@@ -125,7 +125,8 @@ def j10_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     digits, syllables = "0123456789", "가나다라마바사아자차"
     spelt = lambda c: F.translate(F.lpad(F.col(c).cast("string"), 6, "0"), digits, syllables)
     names = table(spark, sf_dir, "part").select(spelt("p_partkey").alias("surface"))
-    typed = table(spark, sf_dir, "supplier").select(H.keys(spelt("s_suppkey")).alias("token"), F.lpad(F.col("s_suppkey").cast("string"), 6, "0").alias("word")).distinct()
-    words = names.select(F.col("surface").alias("token")).union(typed.select("token"))
-    found = R.one_step(words, names).where("channel != 'abbrev'").join(typed, "token", "left")
-    return found.select(F.coalesce("word", F.translate("token", syllables, digits)).alias("word"), F.translate("surface", syllables, digits).alias("name"), "channel")
+    typed = table(spark, sf_dir, "supplier").select(H.keys(spelt("s_suppkey")).alias("token"))
+    words = names.select(F.col("surface").alias("token")).union(typed)
+    # the vowel's key stands for no digit and goes
+    read = lambda c: F.translate(c, syllables + "rsefaqtdwck", digits * 2)
+    return R.one_step(words, names).where("channel != 'abbrev'").select(read("token").alias("word"), read("surface").alias("name"), "channel")

@@ -4,7 +4,10 @@ import random
 import re
 import unicodedata
 
+import duckdb
+
 from lexweave.operators import recovery
+from lexweave.plans.registry import ORACLE_SQL, QUERIES
 
 rnd = random.Random(6)
 KEYS = {}
@@ -58,3 +61,20 @@ def test_names_one_jamo_apart_meet_once(spark):
     got = [(r["token"], r["surface"]) for r in found.collect()]
     nfd = {w: unicodedata.normalize("NFD", w) for w in words}
     assert sorted(got) == sorted((w, n) for w in words for n in set(names) if edits(nfd[w], nfd[n]))
+
+
+def test_no_names_through_the_driver(spark, tmp_path, capsys):
+    """Spread names are many times what Spark takes them for: no join may send them through the driver, small as they are here."""
+    spark.createDataFrame([(k,) for k in (0, 1, 7, 10, 17, 123456, 123457, 1234567, 999999, None)], "p_partkey bigint").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(k,) for k in (0, 7, 8, 9, 345, 123457, 999999, 999999, None)], "s_suppkey bigint").write.parquet(f"{tmp_path}/supplier.parquet")
+    con = duckdb.connect()
+    for name in ("part", "supplier"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    found = QUERIES["j10_recovered_names"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in found.collect()) == sorted(con.sql(ORACLE_SQL["j10_recovered_names"]).fetchall())
+    name = spark.read.parquet(f"{tmp_path}/part.parquet").selectExpr("cast(p_partkey AS string) AS surface")
+    capsys.readouterr()
+    for df in (found, recovery.one_step(name.withColumnRenamed("surface", "token"), name)):
+        df.explain()
+        plan = capsys.readouterr().out
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
